@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefact.llm import chat, mixing, packing, quality, sharding, token_counts, urls
+from rulefact.llm import chat, mixing, neardup, packing, quality, sharding, token_counts, urls
 from rulefact.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_sums(token_counts.histogram(read_table(spark, sf_dir, "documents")))
 
 
+def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), words=2, similarity=0.8)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_url_filter, op3_token_counts, op5_packing, op6_ring_shards, op8_quality_ledger, op9_mixing, op10_chat_repair]
+    found = [op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op8_quality_ledger, op9_mixing, op10_chat_repair]
     return {f.__name__: f for f in found}
 
 
