@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefact.llm import chat, mixing, neardup, packing, quality, sharding, token_counts, urls
+from rulefact.llm import ann, chat, mixing, neardup, packing, quality, sharding, token_counts, urls
 from rulefact.llm.common import read_table
 
 
+def op1_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"), urls.RULES, urls.train(urls.labelled_urls(spark)))
 
@@ -46,7 +50,7 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op8_quality_ledger, op9_mixing, op10_chat_repair]
+    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op8_quality_ledger, op9_mixing, op10_chat_repair]
     return {f.__name__: f for f in found}
 
 
