@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefact.llm import ann, chat, mixing, neardup, packing, quality, sharding, token_counts, urls
+from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, quality, sharding, token_counts, urls
 from rulefact.llm.common import read_table
 
 
@@ -36,6 +36,10 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op7_hpy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(quality.ledger(read_table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
@@ -50,7 +54,7 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op8_quality_ledger, op9_mixing, op10_chat_repair]
+    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op7_hpy_scores, op8_quality_ledger, op9_mixing, op10_chat_repair]
     return {f.__name__: f for f in found}
 
 
