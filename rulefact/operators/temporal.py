@@ -101,3 +101,8 @@ def paid_in_time(orders: DataFrame, payments: DataFrame, days: int = 2) -> DataF
 def meets_minimum(amounts: DataFrame, minima: DataFrame) -> DataFrame:
     """case_id, COUPON, ORDER: order amounts that reach a coupon's minimum, within a case."""
     return amounts.join(minima, CASE).where("AMOUNT >= MINIMUM").select(CASE, "COUPON", "ORDER")
+
+
+def not_expired(applied: DataFrame) -> DataFrame:
+    """Every applied coupon counts as valid; an expiry date is for a rule of the user's to check."""
+    return applied.select(CASE, "COUPON").distinct()

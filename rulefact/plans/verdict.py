@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulefact.functions.scalars import name_uuid
-from rulefact.operators.filters import is_visible
+from rulefact.functions.scalars import argmax_value, atom_key, name_uuid
+from rulefact.operators.filters import is_decided, is_true, is_visible
 from rulefact.plans.rules import CASE, Model, violations
 from rulefact.sources.durable import durable
 
@@ -81,8 +81,6 @@ def proof_steps(model: Model, queries: DataFrame, max_depth: int = 100) -> DataF
     else:
         raise ValueError(f"proof deeper than {max_depth}")
     deepest = found.groupBy(CASE, "query_atom", "atom").agg(F.max("depth").alias("depth"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(CASE, "query_atom").orderBy(F.desc("depth"), "atom")
     return deepest.join(nodes.select(CASE, "atom", "proof.rule_id"), [CASE, "atom"], "left").withColumn("step", F.row_number().over(w))
 
@@ -95,3 +93,26 @@ def run_results(model: Model, verdict_rows: DataFrame) -> DataFrame:
         F.when(proved, "proved").when(refused, "not_proved").otherwise("unknown").alias("result"),
         *(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("proved", "blocked", "not_proved", "unknown")),
     )
+
+
+#: Statuses whose true facts enter the base; strictly, only the first two.
+KEPT = ("observed", "proved", "rejected", "retracted")
+
+
+def base_facts(facts: DataFrame, strict: bool = False) -> DataFrame:
+    """Facts that rules may rest on: kept statuses and true with enough confidence; candidates never."""
+    return facts.where(F.col("status").isin(*KEPT[: 2 if strict else 4]) & is_true(F.col("value"), F.col("confidence")))
+
+
+def cluster_atoms(states: DataFrame) -> DataFrame:
+    """cluster(entity, value) for every decided state; values in lower case."""
+    value = F.lower(argmax_value(F.col("logits"), F.col("domain")))
+    atom = F.concat(F.lower("cluster"), F.lit("("), F.col("entity_role"), F.lit("="), F.col("entity_id").cast("string"), F.lit(","), F.col("value_role"), F.lit("="), value, F.lit(")"))
+    return states.where(is_decided(F.col("logits"), F.col("is_clamped"))).select(CASE, F.lower("cluster").alias("predicate"), atom.alias("atom"), "entity_id", value.alias("value"))
+
+
+def unit_clauses(cases: DataFrame, predicate: str, rows: list[dict[str, object]]) -> DataFrame:
+    """Clauses without a body hold in every case."""
+    names = sorted(rows[0])
+    clauses = cases.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in rows], names)
+    return cases.crossJoin(F.broadcast(clauses)).select(CASE, *names, atom_key(F.lit(predicate), {n: F.col(n) for n in names}).alias("atom"))
