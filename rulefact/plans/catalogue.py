@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulefact.plans import registry
 
-MODULES = ["queries_scalar", "queries_rules", "queries_tables"]
+MODULES = ["queries_scalar", "queries_rules", "queries_tables", "queries_beliefs"]
 
 
 def _load() -> None:
