@@ -198,7 +198,8 @@ def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     products = slim.select("conv", "block", "code").mapInPandas(_products, "conv long, block long, m array<double>")
     ends = products.repartition("conv").sortWithinPartitions("conv", "block").mapInPandas(_ends, "conv long, block long, enters int, leaves int, is_last boolean, total_cost double")
     ends = stored(ends, "chat-ends")
-    joined = x.join(ends, ["conv", "block"]).sortWithinPartitions(*order)
+    # Dealt out before the join: whatever join Spark picks, a block stays in one task.
+    joined = x.repartition("conv", "block").join(ends, ["conv", "block"]).sortWithinPartitions(*order)
     out = joined.select("conv", "block", F.coalesce("turn", F.lit(none)).alias("turn"), "role", "text", "code", "enters", "leaves", "is_last", "total_cost").mapInPandas(_repair, _OUT)
     back = lambda c: F.when(F.col(c) != none, F.col(c))
     return out.select(back("conv").alias("conv_id"), back("turn").alias("turn"), "role", "new_role", "action", "inserted", "rendered", "cost", "total_cost", "block", "place")
