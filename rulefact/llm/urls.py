@@ -56,7 +56,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest rule that fits, as struct(rule, verdict); null if none does. Rules are configuration, compared in place."""
     fit = [F.when(((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p)), F.struct(F.lit(f"{h}{p}").alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))]
-    return F.coalesce(*fit)
+    return F.coalesce(*fit, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
 def grams(host: Column, path: Column, n: int = GRAM, buckets: int = BUCKETS) -> Column:
