@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulefact.operators import temporal
+from rulefact.plans import loop
 from rulefact.plans import rules as R
 from rulefact.plans import verdict as V
 from rulefact.plans import world as W
@@ -216,3 +217,11 @@ UNION ALL SELECT case_id, 'month', count(DISTINCT k) FROM p WHERE date_trunc('mo
 def j12_violation_report(t: Tables):
     ends = {"earlier": ("order_placed", "ORDER", "DATE"), "later": ("line_shipped", "ORDER", "DATE")}
     return temporal.report(temporal.violations(W.frames(t), [temporal.Constraint("late", "order", **ends), temporal.Constraint("month", "same", period="month", **ends)]))
+
+
+@query(W.SQL + """SELECT DISTINCT case_id, 'late_return(CUSTOMER=' || case_id || ',ORDER=' || ord || ')' AS atom, CASE WHEN ord IN (SELECT ord FROM oo) THEN 'rejected' ELSE 'proved' END AS status,
+CASE WHEN ord IN (SELECT ord FROM oo) THEN 'F' ELSE 'T' END AS value FROM lateb""")
+def i15_two_rounds(t: Tables):
+    frames = {p: f.withColumn("confidence", F.lit(1.0)) for p, f in W.frames(t).items()}
+    facts, _ = loop.refine([W.LATE], lambda _: frames, t.spark.createDataFrame([], loop.FACT), rounds=2)
+    return facts.select("case_id", "atom", "status", "value")
