@@ -11,12 +11,12 @@ def late_followers(earlier: DataFrame, later: DataFrame, key: str, within: str,
 
     earlier and later are streams (or tables) of key and ts. The bound on both sides lets Spark drop state behind the watermark.
     """
-    a = earlier.select(F.col(key).alias("key"), F.col("ts").alias("a")).withWatermark("a", lateness)
-    b = later.select(F.col(key).alias("other"), F.col("ts").alias("b")).withWatermark("b", lateness)
+    a = earlier.select(F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("a")).withWatermark("a", lateness)
+    b = later.select(F.col(key).alias("other"), F.col("ts").cast("timestamp").alias("b")).withWatermark("b", lateness)
     near = (F.col("b") < F.col("a")) & (F.col("b") >= F.col("a") - F.expr(f"INTERVAL {within}"))
     return a.join(b, (F.col("key") == F.col("other")) & near).select("key", "a", "b")
 
 
 def windowed_counts(events: DataFrame, window: str = "1 day", lateness: str = "1 day") -> DataFrame:
     """Events per type and tumbling window; rows later than the watermark are dropped."""
-    return events.withWatermark("ts", lateness).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
