@@ -51,3 +51,13 @@ def appended_versions(old: DataFrame, new: DataFrame, keys: list[str], order: li
     last = old.groupBy(*keys).agg(F.max("version").alias("__last"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return new.withColumn("__nth", nth).join(last, keys, "left").withColumn("version", F.coalesce("__last", F.lit(0)) + F.col("__nth")).drop("__last", "__nth")
+
+
+#: A self-training round goes through these in order.
+ROUND_STATUS = ("draft", "collected", "imported", "promoted")
+
+
+def advanced(rounds: DataFrame) -> DataFrame:
+    """status becomes wanted where that is the next status; else it stays."""
+    place = lambda c: F.array_position(F.array(*map(F.lit, ROUND_STATUS)), F.col(c))
+    return rounds.withColumn("status", F.when(place("wanted") == place("status") + 1, F.col("wanted")).otherwise(F.col("status")))

@@ -85,3 +85,17 @@ def case_brief(lines: DataFrame, most: int = 20) -> DataFrame:
 
     x = top(lines, [CASE, "section"], [F.col("ord"), F.col("line")], most, rank="place")
     return x.groupBy(CASE, "section").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("x")).select(CASE, "section", F.concat_ws("\n", "x.line").alias("brief"))
+
+
+def stratification_problems(heads: DataFrame, body: DataFrame) -> DataFrame:
+    """rule_id, problem over rule tables: heads(rule_id, predicate, stratum), body(rule_id, negated, predicate).
+
+    A head predicate has one stratum (the smallest counts if it has several); positive bodies lie not above the head, negated
+    ones below; predicates without rules are free.
+    """
+    of = heads.groupBy("predicate").agg(F.min("stratum").alias("s"), F.count_distinct("stratum").alias("n"))
+    several = heads.join(of, "predicate").where("n > 1").select("rule_id", F.lit("several_strata").alias("problem"))
+    x = body.join(of.select("predicate", "s"), "predicate").join(heads.select("rule_id", "stratum"), "rule_id")
+    below = x.where("negated AND s >= stratum").select("rule_id", F.lit("negated_not_below").alias("problem"))
+    above = x.where("NOT negated AND s > stratum").select("rule_id", F.lit("body_above").alias("problem"))
+    return several.unionByName(below).unionByName(above)

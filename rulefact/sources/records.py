@@ -101,3 +101,20 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
         part = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def annotation_template(texts: DataFrame) -> DataFrame:
+    """case_id, excerpt and blank columns for a query and its expected result."""
+    return texts.select("case_id", "excerpt", F.lit("").alias("query"), F.lit("").alias("expected_result"))
+
+
+def report_row(metrics: DataFrame) -> DataFrame:
+    """A report (metric, value) as one line of JSON."""
+    return metrics.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "value")))).alias("value"))
+
+
+def proof_steps_of(runs: DataFrame) -> DataFrame:
+    """proof_id, step, atom of runs(proof_id, dag), where dag is a JSON list of steps or an object of them."""
+    step = "struct<step:long,atom:string>"
+    steps = F.when(F.trim("dag").rlike(r"^\["), F.from_json("dag", f"array<{step}>")).otherwise(F.map_values(F.from_json("dag", f"map<string,{step}>")))
+    return runs.select("proof_id", F.inline(F.array_sort(steps)))
