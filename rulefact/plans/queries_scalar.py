@@ -61,13 +61,13 @@ def c7_fact_key(t: Tables):
     return t.orders.select("o_orderkey", S.fact_key(F.lit("ORDER_PLACED"), args).alias("fact_key"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_partkey, l_suppkey, min(l_linenumber) AS first_line, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT 'LINE|ORDER=' || l_orderkey || '|PART=' || l_partkey || '|SUPPLIER=' || l_suppkey AS identity, first_line, n FROM x WHERE n > 1""")
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS first_part, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT 'LINE|NUMBER=$' || l_linenumber || '|ORDER=' || l_orderkey AS identity, first_part, n FROM x WHERE n > 1""")
 def c8_fact_identity(t: Tables):
-    arg = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("literal_value"))
-    key = S.fact_key(F.lit("LINE"), F.array(arg("SUPPLIER", "l_suppkey"), arg("ORDER", "l_orderkey"), arg("PART", "l_partkey")))
-    x = t.lineitem.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.min("l_linenumber").alias("first_line"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return x.select(key.alias("identity"), "first_line", "n")
+    arg = lambda role, entity, literal: F.struct(F.lit(role).alias("role"), entity.cast("string").alias("entity_id"), literal.cast("string").alias("literal_value"))
+    key = S.fact_key(F.lit("LINE"), F.array(arg("ORDER", F.col("l_orderkey"), F.lit(None)), arg("NUMBER", F.lit(None), F.col("l_linenumber"))))
+    x = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("first_part"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return x.select(key.alias("identity"), "first_part", "n")
 
 
 @query("""WITH x AS (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(c_name)) AS h FROM customer)

@@ -353,10 +353,10 @@ def g2_cases_with_labels(t: Tables):
     return t.orders.where("o_orderstatus = 'P'").select("o_custkey").union(t.orders.where("o_orderpriority LIKE '1%'").select("o_custkey")).distinct()
 
 
-@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A'")
 def g3_difference(t: Tables):
-    part = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).select("l_partkey")
-    return part("R").join(part("A"), "l_partkey", "left_anti").distinct()
+    part = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).select("l_partkey", "l_suppkey")
+    return part("R").join(part("A"), ["l_partkey", "l_suppkey"], "left_anti").distinct()
 
 
 @query("SELECT case_id, min(k) AS origin FROM (SELECT c_custkey AS case_id, 0 AS k FROM customer WHERE c_acctbal > 8000 UNION ALL SELECT o_custkey, 1 FROM orders WHERE o_totalprice > 400000) GROUP BY 1")
