@@ -27,12 +27,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one is made only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="rulefact-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="rulefact-shared-")
+        _LOCAL[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -145,7 +148,7 @@ def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     left = np.repeat(first[1:], counts) - np.arange(total)  # words from here to the text's end
     for k in range(size):
         part = np.zeros(total, np.uint64)
-        part[: total - k] = words[k:]
+        part[: max(total - k, 0)] = words[k:]
         rolled = np.where(left > k, mix(rolled * np.uint64(_BASE) + part), rolled)
     short = np.repeat(counts < size, counts)
     is_first = np.zeros(total, bool)

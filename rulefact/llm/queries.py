@@ -58,5 +58,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_SPLIT = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_OP8 = (
+    "WITH w AS (SELECT doc_id, coalesce(text, '') AS t, " + _SPLIT.format("coalesce(text, '')") + " AS w FROM documents), "
+    "g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)), "
+    "r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), "
+    "c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1), "
+    "l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: len(" + _SPLIT.format("x").replace("lambda x: x", "lambda y: y") + ") > 0) AS l FROM w), "
+    "m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, "
+    "length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, "
+    "length(t) - length(replace(t, '!', '')) AS n_bangs, "
+    "len(list_filter(w, lambda x: length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 2 AND NOT regexp_matches(x, '[a-z]'))) AS n_capital_words "
+    "FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)), "
+    "b AS (SELECT *, CAST(" + " + ".join(f"CASE WHEN {test} THEN {1 << k} ELSE 0 END" for k, (_, test) in enumerate(quality.RULES)) + " AS BIGINT) AS fail_bits FROM m) "
+    "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & "
+    f"{quality.POLICIES['base']} <> 0 AS base_failed, fail_bits & {quality.POLICIES[quality.CURRENT]} = 0 AS kept, fail_bits, '{quality.CURRENT}' AS policy FROM b"
+)
+
+_OP4 = (
+    "WITH RECURSIVE w AS (SELECT doc_id, " + _SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + " AS w FROM documents), "
+    "s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)), "
+    "n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), "
+    "p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2), "
+    "e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)), "
+    "u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), "
+    "r(id, reach) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reach), "
+    "c AS (SELECT id, min(reach) AS root FROM r GROUP BY 1) "
+    "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, d.doc_id = coalesce(c.root, d.doc_id) AS kept "
+    "FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others sample, hash, tokenize or train, which SQL cannot express; tests hold them against brute force."""
+    return {"op4_setsketch_dedup": _OP4, "op8_quality_ledger": _OP8}
