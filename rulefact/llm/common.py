@@ -39,11 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rulefact/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
