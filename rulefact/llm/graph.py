@@ -12,13 +12,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node joins its larger neighbours to the smallest node it sees."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.join(least.select("a", F.least("a", "m").alias("m")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least.select("a", F.least("a", "m").alias("m")).hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node joins its smaller neighbours and itself to the smallest of them; edges lead from larger to smaller."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+    joined = edges.join(least.hint("merge"), "a")
     return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -8,8 +8,9 @@
    differs from band to band), so a bucket of n members gives n - 1 pairs, not n * n.
 4. Pairs whose joint likelihood estimate is clearly below the threshold are dropped; the rest is confirmed on the full sets
    in whole numbers. Components of the confirmed links follow.
-5. Buckets whose members ended in several components hold pairs that no pivot has joined: those pairs, and only those, are
-   compared too, so every pair that shares a bucket is either in one component already or decided by its full sets.
+   This is done for a few bands first, then for all bands where node and pivot are still apart.
+5. Buckets whose members ended in several components hold pairs that no pivot has joined: those are compared too, block by
+   block, so every pair that shares a bucket is in one component already, or improbable, or decided by its full sets.
 
 Defined cases: a document without words or text has an empty set and is linked with nothing; one with fewer words than a
 shingle has its whole sequence as one shingle; rows with equal doc_id are one document if their sets are equal and are otherwise
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ REGISTERS, BASE, RATE, BANDS, ROWS = 163, 1.001, 20.0, 32, 5
 LEVELS = 65534
 #: Pairs this far below the threshold by the estimate (about five standard errors of it) are not confirmed.
 MARGIN = 0.16
+#: Bands whose pivots are tried first, and members of a bucket compared at a time in the last step.
+FIRST_BANDS, BLOCK = 4, 128
 
 
 def registers(values: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -125,7 +129,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["bucket", "node"])
+            band = np.tile(np.arange(keys.shape[1], dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["band", "bucket", "node"])
 
 
 def _likely(similarity: float):
@@ -139,6 +144,57 @@ def _likely(similarity: float):
     return run
 
 
+def _likely_in_bucket(similarity: float):
+    """Likely pairs of each bucket's two blocks (or within one) whose members are not joined yet; rows come sorted by bucket and
+    blocks, so that many small buckets are compared in one go."""
+
+    def compare(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        node, root, n, block, low, high = (part[c].to_numpy() for c in ("node", "root", "n_shingles", "block", "low", "high"))
+        regs = np.frombuffer(b"".join(part["regs"]), np.uint16).reshape(len(part), -1)
+        found, held, waiting = [np.zeros((0, 2), np.int64)], [], 0
+
+        def decide() -> None:
+            i, j = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            ok = (root[i] != root[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[ok], j[ok]
+            for at in range(0, len(i), 10_000):
+                x, y = i[at : at + 10_000], j[at : at + 10_000]
+                near = (regs[x] == regs[y]).mean(axis=1) >= similarity - MARGIN - 0.04  # cheap, and laxer than the likelihood
+                x, y = x[near], y[near]
+                if len(x):
+                    near = estimate(regs[x], regs[y], n[x], n[y]) >= similarity - MARGIN
+                    found.append(np.stack([np.maximum(node[x[near]], node[y[near]]), np.minimum(node[x[near]], node[y[near]])], axis=1))
+            held.clear()
+
+        for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
+            if root[a:b].min() == root[a:b].max():
+                continue
+            i, j = np.triu_indices(b - a, 1)
+            held.append((i + a, j + a))
+            waiting += len(i)
+            if waiting > 500_000:
+                decide()
+                waiting = 0
+        if held:
+            decide()
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for part in parts:
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            key = part[["bucket", "low", "high"]].to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)) if len(part) else np.zeros(1, np.int64)
+            if len(starts) > 1:  # the last bucket may go on in the next batch
+                yield compare(part.iloc[: starts[-1]], starts[:-1])
+            rest = part.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield compare(rest, np.zeros(1, np.int64))
+
+    return run
+
+
 def _confirmed(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,17 +216,23 @@ def _confirmed(words: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, label: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"regs_{x}"))
+def _merge(df: DataFrame) -> DataFrame:
+    """Joined by sorting on both sides whatever the size, so that plans do not change as tables grow."""
+    return df.hint("merge")
+
+
+def _by_pivot(pairs: DataFrame, nodes: DataFrame, similarity: float, label: str) -> DataFrame:
+    side = lambda x: _merge(nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"regs_{x}")))
     percent = round(similarity * 100)
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).mapInArrow(_likely(similarity), "a long, b long"), f"{label}-likely")
-    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    some = stored(texts.join(wanted, "node", "left_semi"), f"{label}-texts")
-    text = lambda x: some.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).mapInArrow(_likely(similarity), "a long, b long"), f"{label}-likely")
+
+
+def _links(likely: DataFrame, texts: DataFrame, words: int, similarity: float, label: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    text = lambda x: _merge(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")))
     full = likely.join(text("a"), "a").join(text("b"), "b")
-    return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(words, percent), "a long, b long"), f"{label}-links")
+    return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(words, round(similarity * 100)), "a long, b long"), f"{label}-links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -178,35 +240,51 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     sketch = stored(sketches(docs, words), "sketch")
     held = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(held.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = stored(held.withColumnRenamed("doc_id", "node").join(classes, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"]), "nodes")
-    # One text for each node and set: rows of the node's doc_id that have one of its sets.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).where("node IS NOT NULL AND text IS NOT NULL")
+    every = held.withColumnRenamed("doc_id", "node").join(_merge(classes), ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
 
-    buckets = nodes.select("node", "regs").mapInArrow(_bands, "bucket long, node long")
+    buckets = every.select("node", "regs").mapInArrow(_bands, "band int, bucket long, node long")
     # A pivot is the member with the least node XOR bucket: another one in every band.
     pivots = buckets.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = stored(buckets.join(pivots.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("pivot")), "bucket"), "buckets")
-    pairs = shared.where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-    links = _links(pairs, nodes, texts, words, similarity, "pivot")
-    roots = components(links)
-
-    settled = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    settled = stored(settled, "settled")
+    pivots = pivots.select("bucket", "members", F.col("least").bitwiseXOR(F.col("bucket")).alias("pivot"))
+    shared = stored(buckets.join(_merge(pivots), "bucket"), "buckets")
+    wanted = shared.select("node").distinct()
+    nodes = stored(every.join(_merge(wanted), "node", "left_semi"), "nodes")
+    # Only texts of nodes that share a bucket are moved.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).where("node IS NOT NULL AND text IS NOT NULL")
+    texts = stored(texts.join(_merge(wanted), "node", "left_semi"), "texts")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+
+    # First the pivots of a few bands; then those of all bands, where they would still join two components.
+    first = _links(_by_pivot(pairs(shared.where(F.col("band") < FIRST_BANDS)), nodes, similarity, "first"), texts, words, similarity, "first")
+    roots = components(first)
+    known = shared.join(_merge(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = known.join(_merge(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))), "pivot", "left")
+    apart = known.where(F.col("root") != F.coalesce("pivot_root", "pivot"))
+    second = _links(_by_pivot(pairs(apart), nodes, similarity, "second"), texts, words, similarity, "second")
+    stars = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(stars(roots).unionByName(second))
+
+    # What shares a bucket and is still apart: compared block by block inside the bucket, likely pairs only leave it.
+    settled = stored(shared.join(_merge(roots), "node", "left").select("bucket", "members", "node", F.coalesce("root", "node").alias("root")), "settled")
     mixed = settled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = stored(settled.join(mixed, "bucket", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = _links(rest.join(pairs, ["a", "b"], "left_anti"), nodes, texts, words, similarity, "rest")
-    roots = components(links.unionByName(more)) if more.limit(1).count() else roots
-
-    found = classes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    apart = settled.join(_merge(mixed), "bucket", "left_semi").join(_merge(nodes.select("node", "n_shingles", "regs")), "node")
+    apart = apart.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    apart = apart.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "n_shingles", "regs")
+    apart = apart.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    likely = stored(apart.mapInPandas(_likely_in_bucket(similarity), "a long, b long").distinct(), "rest-likely")
+    roots = components(stars(roots).unionByName(_links(likely, texts, words, similarity, "rest")))
+
+    found = classes.join(_merge(roots), "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
     rows = sketch.select("doc_id", "n_shingles", "set_key").withColumn("lookup", F.when(F.col("n_shingles") > 0, F.col("set_key")))
-    out = rows.join(found.withColumnRenamed("set_key", "lookup"), "lookup", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.join(_merge(found.withColumnRenamed("set_key", "lookup")), "lookup", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with one left of each component, with all their columns; documents without words stay."""
     kept = near_duplicates(docs, words, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
-    same = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
+    same = docs.where("doc_id IS NOT NULL").join(_merge(kept), F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
     return same.unionByName(docs.where("doc_id IS NULL"))
