@@ -69,26 +69,29 @@ _MATRIX = {r: _matrix(r) for r in range(4)}
 _END = {START: (0.0, ()), ASSISTANT: (0.0, ()), USER: (INSERT, (ASSISTANT,)), SYSTEM: (2 * INSERT, (USER, ASSISTANT))}
 
 
-def _groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Runs of equal keys in sorted batches; a run that goes on in the next batch is joined."""
-    held: list[pd.DataFrame] = []
+def _groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Runs of equal keys in sorted batches, as lists per column; a run that goes on in the next batch is joined."""
+    last: tuple | None = None
+    held: dict[str, list] = {}
     for part in parts:
         if not len(part):
             continue
         change = np.zeros(len(part), bool)
         for k in keys:
             change[1:] |= part[k].to_numpy()[1:] != part[k].to_numpy()[:-1]
+        columns = {c: part[c].tolist() for c in part.columns}
         cuts = [0, *np.flatnonzero(change), len(part)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            run = part.iloc[a:b]
-            if held and tuple(held[0][keys].iloc[0]) != tuple(run[keys].iloc[0]):
-                whole = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-                yield tuple(whole[keys].iloc[0]), whole
-                held = []
-            held.append(run)
-    if held:
-        whole = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-        yield tuple(whole[keys].iloc[0]), whole
+            key = tuple(columns[k][a] for k in keys)
+            if key == last:
+                for c, v in columns.items():
+                    held[c] += v[a:b]
+                continue
+            if last is not None:
+                yield last, held
+            last, held = key, {c: v[a:b] for c, v in columns.items()}
+    if last is not None:
+        yield last, held
 
 
 def _chunks(rows: Iterator[tuple], names: list[str], most: int = 5000) -> Iterator[pd.DataFrame]:
@@ -105,9 +108,9 @@ def _chunks(rows: Iterator[tuple], names: list[str], most: int = 5000) -> Iterat
 def _products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[tuple]:
         for (conv, block), run in _groups(parts, ["conv", "block"]):
-            m = _MATRIX[int(run["code"].iloc[0])]
-            for code in run["code"].to_numpy()[1:]:
-                m = (m[:, :, None] + _MATRIX[int(code)][None]).min(axis=1)
+            m = _MATRIX[run["code"][0]]
+            for code in run["code"][1:]:
+                m = (m[:, :, None] + _MATRIX[code][None]).min(axis=1)
             yield conv, block, m.ravel().tolist()
 
     yield from _chunks(rows(), ["conv", "block", "m"])
@@ -133,14 +136,14 @@ def _ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _chunks(rows(), ["conv", "block", "enters", "leaves", "is_last", "total_cost"])
 
 
-def _path(codes: np.ndarray, enters: int, leaves: int) -> list[tuple]:
+def _path(codes: list[int], enters: int, leaves: int) -> list[tuple]:
     """The cheapest moves from one state to another (ties: the first move in _MOVES)."""
     cost = [np.inf] * 4
     cost[enters] = 0.0
     back = []
     for code in codes:
         after, via = [np.inf] * 4, [None] * 4
-        for move in _MOVES[int(code)]:
+        for move in _MOVES[code]:
             c = cost[move[0]] + move[2]
             if c < after[move[1]]:
                 after[move[1]], via[move[1]] = c, move
@@ -159,9 +162,8 @@ _OUT = "conv long, turn long, role string, new_role string, action string, inser
 def _repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[tuple]:
         for (conv, block), run in _groups(parts, ["conv", "block"]):
-            first = run.iloc[0]
-            path = _path(run["code"].to_numpy(), int(first["enters"]), int(first["leaves"]))
-            texts, turns, roles = run["text"].tolist(), run["turn"].tolist(), run["role"].tolist()
+            path = _path(run["code"], run["enters"][0], run["leaves"][0])
+            texts, turns, roles = run["text"], run["turn"], run["role"]
             for k, (a, b, cost, action, filled) in enumerate(path):
                 text = texts[k] or ""
                 if action == "merge":
@@ -172,13 +174,13 @@ def _repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         body += f"{OPEN}{ROLES[s - 1]}\n{CLOSE}"
                     body += f"{OPEN}{ROLES[at - 1]}\n{text}"
                 added = list(filled)
-                if first["is_last"] and k == len(path) - 1:
+                if run["is_last"][0] and k == len(path) - 1:
                     body += CLOSE
                     for s in _END[at][1]:
                         body += f"{OPEN}{ROLES[s - 1]}\n{CLOSE}"
                     added += list(_END[at][1])
                     cost += _END[at][0]
-                yield conv, turns[k], roles[k], ROLES[at - 1], action, ",".join(ROLES[s - 1] for s in added), body, cost, float(first["total_cost"]), block, k
+                yield conv, turns[k], roles[k], ROLES[at - 1], action, ",".join(ROLES[s - 1] for s in added), body, cost, run["total_cost"][0], block, k
 
     yield from _chunks(rows(), [c.split()[0] for c in _OUT.split(", ")], 1000)
 
