@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, quality, sharding, token_counts, urls
-from rulefact.llm.common import read_table
+from rulefact.llm.common import read_table, stored
 
 
 def op1_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.with_sums(token_counts.histogram(read_table(spark, sf_dir, "documents")))
+    return token_counts.with_sums(stored(token_counts.histogram(read_table(spark, sf_dir, "documents")), "lengths"))
 
 
 def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
