@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees, one queue over all trees, exact reranking.
 
 The forest is fitted on a bounded sample (SAMPLE vectors, the first by hash of their id); every row is indexed in every tree.
+Leaves are found by distance, so rows enter it with one component more, which brings them all to the norm of the longest, and
+queries with a zero there, scaled to that norm: then the nearest rows are those of the largest inner products.
 For a query, leaves of all trees wait in one priority queue, nearest first (the squared distances to the hyperplanes crossed
 on the way); leaves are opened until they hold a given share of the sample. Queries and rows meet leaf by leaf, in blocks of
 bounded size, where inner products are computed in double precision; each block hands on its best per query.
@@ -115,6 +117,18 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 1))
 
 
+def _extended(x: np.ndarray, unit: float, norm: float) -> np.ndarray:
+    """Rows over `unit`, all brought to one norm by a last component."""
+    x = x / unit
+    return np.hstack([x, np.sqrt(np.maximum(norm * norm - (x * x).sum(axis=1, keepdims=True), 0))])
+
+
+def _aimed(q: np.ndarray, norm: float) -> np.ndarray:
+    """Queries at that norm, with a zero as last component."""
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    return np.hstack([q * (norm / np.linalg.norm(q, axis=1, keepdims=True)), np.zeros((len(q), 1))])
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, sample: int = SAMPLE, trees: int = TREES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found for each query row; is_query is a condition on vec_id.
 
@@ -127,7 +141,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SH
     schema = "query_id long, rep long, score double"
     if not picked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = Forest(np.array(picked), trees, max(16, int(LEAF * len(picked))))
+    unit = reps.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    norm = reps.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.lit(unit)) * (x / F.lit(unit)), F.sqrt))).first()[0]
+    forest = Forest(_extended(np.array(picked), unit, norm), trees, max(16, int(LEAF * len(picked))))
     budget = max(share * forest.sample, min(LEAST, forest.sample) * len(forest.roots))
     shared = spark.sparkContext.broadcast(forest)  # at most trees * 2 / LEAF hyperplanes
     total = reps.count()
@@ -138,7 +154,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SH
     def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = shared.value
         for part in parts:
-            leaves = f.leaves(_stack(part["v"]))
+            leaves = f.leaves(_extended(_stack(part["v"]), unit, norm))
             n = leaves.shape[1]
             at = np.repeat(np.arange(len(part)), n * query_blocks)
             yield pd.DataFrame({"leaf": np.repeat(leaves.ravel(), query_blocks), "row_block": (part["rep"].to_numpy() % row_blocks)[at], "query_block": np.tile(np.arange(query_blocks), len(part) * n), "id": part["rep"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
@@ -148,7 +164,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SH
         for whole in parts:
             for start in range(0, len(whole), 500):
                 part = whole.iloc[start : start + 500]
-                found = [f.search(m, budget) for m in f.margins(_stack(part["v"]))]
+                found = [f.search(m, budget) for m in f.margins(_aimed(_stack(part["v"]), norm))]
                 at = np.repeat(np.arange(len(part)), [len(x) * row_blocks for x in found])
                 leaf = np.repeat(np.concatenate([np.array(x) for x in found]), row_blocks)
                 yield pd.DataFrame({"leaf": leaf, "row_block": np.arange(len(leaf)) % row_blocks, "query_block": (part["query_id"].to_numpy() % query_blocks)[at], "id": part["query_id"].to_numpy()[at], "v": part["v"].to_numpy()[at]})

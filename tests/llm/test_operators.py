@@ -374,6 +374,25 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.5])
+def test_nearest_neighbours_of_many_vectors(spark, sigma):
+    """Far beyond the size up to which every leaf is opened, for unit vectors and for norms that differ."""
+    r = np.random.default_rng(3)
+    w = r.standard_normal((20_000, 64))
+    w *= r.lognormal(0, sigma, (len(w), 1)) / np.linalg.norm(w, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)], "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann.nearest(table, F.col("vec_id") % 400 == 0, k=20).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    assert sorted(got) == list(range(0, 20_000, 400))
+    hit = 0
+    for q, found in got.items():
+        s = w @ w[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert hit / (20 * len(got)) >= 0.9
+
+
 def brute_repair_cost(codes):
     """Least cost over all sequences of moves, by a plain search over states."""
     cost = {chat.START: 0.0}
