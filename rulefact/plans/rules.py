@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from rulefact.operators.temporal import HELPER_TESTS
 from rulefact.sources.durable import durable
 
 CASE = "case_id"
+#: Constants of a case that meet its rows at once; rounds after which the tables of a loop are written as one.
+DOMAIN_BLOCK, GATHER = 1000, 20
 
 
 @dataclass(frozen=True)
@@ -157,11 +160,21 @@ def constants(frames: dict[str, DataFrame]) -> DataFrame:
     return out.where("value is not null").distinct()
 
 
-def body_frame(rule: Rule, frames: dict[str, DataFrame], domain_limit: int = 1000) -> DataFrame:
+def _ranged(out: DataFrame, domain: DataFrame, free: list[str]) -> DataFrame:
+    """The product of the rows of a case with its constants for each free variable, in blocks of about DOMAIN_BLOCK constants."""
+    sizes = domain.groupBy(CASE).agg(F.ceil(F.count(F.lit(1)) / DOMAIN_BLOCK).alias("n_blocks"))
+    values = domain.join(sizes, CASE).select(CASE, F.pmod(F.xxhash64("value"), F.col("n_blocks")).alias("block"), "value")
+    for v in free:
+        out = out.join(sizes, CASE).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).drop("n_blocks")
+        out = out.join(values.withColumnRenamed("value", _var(v)), [CASE, "block"]).drop("block")
+    return out
+
+
+def body_frame(rule: Rule, frames: dict[str, DataFrame], domain_limit: int | None = None) -> DataFrame:
     """All groundings of the positive part of a body, one row each; negation is not applied.
 
-    A variable that no positive literal binds ranges over the constants of its case. That is a product, so a case with more
-    than `domain_limit` constants is an error, never a silent cut.
+    A variable that no positive literal binds ranges over the constants of its case, whatever their number. That is a product;
+    with a `domain_limit`, a case with more constants is an error, never a silent cut.
     """
     out: DataFrame | None = None
     bound: set[str] = set()
@@ -173,11 +186,11 @@ def body_frame(rule: Rule, frames: dict[str, DataFrame], domain_limit: int = 100
     free = [v for v in dict.fromkeys([*rule.head.variables, *(v for x in (*rule.helpers, *rule.negatives) for v in x.variables)]) if v not in bound]
     if out is None or free:
         domain = constants({p: f for p, f in frames.items() if p in {x.predicate for x in rule.body} or not rule.positives})
-        sized = domain.join(domain.groupBy(CASE).agg(F.count(F.lit(1)).alias("n")), CASE)
-        domain = sized.select(CASE, F.when(F.col("n") <= domain_limit, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("domain of case too large: "), F.col(CASE).cast("string")))).alias("value"))
+        if domain_limit is not None:
+            sized = domain.join(domain.groupBy(CASE).agg(F.count(F.lit(1)).alias("n")), CASE)
+            domain = sized.select(CASE, F.when(F.col("n") <= domain_limit, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("domain of case too large: "), F.col(CASE).cast("string")))).alias("value"))
         out = domain.select(CASE).distinct() if out is None else out
-        for v in free:
-            out = out.join(domain.withColumnRenamed("value", _var(v)), CASE)
+        out = _ranged(out, domain, free)
     for x in rule.helpers:
         a, b = (F.lit(t.value) if isinstance(t, Const) else F.col(_var(t)) for _, t in x.args)
         test = HELPER_TESTS[x.predicate](a, b)
@@ -246,8 +259,11 @@ class Model:
         return frame.select(CASE, F.lit(predicate).alias("predicate"), key.alias("atom"), *more)
 
 
-def evaluate(base: dict[str, DataFrame], rules: list[Rule], max_rounds: int = 100) -> Model:
-    """The least model, group by group: plain joins where nothing is recursive, a semi-naive loop where it is."""
+def evaluate(base: dict[str, DataFrame], rules: list[Rule]) -> Model:
+    """The least model, group by group: plain joins where nothing is recursive, a semi-naive loop where it is.
+
+    The loop runs until a round adds no atom. It ends: atoms are made of the constants at hand, and each round adds some.
+    """
     model = Model(list(rules), dict(base))
     order = {r.rule_id: k for k, r in enumerate(rules)}
     for group in evaluation_order(rules):
@@ -282,7 +298,7 @@ def evaluate(base: dict[str, DataFrame], rules: list[Rule], max_rounds: int = 10
                 full[p] = durable(first, f"fix-{p}")
         delta = {p: full[p].select(CASE, *roles[p]) for p in full}
         delta |= {p: (delta[p].unionByName(known[p].select(CASE, *roles[p])) if p in delta else known[p].select(CASE, *roles[p])) for p in group if p in known}
-        for _ in range(max_rounds):
+        for turns_done in count(1):
             have = {p: f for p, f in known.items()}
             for p in full:
                 own_rows = full[p].drop("proof")
@@ -303,9 +319,9 @@ def evaluate(base: dict[str, DataFrame], rules: list[Rule], max_rounds: int = 10
                 break
             for p, f in new.items():
                 full[p] = full[p].unionByName(f) if p in full else f
+                if turns_done % GATHER == 0:
+                    full[p] = durable(full[p], f"fix-{p}")
             delta = {p: f.drop("proof") for p, f in new.items()}
-        else:
-            raise RuleError(f"no fixpoint of {', '.join(group)} in {max_rounds} rounds")
         model.derived |= full
     return model
 

@@ -82,6 +82,24 @@ def test_large_domains_are_an_error_not_a_cut(spark):
         R.body_frame(free, base, domain_limit=10).collect()
 
 
+def test_chains_of_more_than_a_hundred_rounds(spark):
+    n = 102
+    base = {"start": frame(spark, [("n0",)], "X"), "edge": frame(spark, [(f"n{k}", f"n{k + 1}") for k in range(n)], "X", "Y")}
+    rules = [R.Rule("r1", R.lit("reach", X="A"), (R.lit("start", X="A"),)), R.Rule("r2", R.lit("reach", X="B"), (R.lit("reach", X="A"), R.lit("edge", X="A", Y="B")))]
+    m = R.evaluate(base, rules)
+    assert sorted(r.X for r in m.derived["reach"].collect()) == sorted(f"n{k}" for k in range(n + 1))
+    steps = {r.atom: r for r in V.proof_steps(m, asked(spark, f"reach(X=n{n})")).collect()}
+    assert len(steps) == 2 * n + 2 and steps["start(X=n0)"].depth == n + 1
+    assert all(steps[f"reach(X=n{k})"].step < steps[f"reach(X=n{k + 1})"].step for k in range(n))
+
+
+def test_free_variables_range_over_more_than_a_thousand_constants(spark):
+    base = {"n": frame(spark, [(f"v{k}",) for k in range(1100)], "X")}
+    free = R.Rule("r", R.lit("p", X="X", Y="Y"), (R.lit("n", X="X"),))
+    got = R.body_frame(free, base)
+    assert got.count() == got.distinct().count() == 1100 * 1100
+
+
 def test_proof_steps_put_dependencies_first(spark):
     base = {"edge": frame(spark, [("a", "b"), ("b", "c"), ("c", "d")], "X", "Y")}
     rules = [R.Rule("r1", R.lit("path", X="A", Y="B"), (R.lit("edge", X="A", Y="B"),)), R.Rule("r2", R.lit("path", X="A", Y="C"), (R.lit("path", X="A", Y="B"), R.lit("edge", X="B", Y="C")))]
