@@ -1,6 +1,6 @@
 """Scoring documents with a hierarchical Pitman-Yor language model trained on the corpus.
 
-Words follow a context (a class of the word before, by hash; the start of a text is a class of its own). Each context is a
+Words follow a context (the word before; the start of a text is one of its own). Each context is a
 restaurant whose tables are customers of one parent restaurant over all words, whose own base is uniform over the known words
 and one unknown. Seatings are sampled by blocked Gibbs: in a sweep, the tables of every dish of every restaurant are drawn
 anew given the parent's probabilities and the restaurant's number of tables in the sweep before. Predictive probabilities are
@@ -10,8 +10,8 @@ The work is laid out so that nothing is ever gathered whole:
 blocks   each task turns documents into blocks of about BLOCK_TOKENS tokens: sorted distinct word hashes and token numbers
 buckets  a block sends each bucket (a range of the word hashes) its distinct (word, context) pairs with their counts: a frequent
          word is one entry per block and context, not one per occurrence
-sweeps   a bucket holds all pairs of its words, so parents are local; only tables per context (CONTEXTS numbers) are
-         summed over all buckets between sweeps
+sweeps   a bucket holds all pairs of its words, so parents are local; customers and tables of a context are summed over the
+         buckets by ranges of the context's hash between sweeps, and each bucket gets those of its own contexts back
 answers  a bucket sends each block the probabilities of the pairs it asked for; the block adds them up per document
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as an empty text in the hold-out rule (training);
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from rulefact.llm.common import Texts, mix, slices, stored
 
-BLOCK_TOKENS, BUCKET_TOKENS, CONTEXTS = 1 << 20, 1 << 20, 4096
+BLOCK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
 BURN_IN, SAMPLES = 1, 3
 STRENGTH = 1.0
 #: Dishes of up to so many customers get their tables from the exact conditional; larger ones are seated in turn.
 EXACT = 40
 FOLDS, HELD_OUT = 7, 2
-END = mix(np.array([0xE0D], np.uint64))[0]
+END, START = mix(np.array([0xE0D, 0x57A7], np.uint64))
 
 _BLOCK = "block long, n_tokens long, doc_ids binary, nulls binary, held binary, lengths binary, words binary, tokens binary"
 
@@ -77,16 +77,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Block:
     """A block read back: its words, tokens and the distinct (word, context) pairs, ascending."""
 
-    def __init__(self, row: dict, contexts: int):
+    def __init__(self, row: dict):
         self.words = np.frombuffer(row["words"], np.uint64)
         self.tokens = np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
         self.lengths = np.frombuffer(row["lengths"], np.int64)
         self.held = np.frombuffer(row["held"], bool)
-        kind = 1 + (self.words % np.uint64(contexts - 1)).astype(np.int64)
+        self.contexts = len(self.words) + 1  # the start of a text, then the words
         context = np.zeros(len(self.tokens), np.int64)
-        context[1:] = kind[self.tokens[:-1]]
+        context[1:] = self.tokens[:-1] + 1
         context[np.concatenate(([0], np.cumsum(self.lengths)[:-1]))] = 0
-        self.keys = self.tokens * contexts + context
+        self.keys = self.tokens * self.contexts + context
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs (word number * contexts + context) and the training count of each."""
@@ -101,22 +101,23 @@ def _cuts(words: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(words))
 
 
-def _ask(bits: int, contexts: int):
+def _ask(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, contexts)
+                block = Block(row)
+                contexts = block.contexts
                 pair, count = block.pairs()
                 cuts = _cuts(block.words, bits)
                 at = np.searchsorted(pair, cuts * contexts)
                 per_word = np.diff(np.searchsorted(pair, np.arange(len(block.words) + 1) * contexts))
-                kind = (pair % contexts).astype(np.uint16)
+                kind = np.append(START, block.words)[pair % contexts]
                 use = [b for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
                 fields = (
                     [b for b in use],
                     [row["block"]] * len(use),
                     [block.words[cuts[b] : cuts[b + 1]].tobytes() for b in use],
-                    [per_word[cuts[b] : cuts[b + 1]].astype(np.uint16).tobytes() for b in use],
+                    [per_word[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes() for b in use],
                     [kind[at[b] : at[b + 1]].tobytes() for b in use],
                     [count[at[b] : at[b + 1]].astype(np.uint32).tobytes() for b in use],
                 )
@@ -131,14 +132,14 @@ _ASKED = "bucket long, block long, words binary, per_word binary, kinds binary,
 class Bucket:
     """All pairs of the words of one hash range, with their training counts."""
 
-    def __init__(self, words: list[bytes], per_word: list[bytes], kinds: list[bytes], counts: list[bytes], contexts: int):
+    def __init__(self, words: list[bytes], per_word: list[bytes], kinds: list[bytes], counts: list[bytes], contexts: int, width: type = np.uint16):
         each = [np.frombuffer(w, np.uint64) for w in words]
         self.sizes = [len(w) for w in each]
         every = np.concatenate(each)
         self.words, self.number = np.unique(every, return_inverse=True)
-        n = np.concatenate([np.frombuffer(x, np.uint16) for x in per_word]).astype(np.int64)
-        self.asked = np.repeat(self.number, n) * contexts + np.concatenate([np.frombuffer(x, np.uint16) for x in kinds]).astype(np.int64)
-        self.asked_sizes = [len(x) // 2 for x in kinds]
+        n = np.concatenate([np.frombuffer(x, width) for x in per_word]).astype(np.int64)
+        self.asked = np.repeat(self.number, n) * contexts + np.concatenate([np.frombuffer(x, width) for x in kinds]).astype(np.int64)
+        self.asked_sizes = [len(x) // np.dtype(width).itemsize for x in kinds]
         count = np.concatenate([np.frombuffer(x, np.uint32) for x in counts]).astype(np.int64)
         known = count > 0
         self.pair, at = np.unique(self.asked[known], return_inverse=True)
@@ -225,61 +226,126 @@ class Model:
             yield t, c1, t1, totals
 
 
-def _read(row: dict, contexts: int) -> Bucket:
-    return Bucket(row["words"], row["per_word"], row["kinds"], row["counts"], contexts)
+_BUCKET = "bucket long, blocks array<long>, words array<binary>, per_word array<binary>, kinds array<binary>, counts array<binary>, contexts binary"
 
 
-def _sums(model: Model | None, contexts: int):
-    """kind, c, t per context over the buckets of a task, and below zero the other totals."""
+def _batch(row: dict) -> pa.RecordBatch:
+    of = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 4, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row.values(), of, strict=True)], names=list(row))
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts become numbers in the ascending list of the bucket's own contexts."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            each = [np.frombuffer(x, np.uint64) for x in row["kinds"]]
+            contexts, number = np.unique(np.concatenate(each), return_inverse=True)
+            parts = np.split(number.astype(np.uint32), np.cumsum([len(x) for x in each])[:-1])
+            yield _batch(row | {"kinds": [x.tobytes() for x in parts], "contexts": contexts.tobytes()})
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What sweeps need of a bucket: its pairs with training counts, as if of one block."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            b, _ = _read(row)
+            per_word = np.bincount(b.word, minlength=len(b.words)).astype(np.uint32)
+            yield _batch(row | {"blocks": [], "words": [b.words.tobytes()], "per_word": [per_word.tobytes()], "kinds": [b.kind.astype(np.uint32).tobytes()], "counts": [b.c.astype(np.uint32).tobytes()]})
+
+
+def _read(row: dict) -> tuple[Bucket, np.ndarray]:
+    contexts = np.frombuffer(row["contexts"], np.uint64)
+    return Bucket(row["words"], row["per_word"], row["kinds"], row["counts"], len(contexts), np.uint32), contexts
+
+
+class Shared:
+    """The figures that all buckets share: a few numbers a sweep. Those of contexts come with the bucket."""
+
+    def __init__(self, n: int, vocabulary: int, discount: float, parent_discount: float, strength: float):
+        self.n, self.vocabulary = n, vocabulary
+        self.d, self.d1, self.strength = discount, parent_discount, strength
+        self.parents: list[tuple[int, int]] = []  # customers and tables of the parent before each sweep
+
+    def model(self, row: dict) -> Model:
+        local = lambda parts: np.frombuffer(b"".join(parts), np.int64)
+        out = Model(self.n, self.vocabulary, local(row["customers"]), self.d, self.d1, self.strength)
+        out.history = [Totals(local(t), *p) for t, p in zip(row["history"], self.parents, strict=True)]
+        return out
+
+
+_SUMS = "range long, bucket long, contexts binary, c binary, t binary, figures array<long>"
+
+
+def _sums(shared: Shared | None, bits: int):
+    """For each range of contexts a bucket's customers and tables of them, and under range -1 its other figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, t = np.zeros(contexts + 4, np.int64), np.zeros(contexts + 4, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                b = _read(row, contexts)
+                b, contexts = _read(row)
                 tables, c1, t1 = np.minimum(b.c, 1), np.bincount(b.word, np.minimum(b.c, 1), minlength=len(b.words)), None
-                if model:
-                    for tables, c1, t1, _ in model.sweeps(b, row["bucket"], contexts):
+                if shared:
+                    for tables, c1, t1, _ in shared.model(row).sweeps(b, row["bucket"], len(contexts)):
                         pass
-                c[:contexts] += np.bincount(b.kind, b.c, minlength=contexts).astype(np.int64)
-                t[:contexts] += np.bincount(b.kind, tables, minlength=contexts).astype(np.int64)
+                total = lambda x, kind=b.kind, n=len(contexts): np.bincount(kind, x, minlength=n).astype(np.int64)
+                c, t = total(b.c) if not shared else np.zeros(0, np.int64), total(tables)
                 seen = int((b.of_word > 0).sum())
-                c[contexts:] += [seen, (b.c == 1).sum(), (b.c == 2).sum(), int(c1.sum())]
-                t[contexts:] += [seen if t1 is None else int(t1.sum()), (c1 == 1).sum(), (c1 == 2).sum(), 0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(contexts + 4)), pa.array(c), pa.array(t)], names=["kind", "c", "t"])
+                figures = [b.c.sum(), seen, (b.c == 1).sum(), (b.c == 2).sum(), c1.sum(), seen if t1 is None else t1.sum(), (c1 == 1).sum(), (c1 == 2).sum()]
+                cuts = _cuts(contexts, bits)
+                use = [r for r in range(1 << bits) if cuts[r] < cuts[r + 1]]
+                cut = lambda x, cuts=cuts, use=use: [b"", *(x[cuts[r] : cuts[r + 1]].tobytes() for r in use)]
+                fields = ([-1, *use], [row["bucket"]] * (1 + len(use)), cut(contexts), cut(c), cut(t), [[int(x) for x in figures], *[None] * len(use)])
+                of = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(fields, of, strict=True)], names=["range", "bucket", "contexts", "c", "t", "figures"])
 
     return run
 
 
-def _totals(buckets: DataFrame, model: Model | None, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = buckets.mapInArrow(_sums(model, contexts), "kind long, c long, t long").groupBy("kind").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toPandas()  # contexts + 4 rows
-    c, t = np.zeros(contexts + 4, np.int64), np.zeros(contexts + 4, np.int64)
-    c[rows["kind"]], t[rows["kind"]] = rows["c"], rows["t"]
-    return c, t
+def _over_buckets(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    """The sums over all buckets, for each bucket those of its own contexts."""
+    contexts, at = np.unique(np.frombuffer(b"".join(part["contexts"]), np.uint64), return_inverse=True)
+    ends = np.cumsum([len(x) // 8 for x in part["contexts"]])[:-1]
+    out = {"bucket": part["bucket"], "range": part["range"]}
+    for name in ("c", "t"):
+        x = np.frombuffer(b"".join(part[name]), np.int64)
+        out[name] = [y.tobytes() for y in np.split(np.bincount(at, x, minlength=len(contexts)).astype(np.int64)[at], ends)] if len(x) else [b""] * len(part)
+    return pd.DataFrame(out)
+
 
+def train(buckets: DataFrame, bits: int, sweeps: int, strength: float = STRENGTH) -> tuple[Shared, DataFrame]:
+    """Discounts from the counts of counts, then the totals before each sweep, one pass over the buckets a sweep.
 
-def train(buckets: DataFrame, contexts: int, sweeps: int, strength: float = STRENGTH) -> Model:
-    """Discounts from the counts of counts, then the totals before each sweep, one pass over the buckets a sweep."""
-    c, t = _totals(buckets, None, contexts)
-    discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
-    model = Model(int(c[:contexts].sum()), int(c[contexts]), c[:contexts], discount(c[contexts + 1], c[contexts + 2]), discount(t[contexts + 1], t[contexts + 2]), strength)
+    Returns the shared figures and, for each bucket, the customers of its contexts and their tables before each sweep."""
+    trained = stored(buckets.mapInArrow(_trained, _BUCKET), "lm-trained")
+    shared, of_bucket = None, None
     for k in range(sweeps):
-        model.history.append(Totals(t[:contexts], int(c[contexts + 3]), int(t[contexts])))
-        if k < sweeps - 1:
-            c, t = _totals(buckets, model, contexts)
-    return model
+        sums = stored((trained.join(of_bucket.hint("merge"), "bucket") if k else trained).mapInArrow(_sums(shared, bits), _SUMS), "lm-sums")
+        n, seen, one, two, customers, tables, one1, two1 = (x or 0 for x in sums.where("range < 0").agg(*(F.sum(F.col("figures")[i]) for i in range(8))).first())
+        if not k:
+            discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
+            shared = Shared(n, seen, discount(one, two), discount(one1, two1), strength)
+        shared.parents.append((customers, tables))
+        whole = sums.where("range >= 0").groupBy("range").applyInPandas(_over_buckets, "bucket long, range long, c binary, t binary")
+        whole = whole.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("range", "c", "t"))).alias("x")).select("bucket", F.col("x.c").alias("c"), F.col("x.t").alias("t"))  # ascending ranges, as the bucket's contexts
+        if not k:
+            whole = whole.select("bucket", F.col("c").alias("customers"), F.array("t").alias("history"))
+        else:
+            whole = of_bucket.join(whole.hint("merge"), "bucket").select("bucket", "customers", F.concat("history", F.array("t")).alias("history"))
+        of_bucket = stored(whole, "lm-contexts")
+    return shared, of_bucket
 
 
 _ANSWER = "block long, bucket long, logs binary, counts binary"
 
 
-def _answer(model: Model, contexts: int, burn_in: int):
+def _answer(shared: Shared, burn_in: int):
     """log10 of the averaged predictive probability of every pair asked for, and the training count of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _read(row, contexts)
+                b, names = _read(row)
+                model, contexts = shared.model(row), len(names)
                 word, kind = b.asked // contexts, b.asked % contexts
                 at = np.searchsorted(b.pair, b.asked)
                 at[at == len(b.pair)] = 0
@@ -307,14 +373,14 @@ def _answer(model: Model, contexts: int, burn_in: int):
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(n: int, vocabulary: int, contexts: int):
+def _score(n: int, vocabulary: int):
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         parts = []
         answers = answers.sort_values("bucket")
         logs = np.frombuffer(b"".join(answers["logs"]), np.float32).astype(np.float64)
         counts = np.frombuffer(b"".join(answers["counts"]), np.int64)
         for row in blocks.to_dict("records"):
-            b = Block(row, contexts)
+            b = Block(row)
             pair = np.unique(b.keys)
             first = np.concatenate(([0], np.cumsum(b.lengths)[:-1]))
             c = counts[b.tokens]
@@ -327,15 +393,16 @@ def _score(n: int, vocabulary: int, contexts: int):
     return run
 
 
-def score(docs: DataFrame, contexts: int = CONTEXTS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
+def score(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10 probability) of every text."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = stored(slim.mapInArrow(_blocks, _BLOCK), "lm-blocks")
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(tokens / BUCKET_TOKENS, 1)))))
-    asked = blocks.select("block", "held", "lengths", "words", "tokens").mapInArrow(_ask(bits, contexts), _ASKED)
+    asked = blocks.select("block", "held", "lengths", "words", "tokens").mapInArrow(_ask(bits), _ASKED)
     asked = asked.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("block", "words", "per_word", "kinds", "counts"))).alias("x"))  # the pairs of about BUCKET_TOKENS tokens
-    buckets = stored(asked.select("bucket", F.col("x.block").alias("blocks"), "x.words", "x.per_word", "x.kinds", "x.counts"), "lm-buckets")
-    model = train(buckets, contexts, burn_in + samples)
-    answers = buckets.mapInArrow(_answer(model, contexts, burn_in), _ANSWER)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(model.n, model.vocabulary, contexts), _SCORE)
+    asked = asked.select("bucket", F.col("x.block").alias("blocks"), "x.words", "x.per_word", "x.kinds", "x.counts")
+    buckets = stored(asked.mapInArrow(_number, _BUCKET), "lm-buckets")
+    shared, of_bucket = train(buckets, bits, burn_in + samples)
+    answers = buckets.join(of_bucket.hint("merge"), "bucket").mapInArrow(_answer(shared, burn_in), _ANSWER)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(shared.n, shared.vocabulary), _SCORE)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,6 +324,17 @@ def test_predictive_probabilities_sum_to_one():
         assert abs(p[b.of_word > 0].sum() + (1 + m.d * totals.tables[u]) * unknown / (1 + customers[u]) - 1) < 1e-9
 
 
+def test_every_word_before_is_a_context_of_its_own():
+    """More words than any fixed number of classes: no two of them share a restaurant."""
+    n = 20_000
+    words = np.unique(np.random.default_rng(2).integers(0, 2**63, n).astype(np.uint64))
+    tokens = np.repeat(np.arange(len(words), dtype=np.uint32), 2)
+    row = {"words": words.tobytes(), "tokens": tokens.tobytes(), "lengths": np.array([len(tokens)]).tobytes(), "held": np.array([False]).tobytes(), "block": 0}
+    batch = [pa.RecordBatch.from_pylist([row])]
+    contexts = np.concatenate([np.frombuffer(r["kinds"], np.uint64) for b in hpylm._ask(4)(batch) for r in b.to_pylist()])
+    assert set(contexts.tolist()) == {*words.tolist(), int(hpylm.START)}
+
+
 def test_url_host_path_and_rules(spark):
     rows = [
         (1, "https://A.Example.ORG/es/x?q#f"), (2, "http://x.org"), (3, "http://com/fr/"), (4, "ftp://a.b.com/de/1"), (5, None), (6, "no scheme/x"),
