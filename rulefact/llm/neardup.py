@@ -4,18 +4,21 @@
    registers in the order of its values and stops once no register can still be improved; a register keeps the level
    floor(1 - log_b(min)) of its minimum. Registers merge by maximum and agree more often the more similar two sets are.
 2. Documents with equal shingle sets form one class; only one of them is compared (its node: the smallest doc_id).
-3. Bands of registers are hashed to buckets. In each bucket every member is compared with one pivot (an arbitrary member that
-   differs from band to band), so a bucket of n members gives n - 1 pairs, not n * n.
+3. Bands of registers are hashed to buckets. In the buckets of PIVOT_BANDS bands every member is compared with one pivot (an arbitrary member that
+   differs from band to band), so a bucket of n members gives n - 1 pairs, not n * n. Large buckets have a pivot for each
+   PIVOT_OF members, and those pivots are compared with the bucket's.
 4. Pairs whose joint likelihood estimate is clearly below the threshold are dropped; the rest is confirmed on the full sets
-   in whole numbers. Components of the confirmed links follow.
-   This is done for a few bands first, then for all bands where node and pivot are still apart.
-5. Buckets whose members ended in several components hold pairs that no pivot has joined: those are compared too, block by
-   block, so every pair that shares a bucket is in one component already, or improbable, or decided by its full sets.
+   in whole numbers. Components of the confirmed links follow. A few bands are enough for this step, as the next one is whole.
+5. Buckets of all bands whose members ended in several components hold pairs that no pivot has joined. There the members outside the
+   bucket's largest component meet all others, block by block, with their registers and full sets. A pair is looked at in the
+   first band it shares; a block hands on links between components that it has not joined yet, fewer than it has members,
+   and no pairs that are merely likely. So every pair that shares a bucket is in one component, or improbable, or decided by
+   its full sets. The comparisons of this step grow with (members outside the largest component) * members of a bucket.
 
 Defined cases: a document without words or text has an empty set and is linked with nothing; one with fewer words than a
 shingle has its whole sequence as one shingle; rows with equal doc_id are one document if their sets are equal and are otherwise
-one node with several sets; a null doc_id takes no part (component_id null, kept true); other columns are not read; an empty
-table gives an empty result.
+one node with several sets; a null doc_id takes no part (component_id null, kept true); very long texts are read whole, a
+few MB of text at a time; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,12 +26,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulefact.llm.common import Texts, mix, shingle_sets, slices, stored
+from rulefact.llm.common import Texts, free_name, mix, shingle_sets, slices, stored
 from rulefact.llm.graph import components
 
 #: Registers (a prime, so that steps through them form permutations), base and rate of the levels, bands and rows a band.
@@ -36,8 +38,10 @@ REGISTERS, BASE, RATE, BANDS, ROWS = 163, 1.001, 20.0, 32, 5
 LEVELS = 65534
 #: Pairs this far below the threshold by the estimate (about five standard errors of it) are not confirmed.
 MARGIN = 0.16
-#: Bands whose pivots are tried first, and members of a bucket compared at a time in the last step.
-FIRST_BANDS, BLOCK = 4, 128
+#: Bands whose members are compared with pivots; members of a bucket that share a pivot.
+PIVOT_BANDS, PIVOT_OF = 8, 512
+#: Members and shingles of a block in the last step; a document of more shingles is a block alone.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def registers(values: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -109,88 +113,121 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (low + high) / 2
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, regs binary"
+_SKETCH = "node long, n_shingles long, set_key binary, regs binary"
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, number of distinct shingles, key of the set and registers of every document."""
+    """node, number of distinct shingles, key of the set and registers of every row of docs(node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(batch.column(1)):
                 values, first = shingle_sets(Texts(part), words)
                 regs = registers(values, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(np.diff(first)), pa.array(_set_keys(values, first), pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "n_shingles", "set_key", "regs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(np.diff(first)), pa.array(_set_keys(values, first), pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], names=["node", "n_shingles", "set_key", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SKETCH)
+    return docs.select("node", "text").mapInArrow(run, _SKETCH)
+
+
+def _full_sets(words: int):
+    """The hashes of each text's shingles, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(batch.column(1)):
+                values, first = shingle_sets(Texts(part), words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([values[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1))
-            band = np.tile(np.arange(keys.shape[1], dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["band", "bucket", "node"])
+            keys = band_keys(_matrix(batch.column(2)))
+            n = keys.shape[1]
+            band = np.tile(np.arange(n, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(k).to_numpy(), n)) for k in (0, 1))], names=["band", "bucket", "node", "n_shingles"])
 
 
 def _likely(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in ("regs_a", "regs_b"))
-                ok = estimate(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy()) >= similarity - MARGIN
+                ok = estimate(_matrix(batch.column("regs_a")), _matrix(batch.column("regs_b")), batch.column("na").to_numpy(), batch.column("nb").to_numpy()) >= similarity - MARGIN
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
 
 
-def _likely_in_bucket(similarity: float):
-    """Likely pairs of each bucket's two blocks (or within one) whose members are not joined yet; rows come sorted by bucket and
-    blocks, so that many small buckets are compared in one go."""
-
-    def compare(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        node, root, n, block, low, high = (part[c].to_numpy() for c in ("node", "root", "n_shingles", "block", "low", "high"))
-        regs = np.frombuffer(b"".join(part["regs"]), np.uint16).reshape(len(part), -1)
-        found, held, waiting = [np.zeros((0, 2), np.int64)], [], 0
-
-        def decide() -> None:
-            i, j = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-            ok = (root[i] != root[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-            i, j = i[ok], j[ok]
-            for at in range(0, len(i), 10_000):
-                x, y = i[at : at + 10_000], j[at : at + 10_000]
-                near = (regs[x] == regs[y]).mean(axis=1) >= similarity - MARGIN - 0.04  # cheap, and laxer than the likelihood
-                x, y = x[near], y[near]
-                if len(x):
-                    near = estimate(regs[x], regs[y], n[x], n[y]) >= similarity - MARGIN
-                    found.append(np.stack([np.maximum(node[x[near]], node[y[near]]), np.minimum(node[x[near]], node[y[near]])], axis=1))
-            held.clear()
-
-        for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
-            if root[a:b].min() == root[a:b].max():
+def block_links(node: np.ndarray, root: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, band: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between the rows `left` and the rows `right` (or among `left`, if right is left) that join two components.
+
+    Pairs whose first shared band is another one are left to it; those whose registers agree too seldom are improbable; the rest
+    is decided by the full sets. Joined components are one from then on, so fewer links are found than there are components.
+    """
+    percent = round(similarity * 100)
+    n = np.array([len(s) for s in sets])
+    _, label = np.unique(root, return_inverse=True)
+    found = []
+    least = (similarity - MARGIN - 0.04) * regs.shape[1]
+    for k, i in enumerate(left):
+        js = left[k + 1 :] if right is left else right
+        js = js[(label[js] != label[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+        if not len(js):
+            continue
+        same = regs[js] == regs[i]
+        near = np.count_nonzero(same, axis=1) >= least
+        if not near.any():
+            continue
+        same, js = same[near], js[near]
+        js = js[same[:, : BANDS * ROWS].reshape(len(js), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if not len(js):
+            continue
+        values = np.concatenate([sets[j] for j in js])
+        at = np.searchsorted(sets[i], values)
+        at[at == n[i]] = 0
+        both = np.add.reduceat((sets[i][at] == values).astype(np.int64), np.concatenate(([0], np.cumsum(n[js])[:-1])))
+        for j in js[100 * both >= percent * (n[i] + n[js] - both)]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((max(node[i], node[j]), min(node[i], node[j])))
+    return found
+
+
+def _in_blocks(similarity: float):
+    """Rows come sorted by bucket and pair of blocks; a pair that goes on in the next batch waits for it."""
+
+    def compare(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, root, block, low, high, band = (rows.column(c).to_numpy() for c in ("node", "root", "block", "low", "high", "band"))
+        found = []
+        for a, b in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
+            part = rows.slice(a, b - a)
+            sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+            left = np.flatnonzero(block[a:b] == low[a])
+            right = left if low[a] == high[a] else np.flatnonzero(block[a:b] == high[a])
+            found += block_links(node[a:b], root[a:b], _matrix(part.column("regs")), sets, left, right, band[a], similarity)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            i, j = np.triu_indices(b - a, 1)
-            held.append((i + a, j + a))
-            waiting += len(i)
-            if waiting > 500_000:
-                decide()
-                waiting = 0
-        if held:
-            decide()
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for part in parts:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            key = part[["bucket", "low", "high"]].to_numpy()
-            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)) if len(part) else np.zeros(1, np.int64)
-            if len(starts) > 1:  # the last bucket may go on in the next batch
-                yield compare(part.iloc[: starts[-1]], starts[:-1])
-            rest = part.iloc[starts[-1] :].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield compare(rest, np.zeros(1, np.int64))
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part])
+            key = np.stack([part.column(c).to_numpy() for c in ("bucket", "low", "high")], axis=1)
+            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1))
+            if len(starts) > 1:
+                yield from compare(part.slice(0, starts[-1]), starts[:-1])
+            rest = part.slice(starts[-1])
+        if rest is not None:
+            yield from compare(rest, np.zeros(1, np.int64))
 
     return run
 
@@ -221,70 +258,100 @@ def _merge(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def _by_pivot(pairs: DataFrame, nodes: DataFrame, similarity: float, label: str) -> DataFrame:
+def _likely_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     side = lambda x: _merge(nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"regs_{x}")))
     percent = round(similarity * 100)
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).mapInArrow(_likely(similarity), "a long, b long"), f"{label}-likely")
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).mapInArrow(_likely(similarity), "a long, b long"), "likely")
 
 
-def _links(likely: DataFrame, texts: DataFrame, words: int, similarity: float, label: str) -> DataFrame:
+def _links(likely: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     text = lambda x: _merge(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")))
     full = likely.join(text("a"), "a").join(text("b"), "b")
-    return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(words, round(similarity * 100)), "a long, b long"), f"{label}-links")
-
+    return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(words, round(similarity * 100)), "a long, b long"), "links")
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept for every document."""
-    sketch = stored(sketches(docs, words), "sketch")
-    held = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(held.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
-    every = held.withColumnRenamed("doc_id", "node").join(_merge(classes), ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
 
-    buckets = every.select("node", "regs").mapInArrow(_bands, "band int, bucket long, node long")
+def _buckets(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets of several members with band, bucket, members, node, n_shingles and the pivot each member is compared with; and
+    the pairs (node, pivot) of the pivots of large buckets with the bucket's own."""
+    buckets = every.select("node", "n_shingles", "regs").mapInArrow(_bands, "band int, bucket long, node long, n_shingles long")
     # A pivot is the member with the least node XOR bucket: another one in every band.
-    pivots = buckets.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pivots = pivots.select("bucket", "members", F.col("least").bitwiseXOR(F.col("bucket")).alias("pivot"))
-    shared = stored(buckets.join(_merge(pivots), "bucket"), "buckets")
+    least = F.min(F.col("node").bitwiseXOR(F.col("bucket"))).bitwiseXOR(F.col("bucket"))
+    pivots = buckets.groupBy("bucket").agg(least.alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = stored(buckets.join(_merge(pivots), "bucket"), "buckets").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / PIVOT_OF)))
+    large = shared.where(F.col("members") > PIVOT_OF)
+    parts = stored(large.groupBy("bucket", "part", F.col("pivot").alias("top")).agg(least.alias("own")), "pivots")
+    shared = shared.join(_merge(parts.select("bucket", "part", "own")), ["bucket", "part"], "left").withColumn("pivot", F.coalesce("own", "pivot"))
+    return shared.drop("part", "own"), parts.select(F.col("own").alias("node"), F.col("top").alias("pivot"))
+
+
+def _apart(settled: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, once for each pair of blocks they meet in: bucket, band, low, high
+    (the blocks), block (their own), node, root. Of buckets with the same members, only that of the first band is left."""
+    print_of = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "node"))
+    each = settled.groupBy("bucket", "band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), print_of(1).alias("f"), print_of(2).alias("g"))
+    whole = each.groupBy("bucket", "band").agg(F.max(F.struct("n", "root", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bit_xor("f").alias("f"), F.bit_xor("g").alias("g"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES))
+    whole = whole.groupBy("n", "f", "g").agg(F.min(F.struct("band", "bucket", "main", "w")).alias("x")).select(
+        "x.bucket", F.col("x.main.root").alias("main"), blocks(F.col("x.main.n"), F.col("x.main.w")).alias("inside"), blocks(F.col("n") - F.col("x.main.n"), F.col("x.w") - F.col("x.main.w")).alias("outside")
+    )
+    x = settled.join(_merge(whole), "bucket")
+    out, h = F.col("root") != F.col("main"), F.xxhash64("node")
+    x = x.withColumn("block", F.when(out, F.pmod(h, F.col("outside"))).otherwise(F.col("outside") + F.pmod(h, F.col("inside"))))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outside") - 1 + F.when(out, F.col("inside")).otherwise(0))))
+    return x.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root")
+
+
+def _classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of docs(node, text): the sketches, and set_key with the component (the smallest node) of each class of equal sets."""
+    sketch = stored(sketches(docs, words), "sketch")
+    held = sketch.where("n_shingles > 0 AND node IS NOT NULL")
+    classes = stored(held.groupBy("set_key").agg(F.min("node").alias("node")), "classes")
+    every = held.join(_merge(classes), ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
+    shared, tops = _buckets(every)
     wanted = shared.select("node").distinct()
     nodes = stored(every.join(_merge(wanted), "node", "left_semi"), "nodes")
     # Only texts of nodes that share a bucket are moved.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).where("node IS NOT NULL AND text IS NOT NULL")
-    texts = stored(texts.join(_merge(wanted), "node", "left_semi"), "texts")
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        return rows.where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-
-    # First the pivots of a few bands; then those of all bands, where they would still join two components.
-    first = _links(_by_pivot(pairs(shared.where(F.col("band") < FIRST_BANDS)), nodes, similarity, "first"), texts, words, similarity, "first")
-    roots = components(first)
-    known = shared.join(_merge(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = known.join(_merge(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))), "pivot", "left")
-    apart = known.where(F.col("root") != F.coalesce("pivot_root", "pivot"))
-    second = _links(_by_pivot(pairs(apart), nodes, similarity, "second"), texts, words, similarity, "second")
-    stars = lambda r: r.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(stars(roots).unionByName(second))
-
-    # What shares a bucket and is still apart: compared block by block inside the bucket, likely pairs only leave it.
-    settled = stored(shared.join(_merge(roots), "node", "left").select("bucket", "members", "node", F.coalesce("root", "node").alias("root")), "settled")
-    mixed = settled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    apart = settled.join(_merge(mixed), "bucket", "left_semi").join(_merge(nodes.select("node", "n_shingles", "regs")), "node")
-    apart = apart.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    apart = apart.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "n_shingles", "regs")
-    apart = apart.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    likely = stored(apart.mapInPandas(_likely_in_bucket(similarity), "a long, b long").distinct(), "rest-likely")
-    roots = components(stars(roots).unionByName(_links(likely, texts, words, similarity, "rest")))
-
-    found = classes.join(_merge(roots), "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
-    rows = sketch.select("doc_id", "n_shingles", "set_key").withColumn("lookup", F.when(F.col("n_shingles") > 0, F.col("set_key")))
-    out = rows.join(_merge(found.withColumnRenamed("set_key", "lookup")), "lookup", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    texts = stored(docs.where("node IS NOT NULL AND text IS NOT NULL").join(_merge(wanted), "node", "left_semi"), "texts")
+
+    pairs = shared.where(F.col("band") < PIVOT_BANDS).select("node", "pivot").unionByName(tops).where("node <> pivot")
+    pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+    roots = components(_links(_likely_pairs(pairs, nodes, similarity), texts, words, similarity))
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    # What shares a bucket and is still apart meets in blocks; only links leave them.
+    settled = stored(shared.join(_merge(roots), "node", "left").select("bucket", "band", "node", "n_shingles", F.coalesce("root", "node").alias("root")), "settled")
+    apart = stored(_apart(settled), "apart")
+    open_nodes = apart.select("node").distinct()
+    sets = texts.join(_merge(open_nodes), "node", "left_semi").select("node", "text").mapInArrow(_full_sets(words), "node long, shingles binary")
+    full = apart.join(_merge(nodes.select("node", "regs")), "node").join(_merge(sets), "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    rest = stored(full.mapInArrow(_in_blocks(similarity), "a long, b long").distinct(), "rest-links")
+    roots = components(stars.unionByName(rest))
+    return sketch, classes.join(_merge(roots), "node", "left").select("set_key", F.coalesce("root", "node").alias("component"))
+
+
+def _looked_up(sketch: DataFrame, found: DataFrame) -> DataFrame:
+    """node, n_shingles and component (its own node without words) of every row."""
+    rows = sketch.select("node", "n_shingles", "set_key").withColumn("lookup", F.when(F.col("n_shingles") > 0, F.col("set_key")))
+    return rows.join(_merge(found.withColumnRenamed("set_key", "lookup")), "lookup", "left").select("node", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("node").isNotNull(), F.col("component"))).otherwise(F.col("node")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept for every document."""
+    out = _looked_up(*_classes(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")), words, similarity))
+    return out.select(F.col("node").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("node") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents with one left of each component, with all their columns; documents without words stay."""
-    kept = near_duplicates(docs, words, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
-    same = docs.where("doc_id IS NOT NULL").join(_merge(kept), F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
-    return same.unionByName(docs.where("doc_id IS NULL"))
+    """The documents with one left of each component (that of the smallest doc_id, null last), with all their columns.
+
+    Every row is compared by itself, so repeated rows, several texts under one doc_id and rows without doc_id count alike;
+    documents without words all stay; columns may have any names; an empty table gives an empty result.
+    """
+    key = free_name(docs, "row_key")
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    slim = keyed.select(F.col(key).alias("node"), F.col("text").cast("string").alias("text"))
+    found = _looked_up(*_classes(slim, words, similarity)).join(_merge(keyed.select(F.col(key).alias("node"), F.col("doc_id").cast("long").alias("doc_id"))), "node")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x")).select(F.col("x.node").alias(key))
+    return keyed.join(_merge(kept), key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
