@@ -31,11 +31,14 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where none is set, as in tests."""
+    """The folder that all executors share, named in spark.checkpoint.dir. A temporary one is made only where none is set and the
+    session is a local one, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="rulefact-shared-")
-        _LOCAL[spark.sparkContext.applicationId] = found
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _LOCAL.get(context.applicationId) or _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="rulefact-shared-"))
     return found.rstrip("/")
 
 

@@ -1,26 +1,30 @@
 """Scoring documents with a hierarchical Pitman-Yor language model trained on the corpus.
 
-Words follow a context (the word before; the start of a text is one of its own). Each context is a
-restaurant whose tables are customers of one parent restaurant over all words, whose own base is uniform over the known words
-and one unknown. Seatings are sampled by blocked Gibbs: in a sweep, the tables of every dish of every restaurant are drawn
-anew given the parent's probabilities and the restaurant's number of tables in the sweep before. Predictive probabilities are
-averaged over the samples after burn-in.
-
-The work is laid out so that nothing is ever gathered whole:
-blocks   each task turns documents into blocks of about BLOCK_TOKENS tokens: sorted distinct word hashes and token numbers
-buckets  a block sends each bucket (a range of the word hashes) its distinct (word, context) pairs with their counts: a frequent
-         word is one entry per block and context, not one per occurrence
-sweeps   a bucket holds all pairs of its words, so parents are local; customers and tables of a context are summed over the
-         buckets by ranges of the context's hash between sweeps, and each bucket gets those of its own contexts back
-answers  a bucket sends each block the probabilities of the pairs it asked for; the block adds them up per document
+Restaurants are contexts: the two words before, whose tables are customers of the word before, whose tables are customers of one
+restaurant over all words, whose base is uniform over the known words and one unknown. Every context is a restaurant of its own
+(words are told apart by WORD_BYTES bytes of their hash; texts begin with two start words). Seatings are sampled by blocked
+Gibbs: a sweep draws the tables of every dish anew from their conditional given the parent's probabilities; discounts and
+strengths are drawn from their conditionals on a grid (griddy Gibbs). Predictive probabilities are averaged over the samples
+after burn-in.
+
+The work is laid out so that no context and no word is gathered whole:
+events   each task turns documents into blocks of about BLOCK_TOKENS tokens; a block sends each bucket its events (word and the
+         two before it, by a dictionary of the message; document). Messages are never empty, so there are fewer of them than tokens
+buckets  a bucket holds all events of its contexts (hash ranges of the word before), so both restaurants of an event are local. A
+         word before which has more than half of BUCKET_TOKENS is parted by the word before it into restaurants of at least that size
+words    buckets first sweep by themselves, then send the tables of each word to the ranges of words, where the restaurant over
+         all words is seated, and get back its customers, tables and the training count of each of their words
+answers  buckets sweep again with that parent and send each block the sums of its documents
+The events are dealt out once; both passes over the buckets read the same exchange.
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as an empty text in the hold-out rule (training);
-repeated rows count each time; other columns are not read; with no training tokens every token is unknown; an empty table gives
-an empty result. Words are told apart by 64-bit hashes.
+repeated rows count each time; very long texts are read whole and may lie in a block of their own; other columns are not read;
+with no training tokens every token is unknown; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,142 +38,177 @@ from pyspark.sql import functions as F
 
 from rulefact.llm.common import Texts, mix, slices, stored
 
-BLOCK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
-BURN_IN, SAMPLES = 1, 3
-STRENGTH = 1.0
-#: Dishes of up to so many customers get their tables from the exact conditional; larger ones are seated in turn.
-EXACT = 40
+BLOCK_TOKENS, BUCKET_TOKENS = 1 << 22, 1 << 21
+#: Sweeps of the first pass, and of the second before and while samples are taken.
+FIRST, BURN_IN, SAMPLES = 2, 2, 4
+#: Dishes of up to so many customers get their tables from the exact conditional; larger ones are seated one after another in
+#: growing steps, in which the chance of a new table hardly moves.
+EXACT = 128
 FOLDS, HELD_OUT = 7, 2
-END, START = mix(np.array([0xE0D, 0x57A7], np.uint64))
+WORD_BYTES = 6
+_CUT = np.uint64(64 - 8 * WORD_BYTES)
+END, START = mix(np.array([0xE0D, 0x57A7], np.uint64)) >> _CUT
+DISCOUNTS = np.round(np.arange(0.02, 0.99, 0.02), 2)
+STRENGTHS = np.round(np.geomspace(0.05, 50, 31), 4)
 
-_BLOCK = "block long, n_tokens long, doc_ids binary, nulls binary, held binary, lengths binary, words binary, tokens binary"
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, byte by byte of equal weight, as few bytes as the largest needs, compressed."""
+    parts = [np.array([len(arrays)], "<i8").tobytes()]
+    for x in arrays:
+        x = np.ascontiguousarray(x, "<u8")
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        parts += [np.array([len(x), width], "<i8").tobytes(), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = memoryview(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+    out, at = [], 8
+    for _ in range(int.from_bytes(raw[:8], "little")):
+        n, width = np.frombuffer(raw[at : at + 16], "<i8")
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw[at + 16 : at + 16 + n * width], np.uint8).reshape(width, n).T
+        out.append(x.view("<u8").ravel())
+        at += 16 + n * width
+    return out
+
+
+def _ascending(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, which take fewer bytes."""
+    return np.diff(x, prepend=np.zeros(1, x.dtype))
+
+
+_EVENTS = "bucket long, block long, blob binary"
+
+
+def _held(doc_id: int | None) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
+
+
+def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts: the first's number, the words (cut hashes, an end after each text) and the tokens of each text."""
+    for at, part in slices(column):
+        words, first = Texts(part).word_hashes(lower=True)
+        counts = np.diff(first)
+        yield at, np.insert(words >> _CUT, first[1:], END), counts + 1
+
+
+def _frequent(share: float):
+    """Words that hold at least `share` of a task's tokens, with their counts there."""
 
-def _pack_block(number: int, docs: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
-    lengths = np.array([len(h) for h in hashes], np.int64)
-    words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-    held = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % FOLDS == HELD_OUT for d in docs])
-    ids = np.array([d or 0 for d in docs], np.int64)
-    row = (number, int(lengths.sum()), ids.tobytes(), np.array([d is None for d in docs]).tobytes(), held.tobytes(), lengths.tobytes(), words.tobytes(), tokens.astype(np.uint32).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names=[c.split()[0] for c in _BLOCK.split(", ")])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    docs: list = []
-    hashes: list[np.ndarray] = []
-    held = 0
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for at, part in slices(batch.column(1)):
-            words, first = Texts(part).word_hashes(lower=True)
-            for k in range(len(part)):
-                docs.append(ids[at + k])
-                hashes.append(np.append(words[first[k] : first[k + 1]], END))
-                held += len(hashes[-1])
-            if held >= BLOCK_TOKENS:
-                yield _pack_block(number, docs, hashes)
-                docs, hashes, held, number = [], [], 0, number + 1
-    if docs:
-        yield _pack_block(number, docs, hashes)
-
-
-class Block:
-    """A block read back: its words, tokens and the distinct (word, context) pairs, ascending."""
-
-    def __init__(self, row: dict):
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
-        self.lengths = np.frombuffer(row["lengths"], np.int64)
-        self.held = np.frombuffer(row["held"], bool)
-        self.contexts = len(self.words) + 1  # the start of a text, then the words
-        context = np.zeros(len(self.tokens), np.int64)
-        context[1:] = self.tokens[:-1] + 1
-        context[np.concatenate(([0], np.cumsum(self.lengths)[:-1]))] = 0
-        self.keys = self.tokens * self.contexts + context
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs (word number * contexts + context) and the training count of each."""
-        trained = np.repeat(~self.held, self.lengths).astype(np.int64)
-        marked, counts = np.unique(self.keys * 2 + trained, return_counts=True)
-        pair, first = np.unique(marked >> 1, return_index=True)
-        return pair, np.add.reduceat(np.where(marked & 1, counts, 0), first)
-
-
-def _cuts(words: np.ndarray, bits: int) -> np.ndarray:
-    """Where the words of each of 2**bits hash ranges begin, and the end."""
-    return np.append(np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(words))
-
-
-def _ask(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                contexts = block.contexts
-                pair, count = block.pairs()
-                cuts = _cuts(block.words, bits)
-                at = np.searchsorted(pair, cuts * contexts)
-                per_word = np.diff(np.searchsorted(pair, np.arange(len(block.words) + 1) * contexts))
-                kind = np.append(START, block.words)[pair % contexts]
-                use = [b for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
-                fields = (
-                    [b for b in use],
-                    [row["block"]] * len(use),
-                    [block.words[cuts[b] : cuts[b + 1]].tobytes() for b in use],
-                    [per_word[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes() for b in use],
-                    [kind[at[b] : at[b + 1]].tobytes() for b in use],
-                    [count[at[b] : at[b + 1]].astype(np.uint32).tobytes() for b in use],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "block", "words", "per_word", "kinds", "counts"])
+            for _, words, _ in _tokens(batch.column(1)):
+                held.append(np.unique(words, return_counts=True))
+                if len(held) == 16:
+                    held = [_summed(held)]
+        if held:
+            words, counts = _summed(held)
+            use = counts >= share * counts.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(words[use].astype(np.int64)), pa.array(counts[use])], names=["word", "n"])
 
     return run
 
 
-_ASKED = "bucket long, block long, words binary, per_word binary, kinds binary, counts binary"
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+    return words, np.bincount(at, np.concatenate([c for _, c in parts]), minlength=len(words)).astype(np.int64)
+
+
+class Layout:
+    """How contexts are dealt to buckets: hot words before are parted by the word before them."""
+
+    def __init__(self, buckets: int, hot: dict[int, int]):
+        self.buckets = buckets
+        self.hot = np.array(sorted(hot), np.uint64)
+        self.parts = np.array([hot[w] for w in sorted(hot)], np.uint64)
+
+    def bucket(self, before: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        part = np.zeros(len(before), np.uint64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, before), len(self.hot) - 1)
+            is_hot = self.hot[at] == before
+            part[is_hot] = mix(ahead[is_hot]) % self.parts[at[is_hot]]
+        return (mix(mix(before) + part) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def _block_rows(number: int, docs: list, words: np.ndarray, lengths: np.ndarray, layout: Layout) -> pa.RecordBatch:
+    """Under bucket -1 - number the documents of a block, and for each bucket its events there in the order of documents."""
+    held = np.array([_held(d) for d in docs])
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    b1, b2 = np.roll(words, 1), np.roll(words, 2)
+    b1[first], b2[first] = START, START
+    b2[np.minimum(first + 1, len(words) - 1)[lengths > 1]] = START
+    dictionary, at = np.unique(np.concatenate((words, [START])), return_inverse=True)
+    number_of = at.astype(np.int64)[:-1]
+    n1, n2 = np.roll(number_of, 1), np.roll(number_of, 2)
+    start = int(at[-1])
+    n1[first], n2[first] = start, start
+    n2[np.minimum(first + 1, len(words) - 1)[lengths > 1]] = start
+    bucket = layout.bucket(b1, b2)
+    doc = np.repeat(np.arange(len(docs)), lengths)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(layout.buckets + 1))
+    ids = np.array([d or 0 for d in docs], np.int64)
+    rows = [(-1 - number, number, packed(ids.view(np.uint64), np.array([d is None for d in docs]), held, lengths))]
+    for b in np.flatnonzero(np.diff(cuts)):
+        x = order[cuts[b] : cuts[b + 1]]
+        used, local = np.unique(np.concatenate((number_of[x], n1[x], n2[x])), return_inverse=True)
+        w, v1, v2 = np.split(local, 3)
+        rows.append((int(b), number, packed(_ascending(dictionary[used]), w, v1, v2, _ascending(doc[x]), held[doc[x]])))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "block", "blob"])
+
 
+def _events(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        docs: list = []
+        words: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for at, some, counts in _tokens(batch.column(1)):
+                docs += ids[at : at + len(counts)]
+                words.append(some)
+                lengths.append(counts)
+                held += len(some)
+                if held >= BLOCK_TOKENS:
+                    yield _block_rows(number, docs, np.concatenate(words), np.concatenate(lengths), layout)
+                    docs, words, lengths, held, number = [], [], [], 0, number + 1
+        if docs:
+            yield _block_rows(number, docs, np.concatenate(words), np.concatenate(lengths), layout)
 
-class Bucket:
-    """All pairs of the words of one hash range, with their training counts."""
-
-    def __init__(self, words: list[bytes], per_word: list[bytes], kinds: list[bytes], counts: list[bytes], contexts: int, width: type = np.uint16):
-        each = [np.frombuffer(w, np.uint64) for w in words]
-        self.sizes = [len(w) for w in each]
-        every = np.concatenate(each)
-        self.words, self.number = np.unique(every, return_inverse=True)
-        n = np.concatenate([np.frombuffer(x, width) for x in per_word]).astype(np.int64)
-        self.asked = np.repeat(self.number, n) * contexts + np.concatenate([np.frombuffer(x, width) for x in kinds]).astype(np.int64)
-        self.asked_sizes = [len(x) // np.dtype(width).itemsize for x in kinds]
-        count = np.concatenate([np.frombuffer(x, np.uint32) for x in counts]).astype(np.int64)
-        known = count > 0
-        self.pair, at = np.unique(self.asked[known], return_inverse=True)
-        self.c = np.bincount(at, count[known], minlength=len(self.pair)).astype(np.int64)
-        self.word, self.kind = self.pair // contexts, self.pair % contexts
-        self.of_word = np.bincount(self.word, self.c, minlength=len(self.words)).astype(np.int64)  # training count of each word
-
-
-@lru_cache(maxsize=8)
+    return run
+
+
+@lru_cache(maxsize=None)
 def _stirling(d: float, n: int = EXACT) -> np.ndarray:
     """log of the generalised Stirling numbers S_d(c, t) for c, t up to n: ways to seat c customers at t tables, weighted."""
     s = np.full((n + 1, n + 1), -np.inf)
     s[0, 0] = 0.0
+    t = np.arange(n + 1)
     for c in range(n):
-        for t in range(1, c + 2):
-            stay = s[c, t] + np.log(c - t * d) if t <= c and c - t * d > 0 else -np.inf
-            s[c + 1, t] = np.logaddexp(stay, s[c, t - 1])
+        with np.errstate(divide="ignore"):
+            stay = s[c] + np.log(np.maximum(c - t * d, 0))
+        s[c + 1] = stay
+        s[c + 1, 1:] = np.logaddexp(stay[1:], s[c, :-1])
     return s
 
 
 def seat(c: np.ndarray, weight: np.ndarray, d: float, draw: np.random.Generator) -> np.ndarray:
     """Tables of dishes with c customers each, where a new table weighs `weight` and an old one its customers less d."""
     t = np.minimum(c, 1)
-    table = _stirling(round(d, 6))
+    table = _stirling(d)
     some = np.flatnonzero((c > 1) & (c <= EXACT))
     some = some[np.argsort(c[some], kind="stable")]
     edges = np.searchsorted(c[some], np.arange(2, EXACT + 2))
     for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False), 2):
-        for at in range(a, b, 200_000):
-            rows = some[at : min(b, at + 200_000)]
+        for at in range(a, b, max(1, 1_000_000 // n)):
+            rows = some[at : min(b, at + max(1, 1_000_000 // n))]
             p = table[n, 1 : n + 1] + np.log(weight[rows])[:, None] * np.arange(1, n + 1)
             p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
             t[rows] = 1 + (draw.random(len(rows))[:, None] * p[:, -1:] > p).sum(axis=1)
@@ -179,7 +218,7 @@ def seat(c: np.ndarray, weight: np.ndarray, d: float, draw: np.random.Generator)
         seated, size, tables, w = 1, c[big], np.ones(len(big)), weight[big]
         while seated < size[0]:
             k = int(np.searchsorted(-size, -seated, "left"))  # dishes with customers still to seat
-            step = max(1, seated // 64)  # the chance of a new table hardly moves within a 64th of the customers
+            step = max(1, seated // 64)
             m = np.minimum(step, size[:k] - seated)
             chance = np.clip(w[:k] / (w[:k] + np.maximum(seated - d * tables[:k], 1e-9)), 0, 1)
             tables[:k] += draw.binomial(m, chance)
@@ -188,221 +227,222 @@ def seat(c: np.ndarray, weight: np.ndarray, d: float, draw: np.random.Generator)
     return t
 
 
-class Totals:
-    """What all buckets know together before a sweep: tables per context, customers and tables of the parent."""
-
-    def __init__(self, tables: np.ndarray, customers: int, parent_tables: int):
-        self.tables, self.customers, self.parent_tables = tables, customers, parent_tables
-
-
-class Model:
-    """The figures shared by all buckets: vocabulary, customers per context, discounts, and the totals before each sweep."""
-
-    def __init__(self, n: int, vocabulary: int, customers: np.ndarray, discount: float, parent_discount: float, strength: float):
-        self.n, self.vocabulary, self.customers = n, vocabulary, customers
-        self.d, self.d1, self.strength = discount, parent_discount, strength
-        self.history: list[Totals] = []
-
-    def unknown(self, totals: Totals) -> float:
-        """The parent's probability of a word it never saw."""
-        return (self.strength + self.d1 * totals.parent_tables) / (self.strength + totals.customers) / (self.vocabulary + 1)
-
-    def parent(self, totals: Totals, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return np.maximum(customers - self.d1 * tables, 0) / (self.strength + totals.customers) + self.unknown(totals)
-
-    def sweeps(self, bucket: Bucket, number: int, contexts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Totals]]:
-        """Tables of the pairs, customers and tables of the parent after each sweep. The draws depend on the bucket and the
-        totals alone, so a sweep comes out the same whenever it is repeated."""
-        draw = np.random.default_rng([7, number])
-        n = len(bucket.words)
-        t = np.minimum(bucket.c, 1)
-        c1 = np.bincount(bucket.word, t, minlength=n)
-        t1 = np.minimum(c1, 1)
-        for totals in self.history:
-            p1 = self.parent(totals, c1, t1)
-            t = seat(bucket.c, (self.strength + self.d * totals.tables[bucket.kind]) * p1[bucket.word], self.d, draw)
-            c1 = np.bincount(bucket.word, t, minlength=n).astype(np.int64)
-            t1 = seat(c1, np.full(n, (self.strength + self.d1 * totals.parent_tables) / (self.vocabulary + 1)), self.d1, draw)
-            yield t, c1, t1, totals
+def _log_rising(start: float, step: float, n: np.ndarray) -> np.ndarray:
+    """log of (start + step)(start + 2 step)...(start + (n - 1) step) for each n of at least 1."""
+    return (n - 1) * math.log(step) + np.array([math.lgamma(start / step + x) for x in n.tolist()]) - math.lgamma(start / step + 1)
 
 
-_BUCKET = "bucket long, blocks array<long>, words array<binary>, per_word array<binary>, kinds array<binary>, counts array<binary>, contexts binary"
+def resample(c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, strength: float, draw: np.random.Generator) -> tuple[float, float]:
+    """Discount and strength of a level, each from its conditional over a grid, given customers and tables of its dishes and restaurants."""
+    small = c <= EXACT
+    dishes, n_dishes = np.unique(c[small] * (EXACT + 1) + t[small], return_counts=True)
+    dish_c, dish_t = dishes // (EXACT + 1), dishes % (EXACT + 1)
+    open_ = customers > 0
+    t_of, n_t = np.unique(tables[open_], return_counts=True)
+    c_of, n_c = np.unique(customers[open_], return_counts=True)
 
+    def pick(grid: np.ndarray, logs: list[float]) -> float:
+        p = np.exp(np.array(logs) - max(logs))
+        return float(grid[min(np.searchsorted(np.cumsum(p), draw.random() * p.sum()), len(grid) - 1)])
 
-def _batch(row: dict) -> pa.RecordBatch:
-    of = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 4, pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row.values(), of, strict=True)], names=list(row))
+    if not len(dishes) or not len(t_of):
+        return 0.5, strength
+    d = pick(DISCOUNTS, [float((n_t * _log_rising(strength, x, t_of)).sum() + (n_dishes * _stirling(float(x))[dish_c, dish_t]).sum()) for x in DISCOUNTS])
+    return d, pick(STRENGTHS, [float((n_t * _log_rising(x, d, t_of)).sum() - (n_c * _log_rising(x, 1.0, c_of)).sum()) for x in STRENGTHS])
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts become numbers in the ascending list of the bucket's own contexts."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            each = [np.frombuffer(x, np.uint64) for x in row["kinds"]]
-            contexts, number = np.unique(np.concatenate(each), return_inverse=True)
-            parts = np.split(number.astype(np.uint32), np.cumsum([len(x) for x in each])[:-1])
-            yield _batch(row | {"kinds": [x.tobytes() for x in parts], "contexts": contexts.tobytes()})
-
-
-def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What sweeps need of a bucket: its pairs with training counts, as if of one block."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            b, _ = _read(row)
-            per_word = np.bincount(b.word, minlength=len(b.words)).astype(np.uint32)
-            yield _batch(row | {"blocks": [], "words": [b.words.tobytes()], "per_word": [per_word.tobytes()], "kinds": [b.kind.astype(np.uint32).tobytes()], "counts": [b.c.astype(np.uint32).tobytes()]})
-
-
-def _read(row: dict) -> tuple[Bucket, np.ndarray]:
-    contexts = np.frombuffer(row["contexts"], np.uint64)
-    return Bucket(row["words"], row["per_word"], row["kinds"], row["counts"], len(contexts), np.uint32), contexts
-
-
-class Shared:
-    """The figures that all buckets share: a few numbers a sweep. Those of contexts come with the bucket."""
-
-    def __init__(self, n: int, vocabulary: int, discount: float, parent_discount: float, strength: float):
-        self.n, self.vocabulary = n, vocabulary
-        self.d, self.d1, self.strength = discount, parent_discount, strength
-        self.parents: list[tuple[int, int]] = []  # customers and tables of the parent before each sweep
-
-    def model(self, row: dict) -> Model:
-        local = lambda parts: np.frombuffer(b"".join(parts), np.int64)
-        out = Model(self.n, self.vocabulary, local(row["customers"]), self.d, self.d1, self.strength)
-        out.history = [Totals(local(t), *p) for t, p in zip(row["history"], self.parents, strict=True)]
-        return out
-
-
-_SUMS = "range long, bucket long, contexts binary, c binary, t binary, figures array<long>"
-
-
-def _sums(shared: Shared | None, bits: int):
-    """For each range of contexts a bucket's customers and tables of them, and under range -1 its other figures."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b, contexts = _read(row)
-                tables, c1, t1 = np.minimum(b.c, 1), np.bincount(b.word, np.minimum(b.c, 1), minlength=len(b.words)), None
-                if shared:
-                    for tables, c1, t1, _ in shared.model(row).sweeps(b, row["bucket"], len(contexts)):
-                        pass
-                total = lambda x, kind=b.kind, n=len(contexts): np.bincount(kind, x, minlength=n).astype(np.int64)
-                c, t = total(b.c) if not shared else np.zeros(0, np.int64), total(tables)
-                seen = int((b.of_word > 0).sum())
-                figures = [b.c.sum(), seen, (b.c == 1).sum(), (b.c == 2).sum(), c1.sum(), seen if t1 is None else t1.sum(), (c1 == 1).sum(), (c1 == 2).sum()]
-                cuts = _cuts(contexts, bits)
-                use = [r for r in range(1 << bits) if cuts[r] < cuts[r + 1]]
-                cut = lambda x, cuts=cuts, use=use: [b"", *(x[cuts[r] : cuts[r + 1]].tobytes() for r in use)]
-                fields = ([-1, *use], [row["bucket"]] * (1 + len(use)), cut(contexts), cut(c), cut(t), [[int(x) for x in figures], *[None] * len(use)])
-                of = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(fields, of, strict=True)], names=["range", "bucket", "contexts", "c", "t", "figures"])
+class Bucket:
+    """All events of a range of contexts: pairs (word before, word) and triples of the training events, and what is asked of each event."""
+
+    def __init__(self, blobs: list[bytes]):
+        parts = [unpacked(b) for b in blobs]
+        words = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+        self.words, number = np.unique(np.concatenate(words), return_inverse=True)
+        number = number.astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        w, b1, b2 = (np.concatenate([number[o : o + len(own)][p[k].astype(np.int64)] for p, o, own in zip(parts, offsets, words, strict=False)]) for k in (1, 2, 3))
+        self.docs = [np.cumsum(p[4], dtype=np.uint64).astype(np.int64) for p in parts]
+        trained = ~np.concatenate([p[5] for p in parts]).astype(bool)
+        del parts, words
+        self.word, n = w, len(self.words)
+        self.count = np.bincount(w[trained], minlength=n)
+        self.is_word = np.bincount(w, minlength=n) > 0
+        _, self.restaurant3 = np.unique(b2 * n + b1, return_inverse=True)
+        pair_keys, self.pair = np.unique(b1 * n + w, return_inverse=True)
+        triple_keys, self.triple = np.unique(self.restaurant3 * n + w, return_inverse=True)
+        # Figures of every pair and triple, also of those that only held-out events ask for: these have no customers.
+        self.restaurant2 = b1
+        self.c3 = np.bincount(self.triple[trained], minlength=len(triple_keys))
+        self.of3 = np.zeros(len(triple_keys), np.int64)
+        self.of3[self.triple] = self.restaurant3
+        self.pair_of = np.zeros(len(triple_keys), np.int64)
+        self.pair_of[self.triple] = self.pair
+        self.of2, self.word_of = pair_keys // n, pair_keys % n
+        self.customers3 = np.bincount(self.of3, self.c3, minlength=self.restaurant3.max() + 1).astype(np.int64)
+        self.has = np.flatnonzero(self.c3)
+
+    def sweeps(self, seed: tuple[int, ...], p1: np.ndarray, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """After each sweep the tables of pairs in the word before's restaurants, and the probability of each event."""
+        draw = np.random.default_rng([7, *seed])
+        n2, n3, n = len(self.of2), len(self.customers3), len(self.words)
+        t3 = np.minimum(self.c3, 1)
+        c2 = np.bincount(self.pair_of, t3, minlength=n2).astype(np.int64)
+        t2 = np.minimum(c2, 1)
+        d2, d3, s2, s3 = 0.7, 0.8, 1.0, 1.0
+        for _ in range(sweeps):
+            tables3 = np.bincount(self.of3, t3, minlength=n3)
+            customers2, tables2 = np.bincount(self.of2, c2, minlength=n), np.bincount(self.of2, t2, minlength=n)
+            p2 = self._below(c2, t2, d2, s2, customers2[self.of2], tables2[self.of2], p1[self.word_of])
+            t3 = t3.copy()
+            t3[self.has] = seat(self.c3[self.has], ((s3 + d3 * tables3[self.of3]) * p2[self.pair_of])[self.has], d3, draw)
+            c2 = np.bincount(self.pair_of, t3, minlength=n2).astype(np.int64)
+            t2 = seat(c2, (s2 + d2 * tables2[self.of2]) * p1[self.word_of], d2, draw)
+            tables3 = np.bincount(self.of3, t3, minlength=n3).astype(np.int64)
+            customers2, tables2 = (np.bincount(self.of2, x, minlength=n).astype(np.int64) for x in (c2, t2))
+            d3, s3 = resample(self.c3[self.has], t3[self.has], self.customers3, tables3, s3, draw)
+            d2, s2 = resample(c2[c2 > 0], t2[c2 > 0], customers2, tables2, s2, draw)
+            p2 = self._below(c2, t2, d2, s2, customers2[self.of2], tables2[self.of2], p1[self.word_of])
+            p3 = self._below(self.c3, t3, d3, s3, self.customers3[self.of3], tables3[self.of3], p2[self.pair_of])
+            yield t2, p3
+
+    @staticmethod
+    def _below(c: np.ndarray, t: np.ndarray, d: float, s: float, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        return (c - d * t + (s + d * tables) * parent) / (s + customers)
+
+
+def _ranges(words: np.ndarray, ranges: int) -> np.ndarray:
+    """Where the words of each of `ranges` equal parts of the hashes begin, and the end."""
+    return np.append(np.searchsorted(words, np.arange(ranges, dtype=np.uint64) * np.uint64(2 ** (8 * WORD_BYTES) // ranges)), len(words))
+
+
+_WORDS = "range long, bucket long, blob binary"
+
+
+def _tables(ranges: int, sweeps: int):
+    """For each range of words the bucket's words with their tables and training counts, after sweeps with the bucket's own counts as parent."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return pd.DataFrame({"range": [], "bucket": [], "blob": []})
+        b = Bucket(part.sort_values("block")["blob"].tolist())
+        seen = np.bincount(b.word_of[np.bincount(b.pair_of, b.c3, minlength=len(b.of2)) > 0], minlength=len(b.words))
+        for t2, _ in b.sweeps((0, key[0]), (seen + 0.5) / (seen + 0.5).sum(), sweeps):
+            pass
+        t1 = np.bincount(b.word_of, t2, minlength=len(b.words)).astype(np.int64)
+        use = np.flatnonzero(b.is_word)
+        cuts = _ranges(b.words[use], ranges)
+        rows = [(r, key[0], packed(_ascending(b.words[x]), t1[x], b.count[x])) for r in range(ranges) if len(x := use[cuts[r] : cuts[r + 1]])]
+        return pd.DataFrame(rows, columns=["range", "bucket", "blob"])
 
     return run
 
 
-def _over_buckets(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """The sums over all buckets, for each bucket those of its own contexts."""
-    contexts, at = np.unique(np.frombuffer(b"".join(part["contexts"]), np.uint64), return_inverse=True)
-    ends = np.cumsum([len(x) // 8 for x in part["contexts"]])[:-1]
-    out = {"bucket": part["bucket"], "range": part["range"]}
-    for name in ("c", "t"):
-        x = np.frombuffer(b"".join(part[name]), np.int64)
-        out[name] = [y.tobytes() for y in np.split(np.bincount(at, x, minlength=len(contexts)).astype(np.int64)[at], ends)] if len(x) else [b""] * len(part)
-    return pd.DataFrame(out)
-
-
-def train(buckets: DataFrame, bits: int, sweeps: int, strength: float = STRENGTH) -> tuple[Shared, DataFrame]:
-    """Discounts from the counts of counts, then the totals before each sweep, one pass over the buckets a sweep.
-
-    Returns the shared figures and, for each bucket, the customers of its contexts and their tables before each sweep."""
-    trained = stored(buckets.mapInArrow(_trained, _BUCKET), "lm-trained")
-    shared, of_bucket = None, None
-    for k in range(sweeps):
-        sums = stored((trained.join(of_bucket.hint("merge"), "bucket") if k else trained).mapInArrow(_sums(shared, bits), _SUMS), "lm-sums")
-        n, seen, one, two, customers, tables, one1, two1 = (x or 0 for x in sums.where("range < 0").agg(*(F.sum(F.col("figures")[i]) for i in range(8))).first())
-        if not k:
-            discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
-            shared = Shared(n, seen, discount(one, two), discount(one1, two1), strength)
-        shared.parents.append((customers, tables))
-        whole = sums.where("range >= 0").groupBy("range").applyInPandas(_over_buckets, "bucket long, range long, c binary, t binary")
-        whole = whole.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("range", "c", "t"))).alias("x")).select("bucket", F.col("x.c").alias("c"), F.col("x.t").alias("t"))  # ascending ranges, as the bucket's contexts
-        if not k:
-            whole = whole.select("bucket", F.col("c").alias("customers"), F.array("t").alias("history"))
-        else:
-            whole = of_bucket.join(whole.hint("merge"), "bucket").select("bucket", "customers", F.concat("history", F.array("t")).alias("history"))
-        of_bucket = stored(whole, "lm-contexts")
-    return shared, of_bucket
-
-
-_ANSWER = "block long, bucket long, logs binary, counts binary"
-
-
-def _answer(shared: Shared, burn_in: int):
-    """log10 of the averaged predictive probability of every pair asked for, and the training count of every word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b, names = _read(row)
-                model, contexts = shared.model(row), len(names)
-                word, kind = b.asked // contexts, b.asked % contexts
-                at = np.searchsorted(b.pair, b.asked)
-                at[at == len(b.pair)] = 0
-                found = b.pair[at] == b.asked if len(b.pair) else np.zeros(len(b.asked), bool)
-                total = np.zeros(len(b.asked))
-                for k, (t, c1, t1, totals) in enumerate(model.sweeps(b, row["bucket"], contexts)):
-                    if k >= burn_in:
-                        own = np.where(found, b.c[at] - model.d * t[at], 0.0) if len(b.pair) else 0.0
-                        back = (model.strength + model.d * totals.tables[kind]) * model.parent(totals, c1, t1)[word]
-                        total += (own + back) / (model.strength + model.customers[kind])
-                logs = np.log10(total / (len(model.history) - burn_in)).astype(np.float32)
-                counts = b.of_word[b.number]
-                ends, stops = np.cumsum(b.asked_sizes), np.cumsum(b.sizes)
-                n = len(row["blocks"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["blocks"], pa.int64()),
-                    pa.array([row["bucket"]] * n, pa.int64()),
-                    pa.array([logs[e - s : e].tobytes() for e, s in zip(ends, b.asked_sizes, strict=True)], pa.binary()),
-                    pa.array([counts[e - s : e].tobytes() for e, s in zip(stops, b.sizes, strict=True)], pa.binary()),
-                ], names=["block", "bucket", "logs", "counts"])
+_PARENT = "bucket long, range long, blob binary, customers long, tables long, vocabulary long, tokens long, discount double"
+
+
+def _parent(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    """Seats the restaurant over all words for a range of them: each bucket gets its words' customers, tables and training counts.
+
+    A new table's weight is that of one table a word, (strength + discount * V) / (V + 1): the discount, nearly."""
+    parts = [unpacked(b) for b in part["blob"]]
+    each = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+    words, at = np.unique(np.concatenate(each), return_inverse=True)
+    c = np.bincount(at, np.concatenate([p[1] for p in parts]).astype(np.float64), minlength=len(words)).astype(np.int64)
+    count = np.bincount(at, np.concatenate([p[2] for p in parts]).astype(np.float64), minlength=len(words)).astype(np.int64)
+    draw = np.random.default_rng([7, 1, key[0]])
+    d, t = 0.5, np.minimum(c, 1)
+    some = c > 0
+    for _ in range(FIRST + BURN_IN):
+        t[some] = seat(c[some], np.full(int(some.sum()), d), d, draw)
+        d, _ = resample(c[some], t[some], c[some].sum(keepdims=True), t[some].sum(keepdims=True), 1.0, draw)
+    ends = np.cumsum([len(w) for w in each])[:-1]
+    out = pd.DataFrame({"bucket": part["bucket"], "range": key[0], "blob": [packed(*x) for x in zip(*(np.split(v[at], ends) for v in (c, t, count)), strict=True)]})
+    for name, value in (("customers", c.sum()), ("tables", t.sum()), ("vocabulary", some.sum()), ("tokens", count.sum()), ("discount", d * t.sum())):
+        out[name] = [value] + [0] * (len(out) - 1)
+    return out
+
+
+_SUMS = "block long, bucket long, blob binary, scores binary, tokens long, vocabulary long"
+
+
+def _answers(burn_in: int, samples: int):
+    """Sums over the events of each document in a bucket: log10 probability, log10(count + 1) and known tokens."""
+
+    def run(key: tuple, part: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0 or not len(part):
+            return part.assign(scores=b"", tokens=0, vocabulary=0)
+        part = part.sort_values("block")
+        b = Bucket(part["blob"].tolist())
+        parent = parent.sort_values("range")
+        customers, tables, vocabulary, tokens, discount = (parent[f"all_{x}"].iloc[0] for x in ("customers", "tables", "vocabulary", "tokens", "discount"))
+        d = discount / max(tables, 1)
+        use = np.flatnonzero(b.is_word)
+        c1, t1, count = (np.zeros(len(b.words)) for _ in range(3))
+        for k, x in enumerate((c1, t1, count)):
+            x[use] = np.concatenate([unpacked(blob)[k] for blob in parent["blob"]]).astype(np.float64)
+        p1 = np.maximum(c1 - d * t1, 0) / (1.0 + customers) + (1.0 + d * tables) / (1.0 + customers) / (vocabulary + 1)
+        total = np.zeros(len(b.c3))
+        for k, (_, p) in enumerate(b.sweeps((2, key[0]), p1, burn_in + samples)):
+            if k >= burn_in:
+                total += p
+        logs = np.log10(total / samples)[b.triple]
+        base, known = np.log10(count + 1)[b.word], (count > 0)[b.word]
+        rows, at = [], 0
+        for block, docs in zip(part["block"], b.docs, strict=True):
+            x = slice(at, at + len(docs))
+            at += len(docs)
+            first = np.flatnonzero(np.diff(docs, prepend=-1))
+            add = lambda v, first=first, x=x: np.add.reduceat(v[x], first)
+            sums = np.stack([add(logs), add(base)]).astype(np.float64)
+            rows.append((block, key[0], packed(_ascending(docs[first]), add(known.astype(np.int64))), pa.compress(sums.tobytes(), "zstd", asbytes=True), tokens, vocabulary))
+        return pd.DataFrame(rows, columns=["block", "bucket", "blob", "scores", "tokens", "vocabulary"])
 
     return run
 
 
-_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def _score(n: int, vocabulary: int):
-    def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        answers = answers.sort_values("bucket")
-        logs = np.frombuffer(b"".join(answers["logs"]), np.float32).astype(np.float64)
-        counts = np.frombuffer(b"".join(answers["counts"]), np.int64)
-        for row in blocks.to_dict("records"):
-            b = Block(row)
-            pair = np.unique(b.keys)
-            first = np.concatenate(([0], np.cumsum(b.lengths)[:-1]))
-            c = counts[b.tokens]
-            add = lambda x, at=first: np.add.reduceat(x, at)
-            ids = pd.array(np.frombuffer(row["doc_ids"], np.int64), dtype="Int64").copy()
-            ids[np.frombuffer(row["nulls"], bool)] = pd.NA
-            parts.append(pd.DataFrame({"doc_id": ids, "held_out": b.held, "n_tokens": b.lengths, "n_known": add((c > 0).astype(np.int64)), "train_tokens": n, "base_score": add(np.log10((c + 1) / (n + vocabulary + 1))), "score": add(logs[np.searchsorted(pair, b.keys)])}))
-        return pd.concat(parts, ignore_index=True)
+def _score(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    whole = part["bucket"] < 0
+    ids, null, held, lengths = unpacked(part.loc[whole, "blob"].iloc[0])
+    score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+    rest = part[~whole].sort_values("bucket")
+    for blob, scores in zip(rest["blob"], rest["scores"], strict=True):
+        docs, k = unpacked(blob)
+        docs = np.cumsum(docs, dtype=np.uint64).astype(np.int64)
+        s = np.frombuffer(pa.decompress(scores, 16 * len(docs), "zstd", asbytes=True)).reshape(2, -1)
+        score[docs] += s[0]
+        base[docs] += s[1]
+        known[docs] += k.astype(np.int64)
+    n, v = int(rest["tokens"].max()), int(rest["vocabulary"].max())
+    lengths = lengths.astype(np.int64)
+    doc_id = pd.array(ids.view(np.int64), dtype="Int64").copy()
+    doc_id[null.astype(bool)] = pd.NA
+    return pd.DataFrame({"doc_id": doc_id, "held_out": held.astype(bool), "n_tokens": lengths, "n_known": known, "train_tokens": n, "base_score": base - lengths * math.log10(n + v + 1), "score": score, "perplexity": 10 ** np.minimum(-score / lengths, 300)})
 
-    return run
+
+def layout_of(slim: DataFrame) -> Layout:
+    """Buckets for about BUCKET_TOKENS tokens each (estimated from the bytes of the texts), and the parts of words before that hold
+    more than half as many; those words, at most four a bucket, go through the driver and to all tasks."""
+    size = slim.agg(F.sum(F.octet_length("text") / 6 + 1)).first()[0] or 1
+    buckets = math.ceil(size / BUCKET_TOKENS)
+    counts = slim.mapInArrow(_frequent(BUCKET_TOKENS / 8 / size), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    hot = {int(r["word"]): 2 * int(r["n"]) // BUCKET_TOKENS for r in counts.where(F.col("n") >= BUCKET_TOKENS).collect()}
+    return Layout(buckets, hot)
 
 
 def score(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10 probability) of every text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (log10 probability) and perplexity of every text."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = stored(slim.mapInArrow(_blocks, _BLOCK), "lm-blocks")
-    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    bits = max(4, int(np.ceil(np.log2(max(tokens / BUCKET_TOKENS, 1)))))
-    asked = blocks.select("block", "held", "lengths", "words", "tokens").mapInArrow(_ask(bits), _ASKED)
-    asked = asked.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("block", "words", "per_word", "kinds", "counts"))).alias("x"))  # the pairs of about BUCKET_TOKENS tokens
-    asked = asked.select("bucket", F.col("x.block").alias("blocks"), "x.words", "x.per_word", "x.kinds", "x.counts")
-    buckets = stored(asked.mapInArrow(_number, _BUCKET), "lm-buckets")
-    shared, of_bucket = train(buckets, bits, burn_in + samples)
-    answers = buckets.join(of_bucket.hint("merge"), "bucket").mapInArrow(_answer(shared, burn_in), _ANSWER)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(shared.n, shared.vocabulary), _SCORE)
+    spark = docs.sparkSession
+    layout = layout_of(slim)
+    tasks = max(layout.buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    events = slim.mapInArrow(_events(layout), _EVENTS).repartition(tasks, "bucket")
+    words = events.groupBy("bucket").applyInPandas(_tables(layout.buckets, FIRST), _WORDS)
+    parent = words.groupBy("range").applyInPandas(_parent, _PARENT)
+    figures = ("customers", "tables", "vocabulary", "tokens", "discount")
+    whole = parent.agg(*(F.sum(x).alias(f"all_{x}") for x in figures))  # one row
+    parent = parent.drop(*figures).crossJoin(F.broadcast(whole))
+    sums = events.groupBy("bucket").cogroup(parent.groupBy("bucket")).applyInPandas(_answers(burn_in, samples), _SUMS)
+    return sums.groupBy("block").applyInPandas(_score, _SCORE)
