@@ -3,14 +3,16 @@
 A conversation is legal if it is: at most one system turn, then user and assistant turns in alternation, the last one the
 assistant's. Dynamic programming over that automaton chooses, for each turn, to keep it, to relabel it, or to merge it into
 the turn before, and where to insert empty turns; the sum of costs is the least possible. What a turn may do depends on its
-role alone, so a run of turns is a 4 x 4 matrix in (min, +) arithmetic. Long conversations are cut into blocks by turn number:
-blocks become matrices side by side, a chain over the few matrices fixes the state at each block's ends, and the blocks are
-repaired side by side. No conversation is gathered in one task.
+role alone, so a run of turns is a 4 x 4 matrix in (min, +) arithmetic. Long conversations are cut into blocks by turn number;
+a block of more than MOST rows (rows without conv_id or turn, turns that repeat) is sorted over range partitions and cut by
+position into blocks of BLOCK rows at most. Blocks become matrices side by side, a chain over the matrices of a conversation
+fixes the state at each block's ends, and the blocks are repaired side by side. A task holds the texts of one block of at most
+MOST rows; of a conversation as a whole it holds one matrix for each block.
 
 The result has one row per input turn with the text it renders to; a conversation's rendering is its rows in order.
 Defined cases: roles are lower-cased and trimmed, a null or unknown role can only be relabelled (or merged); a null text is
 empty; turns are ordered by turn (null last), then role, then text, so repeated rows stay beside each other; rows without
-conv_id form one conversation; other columns are not read; an empty table gives an empty result.
+conv_id form one conversation; very long texts are kept whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 RELABEL, MERGE, MERGE_OTHER, INSERT = 3.0, 1.0, 4.0, 5.0
-BLOCK = 1024
+BLOCK, MOST = 1024, 4096
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Inserting empty turns between states: (from, to) -> the inserted states, at most two.
 _FILL = {(a, a): () for a in range(4)}
@@ -107,13 +110,13 @@ def _chunks(rows: Iterator[tuple], names: list[str], most: int = 5000) -> Iterat
 
 def _products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[tuple]:
-        for (conv, block), run in _groups(parts, ["conv", "block"]):
+        for (conv, block, part), run in _groups(parts, ["conv", "block", "part"]):
             m = _MATRIX[run["code"][0]]
             for code in run["code"][1:]:
                 m = (m[:, :, None] + _MATRIX[code][None]).min(axis=1)
-            yield conv, block, m.ravel().tolist()
+            yield conv, block, part, m.ravel().tolist()
 
-    yield from _chunks(rows(), ["conv", "block", "m"])
+    yield from _chunks(rows(), ["conv", "block", "part", "m"])
 
 
 def _ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,10 +133,10 @@ def _ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 state = int(np.argmin(cost + m[:, state]))
                 ends.append(state)
             ends.reverse()
-            for k, block in enumerate(run["block"]):
-                yield conv, block, ends[k], ends[k + 1], k == len(ms) - 1, float(final.min())
+            for k, (block, part) in enumerate(zip(run["block"], run["part"], strict=True)):
+                yield conv, block, part, ends[k], ends[k + 1], k == len(ms) - 1, float(final.min())
 
-    yield from _chunks(rows(), ["conv", "block", "enters", "leaves", "is_last", "total_cost"])
+    yield from _chunks(rows(), ["conv", "block", "part", "enters", "leaves", "is_last", "total_cost"])
 
 
 def _path(codes: list[int], enters: int, leaves: int) -> list[tuple]:
@@ -156,12 +159,12 @@ def _path(codes: list[int], enters: int, leaves: int) -> list[tuple]:
     return out[::-1]
 
 
-_OUT = "conv long, turn long, role string, new_role string, action string, inserted string, rendered string, cost double, total_cost double, block long, place long"
+_OUT = "conv long, turn long, role string, new_role string, action string, inserted string, rendered string, cost double, total_cost double, block long, part long, place long"
 
 
 def _repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[tuple]:
-        for (conv, block), run in _groups(parts, ["conv", "block"]):
+        for (conv, block, part), run in _groups(parts, ["conv", "block", "part"]):
             path = _path(run["code"], run["enters"][0], run["leaves"][0])
             texts, turns, roles = run["text"], run["turn"], run["role"]
             for k, (a, b, cost, action, filled) in enumerate(path):
@@ -180,28 +183,65 @@ def _repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         body += f"{OPEN}{ROLES[s - 1]}\n{CLOSE}"
                     added += list(_END[at][1])
                     cost += _END[at][0]
-                yield conv, turns[k], roles[k], ROLES[at - 1], action, ",".join(ROLES[s - 1] for s in added), body, cost, run["total_cost"][0], block, k
+                yield conv, turns[k], roles[k], ROLES[at - 1], action, ",".join(ROLES[s - 1] for s in added), body, cost, run["total_cost"][0], block, part, k
 
     yield from _chunks(rows(), [c.split()[0] for c in _OUT.split(", ")], 1000)
 
 
-def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+_ROW = "conv long, turn long, role string, text string, code int, block long, part long"
+
+
+def _cut(most: int):
+    """Numbers the rows of each block in a sorted range partition: a new part every `most` rows; parts ascend with the partitions."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seen, number = None, 0, (TaskContext.get().partitionId() + 1) << 32
+        for rows in parts:
+            out = np.empty(len(rows), np.int64)
+            for k, key in enumerate(zip(rows["conv"], rows["block"], strict=True)):
+                if key != last or seen == most:
+                    last, seen, number = key, 0, number + 1
+                seen += 1
+                out[k] = number
+            rows["part"] = out
+            yield rows
+
+    return run
+
+
+def _in_blocks(x: DataFrame, block: int, most: int) -> DataFrame:
+    """x with `part`: 0 where a block is small enough, else its parts in order."""
+    sizes = stored(x.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("conv", "block"), "chat-large")  # each stands for more than `most` rows
+    if sizes.isEmpty():
+        return x.withColumn("part", F.lit(0).cast("long"))
+    # A number of its own parts rows that are alike in all, so that a range can end among them.
+    order = ["conv", "block", F.col("turn").asc_nulls_last(), "role", "text", "tie"]
+    large = x.join(sizes, ["conv", "block"], "left_semi").withColumn("tie", F.monotonically_increasing_id())
+    large = large.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.lit(0).cast("long")).select("conv", "turn", "role", "text", "code", "block", "part")
+    large = stored(large.withColumn("turn", F.coalesce("turn", F.lit(_NONE))).mapInPandas(_cut(block), _ROW), "chat-parts").withColumn("turn", F.when(F.col("turn") != _NONE, F.col("turn")))
+    return x.join(sizes, ["conv", "block"], "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(large)
+
+
+_NONE = -(1 << 62)  # stands for a null conv_id or turn
+
+
+def repair(turns: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """One row per turn: its role after repair, the action, roles of empty turns inserted around it, the text it renders to,
-    its cost and its conversation's."""
+    its cost and its conversation's; block, part and place give its order in the conversation."""
     role = F.trim(F.lower(F.col("role").cast("string")))
     code = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), role), F.lit(0)).cast("int")
-    none = -(1 << 62)  # stands for a null conv_id
     last = (1 << 62) - 1
     t = F.col("turn").cast("long")
-    x = turns.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(none)).alias("conv"), t.alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), code.alias("code"), F.coalesce(F.floor(t / block), F.lit(last)).cast("long").alias("block"))
-    order = ["conv", "block", F.col("turn").asc_nulls_last(), "role", "text"]
+    x = turns.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(_NONE)).alias("conv"), t.alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), code.alias("code"), F.coalesce(F.floor(t / block), F.lit(last)).cast("long").alias("block"))
+    x = _in_blocks(x, block, most)
+    keys = ["conv", "block", "part"]
     # Products need the order of the roles alone: the texts stay where they are; equal turns are ordered by role, as below.
-    slim = x.select("conv", "block", "turn", "role", "code").repartition("conv", "block").sortWithinPartitions("conv", "block", F.col("turn").asc_nulls_last(), "role")
-    products = slim.select("conv", "block", "code").mapInPandas(_products, "conv long, block long, m array<double>")
-    ends = products.repartition("conv").sortWithinPartitions("conv", "block").mapInPandas(_ends, "conv long, block long, enters int, leaves int, is_last boolean, total_cost double")
+    slim = x.select(*keys, "turn", "role", "code").repartition(*keys).sortWithinPartitions(*keys, F.col("turn").asc_nulls_last(), "role")
+    products = slim.select(*keys, "code").mapInPandas(_products, "conv long, block long, part long, m array<double>")
+    ends = products.repartition("conv").sortWithinPartitions(*keys).mapInPandas(_ends, "conv long, block long, part long, enters int, leaves int, is_last boolean, total_cost double")
     ends = stored(ends, "chat-ends")
     # Dealt out before the join: whatever join Spark picks, a block stays in one task.
-    joined = x.repartition("conv", "block").join(ends, ["conv", "block"]).sortWithinPartitions(*order)
-    out = joined.select("conv", "block", F.coalesce("turn", F.lit(none)).alias("turn"), "role", "text", "code", "enters", "leaves", "is_last", "total_cost").mapInPandas(_repair, _OUT)
-    back = lambda c: F.when(F.col(c) != none, F.col(c))
-    return out.select(back("conv").alias("conv_id"), back("turn").alias("turn"), "role", "new_role", "action", "inserted", "rendered", "cost", "total_cost", "block", "place")
+    joined = x.repartition(*keys).join(ends, keys).sortWithinPartitions(*keys, F.col("turn").asc_nulls_last(), "role", "text")
+    out = joined.select(*keys, F.coalesce("turn", F.lit(_NONE)).alias("turn"), "role", "text", "code", "enters", "leaves", "is_last", "total_cost").mapInPandas(_repair, _OUT)
+    back = lambda c: F.when(F.col(c) != _NONE, F.col(c))
+    return out.select(back("conv").alias("conv_id"), back("turn").alias("turn"), "role", "new_role", "action", "inserted", "rendered", "cost", "total_cost", "block", "part", "place")

@@ -417,8 +417,8 @@ def brute_repair_cost(codes):
     return min(v + chat._END[s][0] for s, v in cost.items())
 
 
-@pytest.mark.parametrize("block", [3, 1024])
-def test_chat_repair_is_cheapest_and_legal(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(3, 2), (3, 4096), (1024, 4096)])
+def test_chat_repair_is_cheapest_and_legal(spark, block, most):
     r = random.Random(3)
     roles = ["user", "assistant", "system", " User", "tool", None]
     rows = []
@@ -428,12 +428,12 @@ def test_chat_repair_is_cheapest_and_legal(spark, block):
     rows.append(rows[0])
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block int").withColumn("code", F.lit("clash"))
     got = {}
-    for x in chat.repair(table, block).collect():
+    for x in chat.repair(table, block, most).collect():
         got.setdefault(x.conv_id, []).append(x)
     assert sum(map(len, got.values())) == len(rows)
     code = {"system": 1, "user": 2, "assistant": 3}
     for own in got.values():
-        own.sort(key=lambda x: (x.block, x.place))
+        own.sort(key=lambda x: (x.block, x.part, x.place))
         codes = [code.get((x.role or "").strip().lower(), 0) for x in own]
         assert abs(sum(x.cost for x in own) - brute_repair_cost(codes)) < 1e-9 and abs(own[0].total_cost - brute_repair_cost(codes)) < 1e-9
         rendered = "".join(x.rendered for x in own)
@@ -444,6 +444,19 @@ def test_chat_repair_is_cheapest_and_legal(spark, block):
         assert heads == ["user", "assistant"] * (len(heads) // 2) and heads
 
 
+def test_chat_rows_without_conversation_are_no_single_block(spark):
+    """100,000 rows without conv_id, most of them alike: blocks stay small, the cost is still the least."""
+    rows = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS conv_id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 8 END AS turn", "IF(id % 5 = 0, 'assistant', 'user') AS role", "IF(id % 2 = 0, 'alike', CAST(id AS STRING)) AS text")
+    got = chat.repair(rows)
+    sizes = got.groupBy("block", "part").count().toPandas()
+    assert sizes["count"].sum() == 100_000 and sizes["count"].max() <= chat.MOST
+    order = rows.selectExpr("turn", "role").toPandas()
+    order["last"] = order["turn"].isna()
+    codes = [{"user": 2, "assistant": 3}[r] for r in order.sort_values(["last", "turn", "role"])["role"]]
+    total = got.agg({"cost": "sum"}).first()[0]
+    assert abs(total - brute_repair_cost(codes)) < 1e-6 and abs(got.first().total_cost - total) < 1e-6
+
+
 def test_empty_tables_give_empty_results(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
     assert neardup.deduplicated(empty).count() == 0
