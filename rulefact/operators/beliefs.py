@@ -39,9 +39,9 @@ def clamped(logits: Column, mode: Column) -> Column:
 def cluster_nodes(entities: DataFrame, states: DataFrame, schemas: DataFrame) -> DataFrame:
     """A node for each entity of a cluster's type and for each state; a state gives the logits, else zeros."""
     s = schemas.select("cluster", "entity_type", F.size("domain").alias("dim"))
-    by_type = entities.join(F.broadcast(s), "entity_type").select("case_id", "cluster", "entity_id")
+    by_type = entities.join(s, "entity_type").select("case_id", "cluster", "entity_id")
     ids = by_type.unionByName(states.select("case_id", "cluster", "entity_id")).distinct()
-    x = ids.join(states, ["case_id", "cluster", "entity_id"], "left").join(F.broadcast(s.select("cluster", "dim")), "cluster")
+    x = ids.join(states, ["case_id", "cluster", "entity_id"], "left").join(s.select("cluster", "dim"), "cluster")
     is_hard = F.coalesce(F.col("clamp_hard"), F.lit(False))
     logits = fitted(F.col("logits"), F.col("dim"))
     return x.select("case_id", F.concat(F.lit("c_"), "cluster").alias("node_type"), F.col("entity_id").alias("node_id"), F.when(is_hard, clamped(logits, F.lit("hard"))).otherwise(logits).alias("logits"), is_hard.alias("frozen"))
@@ -64,12 +64,12 @@ def implication_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Between two cluster nodes of one entity, for each (src_type, dst_type) of a learned rule, once."""
     a = nodes.select("case_id", F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"))
     b = nodes.select("case_id", F.col("node_type").alias("dst_type"), F.col("node_id").alias("src_id"))
-    return a.join(F.broadcast(pairs.distinct()), "src_type").join(b, ["case_id", "src_id", "dst_type"]).select("case_id", "src_type", "src_id", F.lit("implies").alias("relation"), "dst_type", F.col("src_id").alias("dst_id")).distinct()
+    return a.join(pairs.distinct(), "src_type").join(b, ["case_id", "src_id", "dst_type"]).select("case_id", "src_type", "src_id", F.lit("implies").alias("relation"), "dst_type", F.col("src_id").alias("dst_id")).distinct()
 
 
 def support_edges(rules: DataFrame, args: DataFrame) -> DataFrame:
     """fact -> cluster node under supports:<pred>:<ROLE>: rules(predicate, role, cluster), args(case_id, fact_id, predicate, role, entity_id)."""
-    x = args.join(F.broadcast(rules), ["predicate", "role"])
+    x = args.join(rules, ["predicate", "role"])
     relation = F.concat(F.lit("supports:"), F.lower("predicate"), F.lit(":"), F.upper("role"))
     return x.select("case_id", F.lit("fact").alias("src_type"), F.col("fact_id").alias("src_id"), relation.alias("relation"), F.concat(F.lit("c_"), "cluster").alias("dst_type"), F.col("entity_id").alias("dst_id")).distinct()
 
@@ -78,7 +78,7 @@ def with_memory(nodes: DataFrame, slots: DataFrame, schemas: DataFrame) -> DataF
     """Free cluster nodes whose entity remembers a value of the domain: 3 * confidence is added there; slots are the best ones."""
     s = schemas.select(F.concat(F.lit("c_"), "cluster").alias("node_type"), F.col("cluster").alias("slot_name"), "domain")
     m = slots.select(F.col("entity_id").alias("node_id"), "slot_name", "value", F.coalesce("confidence", F.lit(1.0)).alias("__confidence"))
-    x = nodes.join(F.broadcast(s), "node_type", "left").join(m, ["node_id", "slot_name"], "left")
+    x = nodes.join(s, "node_type", "left").join(m, ["node_id", "slot_name"], "left")
     at = F.array_position("domain", F.col("value")) - 1
     biased = F.transform("logits", lambda v, k: F.when(k == at, v + SOFT * F.col("__confidence")).otherwise(v))
     return x.withColumn("logits", F.when(~F.col("frozen") & (at >= 0), biased).otherwise(F.col("logits"))).select(*nodes.columns)
@@ -93,7 +93,7 @@ def edge_messages(nodes: DataFrame, edges: DataFrame, weights: DataFrame) -> Dat
     """case_id, src, relation, dst, j, delta: what each edge sends to each value of its destination."""
     p = nodes.select("case_id", F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"), F.posexplode(softmax(F.col("logits"))).alias("i", "p"))
     w = weights.withColumn("w", F.coalesce("w_pos", F.lit(0.0)) - F.coalesce(softplus(F.col("w_neg_raw")), F.lit(0.0)))
-    x = edges.join(p, ["case_id", "src_type", "src_id"]).join(F.broadcast(w.drop("w_pos", "w_neg_raw")), ["src_type", "relation", "dst_type", "i"])
+    x = edges.join(p, ["case_id", "src_type", "src_id"]).join(w.drop("w_pos", "w_neg_raw"), ["src_type", "relation", "dst_type", "i"])
     return x.groupBy("case_id", "src_type", "src_id", "relation", "dst_type", "dst_id", "j").agg(F.sum(F.col("p") * F.col("w")).alias("delta"))
 
 
@@ -103,7 +103,7 @@ def gate_factors(nodes: DataFrame, gates: DataFrame, edges: DataFrame) -> DataFr
     A destination takes the mean over the exception nodes it has a role edge to, else those of its own entity, else all of its case.
     """
     p = nodes.select("case_id", F.col("node_type").alias("exc_type"), F.col("node_id").alias("exc_id"), F.posexplode(softmax(F.col("logits"))).alias("i", "p"))
-    score = p.join(F.broadcast(gates), ["exc_type", "i"]).groupBy("case_id", "exc_type", "exc_id", "dst_type").agg(sigmoid(F.sum(F.col("p") * F.col("u"))).alias("s"))
+    score = p.join(gates, ["exc_type", "i"]).groupBy("case_id", "exc_type", "exc_id", "dst_type").agg(sigmoid(F.sum(F.col("p") * F.col("u"))).alias("s"))
     dst = nodes.select("case_id", F.col("node_type").alias("dst_type"), F.col("node_id").alias("dst_id"))
     by_role = edges.where("relation = 'role_of'").select("case_id", F.col("src_type").alias("dst_type"), F.col("src_id").alias("dst_id"), F.col("dst_type").alias("exc_type"), F.col("dst_id").alias("exc_id")).join(score, ["case_id", "exc_type", "exc_id", "dst_type"]).groupBy("case_id", "dst_type", "dst_id").agg(F.avg("s").alias("by_role"))
     own = score.select("case_id", "dst_type", F.col("exc_id").alias("dst_id"), "s").groupBy("case_id", "dst_type", "dst_id").agg(F.avg("s").alias("own"))
@@ -121,7 +121,7 @@ def step(nodes: DataFrame, messages: DataFrame, bias: DataFrame | None = None, g
         delta = delta.join(gates, NODE, "left").withColumn("d", F.col("d") * F.coalesce("gate", F.lit(1.0))).drop("gate")
     if bias is not None:
         touched = delta.select("case_id", "node_type").distinct()
-        b = nodes.select(*NODE).join(touched, ["case_id", "node_type"], "left_semi").join(F.broadcast(bias), "node_type").select(*NODE, "j", F.col("b").alias("d"))
+        b = nodes.select(*NODE).join(touched, ["case_id", "node_type"], "left_semi").join(bias, "node_type").select(*NODE, "j", F.col("b").alias("d"))
         delta = delta.unionByName(b).groupBy(*NODE, "j").agg(F.sum("d").alias("d"))
     packed = delta.groupBy(*NODE).agg(F.map_from_entries(F.collect_list(F.struct("j", "d"))).alias("m"))
     x = nodes.join(packed, NODE, "left")

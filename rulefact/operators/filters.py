@@ -46,8 +46,8 @@ def is_decided(logits: Column, clamped: Column, lead: float = 1.0) -> Column:
 def complete_facts(args: DataFrame, roles: DataFrame) -> DataFrame:
     """fact_id, predicate, filled: facts of known predicates whose every role has an argument."""
     arity = roles.groupBy("predicate").agg(F.count(F.lit(1)).alias("arity"))
-    found = args.join(F.broadcast(roles), ["predicate", "role"]).groupBy("fact_id", "predicate").agg(F.countDistinct("role").alias("filled"))
-    return found.join(F.broadcast(arity), "predicate").where("filled = arity")
+    found = args.join(roles, ["predicate", "role"]).groupBy("fact_id", "predicate").agg(F.countDistinct("role").alias("filled"))
+    return found.join(arity, "predicate").where("filled = arity")
 
 
 def is_visible(predicate: Column) -> Column:
@@ -57,7 +57,7 @@ def is_visible(predicate: Column) -> Column:
 def in_domain(states: DataFrame, schemas: DataFrame, value: str) -> DataFrame:
     """States of known clusters whose value lies in the cluster's domain."""
     allowed = schemas.select("cluster", F.explode("domain").alias(value))
-    return states.join(F.broadcast(allowed), ["cluster", value], "left_semi")
+    return states.join(allowed, ["cluster", value], "left_semi")
 
 
 def rounds(labels: DataFrame, explicit: list[str], promoted_only: bool) -> DataFrame:

@@ -33,7 +33,7 @@ def pair_penalties(states: DataFrame, pairs: DataFrame) -> DataFrame:
     states(case_id, entity_id, cluster, logits); pairs(kind, cluster_a, i, cluster_b, j).
     """
     p = states.select("case_id", "entity_id", "cluster", softmax(F.col("logits")).alias("p"))
-    a = p.join(F.broadcast(pairs), F.col("cluster") == F.col("cluster_a")).select("case_id", "entity_id", "kind", "cluster_a", "i", "cluster_b", "j", F.get("p", F.col("i")).alias("pa"))
+    a = p.join(pairs, F.col("cluster") == F.col("cluster_a")).select("case_id", "entity_id", "kind", "cluster_a", "i", "cluster_b", "j", F.get("p", F.col("i")).alias("pa"))
     b = p.select("case_id", "entity_id", F.col("cluster").alias("cluster_b"), F.col("p").alias("q"))
     x = a.join(b, ["case_id", "entity_id", "cluster_b"]).withColumn("pb", F.get("q", F.col("j")))
     value = F.when(F.col("kind") == "implies", F.greatest(F.col("pa") - F.col("pb"), F.lit(0.0))).otherwise(F.col("pa") * F.col("pb"))
@@ -87,7 +87,7 @@ def extracted_rules(weights: DataFrame, domains: DataFrame, k: int = 1, least: f
     w = weights.where(F.col("weight") >= least).where("src_type <> 'fact' OR i = 0")
     order = Window.partitionBy("src_type", "relation", "dst_type", "i").orderBy(F.desc("weight"), "j")
     w = w.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    d = lambda side, at, name: F.broadcast(domains.select(F.col("node_type").alias(side), F.col("position").alias(at), F.col("value").alias(name)))
+    d = lambda side, at, name: domains.select(F.col("node_type").alias(side), F.col("position").alias(at), F.col("value").alias(name))
     x = w.join(d("dst_type", "j", "b"), ["dst_type", "j"]).join(d("src_type", "i", "a"), ["src_type", "i"], "left")
     name = lambda c: F.regexp_replace(c, "^c_", "")
     head = F.concat(name("dst_type"), F.lit("(E,"), F.lower("b"), F.lit(")"))

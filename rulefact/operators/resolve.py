@@ -38,7 +38,7 @@ def aligned(args: DataFrame, roles: DataFrame, implicit: dict[str, str]) -> Data
     args(case_id, fact_id, predicate, role, value); roles(predicate, position, role).
     """
     facts = args.select("case_id", "fact_id", "predicate").distinct()
-    want = facts.join(F.broadcast(roles), "predicate")
+    want = facts.join(roles, "predicate")
     fill = F.coalesce(*(F.when(F.col("role") == r, F.lit(v)) for r, v in implicit.items()), F.lit(None).cast("string"))
     got = want.join(args.select("case_id", "fact_id", "role", "value"), ["case_id", "fact_id", "role"], "left").withColumn("value", F.coalesce("value", fill))
     whole = got.groupBy("case_id", "fact_id", "predicate").agg(F.array_sort(F.collect_list(F.struct("position", "role", "value"))).alias("x"), F.count_if(F.col("value").isNull()).alias("missing")).where("missing = 0")
@@ -59,12 +59,12 @@ def known_only(states: DataFrame, entities: DataFrame) -> DataFrame:
 def conflicts(states: DataFrame, args: DataFrame, roles: DataFrame, entities: DataFrame) -> DataFrame:
     """case_id, kind, subject of six checks: values (several of one cluster), optional_args (one fact told twice with other
     arguments), unknown_predicate, unknown_role, undeclared_entity, bad_date."""
-    known = F.broadcast(roles.select("predicate").distinct())
+    known = roles.select("predicate").distinct()
     several = states.groupBy("case_id", F.concat_ws("/", F.col("entity_id").cast("string"), "cluster").alias("subject")).agg(F.count_distinct("value").alias("n")).where("n > 1").select("case_id", F.lit("values").alias("kind"), "subject")
     shape = args.groupBy("case_id", "fact_id", "predicate").agg(F.min(F.when(F.col("position") == 0, F.col("entity_id"))).alias("first"), F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws("=", "role", "entity_id")))).alias("all"))
     told = shape.groupBy("case_id", F.concat_ws("/", "predicate", "first").alias("subject")).agg(F.count_distinct("all").alias("n")).where("n > 1").select("case_id", F.lit("optional_args").alias("kind"), "subject")
     predicate = args.join(known, "predicate", "left_anti").select("case_id", F.lit("unknown_predicate").alias("kind"), F.col("predicate").alias("subject")).distinct()
-    role = args.join(known, "predicate", "left_semi").join(F.broadcast(roles.select("predicate", "role").distinct()), ["predicate", "role"], "left_anti").select("case_id", F.lit("unknown_role").alias("kind"), F.concat_ws("/", "predicate", "role").alias("subject")).distinct()
+    role = args.join(known, "predicate", "left_semi").join(roles.select("predicate", "role").distinct(), ["predicate", "role"], "left_anti").select("case_id", F.lit("unknown_role").alias("kind"), F.concat_ws("/", "predicate", "role").alias("subject")).distinct()
     is_date = F.col("role") == "DATE"
     undeclared = args.where(~is_date).join(entities.select("case_id", "entity_id"), ["case_id", "entity_id"], "left_anti").select("case_id", F.lit("undeclared_entity").alias("kind"), F.col("entity_id").alias("subject")).distinct()
     date = args.where(is_date & ~F.col("entity_id").rlike(r"^d_\d{4}_\d{2}_\d{2}$")).select("case_id", F.lit("bad_date").alias("kind"), F.col("entity_id").alias("subject")).distinct()
@@ -83,8 +83,8 @@ def rule_problems(literals: DataFrame, roles: DataFrame) -> DataFrame:
     arity = roles.groupBy("predicate").agg(F.count(F.lit(1)).alias("arity"))
     head = literals.where("is_head")
     none = literals.select("rule_id").distinct().join(head, "rule_id", "left_anti").select("rule_id", F.lit("no_head").alias("problem"))
-    undefined = head.join(F.broadcast(arity), "predicate", "left_anti").select("rule_id", F.lit("undefined_head").alias("problem"))
-    wrong = literals.join(F.broadcast(arity), "predicate").where(F.size("vars") != F.col("arity")).select("rule_id", F.lit("arity").alias("problem")).distinct()
+    undefined = head.join(arity, "predicate", "left_anti").select("rule_id", F.lit("undefined_head").alias("problem"))
+    wrong = literals.join(arity, "predicate").where(F.size("vars") != F.col("arity")).select("rule_id", F.lit("arity").alias("problem")).distinct()
     bound = literals.where("NOT is_head AND NOT negated").groupBy("rule_id").agg(F.array_distinct(F.flatten(F.collect_list("vars"))).alias("bound"))
     unsafe = head.join(bound, "rule_id", "left").where(F.size(F.array_except("vars", F.coalesce("bound", F.array().cast("array<string>")))) > 0).select("rule_id", F.lit("unsafe_head_variable").alias("problem"))
     return none.unionByName(undefined).unionByName(wrong).unionByName(unsafe)
@@ -93,7 +93,7 @@ def rule_problems(literals: DataFrame, roles: DataFrame) -> DataFrame:
 def checked_queries(drafts: DataFrame, roles: DataFrame, most: int) -> DataFrame:
     """Drafted queries(case_id, ord, predicate, n_args, query) of known predicates and right arity, once, at most `most` a case."""
     arity = roles.groupBy("predicate").agg(F.count(F.lit(1)).alias("n_args"))
-    ok = first_wins(drafts.join(F.broadcast(arity), ["predicate", "n_args"], "left_semi"), ["case_id", "query"], ["ord"])
+    ok = first_wins(drafts.join(arity, ["predicate", "n_args"], "left_semi"), ["case_id", "query"], ["ord"])
     return top(ok, ["case_id"], [F.col("ord")], most, rank="place")
 
 

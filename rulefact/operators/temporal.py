@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CASE = "case_id"
@@ -99,10 +99,20 @@ def paid_in_time(orders: DataFrame, payments: DataFrame, days: int = 2) -> DataF
 
 
 def meets_minimum(amounts: DataFrame, minima: DataFrame) -> DataFrame:
-    """case_id, COUPON, ORDER: order amounts that reach a coupon's minimum, within a case."""
+    """case_id, COUPON, ORDER: order amounts that reach a coupon's minimum, within a case. The result itself is a product of the
+    orders and coupons of a case; where counts are enough, use reached()."""
     return amounts.join(minima, CASE).where("AMOUNT >= MINIMUM").select(CASE, "COUPON", "ORDER")
 
 
+def reached(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left(key, id, value) with n: the rows of right(key, value) of the same key with left.value >= right.value. Rows of a key are
+    counted in one pass in order of value, so no pairs are made; on either side, rows may repeat."""
+    lefts = left.select(key, "id", "value", F.lit(1).alias("is_left"))
+    rights = right.select(key, F.lit(None).cast(left.schema["id"].dataType).alias("id"), "value", F.lit(0).alias("is_left"))
+    up = Window.partitionBy(key).orderBy("value", "is_left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lefts.unionByName(rights).withColumn("n", F.sum(1 - F.col("is_left")).over(up)).where("is_left = 1").select(key, "id", "value", "n")
+
+
 def not_expired(applied: DataFrame) -> DataFrame:
     """Every applied coupon counts as valid; an expiry date is for a rule of the user's to check."""
     return applied.select(CASE, "COUPON").distinct()

@@ -79,13 +79,14 @@ def f15_stable_listing(t: Tables):
 
 
 _RULE_ROWS = """WITH h AS (SELECT p_partkey AS id, p_brand AS head, p_size % 4 AS s, p_type AS dep, p_partkey % 3 = 0 AS neg FROM part), one AS (SELECT head, count(DISTINCT s) AS n, min(s) AS s FROM h GROUP BY 1),
-d AS (SELECT h.id, h.s, h.neg, o.s AS ds FROM h JOIN h t ON t.id = (h.id * 7) % 200 + 1 JOIN one o ON o.head = t.head)"""
+d AS (SELECT h.id, h.s, h.neg, o.s AS ds FROM h JOIN h t ON t.id = (h.id * 7) % (SELECT max(p_partkey) FROM part) + 1 JOIN one o ON o.head = t.head)"""
 
 
 @query(_RULE_ROWS + " SELECT id AS rule_id, 'several_strata' AS problem FROM h JOIN one USING (head) WHERE n > 1 UNION ALL SELECT id, 'negated_not_below' FROM d WHERE neg AND ds >= s UNION ALL SELECT id, 'body_above' FROM d WHERE NOT neg AND ds > s")
 def i1_stratification_table(t: Tables):
     """Rule rows made of parts: the head is the brand, the body another part's brand, a third is negated."""
-    h = t.part.select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("head"), (F.col("p_size") % 4).alias("stratum"), (F.col("p_partkey") % 3 == 0).alias("negated"), ((F.col("p_partkey") * 7) % 200 + 1).alias("other"))
+    last = t.part.agg(F.max("p_partkey")).first()[0] or 1
+    h = t.part.select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("head"), (F.col("p_size") % 4).alias("stratum"), (F.col("p_partkey") % 3 == 0).alias("negated"), ((F.col("p_partkey") * 7) % last + 1).alias("other"))
     body = h.join(t.part.select(F.col("p_partkey").alias("other"), F.col("p_brand").alias("predicate")), "other").select("rule_id", "negated", "predicate")
     return V.stratification_problems(h.select("rule_id", F.col("head").alias("predicate"), "stratum"), body)
 
@@ -98,20 +99,24 @@ def j11_constraint_registry(t: Tables):
     return c.join(known, "predicate", "left").select("name", F.coalesce("bound", F.lit(False)).alias("bound"))
 
 
-@query("SELECT a.c_nationkey AS case_id, 'c_' || lower(a.c_mktsegment) AS src_type, 'c_' || lower(b.c_mktsegment) AS dst_type, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey = b.c_custkey GROUP BY ALL")
+@query("""WITH x AS (SELECT c_nationkey AS case_id, 'segment_' || lower(c_mktsegment) AS node_type, c_custkey AS id FROM customer UNION ALL SELECT c_nationkey, 'nation_' || c_nationkey, c_custkey FROM customer
+UNION ALL SELECT DISTINCT c_nationkey, 'priority_' || lower(o_orderpriority), c_custkey FROM customer JOIN orders ON o_custkey = c_custkey)
+SELECT a.case_id, a.node_type AS src_type, b.node_type AS dst_type, count(*) AS n FROM x a JOIN x b ON a.case_id = b.case_id AND a.id = b.id GROUP BY ALL""")
 def k6_template_edges(t: Tables):
-    """All cluster pairs of an entity, before any rule is learned."""
-    x = t.customer.select(F.col("c_nationkey").alias("case_id"), F.concat(F.lit("c_"), F.lower("c_mktsegment")).alias("node_type"), F.col("c_custkey").alias("node_id"))
-    types = x.select("node_type").distinct()
-    pairs = types.select(F.col("node_type").alias("src_type")).crossJoin(F.broadcast(types.select(F.col("node_type").alias("dst_type"))))
+    """All cluster pairs of an entity, before any rule is learned: customers have a segment, a nation and the priorities of their orders."""
+    named = lambda kind, c: F.concat(F.lit(f"{kind}_"), F.lower(F.col(c).cast("string"))).alias("node_type")
+    case, node = F.col("c_nationkey").alias("case_id"), F.col("c_custkey").alias("node_id")
+    priority = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey")).select(case, named("priority", "o_orderpriority"), node).distinct()
+    x = t.customer.select(case, named("segment", "c_mktsegment"), node).unionByName(t.customer.select(case, named("nation", "c_nationkey"), node)).unionByName(priority)
+    pairs = x.select("node_id", F.col("node_type").alias("src_type")).join(x.select("node_id", F.col("node_type").alias("dst_type")), "node_id").select("src_type", "dst_type").distinct()
     return B.implication_edges(pairs, x).groupBy("case_id", "src_type", "dst_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT a.p_brand AS rule_head, b.p_type AS exception FROM part a JOIN part b ON a.p_size = b.p_size WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 5 = 0")
+@query("SELECT DISTINCT a.p_brand AS rule_head, b.p_type AS exception FROM part a JOIN part b ON a.p_size = b.p_size")
 def k11_exception_gates(t: Tables):
     """Rules that negate an exception predicate, joined to the rules that derive it."""
-    uses = t.part.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("rule_head"), F.col("p_size").alias("predicate"))
-    gives = t.part.where("p_partkey % 5 = 0").select(F.col("p_type").alias("exception"), F.col("p_size").alias("predicate"))
+    uses = t.part.select(F.col("p_brand").alias("rule_head"), F.col("p_size").alias("predicate")).distinct()
+    gives = t.part.select(F.col("p_type").alias("exception"), F.col("p_size").alias("predicate")).distinct()
     return uses.join(gives, "predicate").select("rule_head", "exception").distinct()
 
 

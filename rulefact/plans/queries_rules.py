@@ -197,19 +197,19 @@ def j8_paid_in_time(t: Tables):
     return temporal.paid_in_time(f["order_placed"], f["line_shipped"]).select("case_id", F.col("ORDER").alias("order"))
 
 
-@query("""SELECT DISTINCT o_custkey AS case_id, l_partkey AS coupon FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 20 = 0""")
+@query("""SELECT DISTINCT o_custkey AS case_id, l_partkey AS coupon FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def j9_coupon_not_expired(t: Tables):
-    f = W.frames(t)
-    return temporal.not_expired(f["line_shipped"].where("PART % 20 = 0").select("case_id", F.col("PART").alias("COUPON"))).select("case_id", F.col("COUPON").alias("coupon"))
+    return temporal.not_expired(W.frames(t)["line_shipped"].select("case_id", F.col("PART").alias("COUPON"))).select("case_id", F.col("COUPON").alias("coupon"))
 
 
-@query("""SELECT o_custkey AS case_id, p_partkey AS coupon, o_orderkey AS "order" FROM orders JOIN part ON p_partkey % 20 = o_custkey % 20 AND p_partkey <= 40 WHERE o_totalprice >= p_retailprice * 100""")
+@query("""WITH c AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT c.o_custkey AS case_id, p_partkey AS coupon, count(o_orderkey) AS n_orders FROM c JOIN part ON p_partkey = c.l_partkey LEFT JOIN orders o ON o.o_custkey = c.o_custkey AND o_totalprice >= p_retailprice * 100 GROUP BY ALL""")
 def j10_minimum_basket(t: Tables):
-    coupons = t.part.where("p_partkey <= 40").select((F.col("p_partkey") % 20).alias("k"), F.col("p_partkey").alias("COUPON"), (F.col("p_retailprice") * 100).alias("MINIMUM"))
-    amounts = t.orders.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("ORDER"), F.col("o_totalprice").alias("AMOUNT"))
-    owned = t.customer.select(F.col("c_custkey").alias("case_id"), (F.col("c_custkey") % 20).alias("k")).join(coupons, "k").drop("k")
-    return temporal.meets_minimum(amounts, owned).select("case_id", F.col("COUPON").alias("coupon"), F.col("ORDER").alias("order"))
-
+    """Coupons of a customer (one per part bought) with the number of orders that reach their minimum."""
+    bought = W.frames(t)["line_shipped"].select("case_id", F.col("PART").alias("p_partkey")).distinct()
+    coupons = bought.join(t.part, "p_partkey").select("case_id", F.col("p_partkey").alias("id"), (-F.col("p_retailprice") * 100).alias("value"))
+    amounts = t.orders.select(F.col("o_custkey").alias("case_id"), (-F.col("o_totalprice")).alias("value"))  # negated: minimum <= amount
+    return temporal.reached(coupons, amounts, "case_id").select("case_id", F.col("id").alias("coupon"), F.col("n").alias("n_orders"))
 
 
 @query(_PAIRS + """ SELECT case_id, 'late' AS "constraint", count(DISTINCT k) AS n_violations FROM p WHERE b < a GROUP BY 1

@@ -9,6 +9,7 @@ from rulefact.operators import aggregates as A
 from rulefact.operators import changes as C
 from rulefact.operators import matching as M
 from rulefact.operators import picks as P
+from rulefact.operators import temporal
 from rulefact.plans.registry import Tables, query
 
 
@@ -69,10 +70,14 @@ def d11_interval_semi_join(t: Tables):
     return o.join(x, (F.col("l_orderkey") == F.col("o_orderkey")) & F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")).between(0, 2), "left_semi").select("o_orderkey")
 
 
-@query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON p_size = o_custkey % 50 AND p_partkey <= 200 AND o_totalprice >= p_retailprice * 150")
+@query("""WITH c AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT o.o_orderkey, count(p_partkey) AS n FROM orders o JOIN c ON c.o_custkey = o.o_custkey LEFT JOIN part ON p_partkey = c.l_partkey AND o_totalprice >= p_retailprice * 100 GROUP BY 1""")
 def d12_theta_join(t: Tables):
-    p = t.part.where("p_partkey <= 200")
-    return t.orders.join(p, (F.col("p_size") == F.col("o_custkey") % 50) & (F.col("o_totalprice") >= F.col("p_retailprice") * 150)).select("o_orderkey", "p_partkey")
+    """Orders with the number of minima of their customer (one per part bought) that their amount reaches."""
+    bought = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("l_partkey").alias("p_partkey")).distinct()
+    minima = bought.join(t.part, "p_partkey").select("o_custkey", (F.col("p_retailprice") * 100).alias("value"))
+    amounts = t.orders.join(bought.select("o_custkey").distinct(), "o_custkey", "left_semi").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    return temporal.reached(amounts, minima, "o_custkey").select(F.col("id").alias("o_orderkey"), "n")
 
 
 @query("SELECT l_orderkey AS fact_id, 'c_' || lower(c_mktsegment) AS node_type, c_custkey AS entity_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
@@ -82,13 +87,13 @@ def d13_adjacency(t: Tables):
     return args.join(nodes, "entity_id").groupBy("fact_id", "node_type", "entity_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT s_nationkey AS case_id, s_suppkey AS e FROM supplier), b AS (SELECT c_nationkey AS case_id, c_custkey AS e FROM customer WHERE c_custkey <= 30),
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS e FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS e FROM lineitem),
 m AS (SELECT a.case_id, a.e AS src, b.e AS dst FROM a JOIN b ON a.case_id = b.case_id AND a.e = b.e)
 SELECT * FROM m UNION ALL SELECT a.case_id, a.e, b.e FROM a JOIN b USING (case_id) WHERE case_id NOT IN (SELECT case_id FROM m)""")
 def d14_equal_or_all(t: Tables):
-    a = t.supplier.select(F.col("s_nationkey").alias("case_id"), F.col("s_suppkey").alias("entity_id"))
-    b = t.customer.where("c_custkey <= 30").select(F.col("c_nationkey").alias("case_id"), F.col("c_custkey").alias("entity_id"))
-    return M.template_edges(a, b).select("case_id", "src", "dst")
+    """The suppliers and parts of an order."""
+    side = lambda c: t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col(c).alias("entity_id")).distinct()
+    return M.template_edges(side("l_suppkey"), side("l_partkey")).select("case_id", "src", "dst")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS entity_id FROM orders")

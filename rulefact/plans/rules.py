@@ -198,6 +198,21 @@ def body_frame(rule: Rule, frames: dict[str, DataFrame], domain_limit: int | Non
     return out
 
 
+def flagged(rule: Rule, body: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
+    """Groundings with holds_k: whether the k-th negated literal holds."""
+    for k, x in enumerate(rule.negatives):
+        if x.predicate in frames:
+            part = _literal_frame(x, frames[x.predicate]).distinct().withColumn(f"holds_{k}", F.lit(True))
+            body = body.join(part, [CASE, *(_var(v) for v in x.variables)], "left").withColumn(f"holds_{k}", F.coalesce(f"holds_{k}", F.lit(False)))
+        else:
+            body = body.withColumn(f"holds_{k}", F.lit(False))
+    return body
+
+
+def _any_flag(rule: Rule) -> Column:
+    return F.greatest(F.lit(False), *(F.col(f"holds_{k}") for k in range(len(rule.negatives))))
+
+
 def without_violations(rule: Rule, body: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
     """Groundings for which no negated literal holds."""
     for x in rule.negatives:
@@ -235,6 +250,8 @@ class Model:
     rules: list[Rule]
     base: dict[str, DataFrame]
     derived: dict[str, DataFrame] = field(default_factory=dict)
+    #: Per rule id, the groundings of its body with a flag for each negated literal that holds, where evaluation has kept them.
+    bodies: dict[str, DataFrame] = field(default_factory=dict)
 
     def frames(self) -> dict[str, DataFrame]:
         out = dict(self.base)
@@ -262,6 +279,7 @@ class Model:
 def evaluate(base: dict[str, DataFrame], rules: list[Rule]) -> Model:
     """The least model, group by group: plain joins where nothing is recursive, a semi-naive loop where it is.
 
+    The bodies of rules with negation and all derived atoms are written once; what comes after reads those tables.
     The loop runs until a round adds no atom. It ends: atoms are made of the constants at hand, and each round adds some.
     """
     model = Model(list(rules), dict(base))
@@ -286,8 +304,19 @@ def evaluate(base: dict[str, DataFrame], rules: list[Rule]) -> Model:
             return out.join(have[p].select(CASE, *roles[p]), [CASE, *roles[p]], "left_anti") if p in have else out
 
         if not recursive:
+            for r in own:
+                if r.negatives:
+                    model.bodies[r.rule_id] = durable(flagged(r, body_frame(r, known), known), "body")
             for p in group:
-                model.derived[p] = fresh(own, lambda r, known=known: [known], known, p)
+                rows = None
+                for r in own:
+                    if r.head.predicate == p:
+                        body = model.bodies[r.rule_id].where(~_any_flag(r)) if r.negatives else body_frame(r, known)
+                        part = _heads(r, order[r.rule_id], body)
+                        rows = part if rows is None else rows.unionByName(part)
+                rows = _best(rows, roles[p])
+                rows = rows.join(known[p].select(CASE, *roles[p]), [CASE, *roles[p]], "left_anti") if p in known else rows
+                model.derived[p] = durable(rows, f"derived-{p}")
             continue
         start = [r for r in own if not any(x.predicate in group for x in r.positives)]
         turn = [r for r in own if r not in start]
@@ -333,14 +362,12 @@ def violations(model: Model) -> DataFrame:
     for r in model.rules:
         if not r.negatives:
             continue
-        body = body_frame(r, frames)
-        for x in r.negatives:
-            if x.predicate not in frames:
-                continue
-            hit = body.join(_literal_frame(x, frames[x.predicate]).distinct(), [CASE, *(_var(v) for v in x.variables)], "left_semi")
-            head = atom_key(F.lit(r.head.predicate), {role: F.lit(str(t.value)) if isinstance(t, Const) else F.col(_var(t)) for role, t in r.head.args})
-            part = hit.select(CASE, head.alias("atom"), F.lit(r.rule_id).alias("rule_id"), _ground(x).alias("violated"))
-            out = part if out is None else out.unionByName(part)
+        body = model.bodies.get(r.rule_id)
+        body = flagged(r, body_frame(r, frames), frames) if body is None else body
+        head = atom_key(F.lit(r.head.predicate), {role: F.lit(str(t.value)) if isinstance(t, Const) else F.col(_var(t)) for role, t in r.head.args})
+        hits = F.array_compact(F.array(*(F.when(F.col(f"holds_{k}"), _ground(x)) for k, x in enumerate(r.negatives))))
+        part = body.where(_any_flag(r)).select(CASE, head.alias("atom"), F.lit(r.rule_id).alias("rule_id"), F.explode(hits).alias("violated"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
