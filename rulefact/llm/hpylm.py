@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from rulefact.llm.common import Texts, mix, slices, stored
 
-BLOCK_TOKENS, BUCKET_TOKENS = 1 << 22, 1 << 21
+BLOCK_TOKENS, BUCKET_TOKENS = 1 << 22, 1 << 20
 #: Sweeps of the first pass, and of the second before and while samples are taken.
-FIRST, BURN_IN, SAMPLES = 2, 2, 4
+FIRST, BURN_IN, SAMPLES = 2, 2, 3
 #: Dishes of up to so many customers get their tables from the exact conditional; larger ones are seated one after another in
 #: growing steps, in which the chance of a new table hardly moves.
 EXACT = 128
@@ -56,9 +56,9 @@ def packed(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers, byte by byte of equal weight, as few bytes as the largest needs, compressed."""
     parts = [np.array([len(arrays)], "<i8").tobytes()]
     for x in arrays:
-        x = np.ascontiguousarray(x, "<u8")
         width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-        parts += [np.array([len(x), width], "<i8").tobytes(), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+        x = x.astype(np.uint64, copy=False)
+        parts += [np.array([len(x), width], "<i8").tobytes(), *((x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width))]
     raw = b"".join(parts)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
@@ -68,13 +68,29 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     out, at = [], 8
     for _ in range(int.from_bytes(raw[:8], "little")):
         n, width = np.frombuffer(raw[at : at + 16], "<i8")
-        x = np.zeros((n, 8), np.uint8)
-        x[:, :width] = np.frombuffer(raw[at + 16 : at + 16 + n * width], np.uint8).reshape(width, n).T
-        out.append(x.view("<u8").ravel())
+        planes = np.frombuffer(raw[at + 16 : at + 16 + n * width], np.uint8).reshape(width, n)
+        x = planes[0].astype(np.uint64)
+        for k in range(1, width):
+            x |= planes[k].astype(np.uint64) << np.uint64(8 * k)
+        out.append(x)
         at += 16 + n * width
     return out
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in the order they come, and for each entry the number of its value."""
+    found = pa.array(x).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy().astype(np.int64)
+
+
+def _numbered_ascending(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, number = _numbered(x)
+    order = np.argsort(values)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return values[order], place[number]
+
+
 def _ascending(x: np.ndarray) -> np.ndarray:
     """Differences of ascending numbers, which take fewer bytes."""
     return np.diff(x, prepend=np.zeros(1, x.dtype))
@@ -102,7 +118,8 @@ def _frequent(share: float):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, words, _ in _tokens(batch.column(1)):
-                held.append(np.unique(words, return_counts=True))
+                values, number = _numbered(words)
+                held.append((values, np.bincount(number)))
                 if len(held) == 16:
                     held = [_summed(held)]
         if held:
@@ -114,7 +131,7 @@ def _frequent(share: float):
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+    words, at = _numbered(np.concatenate([w for w, _ in parts]))
     return words, np.bincount(at, np.concatenate([c for _, c in parts]), minlength=len(words)).astype(np.int64)
 
 
@@ -142,23 +159,30 @@ def _block_rows(number: int, docs: list, words: np.ndarray, lengths: np.ndarray,
     b1, b2 = np.roll(words, 1), np.roll(words, 2)
     b1[first], b2[first] = START, START
     b2[np.minimum(first + 1, len(words) - 1)[lengths > 1]] = START
-    dictionary, at = np.unique(np.concatenate((words, [START])), return_inverse=True)
-    number_of = at.astype(np.int64)[:-1]
+    dictionary, at = _numbered_ascending(np.concatenate((words, [START])))
+    number_of = at[:-1]
     n1, n2 = np.roll(number_of, 1), np.roll(number_of, 2)
     start = int(at[-1])
     n1[first], n2[first] = start, start
     n2[np.minimum(first + 1, len(words) - 1)[lengths > 1]] = start
     bucket = layout.bucket(b1, b2)
     doc = np.repeat(np.arange(len(docs)), lengths)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(layout.buckets + 1))
+    order = np.argsort(bucket.astype(np.uint16) if layout.buckets < 1 << 16 else bucket, kind="stable")
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=layout.buckets))))
+    place = np.zeros(len(dictionary), np.int64)
     ids = np.array([d or 0 for d in docs], np.int64)
     rows = [(-1 - number, number, packed(ids.view(np.uint64), np.array([d is None for d in docs]), held, lengths))]
     for b in np.flatnonzero(np.diff(cuts)):
         x = order[cuts[b] : cuts[b + 1]]
-        used, local = np.unique(np.concatenate((number_of[x], n1[x], n2[x])), return_inverse=True)
-        w, v1, v2 = np.split(local, 3)
-        rows.append((int(b), number, packed(_ascending(dictionary[used]), w, v1, v2, _ascending(doc[x]), held[doc[x]])))
+        w, v1, v2 = number_of[x], n1[x], n2[x]
+        if 4 * len(x) > len(dictionary):
+            seen = np.zeros(len(dictionary), bool)
+            seen[w], seen[v1], seen[v2] = True, True, True
+            used = np.flatnonzero(seen)
+        else:
+            used = np.unique(np.concatenate((w, v1, v2)))
+        place[used] = np.arange(len(used))
+        rows.append((int(b), number, packed(_ascending(dictionary[used]), place[w], place[v1], place[v2], _ascending(doc[x]), held[doc[x]])))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "block", "blob"])
 
 
@@ -227,25 +251,34 @@ def seat(c: np.ndarray, weight: np.ndarray, d: float, draw: np.random.Generator)
     return t
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function of positive numbers, by Stirling's series above 7."""
+    z = x + 7
+    below = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4) * (x + 5) * (x + 6))
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - below
+
+
 def _log_rising(start: float, step: float, n: np.ndarray) -> np.ndarray:
     """log of (start + step)(start + 2 step)...(start + (n - 1) step) for each n of at least 1."""
-    return (n - 1) * math.log(step) + np.array([math.lgamma(start / step + x) for x in n.tolist()]) - math.lgamma(start / step + 1)
+    return (n - 1) * math.log(step) + _log_gamma(start / step + n) - math.lgamma(start / step + 1)
 
 
 def resample(c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, strength: float, draw: np.random.Generator) -> tuple[float, float]:
-    """Discount and strength of a level, each from its conditional over a grid, given customers and tables of its dishes and restaurants."""
+    """Discount and strength of a level, each from its conditional over a grid, given customers and tables of its dishes (those of
+    one customer may be left out: they say nothing) and, for each restaurant that is open, of the restaurant."""
     small = c <= EXACT
-    dishes, n_dishes = np.unique(c[small] * (EXACT + 1) + t[small], return_counts=True)
-    dish_c, dish_t = dishes // (EXACT + 1), dishes % (EXACT + 1)
-    open_ = customers > 0
-    t_of, n_t = np.unique(tables[open_], return_counts=True)
-    c_of, n_c = np.unique(customers[open_], return_counts=True)
+    n_dishes = np.bincount(c[small] * (EXACT + 1) + t[small])
+    dishes = np.flatnonzero(n_dishes)
+    n_dishes, dish_c, dish_t = n_dishes[dishes], dishes // (EXACT + 1), dishes % (EXACT + 1)
+    n_t, n_c = np.bincount(tables), np.bincount(customers)
+    t_of, c_of = np.flatnonzero(n_t), np.flatnonzero(n_c)
+    n_t, n_c = n_t[t_of], n_c[c_of]
 
     def pick(grid: np.ndarray, logs: list[float]) -> float:
         p = np.exp(np.array(logs) - max(logs))
         return float(grid[min(np.searchsorted(np.cumsum(p), draw.random() * p.sum()), len(grid) - 1)])
 
-    if not len(dishes) or not len(t_of):
+    if not len(t_of):
         return 0.5, strength
     d = pick(DISCOUNTS, [float((n_t * _log_rising(strength, x, t_of)).sum() + (n_dishes * _stirling(float(x))[dish_c, dish_t]).sum()) for x in DISCOUNTS])
     return d, pick(STRENGTHS, [float((n_t * _log_rising(x, d, t_of)).sum() - (n_c * _log_rising(x, 1.0, c_of)).sum()) for x in STRENGTHS])
@@ -257,8 +290,7 @@ class Bucket:
     def __init__(self, blobs: list[bytes]):
         parts = [unpacked(b) for b in blobs]
         words = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-        self.words, number = np.unique(np.concatenate(words), return_inverse=True)
-        number = number.astype(np.int64)
+        self.words, number = _numbered_ascending(np.concatenate(words))
         offsets = np.concatenate(([0], np.cumsum([len(w) for w in words])))
         w, b1, b2 = (np.concatenate([number[o : o + len(own)][p[k].astype(np.int64)] for p, o, own in zip(parts, offsets, words, strict=False)]) for k in (1, 2, 3))
         self.docs = [np.cumsum(p[4], dtype=np.uint64).astype(np.int64) for p in parts]
@@ -267,43 +299,57 @@ class Bucket:
         self.word, n = w, len(self.words)
         self.count = np.bincount(w[trained], minlength=n)
         self.is_word = np.bincount(w, minlength=n) > 0
-        _, self.restaurant3 = np.unique(b2 * n + b1, return_inverse=True)
-        pair_keys, self.pair = np.unique(b1 * n + w, return_inverse=True)
-        triple_keys, self.triple = np.unique(self.restaurant3 * n + w, return_inverse=True)
-        # Figures of every pair and triple, also of those that only held-out events ask for: these have no customers.
-        self.restaurant2 = b1
-        self.c3 = np.bincount(self.triple[trained], minlength=len(triple_keys))
-        self.of3 = np.zeros(len(triple_keys), np.int64)
-        self.of3[self.triple] = self.restaurant3
+        # Pairs, triples and the restaurants of triples, also of those that only held-out events ask for: these have no customers.
+        contexts, restaurant3 = _numbered(b2 * n + b1)
+        pair_keys, self.pair = _numbered(b1 * n + w)
+        triple_keys, self.triple = _numbered(restaurant3 * n + w)
+        self.of2, self.word_of = pair_keys // n, pair_keys % n
+        self.of3 = triple_keys // n
         self.pair_of = np.zeros(len(triple_keys), np.int64)
         self.pair_of[self.triple] = self.pair
-        self.of2, self.word_of = pair_keys // n, pair_keys % n
-        self.customers3 = np.bincount(self.of3, self.c3, minlength=self.restaurant3.max() + 1).astype(np.int64)
-        self.has = np.flatnonzero(self.c3)
-
-    def sweeps(self, seed: tuple[int, ...], p1: np.ndarray, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """After each sweep the tables of pairs in the word before's restaurants, and the probability of each event."""
+        self.c3 = np.bincount(self.triple[trained], minlength=len(triple_keys))
+        self.customers3 = np.bincount(restaurant3[trained], minlength=len(contexts))
+        # Dishes of one customer have one table; what may have more is drawn anew in each sweep.
+        self.some3 = np.flatnonzero(self.c3 > 1)
+        one = self.c3 > 0
+        self.least_tables3 = np.bincount(self.of3[one], minlength=len(contexts))
+        self.least_c2 = np.bincount(self.pair_of[one], minlength=len(pair_keys))
+        more = self.least_c2 > 1
+        more[self.pair_of[self.some3]] = True
+        self.some2 = np.flatnonzero(more)
+        self.seen = np.bincount(self.word_of[self.least_c2 > 0], minlength=n)
+
+    def sweeps(self, seed: tuple[int, ...], p1: np.ndarray, sweeps: int) -> Iterator[tuple[np.ndarray, Callable[[], np.ndarray]]]:
+        """After each sweep the tables of pairs in the word before's restaurants, and a function for the probability of each triple."""
         draw = np.random.default_rng([7, *seed])
-        n2, n3, n = len(self.of2), len(self.customers3), len(self.words)
-        t3 = np.minimum(self.c3, 1)
-        c2 = np.bincount(self.pair_of, t3, minlength=n2).astype(np.int64)
-        t2 = np.minimum(c2, 1)
+        some3, some2, n = self.some3, self.some2, len(self.words)
+        c3, of3, pair_of = self.c3[some3], self.of3[some3], self.pair_of[some3]
+        of2, parent2 = self.of2[some2], p1[self.word_of[some2]]
+        is_open = self.customers3 > 0
+        t3, c2, t2 = np.ones(len(some3), np.int64), self.least_c2, np.minimum(self.least_c2, 1)
+        tables3 = self.least_tables3
+        customers2, tables2 = (np.bincount(self.of2, x, minlength=n).astype(np.int64) for x in (c2, t2))
         d2, d3, s2, s3 = 0.7, 0.8, 1.0, 1.0
         for _ in range(sweeps):
-            tables3 = np.bincount(self.of3, t3, minlength=n3)
-            customers2, tables2 = np.bincount(self.of2, c2, minlength=n), np.bincount(self.of2, t2, minlength=n)
-            p2 = self._below(c2, t2, d2, s2, customers2[self.of2], tables2[self.of2], p1[self.word_of])
-            t3 = t3.copy()
-            t3[self.has] = seat(self.c3[self.has], ((s3 + d3 * tables3[self.of3]) * p2[self.pair_of])[self.has], d3, draw)
-            c2 = np.bincount(self.pair_of, t3, minlength=n2).astype(np.int64)
-            t2 = seat(c2, (s2 + d2 * tables2[self.of2]) * p1[self.word_of], d2, draw)
-            tables3 = np.bincount(self.of3, t3, minlength=n3).astype(np.int64)
+            own = self.of2[pair_of]
+            p2 = self._below(c2[pair_of], t2[pair_of], d2, s2, customers2[own], tables2[own], p1[self.word_of[pair_of]])
+            t3 = seat(c3, (s3 + d3 * tables3[of3]) * p2, d3, draw)
+            tables3 = self.least_tables3 + np.bincount(of3, t3 - 1, minlength=len(tables3)).astype(np.int64)
+            c2 = self.least_c2 + np.bincount(pair_of, t3 - 1, minlength=len(c2)).astype(np.int64)
+            t2 = np.minimum(c2, 1)
+            t2[some2] = seat(c2[some2], (s2 + d2 * tables2[of2]) * parent2, d2, draw)
             customers2, tables2 = (np.bincount(self.of2, x, minlength=n).astype(np.int64) for x in (c2, t2))
-            d3, s3 = resample(self.c3[self.has], t3[self.has], self.customers3, tables3, s3, draw)
-            d2, s2 = resample(c2[c2 > 0], t2[c2 > 0], customers2, tables2, s2, draw)
-            p2 = self._below(c2, t2, d2, s2, customers2[self.of2], tables2[self.of2], p1[self.word_of])
-            p3 = self._below(self.c3, t3, d3, s3, self.customers3[self.of3], tables3[self.of3], p2[self.pair_of])
-            yield t2, p3
+            d3, s3 = resample(c3, t3, self.customers3[is_open], tables3[is_open], s3, draw)
+            open2 = customers2 > 0
+            d2, s2 = resample(c2[some2], t2[some2], customers2[open2], tables2[open2], s2, draw)
+
+            def asked(c2=c2, t2=t2, t3=t3, tables3=tables3, customers2=customers2, tables2=tables2, d2=d2, d3=d3, s2=s2, s3=s3) -> np.ndarray:
+                p2 = self._below(c2, t2, d2, s2, customers2[self.of2], tables2[self.of2], p1[self.word_of])
+                every = np.minimum(self.c3, 1)
+                every[some3] = t3
+                return self._below(self.c3, every, d3, s3, self.customers3[self.of3], tables3[self.of3], p2[self.pair_of])
+
+            yield t2, asked
 
     @staticmethod
     def _below(c: np.ndarray, t: np.ndarray, d: float, s: float, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -325,8 +371,7 @@ def _tables(ranges: int, sweeps: int):
         if key[0] < 0:
             return pd.DataFrame({"range": [], "bucket": [], "blob": []})
         b = Bucket(part.sort_values("block")["blob"].tolist())
-        seen = np.bincount(b.word_of[np.bincount(b.pair_of, b.c3, minlength=len(b.of2)) > 0], minlength=len(b.words))
-        for t2, _ in b.sweeps((0, key[0]), (seen + 0.5) / (seen + 0.5).sum(), sweeps):
+        for t2, _ in b.sweeps((0, key[0]), (b.seen + 0.5) / (b.seen + 0.5).sum(), sweeps):
             pass
         t1 = np.bincount(b.word_of, t2, minlength=len(b.words)).astype(np.int64)
         use = np.flatnonzero(b.is_word)
@@ -346,7 +391,7 @@ def _parent(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     A new table's weight is that of one table a word, (strength + discount * V) / (V + 1): the discount, nearly."""
     parts = [unpacked(b) for b in part["blob"]]
     each = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-    words, at = np.unique(np.concatenate(each), return_inverse=True)
+    words, at = _numbered(np.concatenate(each))
     c = np.bincount(at, np.concatenate([p[1] for p in parts]).astype(np.float64), minlength=len(words)).astype(np.int64)
     count = np.bincount(at, np.concatenate([p[2] for p in parts]).astype(np.float64), minlength=len(words)).astype(np.int64)
     draw = np.random.default_rng([7, 1, key[0]])
@@ -384,7 +429,7 @@ def _answers(burn_in: int, samples: int):
         total = np.zeros(len(b.c3))
         for k, (_, p) in enumerate(b.sweeps((2, key[0]), p1, burn_in + samples)):
             if k >= burn_in:
-                total += p
+                total += p()
         logs = np.log10(total / samples)[b.triple]
         base, known = np.log10(count + 1)[b.word], (count > 0)[b.word]
         rows, at = [], 0

@@ -295,44 +295,112 @@ def test_language_model_against_brute_force(docs):
     assert total > base_total
 
 
+def lm_messages(texts, held=lambda d: False, buckets=1, layout=None):
+    """The events of texts by bucket, as one block."""
+    column = pa.array(texts)
+    parts = list(hpylm._tokens(column))
+    docs = [d for d in range(len(texts))]
+    rows = hpylm._block_rows(0, docs, np.concatenate([w for _, w, _ in parts]), np.concatenate([n for _, _, n in parts]), layout or hpylm.Layout(buckets, {})).to_pylist()
+    found = {}
+    for r in rows:
+        found.setdefault(r["bucket"], []).append(r["blob"])
+    return found
+
+
 def test_predictive_probabilities_sum_to_one():
-    """Over all known words and the unknown one, in any context."""
-    r = np.random.default_rng(0)
-    contexts = 8
-    words = np.unique(r.integers(0, 2**63, 30).astype(np.uint64))
-    per = np.full(len(words), contexts, np.uint16)
-    kinds = np.tile(np.arange(contexts), len(words)).astype(np.uint16)
-    counts = r.poisson(1.5, len(kinds)).astype(np.uint32)
-    counts[0] = 90
-    b = hpylm.Bucket([words.tobytes()], [per.tobytes()], [kinds.tobytes()], [counts.tobytes()], contexts)
-    known = int((b.of_word > 0).sum())
-    customers = np.bincount(b.kind, b.c, minlength=contexts)
-    m = hpylm.Model(int(b.c.sum()), known, customers, 0.6, 0.4, 1.0)
-    t0 = np.bincount(b.kind, minlength=contexts)
-    m.history = [hpylm.Totals(t0, len(b.pair), known)]
-    t, c1, t1, _ = next(m.sweeps(b, 0, contexts))
-    assert (t >= 1).all() and (t <= b.c).all() and (t1 <= np.maximum(c1, 1)).all()
-    totals = hpylm.Totals(np.bincount(b.kind, t, minlength=contexts), int(c1.sum()), int(t1.sum()))
-    p1 = m.parent(totals, c1, t1)
-    unknown = m.unknown(totals)
-    assert abs(p1[b.of_word > 0].sum() + unknown - 1) < 1e-9
-    for u in range(contexts):
-        own = np.zeros(len(words))
-        at = b.kind == u
-        own[b.word[at]] = b.c[at] - m.d * t[at]
-        p = (own + (1 + m.d * totals.tables[u]) * p1) / (1 + customers[u])
-        assert abs(p[b.of_word > 0].sum() + (1 + m.d * totals.tables[u]) * unknown / (1 + customers[u]) - 1) < 1e-9
-
-
-def test_every_word_before_is_a_context_of_its_own():
-    """More words than any fixed number of classes: no two of them share a restaurant."""
+    """Over all known words and the unknown one, in every context of three levels, after sweeps with sampled discounts."""
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(12)]
+    texts = [" ".join(r.choice(vocab[: 3 + k % 9]) for _ in range(60)) for k in range(40)]
+    # Held-out documents ask for every word after every pair of words.
+    held = [k for k in range(40, 60_000) if hpylm._held(k)]
+    everything = [f"{a} {b} {c}" for a in vocab for b in vocab for c in vocab]
+    texts += [""] * (held[len(everything)] - len(texts))
+    for d, t in zip(held, everything, strict=False):
+        texts[d] = t
+    texts = [t if d < 40 or hpylm._held(d) else "w0" for d, t in enumerate(texts)]
+    b = hpylm.Bucket(lm_messages(texts)[0])
+    known = b.seen > 0
+    p1 = (b.seen + 0.1) / (b.seen + 0.1).sum()
+    for _, asked in b.sweeps((1, 1), p1, 3):
+        p3 = asked()
+    a_context = {}
+    for k in range(len(b.of3)):
+        a_context.setdefault(b.of3[k], []).append(k)
+    full = 0
+    for own in a_context.values():
+        total, seen = p3[own].sum(), set(b.word_of[b.pair_of[own]].tolist())
+        assert total <= 1 + 1e-9
+        if len(seen) == known.sum():  # every known word is asked for in this context
+            full += 1
+            assert total > 0.9
+    assert full > 0 and (p3 > 0).all()
+
+
+def test_stirling_numbers_and_log_gamma():
+    d = 0.3
+    s = np.exp(hpylm._stirling(d, 5))
+    assert abs(s[3, 2] - ((1 - d) + (2 - 2 * d))) < 1e-9 and abs(s[2, 1] - (1 - d)) < 1e-9 and abs(s[4, 4] - 1) < 1e-9
+    x = np.array([0.01, 0.5, 1, 3.7, 100, 1e6])
+    assert np.allclose(hpylm._log_gamma(x), [math.lgamma(v) for v in x], atol=1e-8)
+
+
+def test_tables_follow_the_exact_conditional():
+    """A dish of 5 customers: chances of 1 to 5 tables are those of the weighted Stirling numbers."""
+    d, w, n = 0.4, 0.7, 40_000
+    t = hpylm.seat(np.full(n, 5), np.full(n, w), d, np.random.default_rng(0))
+    p = np.exp(hpylm._stirling(d)[5, 1:6]) * w ** np.arange(1, 6)
+    assert np.abs(np.bincount(t, minlength=6)[1:] / n - p / p.sum()).max() < 0.01
+
+
+def test_packed_numbers_come_back():
+    r = np.random.default_rng(1)
+    for x in ([], [0], [2**63, 1], r.integers(0, 70_000, 1000)):
+        got = hpylm.unpacked(hpylm.packed(np.array(x, np.uint64), np.array([True, False])))
+        assert got[0].tolist() == list(x) and got[1].tolist() == [1, 0]
+
+
+def test_every_context_is_a_restaurant_of_its_own():
+    """More words than any fixed number of classes; hot words before are parted by the word before them."""
     n = 20_000
-    words = np.unique(np.random.default_rng(2).integers(0, 2**63, n).astype(np.uint64))
-    tokens = np.repeat(np.arange(len(words), dtype=np.uint32), 2)
-    row = {"words": words.tobytes(), "tokens": tokens.tobytes(), "lengths": np.array([len(tokens)]).tobytes(), "held": np.array([False]).tobytes(), "block": 0}
-    batch = [pa.RecordBatch.from_pylist([row])]
-    contexts = np.concatenate([np.frombuffer(r["kinds"], np.uint64) for b in hpylm._ask(4)(batch) for r in b.to_pylist()])
-    assert set(contexts.tolist()) == {*words.tolist(), int(hpylm.START)}
+    text = " ".join(f"x{i} y" for i in range(n))
+    b = hpylm.Bucket(lm_messages([text])[0])
+    assert len(b.words) == n + 3 and len(b.customers3) >= 2 * n  # x, y, end and start; (x, y) and (y, x)
+    y = int(hpylm.mix(np.array([0], np.uint64))[0])  # any hot word: here that of `y`
+    y = int(list(hpylm._tokens(pa.array(["y"])))[0][1][0])
+    found = lm_messages([text], layout=hpylm.Layout(8, {y: 8}))
+    sizes = [sum(len(hpylm.unpacked(m)[1]) for m in blobs) for k, blobs in found.items() if k >= 0]
+    assert sum(sizes) == 2 * n + 1 and max(sizes) < n
+
+
+def interpolated_bigram(rows):
+    """Held-out log10 probability a token of bigrams and unigrams interpolated with one discount, the unigrams with add-one."""
+    train, held = [], []
+    for d, t in rows:
+        (held if hpylm._held(d) else train).append([*words_of(t), None])
+    c1, c2, starts = Counter(), Counter(), Counter()
+    for w in train:
+        c1.update(w)
+        pairs = list(zip([0, *w], w, strict=False))
+        c2.update(pairs)
+        starts.update(a for a, _ in pairs)
+    kinds = Counter(a for a, _ in c2)
+    n, v = sum(c1.values()), len(c1)
+    total = tokens = 0
+    for w in held:
+        for a, b in zip([0, *w], w, strict=False):
+            p1 = (c1[b] + 1) / (n + v + 1)
+            p = (max(c2[a, b] - 0.75, 0) + 0.75 * kinds[a] * p1) / starts[a] if starts[a] else p1
+            total += math.log10(p)
+            tokens += 1
+    return total / tokens
+
+
+def test_language_model_beats_an_interpolated_bigram(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
+    got = hpylm.score(docs).where("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert got > interpolated_bigram(rows) + 0.02
 
 
 def test_url_host_path_and_rules(spark):
