@@ -81,7 +81,7 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _SAME, chunk: int = 1 << 21) -> np.ndarray:
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _SAME, chunk: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each run data[start:end] after mapping its bytes; runs ascend and are not empty."""
     out = np.empty(len(starts), np.uint64)
     at = 0
@@ -186,22 +186,25 @@ def encoder(path: str | None = None):
     return _ENCODER[1]
 
 
-_SLOW = None
+def _piece_by_piece(encoding, text: str) -> list[int]:
+    """The ids of a text whose blanks are too many for the library's own splitter: split here by the same pattern."""
+    import regex
+
+    ids: list[int] = []
+    for k, part in enumerate(text.split("<|endoftext|>")):
+        if k:
+            ids.append(encoding.eot_token)
+        for piece in regex.finditer(encoding._pat_str, part):
+            ids += encoding._encode_single_piece(piece[0])
+    return ids
 
 
 def encode(text: str | None, path: str | None = None) -> np.ndarray:
     """Token ids of a text as unsigned 32-bit numbers; null: none."""
     if not text:
         return np.zeros(0, "<u4")
+    encoding = encoder(path)
     try:
-        return np.asarray(encoder(path).encode_to_numpy(text, allowed_special="all"), dtype="<u4")
-    except ValueError:  # the splitter's stack ends at about a million blanks in a row; the slower library has no such bound
-        global _SLOW
-        if path:
-            raise
-        if _SLOW is None:
-            import public_tokenizers
-            from tokenizers import Tokenizer
-
-            _SLOW = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        return np.array(_SLOW.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(encoding.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
+    except ValueError:  # the splitter's stack ends at about a million blanks in a row
+        return np.array(_piece_by_piece(encoding, text), dtype="<u4")

@@ -80,14 +80,14 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
 def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values in the order they come, and for each entry the number of its value."""
     found = pa.array(x).dictionary_encode()
-    return found.dictionary.to_numpy(), found.indices.to_numpy().astype(np.int64)
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
 def _numbered_ascending(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values, number = _numbered(x)
     order = np.argsort(values)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return values[order], place[number]
 
 
@@ -143,33 +143,40 @@ class Layout:
         self.hot = np.array(sorted(hot), np.uint64)
         self.parts = np.array([hot[w] for w in sorted(hot)], np.uint64)
 
-    def bucket(self, before: np.ndarray, ahead: np.ndarray) -> np.ndarray:
-        part = np.zeros(len(before), np.uint64)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, before), len(self.hot) - 1)
-            is_hot = self.hot[at] == before
-            part[is_hot] = mix(ahead[is_hot]) % self.parts[at[is_hot]]
-        return (mix(mix(before) + part) % np.uint64(self.buckets)).astype(np.int64)
+    def bucket(self, before: np.ndarray, ahead: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+        out = np.empty(len(before), np.uint16 if self.buckets < 1 << 16 else np.int64)
+        for at in range(0, len(before), chunk):
+            b, a = before[at : at + chunk], ahead[at : at + chunk]
+            part = np.zeros(len(b), np.uint64)
+            if len(self.hot):
+                place = np.minimum(np.searchsorted(self.hot, b), len(self.hot) - 1)
+                is_hot = self.hot[place] == b
+                part[is_hot] = mix(a[is_hot]) % self.parts[place[is_hot]]
+            out[at : at + chunk] = mix(mix(b) + part) % np.uint64(self.buckets)
+        return out
 
 
 def _block_rows(number: int, docs: list, words: np.ndarray, lengths: np.ndarray, layout: Layout) -> pa.RecordBatch:
     """Under bucket -1 - number the documents of a block, and for each bucket its events there in the order of documents."""
     held = np.array([_held(d) for d in docs])
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    b1, b2 = np.roll(words, 1), np.roll(words, 2)
-    b1[first], b2[first] = START, START
-    b2[np.minimum(first + 1, len(words) - 1)[lengths > 1]] = START
-    dictionary, at = _numbered_ascending(np.concatenate((words, [START])))
-    number_of = at[:-1]
-    n1, n2 = np.roll(number_of, 1), np.roll(number_of, 2)
-    start = int(at[-1])
-    n1[first], n2[first] = start, start
-    n2[np.minimum(first + 1, len(words) - 1)[lengths > 1]] = start
-    bucket = layout.bucket(b1, b2)
-    doc = np.repeat(np.arange(len(docs)), lengths)
-    order = np.argsort(bucket.astype(np.uint16) if layout.buckets < 1 << 16 else bucket, kind="stable")
+    second = np.minimum(first + 1, len(words) - 1)[lengths > 1]
+
+    def before(x: np.ndarray, start: int | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The entry before each and the one before that; texts begin with two start words."""
+        one, two = np.roll(x, 1), np.roll(x, 2)
+        one[first], two[first], two[second] = start, start, start
+        return one, two
+
+    bucket = layout.bucket(*before(words, START))
+    dictionary, number_of = _numbered_ascending(np.append(words, START))
+    del words
+    start, number_of = number_of[-1], number_of[:-1]
+    n1, n2 = before(number_of, start)
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
+    order = np.argsort(bucket, kind="stable")
     cuts = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=layout.buckets))))
-    place = np.zeros(len(dictionary), np.int64)
+    place = np.zeros(len(dictionary), np.int32)
     ids = np.array([d or 0 for d in docs], np.int64)
     rows = [(-1 - number, number, packed(ids.view(np.uint64), np.array([d is None for d in docs]), held, lengths))]
     for b in np.flatnonzero(np.diff(cuts)):
@@ -181,7 +188,7 @@ def _block_rows(number: int, docs: list, words: np.ndarray, lengths: np.ndarray,
             used = np.flatnonzero(seen)
         else:
             used = np.unique(np.concatenate((w, v1, v2)))
-        place[used] = np.arange(len(used))
+        place[used] = np.arange(len(used), dtype=np.int32)
         rows.append((int(b), number, packed(_ascending(dictionary[used]), place[w], place[v1], place[v2], _ascending(doc[x]), held[doc[x]])))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "block", "blob"])
 
@@ -299,13 +306,14 @@ class Bucket:
         self.word, n = w, len(self.words)
         self.count = np.bincount(w[trained], minlength=n)
         self.is_word = np.bincount(w, minlength=n) > 0
+        b1 = b1.astype(np.int64)
         # Pairs, triples and the restaurants of triples, also of those that only held-out events ask for: these have no customers.
-        contexts, restaurant3 = _numbered(b2 * n + b1)
+        contexts, restaurant3 = _numbered(b2.astype(np.int64) * n + b1)
         pair_keys, self.pair = _numbered(b1 * n + w)
-        triple_keys, self.triple = _numbered(restaurant3 * n + w)
+        triple_keys, self.triple = _numbered(restaurant3.astype(np.int64) * n + w)
         self.of2, self.word_of = pair_keys // n, pair_keys % n
         self.of3 = triple_keys // n
-        self.pair_of = np.zeros(len(triple_keys), np.int64)
+        self.pair_of = np.zeros(len(triple_keys), np.int32)
         self.pair_of[self.triple] = self.pair
         self.c3 = np.bincount(self.triple[trained], minlength=len(triple_keys))
         self.customers3 = np.bincount(restaurant3[trained], minlength=len(contexts))
