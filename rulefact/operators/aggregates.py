@@ -35,6 +35,16 @@ def share(test: Column) -> Column:
     return F.avg(test.cast("double"))
 
 
+def coverage(cases: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """share: how many of the cases have a row in `have`; null without cases."""
+    return cases.join(have.select(key).distinct().withColumn("has", F.lit(True)), key, "left").agg(share(F.col("has").isNotNull()).alias("share"))
+
+
+def baseline_difference(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """metric, value, baseline, difference (null where either run lacks the metric)."""
+    return current.join(baseline.withColumnRenamed("value", "baseline"), "metric", "full").select("metric", "value", "baseline", (F.col("value") - F.col("baseline")).alias("difference"))
+
+
 def calibration_error(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Expected calibration error over equal bins, the last closed."""
     b = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col(p) * bins)))

@@ -55,6 +55,12 @@ def reset_derived(facts: DataFrame, cases: Column | None = None) -> DataFrame:
     return kept.withColumns({"value": F.when(inside, F.lit("T")).otherwise(F.col("value")), "confidence": F.when(inside, F.lit(1.0)).otherwise(F.col("confidence"))})
 
 
+def pruned_states(states: DataFrame, cases: Column | None = None) -> DataFrame:
+    """States without those that nothing clamps; in the given cases or all."""
+    inside = F.lit(True) if cases is None else cases
+    return states.where(~inside | F.col("is_clamped"))
+
+
 def reset_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """status, n_before, n_after."""
     b = before.groupBy("status").agg(F.count(F.lit(1)).alias("n_before"))

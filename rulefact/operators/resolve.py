@@ -90,6 +90,20 @@ def rule_problems(literals: DataFrame, roles: DataFrame) -> DataFrame:
     return none.unionByName(undefined).unionByName(wrong).unionByName(unsafe)
 
 
+def rule_table_problems(rules: DataFrame) -> DataFrame:
+    """rule_id (#ord where it has none), problem over rules(ord, module, rule_id, predicate, vars): missing_id, duplicate_id,
+    malformed (no predicate or no arguments); and, under the module's name, no_valid_rule where every rule has a problem."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    x = rules.withColumn("name", F.when(blank("rule_id"), F.concat(F.lit("#"), F.col("ord").cast("string"))).otherwise(F.col("rule_id")))
+    several = x.where(~blank("rule_id")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", F.lit(True).alias("several"))
+    x = x.join(several, "name", "left")
+    tests = {"missing_id": blank("rule_id"), "duplicate_id": F.coalesce("several", F.lit(False)), "malformed": blank("predicate") | F.coalesce(F.size("vars") < 1, F.lit(True))}
+    x = x.withColumn("problems", F.array_compact(F.array(*(F.when(test, name) for name, test in tests.items()))))
+    found = x.select(F.col("name").alias("rule_id"), F.explode("problems").alias("problem")).distinct()
+    modules = x.groupBy("module").agg(F.min(F.size("problems")).alias("least")).where("least > 0").select(F.col("module").alias("rule_id"), F.lit("no_valid_rule").alias("problem"))
+    return found.unionByName(modules)
+
+
 def checked_queries(drafts: DataFrame, roles: DataFrame, most: int) -> DataFrame:
     """Drafted queries(case_id, ord, predicate, n_args, query) of known predicates and right arity, once, at most `most` a case."""
     arity = roles.groupBy("predicate").agg(F.count(F.lit(1)).alias("n_args"))

@@ -94,11 +94,26 @@ def d15_proof_closure(t: Tables):
     return V.proof_steps(m, asked).groupBy("case_id").agg(F.max("step").cast("long").alias("n_steps"), F.count_if(F.col("rule_id").isNull()).alias("n_base"))
 
 
-@query(W.SQL + """SELECT case_id, 'late_return(CUSTOMER=' || case_id || ',ORDER=' || ord || ')' AS atom, 'r_late' AS rule_id, 'naf' AS kind, 'order_open(ORDER=' || ord || ')' AS depends_on FROM late
-UNION ALL SELECT case_id, 'suspect(CUSTOMER=' || case_id || ')', 'r_suspect', 'pos', 'order_done(ORDER=' || o || ')' FROM (SELECT case_id, arg_min(ord, CAST(ord AS VARCHAR)) AS o FROM late WHERE ord IN (SELECT ord FROM od) GROUP BY 1)""")
+_CHOSEN = """, s AS (SELECT case_id, ord, d1, d2, part, 'C=' || case_id || ',D1=' || d1 || ',D2=' || d2 || ',O=' || ord || ',P=' || part AS sub FROM lateb WHERE ord NOT IN (SELECT ord FROM oo)),
+m AS (SELECT case_id, ord, min(sub) AS sub, arg_min(d1, sub) AS d1, arg_min(d2, sub) AS d2, arg_min(part, sub) AS part, 'late_return(CUSTOMER=' || case_id || ',ORDER=' || ord || ')' AS atom FROM s GROUP BY 1, 2),
+w AS (SELECT case_id, arg_min(ord, CAST(ord AS VARCHAR)) AS o, 'suspect(CUSTOMER=' || case_id || ')' AS atom FROM late WHERE ord IN (SELECT ord FROM od) GROUP BY 1)
+"""
+
+
+@query(W.SQL + _CHOSEN + """SELECT case_id, atom, 'r_late' AS rule_id, 'naf' AS kind, 'order_open(ORDER=' || ord || ')' AS depends_on FROM m
+UNION ALL SELECT case_id, atom, 'r_late', 'pos', 'order_placed(CUSTOMER=' || case_id || ',DATE=' || d1 || ',ORDER=' || ord || ')' FROM m UNION ALL SELECT case_id, atom, 'r_late', 'pos', 'line_returned(DATE=' || d2 || ',ORDER=' || ord || ',PART=' || part || ')' FROM m
+UNION ALL SELECT case_id, atom, 'r_suspect', 'pos', 'late_return(CUSTOMER=' || case_id || ',ORDER=' || o || ')' FROM w UNION ALL SELECT case_id, atom, 'r_suspect', 'pos', 'order_done(ORDER=' || o || ')' FROM w""")
 def i8_proof_edges(t: Tables):
-    e = V.proof_edges(R.evaluate(W.frames(t), [W.LATE, W.SUSPECT]))
-    return e.where("kind = 'naf' OR depends_on LIKE 'order_done%'").select("case_id", "atom", "rule_id", "kind", "depends_on")
+    return V.proof_edges(R.evaluate(W.frames(t), [W.LATE, W.SUSPECT])).select("case_id", "atom", "rule_id", "kind", "depends_on")
+
+
+@query(W.SQL + _CHOSEN + """SELECT case_id, atom, 'derived' AS kind, 'r_late' AS rule_id, sub AS substitution, '{"pos":["order_placed(CUSTOMER=' || case_id || ',DATE=' || d1 || ',ORDER=' || ord || ')","line_returned(DATE=' || d2 || ',ORDER=' || ord || ',PART=' || part || ')"],"naf":["order_open(ORDER=' || ord || ')"]}' AS rests_on FROM m
+UNION ALL SELECT case_id, 'order_placed(CUSTOMER=' || case_id || ',DATE=' || d || ',ORDER=' || ord || ')', 'base', NULL, NULL, NULL FROM op UNION ALL SELECT case_id, 'line_returned(DATE=' || d || ',ORDER=' || ord || ',PART=' || part || ')', 'base', NULL, NULL, NULL FROM lr
+UNION ALL SELECT o_custkey, 'order_open(ORDER=' || ord || ')', 'base', NULL, NULL, NULL FROM oo JOIN orders ON o_orderkey = ord""")
+def i8_proof_table(t: Tables):
+    """What is stored of a run: base and derived atoms, the substitution, and what each rests on as JSON."""
+    f = W.frames(t)
+    return V.proof_table(R.evaluate({p: f[p] for p in ("order_placed", "line_returned", "order_open")}, [W.LATE]))
 
 
 @query(W.SQL + "SELECT case_id, query_id, verdict FROM v")
@@ -112,6 +127,15 @@ def i10_verdict_details(t: Tables):
     return v.where("verdict = 'blocked'").select("case_id", "query_id", F.concat_ws(";", "violated").alias("violated"))
 
 
+@query(W.SQL + "SELECT case_id, 'late_return(CUSTOMER=' || case_id || ',ORDER=' || query_id || ')' AS atom, 'line_returned' AS missing FROM v WHERE predicate = 'late_return' AND verdict = 'not_proved' AND query_id NOT IN (SELECT ord FROM lr)")
+def i10_missing_positives(t: Tables):
+    """For asked atoms that are not proved: the positive literals of the rule that no fact matches."""
+    f = W.frames(t)
+    refused = V.verdicts(R.evaluate(f, W.RULES), W.asked(t)).where("verdict = 'not_proved' AND predicate = 'late_return'")
+    asked = refused.select("case_id", "atom", F.col("case_id").alias("CUSTOMER"), F.col("query_id").alias("ORDER"))
+    return R.explain_missing(W.LATE, f, asked)
+
+
 @query(W.SQL + "SELECT case_id, query_id AS fact_id, CASE WHEN query_id % 10 = 0 THEN 'unknown' ELSE verdict END AS outcome FROM v WHERE predicate <> 'recalled'")
 def i11_feedback(t: Tables):
     candidates = W.asked(t).withColumnRenamed("query_id", "fact_id").where("predicate <> 'recalled'").withColumn("atom", F.when(F.col("fact_id") % 10 != 0, F.col("atom")))
@@ -220,8 +244,16 @@ def j12_violation_report(t: Tables):
 
 
 @query(W.SQL + """SELECT DISTINCT case_id, 'late_return(CUSTOMER=' || case_id || ',ORDER=' || ord || ')' AS atom, CASE WHEN ord IN (SELECT ord FROM oo) THEN 'rejected' ELSE 'proved' END AS status,
-CASE WHEN ord IN (SELECT ord FROM oo) THEN 'F' ELSE 'T' END AS value FROM lateb""")
-def i15_two_rounds(t: Tables):
-    frames = {p: f.withColumn("confidence", F.lit(1.0)) for p, f in W.frames(t).items()}
-    facts, _ = loop.refine([W.LATE], lambda _: frames, t.spark.createDataFrame([], loop.FACT), rounds=2)
+CASE WHEN ord IN (SELECT ord FROM oo) THEN 'F' ELSE 'T' END AS value FROM lateb UNION ALL SELECT DISTINCT case_id, 'watch(CUSTOMER=' || case_id || ')', 'proved', 'T' FROM late""")
+def i15_refinement_rounds(t: Tables):
+    """The second round rests on the first: customers are watched for late returns that are proved facts, which round one makes."""
+    base = {p: f.withColumn("confidence", F.lit(1.0)) for p, f in W.frames(t).items()}
+    watch = R.Rule("r_watch", R.lit("watch", CUSTOMER="C"), (R.lit("told_late", CUSTOMER="C", ORDER="_"),))
+
+    def frames_of(facts):
+        told = facts.where("status = 'proved' AND value = 'T' AND atom LIKE 'late_return(%'")
+        role = lambda name: F.regexp_extract("atom", name + r"=(\d+)", 1).cast("long").alias(name)
+        return base | {"told_late": told.select("case_id", role("CUSTOMER"), role("ORDER"), "confidence")}
+
+    facts, _ = loop.refine([W.LATE, watch], frames_of, t.spark.createDataFrame([], loop.FACT), rounds=3)
     return facts.select("case_id", "atom", "status", "value")

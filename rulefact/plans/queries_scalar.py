@@ -210,10 +210,13 @@ def b9_in_ontology(t: Tables):
     return filters.in_domain(states, schemas, "c_mktsegment").select("c_custkey", "c_mktsegment")
 
 
-@query("""SELECT p_brand AS round_id, p_partkey FROM part WHERE p_size % 3 = 0""")
+@query("""WITH l AS (SELECT p_brand AS round_id, p_partkey, p_size % 3 = 0 AS promoted FROM part) SELECT 'promoted' AS asked, round_id, p_partkey FROM l WHERE promoted
+UNION ALL SELECT 'all', round_id, p_partkey FROM l UNION ALL SELECT 'listed', round_id, p_partkey FROM l WHERE round_id IN ('Brand#1', 'Brand#11', 'Brand#12')""")
 def b10_round_filter(t: Tables):
     labels = t.part.select(F.col("p_brand").alias("round_id"), "p_partkey", (F.col("p_size") % 3 == 0).alias("promoted"))
-    return filters.rounds(labels, explicit=[], promoted_only=True).select("round_id", "p_partkey")
+    asked = {"promoted": ([], True), "all": ([], False), "listed": (["Brand#1", "Brand#11", "Brand#12"], True)}
+    found = [filters.rounds(labels, *how).select(F.lit(name).alias("asked"), "round_id", "p_partkey") for name, how in asked.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("""WITH x AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 1.5 ELSE value / 500 END AS confidence, CASE WHEN event_id % 13 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS id, event_id % 17 = 0 AS two FROM events)

@@ -203,6 +203,16 @@ def e12_accuracy_and_coverage(t: Tables):
     return _verdict_rows(t).agg(F.round(A.share(F.col("expected") == F.col("got")), 6).alias("accuracy"), F.round(A.share(F.col("got") != "unknown"), 6).alias("answer_coverage"), F.round(F.avg(proof), 6).alias("proof_coverage"))
 
 
+@query("SELECT 'case_coverage' AS metric, round(avg(CAST(c_custkey IN (SELECT o_custkey FROM orders) AS DOUBLE)), 6) AS value FROM customer UNION ALL SELECT 'extraction_coverage', round(avg(CAST(c_custkey IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R') AS DOUBLE)), 6) FROM customer")
+def e12_case_coverage(t: Tables):
+    """Shares of cases that have an answer, and that have an extracted fact."""
+    cases = t.customer.select(F.col("c_custkey").alias("case_id"))
+    answered = t.orders.select(F.col("o_custkey").alias("case_id"))
+    extracted = t.lineitem.where("l_returnflag = 'R'").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("case_id"))
+    parts = [A.coverage(cases, have, "case_id").select(F.lit(name).alias("metric"), F.round("share", 6).alias("value")) for name, have in (("case_coverage", answered), ("extraction_coverage", extracted))]
+    return parts[0].unionByName(parts[1])
+
+
 _CAL = "WITH x AS (SELECT least(value / 500, 1.0) AS p, CAST(event_type = 'purchase' AS DOUBLE) AS y FROM events)"
 
 
@@ -246,6 +256,15 @@ def e18_weekly_drift(t: Tables):
     return w.select("week", F.round("m", 6).alias("metric"), F.round(F.col("m") - F.lag("m").over(Window.orderBy("week")), 6).alias("drift"))
 
 
+@query("""WITH a AS (SELECT event_type AS metric, avg(value) AS v FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) AS v FROM events WHERE user_id % 2 = 1 AND event_type <> 'click' GROUP BY 1)
+SELECT coalesce(a.metric, b.metric) AS metric, round(a.v, 6) AS value, round(b.v, 6) AS baseline, round(a.v - b.v, 6) AS difference FROM a FULL JOIN b ON a.metric = b.metric""")
+def e18_baseline_difference(t: Tables):
+    """Metrics of a run beside those of a baseline run that lacks one of them."""
+    of = lambda rows: rows.groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    x = A.baseline_difference(of(t.events.where("user_id % 2 = 0")), of(t.events.where("user_id % 2 = 1 AND event_type <> 'click'")))
+    return x.select("metric", *(F.round(c, 6).alias(c) for c in ("value", "baseline", "difference")))
+
+
 @query("SELECT count_if(t >= 0) AS labelled, count_if(t = 0) AS n_t, count_if(t = 1) AS n_f, count_if(t = 2) AS n_u, round(sum(w) FILTER (t >= 0), 6) AS weight FROM (SELECT l_linenumber % 4 - 1 AS t, l_discount AS w FROM lineitem)")
 def e19_supervision_counts(t: Tables):
     x = A.supervision_counts(t.lineitem.select((F.col("l_linenumber") % 4 - 1).alias("target"), F.col("l_discount").alias("weight")))
@@ -432,6 +451,13 @@ def h8_reset_derived(t: Tables):
     return C.reset_report(facts, C.reset_derived(facts, F.col("o_custkey") % 2 == 0))
 
 
+@query("SELECT c_custkey AS entity_id, c_mktsegment AS value FROM customer WHERE c_nationkey % 2 = 1 OR c_acctbal > 0")
+def h8_pruned_states(t: Tables):
+    """States of some cases that no clamp holds are pruned; those of other cases stay."""
+    states = t.customer.select(F.col("c_nationkey").alias("case_id"), F.col("c_custkey").alias("entity_id"), F.col("c_mktsegment").alias("value"), (F.col("c_acctbal") > 0).alias("is_clamped"))
+    return C.pruned_states(states, F.col("case_id") % 2 == 0).select("entity_id", "value")
+
+
 @query("SELECT 'lines' AS table_name, count(*) AS n_deleted FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderstatus = 'P'")
 def h9_clear_dependants(t: Tables):
     gone = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))

@@ -65,6 +65,14 @@ def proof_edges(model: Model) -> DataFrame:
     return edge("pos", "pos_atoms").unionByName(edge("naf", "naf_atoms"))
 
 
+def proof_table(model: Model) -> DataFrame:
+    """case_id, atom, kind (base or derived), rule_id, substitution, rests_on: what a stored proof run holds of each atom; rests_on
+    is JSON with the atoms of the positive and the negated literals."""
+    p = model.atoms()
+    rests = F.when(F.col("proof").isNotNull(), F.to_json(F.struct(F.col("proof.pos_atoms").alias("pos"), F.col("proof.naf_atoms").alias("naf"))))
+    return p.select(CASE, "atom", F.when(F.col("proof").isNull(), "base").otherwise("derived").alias("kind"), "proof.rule_id", "proof.substitution", rests.alias("rests_on"))
+
+
 def proof_steps(model: Model, queries: DataFrame) -> DataFrame:
     """case_id, query_atom, atom, depth, rule_id, step: what the proofs of the asked atoms rest on, dependencies first.
 
