@@ -7,8 +7,9 @@ fill is split into windows of powers of two, so no sequence is padded. Windows o
 tokens so that the squared lengths of the groups are balanced.
 
 Each task packs what it reads: no shuffle, memory bounded by the pool (POOL pieces of less than one window).
-Defined cases: a null or empty text is one token (the end id); repeated rows and null doc_ids are packed like others; an empty
-table gives an empty result.
+Defined cases: a null or empty text is one token (the end id); repeated rows and null doc_ids are packed like others; a very long
+text is encoded whole and cut into windows at once; ties in length go to the piece that waits shortest; other columns are not
+read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,19 +1,22 @@
 """Rule bitmask ledger: measure each document once, keep failure bits, then apply policies and ablations to the bits.
 
 Defined cases: a null or empty text has no words and fails `few_words`; a null or repeated doc_id is an ordinary row;
-columns of the input other than doc_id and text are not read (an input column named like a measurement cannot clash).
+columns of the input other than doc_id and text are not read (an input column named like a measurement cannot clash); very long
+texts are measured whole, a few MB of text at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rulefact.llm.common import Texts, hash_runs, mix, slices
+from rulefact.llm.common import Texts, free_name, hash_runs, mix, slices
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_capital_words")
 
@@ -111,10 +114,12 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_batches, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def fail_bits(rules: list[tuple[str, str]] = RULES) -> Column:
-    """All rules in one number: bit k is set if rule k fails the document."""
+def fail_bits(rules: list[tuple[str, str]] = RULES, inside: str | None = None) -> Column:
+    """All rules in one number: bit k is set if rule k fails the document. inside: the struct column that holds the measurements."""
     bits = F.lit(0).cast("long")
     for k, (_, test) in enumerate(rules):
+        if inside:
+            test = re.sub(r"\bn?_?[a-z]+(?:_[a-z]+)*\b", lambda m: f"`{inside}`.{m[0]}" if m[0] in MEASURES else m[0], test)
         bits = bits.bitwiseOR(F.when(F.expr(test), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
     return bits
 
@@ -135,13 +140,14 @@ def judge(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     })
 
 
-def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
+def ablations(rows: DataFrame, policy: str = CURRENT, number: Column | None = None) -> DataFrame:
     """For each rule of a policy: documents it fails, documents only it rejects, and documents kept without it.
 
     Works on counts per distinct bit pattern (at most 2**rules rows), so a new policy costs no pass over the texts.
+    number: how many documents a group of rows stands for, if the rows are counts themselves.
     """
     mask = POLICIES[policy]
-    patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask)).alias("bits")).agg((F.count(F.lit(1)) if number is None else number).alias("n"))
     rules = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(bit).cast("long").alias("bit")) for name, bit in BIT.items() if bit & mask)))
     x = patterns.select("bits", "n", rules.alias("r")).select("bits", "n", "r.rule", "r.bit")
     others = F.col("bits").bitwiseAND(F.bitwise_not(F.col("bit")))
@@ -154,20 +160,17 @@ def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents a policy keeps, with all their columns: the ledger runs beside the rows, so no join is needed."""
-    mask, schema = POLICIES[policy], docs.schema
-    at = docs.columns.index("text")
+    """The documents a policy keeps, with all their columns, whatever their names: the measurements run beside the rows, so no
+    join is needed, and the rules are those of the ledger."""
+    at, name = docs.columns.index("text"), free_name(docs, "measured")
+    measured = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, part in slices(batch.column(at)):
-                m = dict(zip(MEASURES, _measure(Texts(part)), strict=True))
-                bits = np.zeros(len(part), np.int64)
-                for k, (_, test) in enumerate(RULES):
-                    failed = np.ones(len(part), bool)
-                    for clause in test.split(" AND "):
-                        failed &= eval(clause, {"__builtins__": {}}, m)  # noqa: S307  the constants of RULES
-                    bits |= failed.astype(np.int64) << k
-                yield batch.slice(start, len(part)).filter(pa.array((bits & mask) == 0))
-
-    return docs.mapInArrow(keep, schema)
+                found = pa.StructArray.from_arrays([pa.array(np.asarray(x, np.int64)) for x in _measure(Texts(part))], names=list(MEASURES))
+                own = batch.slice(start, len(part))
+                yield pa.RecordBatch.from_arrays([*own.columns, found], names=[*own.schema.names, name])
+
+    rows = docs.mapInArrow(beside, T.StructType([*docs.schema.fields, T.StructField(name, measured)]))
+    return rows.where(fail_bits(inside=name).bitwiseAND(F.lit(POLICIES[policy])) == 0).drop(name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, quality, sharding, token_counts, urls
-from rulefact.llm.common import read_table, stored
+from rulefact.llm.common import read_table
 
 
 def op1_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.with_sums(stored(token_counts.histogram(read_table(spark, sf_dir, "documents")), "lengths"))
+    return token_counts.report(read_table(spark, sf_dir, "documents"), limits=[1 << k for k in range(7, 18)], shares=[0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0])
 
 
 def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policies v1 and v2 rejects, alone and with others: from counts of bit patterns."""
+    rows = quality.ledger(read_table(spark, sf_dir, "documents")).groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
+    found = [quality.ablations(rows, p, F.sum("n")).withColumn("policy", F.lit(p)) for p in ("v1", "v2")]
+    return found[0].unionByName(found[1])
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -54,13 +61,13 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op7_hpy_scores, op8_quality_ledger, op9_mixing, op10_chat_repair]
+    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op7_hpy_scores, op8_quality_ledger, op9_mixing, op10_chat_repair, quality_ablations]
     return {f.__name__: f for f in found}
 
 
 _SPLIT = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-_OP8 = (
+_LEDGER = (
     "WITH w AS (SELECT doc_id, coalesce(text, '') AS t, " + _SPLIT.format("coalesce(text, '')") + " AS w FROM documents), "
     "g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)), "
     "r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), "
@@ -72,10 +79,18 @@ _OP8 = (
     "len(list_filter(w, lambda x: length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 2 AND NOT regexp_matches(x, '[a-z]'))) AS n_capital_words "
     "FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)), "
     "b AS (SELECT *, CAST(" + " + ".join(f"CASE WHEN {test} THEN {1 << k} ELSE 0 END" for k, (_, test) in enumerate(quality.RULES)) + " AS BIGINT) AS fail_bits FROM m) "
+)
+
+_OP8 = _LEDGER + (
     "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & "
     f"{quality.POLICIES['base']} <> 0 AS base_failed, fail_bits & {quality.POLICIES[quality.CURRENT]} = 0 AS kept, fail_bits, '{quality.CURRENT}' AS policy FROM b"
 )
 
+_ABLATIONS = _LEDGER + " UNION ALL ".join(
+    f"SELECT '{p}' AS policy, '{rule}' AS rule, count_if(fail_bits & {bit} <> 0) AS n_failed, count_if(fail_bits & {quality.POLICIES[p]} = {bit}) AS n_only_this, count_if(fail_bits & {quality.POLICIES[p] - bit} = 0) AS n_kept_without FROM b"
+    for p in ("v1", "v2") for rule, bit in quality.BIT.items() if bit & quality.POLICIES[p]
+)
+
 _OP4 = (
     "WITH RECURSIVE w AS (SELECT doc_id, " + _SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + " AS w FROM documents), "
     "s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)), "
@@ -92,4 +107,4 @@ _OP4 = (
 
 def oracle_sql() -> dict[str, str]:
     """The others sample, hash, tokenize or train, which SQL cannot express; tests hold them against brute force."""
-    return {"op4_setsketch_dedup": _OP4, "op8_quality_ledger": _OP8}
+    return {"op4_setsketch_dedup": _OP4, "op8_quality_ledger": _OP8, "quality_ablations": _ABLATIONS}

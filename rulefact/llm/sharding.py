@@ -2,11 +2,14 @@
 
 Every key (doc_id with its text) has a place on a ring of cells; each shard owns many virtual nodes there. A key goes to the
 next virtual node clockwise whose shard still has room; a shard has room up to (1 + slack) times the mean load, so loads are
-near equal, and adding a shard moves few keys. Loads are counted per cell in Spark; only the table of cells (65,536 rows at
-most, whatever the input) is walked on the driver, and it comes back as a broadcast of that bound.
+near equal, and adding a shard moves few keys. Loads are counted per cell in Spark; only the table of cells (65,536 rows of 20
+bytes at most, whatever the input) is walked on the driver, and it comes back as a broadcast of that bound.
 
+Of the laws of the query this is `bytes`: sizes are near equal. Equal texts of different documents are different keys and may
+part; equal rows stay together.
 Defined cases: a null text has size 1 and CRC 0; null doc_ids are keys like others; repeated rows are one key and stay
-together; a key larger than any shard's room goes to the emptiest shard. An empty table gives an empty result.
+together; a key larger than any shard's room goes to the emptiest shard; very long texts are only hashed and measured; other
+columns are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

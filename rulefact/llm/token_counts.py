@@ -1,7 +1,7 @@
 """Exact token counts through a histogram of encoded lengths and its suffix sums.
 
-Defined cases: a null or empty text has length 0 and counts as a document; repeated rows count each time; an empty table gives
-an empty histogram.
+Defined cases: a null or empty text has length 0 and counts as a document; repeated rows count each time; very long texts are
+encoded whole; other columns are not read, whatever their names; an empty table gives an empty histogram (and totals of 0).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulefact.llm.common import encode
+from rulefact.llm.common import encode, stored
 
 #: Lengths are summed in blocks of so many, so that no window runs over all of them.
 BLOCK = 1024
@@ -58,16 +58,25 @@ def with_sums(hist: DataFrame) -> DataFrame:
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """Total tokens if documents are cut at each limit, also between observed lengths: the next observed length L above gives
     truncated_total(L) - docs_at_least(L) * (L - limit); beyond the longest document nothing is cut."""
-    spark = sums.sparkSession
-    want = spark.createDataFrame([(int(x),) for x in limits], "limit long")
+    want = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
     next_up = sums.join(F.broadcast(want), F.col("length") >= F.col("limit")).groupBy("limit").agg(F.min_by(F.struct("length", "docs_at_least", "truncated_total"), "length").alias("u"))
-    total = sums.agg(F.sum("n_tokens").alias("all"))
-    return want.join(next_up, "limit", "left").crossJoin(total).select("limit", F.coalesce(F.col("u.truncated_total") - F.col("u.docs_at_least") * (F.col("u.length") - F.col("limit")), F.col("all"), F.lit(0)).alias("truncated_total"))
+    whole = sums.agg(F.sum("n_tokens")).first()[0] or 0
+    return want.join(next_up, "limit", "left").select("limit", F.coalesce(F.col("u.truncated_total") - F.col("u.docs_at_least") * (F.col("u.length") - F.col("limit")), F.lit(whole)).alias("truncated_total"))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """For each share q in (0, 1]: the smallest length that at least q of the documents do not exceed."""
-    spark = sums.sparkSession
-    want = spark.createDataFrame([(float(x),) for x in shares], "share double")
-    n = sums.agg(F.sum("n_docs").alias("all"))
-    return sums.crossJoin(n).join(F.broadcast(want), F.col("docs_at_most") >= F.ceil(F.col("share") * F.col("all"))).groupBy("share").agg(F.min("length").alias("length"))
+    want = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
+    n = sums.agg(F.sum("n_docs")).first()[0] or 0
+    return sums.join(F.broadcast(want), F.col("docs_at_most") >= F.ceil(F.col("share") * n)).groupBy("share").agg(F.min("length").alias("length"))
+
+
+def report(docs: DataFrame, limits: list[int], shares: list[float], vocabulary: str | None = None) -> DataFrame:
+    """The histogram with its sums (kind `length`), and what they answer: totals at context limits (kind `limit`) and quantiles
+    (kind `quantile`). The texts are encoded once; the rest works on the histogram."""
+    sums = stored(with_sums(stored(histogram(docs, vocabulary), "lengths")), "length-sums")
+    columns = [c for c in sums.columns if c != "length"]
+    rows = sums.select(F.lit("length").alias("kind"), "length", F.lit(None).cast("double").alias("share"), *columns)
+    none = lambda *but: [F.lit(None).cast("long").alias(c) for c in columns if c not in but]
+    at = at_limits(sums, limits).select(F.lit("limit").alias("kind"), F.col("limit").alias("length"), F.lit(None).cast("double").alias("share"), *none("truncated_total"), "truncated_total")
+    return rows.unionByName(at).unionByName(quantiles(sums, shares).select(F.lit("quantile").alias("kind"), "length", "share", *none()))

@@ -4,7 +4,8 @@ Everything is DataFrame functions: n-grams, hashing, training (gradient steps ov
 The labelled table is bounded by TRAIN_ROWS (a parameter); the weights are one array of BUCKETS numbers, whatever the input.
 
 Defined cases: a null url or one without `://` has an empty host and path, no rule, and the model's verdict on an empty url
-(its intercept); repeated rows are judged alike; other columns of the input are not read; an empty table gives an empty result.
+(its intercept); repeated rows are judged alike; very long urls are read whole, each gram counts once; other columns of the input
+are not read; an empty table gives an empty result; without labelled rows the model allows all.
 """
 
 from __future__ import annotations
@@ -14,35 +15,44 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, GRAM, TRAIN_ROWS, STEPS = 4096, 4, 20_000, 25
+BUCKETS, GRAM, TRAIN_ROWS, STEPS = 16_384, 4, 20_000, 14
 
 #: host, path, verdict
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
-#: Words of unwanted and of ordinary sites, from which the small labelled table is built.
-UNWANTED = "casino poker betting bets jackpot pills pharmacy viagra adult porn xxx sexcam spam linkfarm farm ads adserver track tracker clickbait warez crack torrent payday replica".split()
+#: Words of unwanted and of ordinary sites, and syllables of hosts that mean nothing: the small labelled table is built from them.
+UNWANTED = "casino poker betting bets jackpot pills pharmacy viagra adult porn xxx sexcam spam linkfarm adserver tracker clickbait warez crack torrent payday replica".split()
 ORDINARY = "news library school garden museum recipes weather history science travel forum wiki journal music health city sports research kitchen letters books market teacher river".split()
-#: Ordinary syllables, which the model must not hold against a host.
 SYLLABLES = "the er in on an re ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve al me ne ra co ma la".split()
-
-
-def _grid(words: list[str], others: list[str]) -> list[str]:
-    ends = ["com", "net", "org"]
-    lines = []
-    for k, (w, o) in enumerate(product(words, others)):
-        host = (f"{w}-{o}", f"{w}{o}", f"www.{w}-{o}", f"{o}-{w}", f"blog.{w}")[k % 5]
-        n = k * 7 % 50  # both classes see the same paths
-        path = (f"/{n}", f"/{n}.html", "/", f"/en/{n}", f"/de/{n}/?id={n}")[(k // 5) % 5]
-        lines.append(f"http{'s' * (k % 2)}://{host}.{ends[k % 3]}{path}")
-    return lines
+#: Ends of hosts and paths that both classes have, and those that only unwanted sites have.
+ENDS, ODD_ENDS = "com net org edu gov de fr info co.uk io".split(), "xyz top click icu bid loan win".split()
+PATHS = ["/", "/{n}", "/{n}.html", "/en/{n}", "/de/{n}/?id={n}", "/fr/{n}", "/about", "/news/{n}/", "", "/es/{n}.html", "/wiki/{n}"]
+ODD_PATHS = ["/go.php?to={n}", "/aff/{n}", "/click?id={n}", "/promo-{n}", "/win/{n}", "/redirect/{n}", "/free-{n}.exe"]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: url, bad (1 or 0)."""
-    neutral = ["win", "online", "best", "free", "site", "x", "24", "home"]
-    bad = _grid(UNWANTED, neutral)
-    good = _grid(ORDINARY, neutral[1:3] + neutral[4:]) + _grid(["".join(p) for p in product(SYLLABLES[:12], SYLLABLES)], [SYLLABLES[3]])
-    return spark.createDataFrame([(u, 1) for u in bad] + [(u, 0) for u in good], "url string, bad int")
+    """The small labelled table: url, bad (1 or 0). Words without a meaning stand in both classes; what tells the classes apart are
+    unwanted words on any host, or odd ends, numbers and paths on hosts of any word."""
+    made = ["".join(p) for k, p in enumerate(product(SYLLABLES, SYLLABLES)) if k % 3 == 0] + ["".join(p) for k, p in enumerate(product(SYLLABLES[:14], SYLLABLES[:14], SYLLABLES)) if k % 17 == 0]
+    rows = []
+
+    def add(bad: int, host: str, end: str, path: str) -> None:
+        n = len(rows) * 7919 % 9973
+        rows.append((f"http{'s' * (len(rows) % 2)}://{host}.{end}{path.format(n=n)}", bad))
+
+    for k, word in enumerate(made):
+        n = k * 37 % 991
+        sub = ("", "www.", "blog.", "m.", "shop.")[k % 5]
+        other = made[(k * 31 + 7) % len(made)]
+        add(0, f"{sub}{word}", ENDS[k % len(ENDS)], PATHS[k % len(PATHS)])
+        add(0, f"{sub}{(word, f'{word}-{other}', f'{word}{other}')[k % 3]}.example", ENDS[k % 3], PATHS[(k * 3 + 1) % len(PATHS)])
+        add(1, (f"{word}-{n}", f"{n}{word}", f"{word}{n}-{other}", f"{other}-{word}-{n}")[k % 4], ODD_ENDS[k % len(ODD_ENDS)], ODD_PATHS[k % len(ODD_PATHS)])
+        topic, plain = UNWANTED[k % len(UNWANTED)], ORDINARY[k % len(ORDINARY)]
+        join = k // 24 % 5
+        add(1, (f"{topic}-{word}", f"{topic}{word}", f"www.{word}-{topic}", f"{word}{topic}", f"{topic}.{word}")[join], ENDS[k % len(ENDS)], PATHS[(k * 5 + 2) % len(PATHS)])
+        if k % 2:
+            add(0, (f"{plain}-{word}", f"{plain}{word}", f"www.{word}-{plain}", f"{word}{plain}", f"{plain}.{word}")[join], ENDS[(k + 1) % len(ENDS)], PATHS[(k * 5 + 3) % len(PATHS)])
+    return spark.createDataFrame(rows, "url string, bad int")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -69,21 +79,27 @@ def grams(host: Column, path: Column, n: int = GRAM, buckets: int = BUCKETS) ->
     return F.array_distinct(F.concat(of(F.concat(F.lit("^"), host, F.lit("$")), 1), of(path, 2)))
 
 
-def train(labelled: DataFrame, steps: int = STEPS, rate: float = 0.25, ridge: float = 0.3, rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> list[float]:
+def train(labelled: DataFrame, steps: int = STEPS, rate: float = 0.3, ridge: float = 0.3, rows: int = TRAIN_ROWS, buckets: int = BUCKETS, false_alarms: float = 0.01) -> list[float]:
     """Weights of the buckets and, last, the intercept: logistic regression with a ridge, by Newton steps on the diagonal, each
-    one grouped sum over the table.
+    one grouped sum over the table. Both classes weigh alike, whatever their numbers.
 
-    At most `rows` labelled rows are used, the first by hash.
+    At most `rows` labelled rows are used, the first by hash; a fifth of them is held out and sets the intercept, so that at most a
+    share of `false_alarms` of its ordinary urls is called unwanted.
     """
     host, path = host_and_path(F.col("url"))
     x = labelled.where("bad is not null").orderBy(F.xxhash64("url"), "url", "bad").limit(rows)
-    x = x.select(F.col("bad").cast("double").alias("bad"), F.concat(grams(host, path, buckets=buckets), F.array(F.lit(buckets))).alias("g")).coalesce(1).cache()
+    x = x.select(F.col("bad").cast("double").alias("bad"), (F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(5)) == 0).alias("held"), F.concat(grams(host, path, buckets=buckets), F.array(F.lit(buckets))).alias("g")).coalesce(1).cache()
+    count = {r["bad"]: r["n"] for r in x.where("NOT held").groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = F.when(F.col("bad") == 1, 1 / count.get(1.0, 1)).otherwise(1 / count.get(0.0, 1)) * (sum(count.values()) / 2)
     weights = [0.0] * (buckets + 1)
     for _ in range(steps):
-        p = x.select("g", "bad", (1 / (1 + F.exp(-_margin(F.col("g"), weights)))).alias("p"))
-        part = p.select(F.explode("g").alias("k"), ((F.col("p") - F.col("bad")) / F.sqrt(F.size("g"))).alias("d"), (F.col("p") * (1 - F.col("p")) / F.size("g")).alias("h"))
+        p = x.where("NOT held").select("g", "bad", weight.alias("w"), (1 / (1 + F.exp(-_margin(F.col("g"), weights)))).alias("p"))
+        part = p.select(F.explode("g").alias("k"), (F.col("w") * (F.col("p") - F.col("bad")) / F.sqrt(F.size("g"))).alias("d"), (F.col("w") * F.col("p") * (1 - F.col("p")) / F.size("g")).alias("h"))
         for k, d, h in part.groupBy("k").agg(F.sum("d"), F.sum("h")).collect():  # at most buckets + 1 rows
             weights[k] -= rate * (d + ridge * 0.1 * weights[k]) / (h + ridge * 0.1)
+    # The intercept counts over the root of the number of grams, as every weight does: the held-out quantile is taken in its units.
+    shift = x.where("held AND bad = 0").agg(F.percentile(_margin(F.col("g"), weights) * F.sqrt(F.size("g")), F.lit(1 - false_alarms))).first()[0]
+    weights[buckets] -= max(shift or 0.0, 0.0)
     x.unpersist()
     return weights
 
