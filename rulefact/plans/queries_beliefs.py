@@ -51,12 +51,16 @@ def _facts(t: Tables):
     return o.select(F.col("c_nationkey").alias("case_id"), F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("entity_id"), F.when(s == "F", "T").when(s == "P", "F").alias("value"), F.lit(None).cast("array<double>").alias("logits"), F.when(s == "F", "observed").otherwise("candidate").alias("status"))
 
 
+def _fact_nodes(t: Tables):
+    return B.fact_nodes(_facts(t))
+
+
 def _args(t: Tables):
     return _facts(t).select("case_id", "fact_id", F.lit("ORDER_PLACED").alias("predicate"), F.lit("CUSTOMER").alias("role"), "entity_id")
 
 
 def _graph(t: Tables):
-    nodes = _clusters(t).unionByName(B.fact_nodes(_facts(t)))
+    nodes = _clusters(t).unionByName(_fact_nodes(t))
     rules = t.spark.createDataFrame([("ORDER_PLACED", "CUSTOMER", "tier")], "predicate string, role string, cluster string")
     edges = B.support_edges(rules, _args(t))
     rel = ("fact", "supports:order_placed:CUSTOMER", "c_tier")

@@ -37,6 +37,23 @@ def a9_report_file(t: Tables):
     return x.select(F.round(F.col("m")["accuracy"], 6).alias("accuracy"), F.round(F.col("m")["answer_coverage"], 6).alias("answer_coverage"))
 
 
+@query(r"""WITH x AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), ' ') AS f FROM documents)
+SELECT 'd' || doc_id AS case_id, CASE WHEN length(f) <= 80 THEN f ELSE rtrim(left(f, 77), ' ') || '...' END AS excerpt FROM x""")
+def a8_template_csv(t: Tables):
+    """The same template as CSV with a header; quotes are doubled, so that excerpts come back as they are."""
+    path, how = _folder(t, "template-csv"), {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    S.annotation_template(t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("case_id"), excerpt(F.col("text"), 80).alias("excerpt"))).write.options(**how).csv(path)
+    return t.spark.read.options(**how).schema("case_id string, excerpt string, query string, expected_result string").csv(path).where("coalesce(query, '') = '' AND coalesce(expected_result, '') = ''").select("case_id", F.coalesce("excerpt", F.lit("")).alias("excerpt"))
+
+
+@query(W.SQL + ", e AS (SELECT case_id, query_id, verdict, CASE WHEN query_id % 2 = 0 THEN 'not_proved' ELSE 'proved' END AS expected FROM v) SELECT case_id, query_id, expected, verdict, verdict = expected OR (verdict = 'blocked' AND expected = 'not_proved') AS correct FROM e")
+def a9_query_csv(t: Tables):
+    """One line per evaluated query, written as CSV and read back."""
+    path = _folder(t, "per-query")
+    _evaluated(t).select("case_id", "query_id", "expected", "verdict", "correct").write.option("header", True).csv(path)
+    return t.spark.read.option("header", True).schema("case_id long, query_id long, expected string, verdict string, correct boolean").csv(path)
+
+
 @query("SELECT o_custkey AS proof_id, o_orderkey AS step FROM orders")
 def a15_proof_steps_from_json(t: Tables):
     """Proof runs stored as an object of steps or as a list come back as ordered steps."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rulefact.operators import extract as X
 from rulefact.operators import resolve as N
 from rulefact.operators import selftrain as O  # noqa: N812
 from rulefact.plans import rules as R
@@ -11,6 +12,7 @@ from rulefact.plans import views as V
 from rulefact.plans import world as W
 from rulefact.plans.queries_beliefs import _args as belief_args
 from rulefact.plans.queries_beliefs import _clusters
+from rulefact.plans.queries_beliefs import _fact_nodes as belief_fact_nodes
 from rulefact.plans.registry import Tables, query
 from rulefact.sources import records as S
 from rulefact.sources.durable import shared_folder
@@ -152,6 +154,32 @@ def n5_referenced_entities(t: Tables):
     return N.referenced_entities(args, known, F.col("role")).select("entity_id", "type")
 
 
+@query("""SELECT o_orderkey AS case_id, 'entity' AS kind, id, detail FROM orders, (VALUES ('CUST1', 'CUSTOMER/Klient'), ('STORE1', 'STORE/Sklep')) v(id, detail)
+UNION ALL SELECT o_orderkey, 'entity', 'c' || o_custkey, 'CUSTOMER/' || CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_custkey ELSE o_orderpriority END FROM orders UNION ALL SELECT o_orderkey, 'entity', 'o' || o_orderkey, 'ORDER/o' || o_orderkey FROM orders
+UNION ALL SELECT o_orderkey, 'entity', 's' || o_orderkey, 'SHOP/s' || o_orderkey FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, 'fact', 'PLACED', 'ORDER:o' || o_orderkey || '|STATUS:' || o_orderstatus FROM orders
+UNION ALL SELECT o_orderkey, 'state', 'c' || o_custkey, CASE o_orderstatus WHEN 'F' THEN '10.0,-10.0' ELSE '-10.0,10.0' END FROM orders WHERE o_orderstatus IN ('F', 'O') UNION ALL SELECT o_orderkey, 'state', 's' || o_orderkey, '10.0,-10.0' FROM orders WHERE o_orderstatus = 'F'""")
+def n6_extraction_payloads(t: Tables):
+    """A JSON payload per order, with blanks, repeated facts, facts without arguments, unknown clusters and values outside the domain."""
+    text = lambda x: F.lit(x).cast("string")
+    cust, order, status = (F.concat(F.lit(p), F.col(c).cast("string")) for p, c in (("c", "o_custkey"), ("o", "o_orderkey"), ("", "o_orderstatus")))
+    entity = F.struct(F.concat(F.lit(" "), cust).alias("entity_id"), F.lit("customer").alias("type"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(" ")).otherwise(F.col("o_orderpriority")).alias("canonical_name"), text(None).alias("span_text"))
+    arg = lambda role, e, v: F.struct(F.lit(role).alias("role"), e.alias("entity_id"), v.alias("literal_value"))
+    fact = lambda name, *args: F.struct(F.lit(name).alias("predicate"), F.array(*args).alias("args"), text(None).alias("span_text"))
+    placed = fact(" placed", arg("order", order, text(None)), arg("Status ", text(""), status), arg("", order, text(None)), arg("none", text(None), text(" ")))
+    again = fact("PLACED", arg("STATUS", text(None), status), arg("ORDER", order, text("x")))
+    state = lambda e, cluster, v: F.struct(e.alias("entity_id"), F.lit(cluster).alias("cluster_name"), v.alias("value"), text(None).alias("span_text"))
+    states = F.array(state(cust, "tier", F.lower(status)), state(cust, "tier", F.lit("f")), state(cust, "colour", F.lit("f")), state(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")), "shop", status))
+    lines = t.orders.select(F.col("o_orderkey").alias("case_id"), F.to_json(F.struct(F.array(entity).alias("entities"), F.array(placed, again, fact("lonely", arg("", order, order))).alias("facts"), F.when(F.col("o_orderstatus").isin("F", "O"), states).alias("cluster_states"))).alias("line"))
+    rows = S.decoded(lines, "line", X.PAYLOAD)[0]
+    schemas = t.spark.createDataFrame([("tier", "CUSTOMER", ["F", "O"]), ("shop", "SHOP", ["F", "X"])], "cluster string, entity_type string, domain array<string>")
+    facts, found = X.extracted_facts(rows), X.extracted_states(rows, schemas)
+    entities = X.extracted_entities(rows, facts, found, t.spark.createDataFrame([("ORDER", "ORDER")], "role string, entity_type string"))
+    out = entities.select("case_id", F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.concat_ws("/", "type", "canonical_name").alias("detail"))
+    out = out.unionByName(facts.select("case_id", F.lit("fact").alias("kind"), F.col("predicate").alias("id"), F.col("key").alias("detail")))
+    return out.unionByName(found.select("case_id", F.lit("state").alias("kind"), F.col("entity_id").alias("id"), F.concat_ws(",", F.col("logits").cast("array<string>")).alias("detail")))
+
+
 @query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 7 = 0 THEN 'odd' ELSE 'placed' END AS p FROM orders)
 SELECT c AS case_id, 'values' AS kind, c || '/status' AS subject FROM o GROUP BY c HAVING count(DISTINCT s) > 1
 UNION ALL SELECT c, 'optional_args', p || '/' || (k % 4) FROM o GROUP BY c, p, k % 4 HAVING count(DISTINCT CASE WHEN k % 3 = 1 AND k % 5 <> 0 THEN 'd' ELSE CAST(k AS VARCHAR) END) > 1
@@ -353,9 +381,17 @@ def p8_proof_graph_edges(t: Tables):
     return V.proof_graph(R.evaluate(W.frames(t), [W.LATE]))[1].select("case_id", "atom", "depends_on", "kind")
 
 
-@query("""SELECT 'state' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'customer', count(*) FROM orders JOIN customer ON o_custkey = c_custkey""")
+@query("""SELECT c_nationkey AS case_id, 'entity:' || c_custkey AS src, 'c_tier:' || c_custkey AS dst, 'state' AS kind FROM customer
+UNION ALL SELECT c_nationkey, 'fact:' || o_orderkey, 'entity:' || c_custkey, 'customer' FROM orders JOIN customer ON o_custkey = c_custkey""")
 def p9_case_network(t: Tables):
-    return V.case_network(_clusters(t), belief_args(t))[1].groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return V.case_network(_clusters(t), belief_args(t))[1].select("case_id", "src", "dst", "kind")
+
+
+@query("""SELECT c_nationkey AS case_id, 'c_tier:' || c_custkey AS id, 'cluster' AS kind FROM customer UNION ALL SELECT c_nationkey, 'entity:' || c_custkey, 'entity' FROM customer
+UNION ALL SELECT c_nationkey, 'fact:' || o_orderkey, 'fact' FROM orders JOIN customer ON o_custkey = c_custkey""")
+def p9_network_nodes(t: Tables):
+    nodes = _clusters(t).unionByName(belief_fact_nodes(t))
+    return V.case_network(nodes, belief_args(t))[0].select("case_id", "id", "kind")
 
 
 @query("SELECT case_id, section, string_agg(line, chr(10) ORDER BY place) AS brief FROM (SELECT o_custkey AS case_id, o_orderstatus AS section, 'order ' || o_orderkey AS line, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS place FROM orders QUALIFY place <= 3) GROUP BY ALL")
