@@ -364,6 +364,52 @@ def p6_fact_catalogue(t: Tables):
     return V.fact_catalogue(facts, args, traces, t.customer.select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("source"))).select("fact_id", F.nullif("args", F.lit("")).alias("args"), "n_args", "n_traces", "source")
 
 
+@query("""SELECT c_custkey AS entity_id, 'CUSTOMER' AS type, c_name AS canonical_name, (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS n_facts, CAST(c_acctbal > 0 AS BIGINT) AS n_states FROM customer""")
+def p6_entity_catalogue(t: Tables):
+    entities = t.customer.select(F.col("c_custkey").alias("entity_id"), F.lit("CUSTOMER").alias("type"), F.col("c_name").alias("canonical_name"))
+    return V.entity_catalogue(entities, t.orders.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("fact_id")), t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("entity_id")))
+
+
+@query("""SELECT c_custkey AS case_id, (SELECT count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS n_facts, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_queries,
+(SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n_sources FROM customer""")
+def p6_case_catalogue(t: Tables):
+    owned = t.orders.select(F.col("o_custkey").alias("case_id"), "o_orderkey", "o_orderstatus")
+    facts = t.lineitem.join(owned, F.col("l_orderkey") == F.col("o_orderkey")).select("case_id")
+    return V.case_catalogue(t.customer.select(F.col("c_custkey").alias("case_id")), facts, owned, owned.where("o_orderstatus = 'F'"))
+
+
+@query("""SELECT s_suppkey AS source_id, s_name AS name, count(l_orderkey) AS n_facts, count(DISTINCT l_orderkey) AS n_cases FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+def p6_source_catalogue(t: Tables):
+    return V.source_catalogue(t.supplier.select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name")), t.lineitem.select(F.col("l_suppkey").alias("source_id"), F.col("l_orderkey").alias("case_id")))
+
+
+@query("SELECT 'CUSTOMER' AS type, count(*) AS n_entities FROM customer UNION ALL SELECT 'STORE', count(*) FROM supplier")
+def p6_type_catalogue(t: Tables):
+    return V.type_catalogue(t.customer.select(F.lit("CUSTOMER").alias("type")).unionByName(t.supplier.select(F.lit("STORE").alias("type"))))
+
+
+@query(W.SQL + """SELECT 'order_placed' AS predicate, 3 AS arity, count(*) AS n_facts, 2 AS n_rules FROM op UNION ALL SELECT 'line_returned', 3, count(*), 2 FROM lr UNION ALL SELECT 'order_open', 1, count(*), 1 FROM oo UNION ALL SELECT 'order_done', 1, count(*), 1 FROM od
+UNION ALL SELECT 'line_shipped', 3, count(*), 0 FROM (SELECT DISTINCT o_custkey, l_orderkey, l_partkey, CAST(l_shipdate AS DATE) FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""")
+def p6_predicate_catalogue(t: Tables):
+    return V.predicate_catalogue(W.frames(t), W.RULES)
+
+
+@query(W.SQL + """SELECT 'r_late' AS rule_id, 'late_return' AS head, 1 AS stratum, 2 AS n_pos, 1 AS n_naf, count(*) AS n_proved FROM late UNION ALL SELECT 'r_suspect', 'suspect', 1, 2, 0, count(*) FROM suspect UNION ALL SELECT 'r_clean', 'clean', 2, 1, 2, count(*) FROM clean""")
+def p6_rule_catalogue(t: Tables):
+    return V.rule_catalogue(R.evaluate(W.frames(t), W.RULES))
+
+
+@query("""SELECT 'segment' AS cluster, 'CUSTOMER' AS entity_type, 5 AS n_domain, count(*) AS n_states, count_if(c_acctbal > 0) AS n_clamped, count(DISTINCT c_mktsegment) AS n_values FROM customer UNION ALL SELECT 'idle', 'STORE', 1, 0, 0, 0""")
+def p6_cluster_catalogue(t: Tables):
+    schemas = t.spark.createDataFrame([("segment", "CUSTOMER", list("abcde")), ("idle", "STORE", ["x"])], "cluster string, entity_type string, domain array<string>")
+    return V.cluster_catalogue(schemas, t.customer.select(F.lit("segment").alias("cluster"), F.col("c_mktsegment").alias("value"), (F.col("c_acctbal") > 0).alias("is_clamped")))
+
+
+@query("SELECT p_brand AS module, count(*) AS n_rules, count_if(p_retailprice > 1000) AS n_enabled, min(p_size % 4) AS lowest, max(p_size % 4) AS highest FROM part GROUP BY 1")
+def p6_module_catalogue(t: Tables):
+    return V.module_catalogue(t.part.select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("module"), (F.col("p_size") % 4).alias("stratum"), (F.col("p_retailprice") > 1000).alias("enabled")))
+
+
 @query(W.SQL + "SELECT case_id, 'late_return(CUSTOMER=' || case_id || ',ORDER=' || ord || ')' AS atom, 'r_late' AS rule_id, 2 AS n_pos, 1 AS n_naf FROM late")
 def p7_proof_view(t: Tables):
     return V.proof_view(R.evaluate(W.frames(t), [W.LATE])).select("case_id", "atom", "rule_id", "n_pos", "n_naf")

@@ -53,6 +53,61 @@ def fact_catalogue(facts: DataFrame, args: DataFrame, traces: DataFrame, sources
     return facts.join(a, "fact_id", "left").join(n, "fact_id", "left").join(sources, "source_id", "left").na.fill(0, ["n_args", "n_traces"])
 
 
+def _counted(rows: DataFrame, others: dict[str, DataFrame], key: str) -> DataFrame:
+    """rows with, for each other table, the number of its rows of the same key (0 if none)."""
+    for name, other in others.items():
+        rows = rows.join(other.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left")
+    return rows.na.fill(0, list(others))
+
+
+def entity_catalogue(entities: DataFrame, args: DataFrame, states: DataFrame) -> DataFrame:
+    """entities(entity_id, type, canonical_name) with the facts that name each and its states."""
+    return _counted(entities, {"n_facts": args.select("entity_id", "fact_id").distinct(), "n_states": states}, "entity_id")
+
+
+def case_catalogue(cases: DataFrame, facts: DataFrame, queries: DataFrame, sources: DataFrame) -> DataFrame:
+    return _counted(cases, {"n_facts": facts, "n_queries": queries, "n_sources": sources}, CASE)
+
+
+def source_catalogue(sources: DataFrame, facts: DataFrame) -> DataFrame:
+    """sources(source_id, name) with their facts and the cases those belong to."""
+    cases = facts.select("source_id", CASE).distinct()
+    return _counted(sources, {"n_facts": facts, "n_cases": cases}, "source_id")
+
+
+def type_catalogue(entities: DataFrame) -> DataFrame:
+    return entities.groupBy("type").agg(F.count(F.lit(1)).alias("n_entities"))
+
+
+def predicate_catalogue(frames: dict[str, DataFrame], rules: list) -> DataFrame:
+    """predicate, arity, n_facts, n_rules (that use it) of every predicate frame."""
+    out = None
+    for p, f in frames.items():
+        used = sum(any(x.predicate == p for x in (r.head, *r.body)) for r in rules)
+        part = f.agg(F.lit(p).alias("predicate"), F.lit(len(f.columns) - 1).cast("long").alias("arity"), F.count(F.lit(1)).alias("n_facts"), F.lit(used).cast("long").alias("n_rules"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def rule_catalogue(model: Model) -> DataFrame:
+    """rule_id, head, stratum, n_pos, n_naf of the rules, and how many atoms each proves."""
+    rows = [(r.rule_id, r.head.predicate, r.stratum or 0, len(r.positives), len(r.negatives)) for r in model.rules]
+    atoms = model.atoms()
+    rules = atoms.sparkSession.createDataFrame(rows, "rule_id string, head string, stratum long, n_pos long, n_naf long")
+    return _counted(rules, {"n_proved": atoms.where("proof IS NOT NULL").select("proof.rule_id")}, "rule_id")
+
+
+def cluster_catalogue(schemas: DataFrame, states: DataFrame) -> DataFrame:
+    """schemas(cluster, entity_type, domain) with the size of the domain, states, clamped ones and values seen."""
+    seen = states.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_states"), F.count_if("is_clamped").alias("n_clamped"), F.count_distinct("value").alias("n_values"))
+    return schemas.select("cluster", "entity_type", F.size("domain").cast("long").alias("n_domain")).join(seen, "cluster", "left").na.fill(0, ["n_states", "n_clamped", "n_values"])
+
+
+def module_catalogue(rules: DataFrame) -> DataFrame:
+    """module, n_rules, n_enabled, strata (the lowest and the highest) of rules(rule_id, module, stratum, enabled)."""
+    return rules.groupBy("module").agg(F.count(F.lit(1)).alias("n_rules"), F.count_if("enabled").alias("n_enabled"), F.min("stratum").alias("lowest"), F.max("stratum").alias("highest"))
+
+
 def proof_view(model: Model) -> DataFrame:
     """case_id, atom, rule_id, substitution, n_pos, n_naf of every derived atom."""
     p = model.atoms().where("proof is not null")
