@@ -140,8 +140,10 @@ def k10_two_steps(t: Tables):
     return nodes.where("node_type = 'fact'").select("case_id", "node_id", *_three())
 
 
-@query()
+@query(_SQL + f""", far AS (SELECT c.case_id, 'c_tier' AS node_type, c.id, list_transform(range(1, 4), lambda k: c.l[k] + 5 * (c1.l[k] - c.l[k])) AS l FROM c JOIN c1 ON c1.case_id = c.case_id AND c1.id = c.id UNION ALL SELECT case_id, 'fact', id, l FROM f)
+SELECT case_id, node_type, id AS node_id, {_L3} FROM far""")
 def k10_five_steps(t: Tables):
+    """No message reaches a fact, so each of the five steps moves a tier by the same amount."""
     nodes, edges, weights = _graph(t)
     return B.propagate(nodes, edges, weights, steps=5)[0].select("case_id", "node_type", "node_id", *_three())
 
