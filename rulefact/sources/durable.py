@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _LOCAL: dict[str, str] = {}
 
 
@@ -23,8 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once; its lineage ends in the written table."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def durable(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """df, computed once and written to the shared folder: its lineage ends in that table, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
