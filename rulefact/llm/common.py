@@ -1,15 +1,15 @@
-"""Helpers shared by the corpus operators: table access, durable intermediates, word splitting on Arrow buffers."""
+"""Helpers shared by the corpus operators: table access, word splitting on Arrow buffers, token ids."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from rulefact.sources.durable import durable as stored  # noqa: F401  what every operator cuts its lineage with
+
 #: A word is a run of bytes other than these; UTF-8 never uses them inside a longer character.
 WHITE = b" \t\n\x0b\x0c\r"
 #: The same class for Spark's regular expressions and for DuckDB's.
@@ -27,29 +27,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, named in spark.checkpoint.dir. A temporary one is made only where none is set and the
-    session is a local one, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _LOCAL.get(context.applicationId) or _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="rulefact-shared-"))
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rulefact/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, or that with underscores before it if df has such a column."""
     taken = {c.lower() for c in df.columns}
