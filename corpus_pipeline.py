@@ -1,6 +1,11 @@
 """From raw documents to packed sequences: quality rules, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined cases, for every stage: a null or empty text has no words (quality rules reject it, the others keep it); rows without
+doc_id, repeated rows and several texts under one doc_id are rows like others (near-duplicates keeps one of each group, whatever
+its doc_id); very long texts are read whole; further columns, whatever their names, go through unchanged (packing returns its own
+columns); an empty table gives an empty result.
 """
 
 from __future__ import annotations
