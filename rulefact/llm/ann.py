@@ -8,8 +8,8 @@ norm: then the nearest rows are those of the largest inner products. For a query
 queue, nearest first (the squared distances to the hyperplanes crossed on the way), and are opened up to a budget of entries.
 Budget: the exact neighbours of CALIBRATION queries among all rows tell how far the queue must be followed to find RECALL of
 them. It is a figure of the data: a few leaves where vectors form clusters, a good part of them where they are isotropic.
-Rerank: queries and rows meet leaf by leaf, where inner products are computed in double precision, and each leaf hands on its
-best of each query.
+Rerank: queries and rows meet leaf by leaf, where inner products are computed in double precision. The nearest eighth of a
+query's leaves gives the score that its k-th neighbour has at least; the other leaves hand on only what reaches it.
 
 Equal vectors are searched once, by a representative, and its smallest ids stand for them (no query needs more than k + 1).
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither do those whose length
@@ -33,8 +33,8 @@ from rulefact.llm.common import stored
 
 SAMPLE, SAMPLE_BYTES, TREES, LEAF_ROWS, LEAF_SAMPLE = 16_384, 1 << 26, 8, 512, 16
 CALIBRATION, RECALL = 128, 0.95
-#: Queries that meet a leaf's rows at a time.
-BLOCK = 4096
+#: Queries that meet a leaf's rows at a time; the part of a query's leaves (one in EARLY, the nearest) that is searched first.
+BLOCK, EARLY = 4096, 8
 
 Node = tuple  # (tree-wide number of the hyperplane, left, right), (number of the leaf,) or (leaf, depth below it, turns taken)
 
@@ -276,39 +276,56 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
                 part = whole.iloc[start : start + 500]
                 found = list(shared.value.opened(_stack(part["v"])))
                 at = np.repeat(np.arange(len(part)), [len(x) for x in found])
-                yield pd.DataFrame({"leaf": np.concatenate([np.array(x, np.int64) for x in found]), "id": part["query_id"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
+                early = np.concatenate([np.arange(len(x)) < max(4, len(x) / EARLY) for x in found])
+                yield pd.DataFrame({"leaf": np.concatenate([np.array(x, np.int64) for x in found]), "id": part["query_id"].to_numpy()[at], "v": part["v"].to_numpy()[at], "early": early})
 
     def rerank(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(left) and len(right):
             r, ids = _stack(left["v"]), left["id"].to_numpy()
+            longest = np.linalg.norm(r, axis=1).max()
             for start in range(0, len(right), 1000):
                 some = right.iloc[start : start + 1000]
-                q = _stack(some["v"])
+                q, least = _stack(some["v"]), some["least"].to_numpy(np.float64)
                 rough = q @ r.T
                 # Rounding may part equal scores: what lies within it of the last one is compared exactly.
-                off = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(r, axis=1).max()
-                last = -np.partition(-rough, k, axis=1)[:, k] - off if len(r) > k + 1 else np.full(len(q), -np.inf)
-                for i, name in enumerate(some["id"]):
+                off = 1e-12 * np.linalg.norm(q, axis=1) * longest
+                last = -np.partition(-rough, k, axis=1)[:, k] if len(r) > k + 1 else np.full(len(q), -np.inf)
+                last = np.maximum(last, least) - off
+                hit = rough.max(axis=1) >= last
+                for i in np.flatnonzero(hit):
                     at = np.flatnonzero(rough[i] >= last[i])
                     exact = _exact(q[i], r[at])
                     best = _best(exact, ids[at], k + 1)  # the query itself may be one of them
-                    parts.append(pd.DataFrame({"query_id": name, "rep": ids[at][best], "score": exact[best]}))
+                    best = best[exact[best] >= least[i]]
+                    parts.append(pd.DataFrame({"query_id": some["id"].iloc[i], "rep": ids[at][best], "score": exact[best]}))
         return pd.concat(parts, ignore_index=True)
 
     placed = "leaf long, id long, v array<double>"
-    probes = stored(queries.repartition(max(8, spark.sparkContext.defaultParallelism), "query_id").mapInPandas(probe, placed), "ann-probes")
-    # A leaf that many queries open meets them in blocks. Counts are written, so that both sides read them as tables of their own.
-    blocks = stored(probes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "ann-blocks")
-    again = spark.read.schema(blocks.schema).parquet(*blocks.inputFiles())
-    entries = reps.select("rep", "v").mapInPandas(place, placed).join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v")
-    asked = probes.join(again, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "v")
-    hits = entries.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInPandas(rerank, "query_id long, rep long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    hits = hits.groupBy("query_id", "rep").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
+    probes = stored(queries.repartition(max(8, spark.sparkContext.defaultParallelism), "query_id").mapInPandas(probe, f"{placed}, early boolean"), "ann-probes")
+    place_of = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+
+    def hits(asked: DataFrame, label: str) -> DataFrame:
+        """The best of each leaf for the queries that open it. A leaf that many queries open meets them in blocks; counts are
+        written, so that both sides read them as tables of their own."""
+        blocks = stored(asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), f"ann-blocks-{label}")
+        files = blocks.inputFiles()
+        again = spark.read.schema(blocks.schema).parquet(*files) if files else spark.createDataFrame([], blocks.schema)
+        entries = reps.select("rep", "v").mapInPandas(place, placed).join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v")
+        asked = asked.join(again, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "v", "least")
+        found = entries.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInPandas(rerank, "query_id long, rep long, score double")
+        found = found.groupBy("query_id", "rep").agg(F.max("score").alias("score"))
+        return stored(found.withColumn("nth", F.row_number().over(place_of)).where(F.col("nth") <= k + 1), f"ann-hits-{label}")
+
+    # The nearest leaves give each query a score that its neighbours must reach; from the others comes only what does.
+    first = hits(probes.where("early").withColumn("least", F.lit(float("-inf"))), "early")
+    least = first.where(F.col("nth") == k + 1).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    rest = hits(probes.where("NOT early").join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "rest")
+    best = first.drop("nth").unionByName(rest.drop("nth")).groupBy("query_id", "rep").agg(F.max("score").alias("score"))
+    best = best.withColumn("nth", F.row_number().over(place_of)).where(F.col("nth") <= k + 1)
 
     several = rows.join(reps.where("n > 1").select("key", "v", "rep"), ["key", "v"]).select("rep", "vec_id").distinct()
     members = stored(_smallest(several, k + 1), "ann-members")
-    out = hits.join(members, "rep", "left").select("query_id", "score", F.explode(F.coalesce("members", F.array("rep"))).alias("vec_id")).where("vec_id <> query_id")
+    out = best.join(members, "rep", "left").select("query_id", "score", F.explode(F.coalesce("members", F.array("rep"))).alias("vec_id")).where("vec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -588,6 +588,8 @@ def test_nearest_neighbours(spark):
         assert [(-x.score, x.vec_id) for x in found] == sorted((-x.score, x.vec_id) for x in found)
     assert hit / (20 * len(got)) >= 0.9
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
+    few = ann.nearest(table.where("vec_id < 7"), F.lit(True), k=20).collect()  # all candidates, if fewer
+    assert Counter(x.query_id for x in few) == {i: 6 for i in range(7)}
 
 
 def recall_and_share(spark, w, every, k=20):
