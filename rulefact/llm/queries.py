@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, quality, sharding, token_counts, urls
+from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, pieces, quality, sharding, token_counts, urls
 from rulefact.llm.common import read_table
 
 
@@ -60,8 +60,13 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode(read_table(spark, sf_dir, "documents"), decoded=True)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op7_hpy_scores, op8_quality_ledger, op9_mixing, op10_chat_repair, quality_ablations]
+    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op7_hpy_scores, op8_quality_ledger, op9_mixing, op10_chat_repair, op11_piece_ids, quality_ablations]
     return {f.__name__: f for f in found}
 
 
