@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, pieces, quality, sharding, token_counts, urls
+from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, phrases, pieces, quality, sharding, token_counts, urls
 from rulefact.llm.common import read_table
 
 
@@ -65,8 +65,12 @@ def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op7_hpy_scores, op8_quality_ledger, op9_mixing, op10_chat_repair, op11_piece_ids, quality_ablations]
+    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op7_hpy_scores, op8_quality_ledger, op9_mixing, op10_chat_repair, op11_piece_ids, op13_collocations, quality_ablations]
     return {f.__name__: f for f in found}
 
 
@@ -110,6 +114,23 @@ _OP4 = (
 )
 
 
+_GRAM = "SELECT lang, w[i:i + {k} - 1] AS p FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM w WHERE len(w) >= {k})"
+
+_OP13 = (
+    "WITH s AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents), "
+    "w AS (SELECT lang, list_filter(regexp_split_to_array(s, '[\x20\x09]+'), lambda x: x <> '') AS w FROM s), "
+    "n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1), "
+    "f AS (SELECT lang, p, count(*) AS f FROM (" + " UNION ALL ".join(_GRAM.format(k=k) for k in (1, 2, 3, 4)) + ") GROUP BY 1, 2 HAVING count(*) >= 30), "
+    "c AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1), "
+    "x AS (SELECT c.lang, c.p, c.a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score FROM c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:c.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[c.k + 1:]), "
+    "b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1), "
+    "i AS (SELECT lang, p[j:j + m - 1] AS p, max(f) AS m FROM (SELECT lang, p, f, m, unnest(range(1, len(p) - m + 2)) AS j FROM (SELECT lang, p, f, unnest(range(2, len(p))) AS m FROM f WHERE len(p) > 2)) GROUP BY 1, 2), "
+    "o AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.score FROM b LEFT JOIN i ON i.lang = b.lang AND i.p = b.p WHERE i.m IS NULL OR 100 * i.m < 80 * b.a) "
+    "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) "
+    "QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """The others sample, hash, tokenize or train, which SQL cannot express; tests hold them against brute force."""
-    return {"op4_setsketch_dedup": _OP4, "op8_quality_ledger": _OP8, "quality_ablations": _ABLATIONS}
+    return {"op13_collocations": _OP13, "op4_setsketch_dedup": _OP4, "op8_quality_ledger": _OP8, "quality_ablations": _ABLATIONS}
