@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, phrases, pieces, quality, sharding, token_counts, urls
+from rulefact.llm import ann, chat, hpylm, mixing, neardup, negatives, packing, phrases, pieces, quality, sharding, token_counts, urls
 from rulefact.llm.common import read_table
 
 
@@ -65,12 +65,17 @@ def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), label)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"), least=30, top=2000)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op7_hpy_scores, op8_quality_ledger, op9_mixing, op10_chat_repair, op11_piece_ids, op13_collocations, quality_ablations]
+    found = [op1_forest_search, op2_url_filter, op3_token_counts, op4_setsketch_dedup, op5_packing, op6_ring_shards, op7_hpy_scores, op8_quality_ledger, op9_mixing, op10_chat_repair, op11_piece_ids, op12_hard_negatives, op13_collocations, quality_ablations]
     return {f.__name__: f for f in found}
 
 
@@ -114,6 +119,15 @@ _OP4 = (
 )
 
 
+_OP12 = (
+    "WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings "
+    "WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+    "s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0), "
+    "p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5), "
+    "n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score) "
+    "SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"
+)
+
 _GRAM = "SELECT lang, w[i:i + {k} - 1] AS p FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM w WHERE len(w) >= {k})"
 
 _OP13 = (
@@ -133,4 +147,4 @@ _OP13 = (
 
 def oracle_sql() -> dict[str, str]:
     """The others sample, hash, tokenize or train, which SQL cannot express; tests hold them against brute force."""
-    return {"op13_collocations": _OP13, "op4_setsketch_dedup": _OP4, "op8_quality_ledger": _OP8, "quality_ablations": _ABLATIONS}
+    return {"op12_hard_negatives": _OP12, "op13_collocations": _OP13, "op4_setsketch_dedup": _OP4, "op8_quality_ledger": _OP8, "quality_ablations": _ABLATIONS}

@@ -15,7 +15,8 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     df = queries.queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
