@@ -47,11 +47,35 @@ def from_rules(rules: list, frames: dict[str, DataFrame], present: DataFrame, le
         head = atom_key(F.lit(r.head.predicate), {role: F.col(_var(t)) for role, t in r.head.args})
         part = body.select("case_id", F.lit(r.head.predicate).alias("predicate"), head.alias("atom"), confidence.alias("confidence"), F.lit(r.rule_id).alias("rule_id"), F.lit(order).alias("rule_order"), (_substitution(r) if not negatives else head).alias("substitution"))
         out = part if out is None else out.unionByName(part)
-    out = out.where((F.col("confidence") >= least) & is_visible(F.col("predicate")) & ~F.col("predicate").isin(*hidden, ""))
+    return _proposed(out, present, least, hidden)
+
+
+def _proposed(heads: DataFrame, present: DataFrame, least: float, hidden: tuple[str, ...]) -> DataFrame:
+    """The most confident head of each atom, if it is sure enough, visible and not present."""
+    out = heads.where((F.col("confidence") >= least) & is_visible(F.col("predicate")) & ~F.col("predicate").isin(*hidden, ""))
     best = top(out, ["case_id", "atom"], [F.desc("confidence"), F.col("rule_order"), F.col("substitution")])
     return best.join(present.select("case_id", "atom").distinct(), ["case_id", "atom"], "left_anti").select("case_id", name_uuid(F.concat_ws("/", F.col("case_id").cast("string"), "atom")).alias("fact_id"), "predicate", "atom", F.lit("candidate").alias("status"), "confidence", "rule_id")
 
 
+def from_bodies(rules: list, bodies: dict[str, DataFrame], present: DataFrame, least: float = 0.7, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """As from_rules, from groundings that are at hand, per rule id, with the confidences they rest on in columns v_CONF0 and so on;
+    groundings without any are certain."""
+    from rulefact.plans.rules import Const, _substitution, _var
+
+    parts = []
+    for order, r in enumerate(rules):
+        if r.rule_id not in bodies:
+            continue
+        body = bodies[r.rule_id]
+        scores = [F.col(c) for c in body.columns if c.startswith("v_CONF")]
+        head = atom_key(F.lit(r.head.predicate), {role: F.lit(str(t.value)) if isinstance(t, Const) else F.col(_var(t)) for role, t in r.head.args})
+        parts.append(body.select("case_id", F.lit(r.head.predicate).alias("predicate"), head.alias("atom"), F.least(F.lit(1.0), F.lit(1.0), *scores).alias("confidence"), F.lit(r.rule_id).alias("rule_id"), F.lit(order).alias("rule_order"), _substitution(r).alias("substitution")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return _proposed(out, present, least, hidden)
+
+
 def _with_confidence(x: object, n: int) -> object:
     from rulefact.plans.rules import Literal
 

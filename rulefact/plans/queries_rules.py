@@ -247,13 +247,13 @@ def j12_violation_report(t: Tables):
 CASE WHEN ord IN (SELECT ord FROM oo) THEN 'F' ELSE 'T' END AS value FROM lateb UNION ALL SELECT DISTINCT case_id, 'watch(CUSTOMER=' || case_id || ')', 'proved', 'T' FROM late""")
 def i15_refinement_rounds(t: Tables):
     """The second round rests on the first: customers are watched for late returns that are proved facts, which round one makes."""
-    base = {p: f.withColumn("confidence", F.lit(1.0)) for p, f in W.frames(t).items()}
+    base = {p: f.withColumn("confidence", F.lit(1.0)) for p, f in W.frames(t).items() if p in ("order_placed", "line_returned", "order_open")}
     watch = R.Rule("r_watch", R.lit("watch", CUSTOMER="C"), (R.lit("told_late", CUSTOMER="C", ORDER="_"),))
 
-    def frames_of(facts):
+    def told_of(facts):
         told = facts.where("status = 'proved' AND value = 'T' AND atom LIKE 'late_return(%'")
         role = lambda name: F.regexp_extract("atom", name + r"=(\d+)", 1).cast("long").alias(name)
-        return base | {"told_late": told.select("case_id", role("CUSTOMER"), role("ORDER"), "confidence")}
+        return {"told_late": told.select("case_id", role("CUSTOMER"), role("ORDER"), "confidence")}
 
-    facts, _ = loop.refine([W.LATE, watch], frames_of, t.spark.createDataFrame([], loop.FACT), rounds=3)
+    facts, _ = loop.refine([W.LATE, watch], base, told_of, t.spark.createDataFrame([], loop.FACT), rounds=3)
     return facts.select("case_id", "atom", "status", "value")

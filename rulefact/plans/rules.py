@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,7 @@ from rulefact.sources.durable import durable
 CASE = "case_id"
 #: Constants of a case that meet its rows at once; rounds after which the tables of a loop are written as one.
 DOMAIN_BLOCK, GATHER = 1000, 20
+PROOF = "struct<rule_order:int,substitution:string,rule_id:string,pos_atoms:array<string>,naf_atoms:array<string>>"
 
 
 @dataclass(frozen=True)
@@ -210,7 +212,7 @@ def flagged(rule: Rule, body: DataFrame, frames: dict[str, DataFrame]) -> DataFr
 
 
 def _any_flag(rule: Rule) -> Column:
-    return F.greatest(F.lit(False), *(F.col(f"holds_{k}") for k in range(len(rule.negatives))))
+    return F.greatest(F.lit(False), F.lit(False), *(F.col(f"holds_{k}") for k in range(len(rule.negatives))))
 
 
 def without_violations(rule: Rule, body: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
@@ -260,20 +262,28 @@ class Model:
             out[p] = out[p].unionByName(new) if p in out else new
         return out
 
-    def atoms(self) -> DataFrame:
-        """case_id, predicate, atom, proof (null for base atoms) of the whole model."""
-        proof = "struct<rule_order:int,substitution:string,rule_id:string,pos_atoms:array<string>,naf_atoms:array<string>>"
-        parts = [self._keyed(p, f.distinct()).withColumn("proof", F.lit(None).cast(proof)) for p, f in self.base.items()]
-        parts += [self._keyed(p, f, "proof") for p, f in self.derived.items()]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
+    def atoms(self, only: set[str] | None = None) -> DataFrame:
+        """case_id, predicate, atom, proof (null for base atoms) of the whole model, or of the predicates `only`."""
+        parts = [_keyed(p, f.distinct()).withColumn("proof", F.lit(None).cast(PROOF)) for p, f in self.base.items() if only is None or p in only]
+        parts += [_keyed(p, f, "proof") for p, f in self.derived.items() if only is None or p in only]
+        if not parts:
+            spark = next(iter((*self.base.values(), *self.derived.values()))).sparkSession
+            return spark.createDataFrame([], f"case_id long, predicate string, atom string, proof {PROOF}")
+        return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _keyed(predicate: str, frame: DataFrame, *more: str) -> DataFrame:
+    key = atom_key(F.lit(predicate), {c: F.col(c) for c in frame.columns if c not in (CASE, "proof")})
+    return frame.select(CASE, F.lit(predicate).alias("predicate"), key.alias("atom"), *more)
+
 
-    @staticmethod
-    def _keyed(predicate: str, frame: DataFrame, *more: str) -> DataFrame:
-        key = atom_key(F.lit(predicate), {c: F.col(c) for c in frame.columns if c not in (CASE, "proof")})
-        return frame.select(CASE, F.lit(predicate).alias("predicate"), key.alias("atom"), *more)
+def atoms_of(frames: dict[str, DataFrame]) -> DataFrame:
+    """case_id, predicate, atom of the rows of some predicates, one at least."""
+    return _union([_keyed(p, f) for p, f in frames.items()])
 
 
 def evaluate(base: dict[str, DataFrame], rules: list[Rule]) -> Model:

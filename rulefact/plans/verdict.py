@@ -19,7 +19,8 @@ def verdicts(model: Model, queries: DataFrame) -> DataFrame:
     proved: the atom is in the model; blocked: a rule's positive body holds but a negated literal does too; not_proved: some rule
     has the predicate as its head; unknown: none has.
     """
-    atoms = model.atoms().select(CASE, "atom", F.lit(True).alias("holds"), F.col("proof.rule_id").alias("proved_by"))
+    asked = {r[0] for r in queries.select(F.substring_index("atom", "(", 1)).distinct().collect()}  # as many as there are predicates
+    atoms = model.atoms(asked).select(CASE, "atom", F.lit(True).alias("holds"), F.col("proof.rule_id").alias("proved_by"))
     heads = sorted({r.head.predicate for r in model.rules})
     out = queries.join(atoms, [CASE, "atom"], "left")
     broken = violations(model)
