@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulefact.functions.scalars import atom_key
+from rulefact.operators.paths import reached
 from rulefact.operators.temporal import HELPER_TESTS
 from rulefact.sources.durable import durable
 
@@ -286,8 +287,61 @@ def atoms_of(frames: dict[str, DataFrame]) -> DataFrame:
     return _union([_keyed(p, f) for p, f in frames.items()])
 
 
+def _linear(rules: list[Rule], p: str, frames: dict[str, DataFrame]) -> tuple[list[str], list[str]] | None:
+    """The roles of p that recursive rules carry along and those they move, if every one has a single literal of p that hands
+    carried values over unchanged and whose moved ones are bound by the rest of the body."""
+    roles = [role for role, _ in rules[0].head.args]
+    carried = set(roles)
+    for r in rules:
+        own = [x for x in r.positives if x.predicate == p]
+        if len(own) != 1 or {role for role, _ in own[0].args} != set(roles) or any(t == "_" for _, t in (*own[0].args, *r.head.args)):
+            return None
+        head, back = dict(r.head.args), dict(own[0].args)
+        uses = [t for x in (r.head, *r.body) for _, t in x.args if isinstance(t, str)]
+        carried &= {c for c in roles if isinstance(head[c], str) and head[c] == back[c] and uses.count(head[c]) == 2}
+    moved = [c for c in roles if c not in carried]
+    for r in rules:
+        rest = [x for x in r.positives if x.predicate != p]
+        bound = {v for x in rest for v in x.variables}
+        back = next(x for x in r.positives if x.predicate == p)
+        needed = {t for x in (r.head, back) for role, t in x.args if role in moved and isinstance(t, str)}
+        if not rest or not needed | {v for x in (*r.negatives, *r.helpers) for v in x.variables} <= bound:
+            return None
+    return ([c for c in roles if c in carried], moved) if moved else None
+
+
+def _closed(rules: list[Rule], order: dict[str, int], p: str, carried: list[str], moved: list[str], known: dict[str, DataFrame], first: DataFrame | None) -> DataFrame | None:
+    """Derived atoms of a linear recursion, by strides through the steps its rules allow; `first` has those of the other rules.
+
+    An atom's proof is the first among those that rest on an atom one step nearer to the start, as a round-by-round loop finds it.
+    """
+    parts = [f.select(CASE, *carried, *moved) for f in (first, known.get(p)) if f is not None]
+    if not parts:
+        return None
+    bodies = {}
+    for r in rules:
+        back = next(x for x in r.positives if x.predicate == p)
+        step = Rule(r.rule_id, Literal(p, tuple((role, t) for role, t in r.head.args if role in moved)), tuple(x for x in r.body if x is not back))
+        body = without_violations(step, body_frame(step, known), known)
+        term = lambda t: F.lit(t.value) if isinstance(t, Const) else F.col(_var(t))
+        ends = [term(t).alias(f"{side}_{role}") for side, x in (("s", back), ("t", r.head)) for role, t in x.args if role in moved]
+        bodies[r.rule_id] = durable(body.select("*", *ends).distinct(), "steps")
+    edges = _union([b.select(CASE, *(f"{side}_{c}" for side in "st" for c in moved)) for b in bodies.values()])
+    atoms = durable(reached(_union(parts).withColumn("d", F.lit(0)), edges, [CASE], moved), "closure")
+    before = atoms.select(CASE, *carried, *(F.col(c).alias(f"s_{c}") for c in moved), (F.col("d") + 1).alias("d"))
+    after = atoms.select(CASE, *carried, *(F.col(c).alias(f"t_{c}") for c in moved), "d")
+    proofs = []
+    for r in rules:
+        names = {c: _var(dict(r.head.args)[c]) for c in carried}
+        body = bodies[r.rule_id].join(before, [CASE, *(f"s_{c}" for c in moved)]).join(after, [CASE, *carried, *(f"t_{c}" for c in moved), "d"])
+        proofs.append(_heads(r, order[r.rule_id], body.withColumnsRenamed(names)))
+    found = _best(_union(proofs), [*carried, *moved])
+    return found if first is None else first.select(*found.columns).unionByName(found)
+
+
 def evaluate(base: dict[str, DataFrame], rules: list[Rule]) -> Model:
-    """The least model, group by group: plain joins where nothing is recursive, a semi-naive loop where it is.
+    """The least model, group by group: plain joins where nothing is recursive, strides along linear recursions, and a
+    semi-naive loop for the others.
 
     The bodies of rules with negation and all derived atoms are written once; what comes after reads those tables.
     The loop runs until a round adds no atom. It ends: atoms are made of the constants at hand, and each round adds some.
@@ -335,6 +389,13 @@ def evaluate(base: dict[str, DataFrame], rules: list[Rule]) -> Model:
             first = fresh(start, lambda r, known=known: [known], known, p)
             if first is not None:
                 full[p] = durable(first, f"fix-{p}")
+        line = _linear(turn, group[0], known) if len(group) == 1 else None
+        if line:
+            p = group[0]
+            closed = _closed(turn, order, p, *line, known, full.get(p))
+            if closed is not None:
+                model.derived[p] = durable(closed.select(CASE, *roles[p], "proof"), f"derived-{p}")
+            continue
         delta = {p: full[p].select(CASE, *roles[p]) for p in full}
         delta |= {p: (delta[p].unionByName(known[p].select(CASE, *roles[p])) if p in delta else known[p].select(CASE, *roles[p])) for p in group if p in known}
         for turns_done in count(1):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulefact.functions.scalars import argmax_value, atom_key, name_uuid
 from rulefact.operators.filters import is_decided, is_true, is_visible
-from rulefact.plans.rules import CASE, GATHER, Model, violations
+from rulefact.operators.paths import reached
+from rulefact.plans.rules import CASE, Model, violations
 from rulefact.sources.durable import durable
 
 
@@ -77,22 +76,13 @@ def proof_table(model: Model) -> DataFrame:
 def proof_steps(model: Model, queries: DataFrame) -> DataFrame:
     """case_id, query_atom, atom, depth, rule_id, step: what the proofs of the asked atoms rest on, dependencies first.
 
-    The closure runs over positive edges from the asked atoms; depth is the longest way down, so dependencies come first. It
-    ends, as a proof rests on atoms of earlier rounds only.
+    The closure runs over positive edges from the asked atoms, in strides; depth is the longest way down, so dependencies come
+    first. It ends, as a proof rests on atoms of earlier rounds only.
     """
     nodes = durable(model.atoms(), "proof-nodes")
-    edges = nodes.where("proof is not null").select(CASE, "atom", F.explode("proof.pos_atoms").alias("depends_on"))
-    edges = durable(edges, "proof-edges")
-    level = durable(queries.select(CASE, F.col("atom").alias("query_atom"), "atom", F.lit(0).alias("depth")).distinct().join(nodes.select(CASE, "atom"), [CASE, "atom"], "left_semi"), "proof-level")
-    found = level
-    for depth in count(1):
-        level = durable(level.join(edges, [CASE, "atom"]).select(CASE, "query_atom", F.col("depends_on").alias("atom"), F.lit(depth).alias("depth")).distinct(), "proof-level")
-        if not level.limit(1).count():
-            break
-        found = found.unionByName(level)
-        if depth % GATHER == 0:
-            found = durable(found, "proof-found")
-    deepest = found.groupBy(CASE, "query_atom", "atom").agg(F.max("depth").alias("depth"))
+    edges = nodes.where("proof is not null").select(CASE, F.col("atom").alias("s_atom"), F.explode("proof.pos_atoms").alias("t_atom"))
+    asked = queries.select(CASE, F.col("atom").alias("query_atom"), "atom", F.lit(0).alias("d")).distinct().join(nodes.select(CASE, "atom"), [CASE, "atom"], "left_semi")
+    deepest = reached(asked, edges, [CASE], ["atom"], longest=True).withColumnRenamed("d", "depth")
     w = Window.partitionBy(CASE, "query_atom").orderBy(F.desc("depth"), "atom")
     return deepest.join(nodes.select(CASE, "atom", "proof.rule_id"), [CASE, "atom"], "left").withColumn("step", F.row_number().over(w))
 

@@ -93,6 +93,54 @@ def test_chains_of_more_than_a_hundred_rounds(spark):
     assert all(steps[f"reach(X=n{k})"].step < steps[f"reach(X=n{k + 1})"].step for k in range(n))
 
 
+def test_a_thousand_links_take_few_rounds(spark, monkeypatch):
+    from rulefact.operators import paths
+
+    n, rounds, take = 1000, [], paths._squared
+    monkeypatch.setattr(paths, "_squared", lambda *x: (rounds.append(1), take(*x))[1])
+    base = {"start": frame(spark, [("n0",)], "X"), "edge": frame(spark, [(f"n{k}", f"n{k + 1}") for k in range(n)], "X", "Y")}
+    rules = [R.Rule("r1", R.lit("reach", X="A"), (R.lit("start", X="A"),)), R.Rule("r2", R.lit("reach", X="B"), (R.lit("reach", X="A"), R.lit("edge", X="A", Y="B")))]
+    m = R.evaluate(base, rules)
+    proofs = {r.X: r.proof for r in m.derived["reach"].collect()}
+    assert len(rounds) <= 11 and len(proofs) == n + 1
+    assert all(proofs[f"n{k + 1}"].pos_atoms == [f"reach(X=n{k})", f"edge(X=n{k},Y=n{k + 1})"] for k in range(n))
+
+
+def test_strides_equal_the_loop(spark, monkeypatch):
+    """Random graphs with branches and cycles, carried roles, two recursive rules, negation and a constant: the same atoms and proofs."""
+    r = random.Random(11)
+    some = lambda n, k: sorted({tuple(f"n{r.randrange(k)}" for _ in range(2)) for _ in range(n)})
+    base = {"edge": frame(spark, some(30, 20), "X", "Y"), "hop": frame(spark, some(8, 20), "X", "Y"), "shut": frame(spark, [("n3",), ("n7",)], "X"), "path": frame(spark, some(2, 20), "X", "Y")}
+    rules = [
+        R.Rule("r1", R.lit("path", X="A", Y="B"), (R.lit("edge", X="A", Y="B"),)),
+        R.Rule("r2", R.lit("path", X="A", Y="C"), (R.lit("path", X="A", Y="B"), R.lit("edge", X="B", Y="C"), R.naf("shut", X="B"))),
+        R.Rule("r3", R.lit("path", X="A", Y="C"), (R.lit("hop", X="B", Y="C"), R.lit("path", X="A", Y="B"))),
+        R.Rule("r4", R.lit("walk", X="A"), (R.lit("shut", X="A"),)),
+        R.Rule("r5", R.lit("walk", X="B"), (R.lit("walk", X="A"), R.lit("path", X="A", Y="B"))),
+    ]
+    got = lambda m: sorted((p, *x[:-1], x.proof.rule_id, x.proof.substitution, *x.proof.pos_atoms) for p in ("path", "walk") for x in m.derived[p].collect())
+    by_strides = got(R.evaluate(base, rules))
+    monkeypatch.setattr(R, "_linear", lambda *x: None)
+    assert by_strides == got(R.evaluate(base, rules)) and len(by_strides) > 100
+
+
+def test_longest_ways(spark):
+    from rulefact.operators.paths import reached
+
+    r = random.Random(3)
+    edges = sorted({(a, b) for _ in range(45) for a, b in [sorted(r.sample(range(22), 2))] if a != b})
+    far = {0: 0}
+    for a in range(22):
+        for x, y in edges:
+            if x == a and a in far:
+                far[y] = max(far.get(y, 0), far[a] + 1)
+    e = spark.createDataFrame([(1, a, b) for a, b in edges] + [(2, 0, 5), (1, None, 3)], "g int, s_n int, t_n int")
+    start = spark.createDataFrame([(1, "q", 0, 0), (1, "q", 0, 0), (3, "q", 0, 0)], "g int, of string, n int, d int")
+    for dense in (0, 4, 1000):
+        got = reached(start, e, ["g"], ["n"], longest=True, dense=dense).collect()
+        assert {x.n: x.d for x in got if x.g == 1} == far and len(got) == len(far) + 1 and all(x.of == "q" for x in got)
+
+
 def test_free_variables_range_over_more_than_a_thousand_constants(spark):
     base = {"n": frame(spark, [(f"v{k}",) for k in range(1100)], "X")}
     free = R.Rule("r", R.lit("p", X="X", Y="Y"), (R.lit("n", X="X"),))
