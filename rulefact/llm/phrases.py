@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rulefact.llm.common import _LOWER, Texts, mix, slices, stored
 
 #: Entries of a leaf container and of a whole trie; phrases in a chunk of a run; words to a prefix partition, and most of these.
-BURST, MOST, CHUNK, PER_PART, MOST_PARTS = 4096, 1 << 20, 2048, 1 << 20, 1 << 14
+BURST, MOST, CHUNK, PER_PART, MOST_PARTS = 4096, 1 << 19, 2048, 1 << 20, 1 << 14
 #: Size of the tables of frequent parts: 2^25 bits are 4 MB.
 BITS = 25
 LONGEST = 4
