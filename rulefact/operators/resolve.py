@@ -24,6 +24,48 @@ def match_scores(new: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(a, "old_id").join(b, "entity_id").select("old_id", "entity_id", score.alias("score"))
 
 
+def _marks(x: DataFrame, row_id: str) -> DataFrame:
+    """type, id, mark, weight: what entities can share. Names, aliases and keys are marks of their own kinds."""
+    kind = lambda prefix, marks, weight: F.transform(F.array_distinct(marks), lambda m: F.struct(F.concat(F.lit(prefix), m).alias("mark"), F.lit(weight).alias("weight")))
+    marks = F.concat(kind("n:", F.array(F.lower("canonical_name")), 100), kind("a:", F.transform("aliases", F.lower), 20), kind("k:", F.col("blocking_keys"), 10))
+    each = x.select("type", F.col(row_id).alias("id"), F.explode(marks).alias("m")).select("type", "id", "m.mark", "m.weight")
+    return each.where("mark IS NOT NULL").distinct()
+
+
+def _with_common(marks: DataFrame, counts: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of rare marks, each with the array of its entity's common ones; and type, id, common of entities that have any.
+    A mark is common if more than `rare` known entities have it."""
+    x = marks.join(counts, ["type", "mark"])
+    common = x.where(F.col("n") > rare).groupBy("type", "id").agg(F.sort_array(F.collect_list(F.struct("mark", "weight"))).alias("common"))
+    return x.where(F.col("n") <= rare).join(common, ["type", "id"], "left").select("type", "id", "mark", "weight", "common"), common
+
+
+def best_matches(new: DataFrame, known: DataFrame, rare: int = 16) -> DataFrame:
+    """old_id, entity_id, score: for each new entity the known one of its type with the highest score above 0, as match_scores
+    counts it (ties: smallest id), without a row for every pair that shares a key.
+
+    Pairs that share a mark of at most `rare` known entities are scored one by one. All others share common marks only, and
+    there entities with the same common marks are alike: each set of them is represented by its smallest id, and sets meet sets.
+    A representative scored so may score more by its rare marks; then the first way has found that.
+    """
+    ours, theirs = _marks(new, "entity_id"), _marks(known, "entity_id")
+    counts = theirs.groupBy("type", "mark").agg(F.count(F.lit(1)).alias("n"))
+    (new_rare, new_common), (known_rare, known_common) = _with_common(ours, counts, rare), _with_common(theirs, counts, rare)
+
+    shared = F.aggregate(F.array_intersect(F.coalesce("common", F.array().cast("array<struct<mark:string,weight:int>>")), F.coalesce("common_b", F.array().cast("array<struct<mark:string,weight:int>>"))), F.lit(0), lambda s, m: s + m["weight"])
+    pairs = new_rare.join(known_rare.select("type", "mark", F.col("id").alias("entity_id"), F.col("common").alias("common_b")), ["type", "mark"])
+    pairs = pairs.groupBy(F.col("id").alias("old_id"), "entity_id").agg((F.sum("weight") + F.first(shared)).alias("score"))
+
+    sets = lambda x, name: x.select("type", F.col("common").alias(name), F.explode("common").alias("m")).select("type", name, "m.mark", F.col("m.weight").alias(f"{name}_weight"))
+    groups = known_common.groupBy("type", "common").agg(F.min("id").alias("entity_id"))
+    meet = sets(new_common.select("type", "common").distinct(), "common").join(sets(groups, "theirs").drop("theirs_weight"), ["type", "mark"])
+    meet = meet.groupBy("type", "common", "theirs").agg(F.sum("common_weight").alias("score")).join(groups.withColumnRenamed("common", "theirs"), ["type", "theirs"])
+    best = meet.groupBy("type", "common").agg(F.min(F.struct((-F.col("score")).alias("minus"), "entity_id")).alias("b"))
+    alike = new_common.join(best, ["type", "common"]).select(F.col("id").alias("old_id"), "b.entity_id", (-F.col("b.minus")).alias("score"))
+    every = pairs.unionByName(alike).groupBy("old_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "entity_id")).alias("b"))
+    return every.select("old_id", "b.entity_id", (-F.col("b.minus")).alias("score"))
+
+
 def linked(new: DataFrame, scores: DataFrame) -> DataFrame:
     """old_id, entity_id, created: the best match (ties: smallest id), or the entity itself as a new one."""
     best = top(scores.where("score > 0"), ["old_id"], [F.desc("score"), F.col("entity_id")])

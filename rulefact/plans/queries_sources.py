@@ -128,7 +128,7 @@ def n1_match_scores(t: Tables):
 @query(_ENT + ", b AS (SELECT old_id, entity_id FROM p QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY score DESC, entity_id) = 1) SELECT k.id AS old_id, coalesce(b.entity_id, k.id) AS entity_id, b.entity_id IS NULL AS created FROM k LEFT JOIN b ON b.old_id = k.id")
 def n2_linked_entities(t: Tables):
     new, known = _entities(t)
-    return N.linked(new, N.match_scores(new, known))
+    return N.linked(new, N.best_matches(new, known))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
