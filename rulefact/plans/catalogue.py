@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulefact.plans import registry
 
-MODULES = ["queries_scalar", "queries_rules", "queries_tables", "queries_beliefs", "queries_sources", "queries_more", "queries_proofs"]
+MODULES = ["queries_scalar", "queries_rules", "queries_tables", "queries_beliefs", "queries_sources", "queries_more", "queries_proofs", "queries_streams"]
 
 
 def _load() -> None:

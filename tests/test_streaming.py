@@ -18,3 +18,47 @@ def test_late_followers_in_batch(spark):
     a = spark.sql("SELECT 1 AS k, TIMESTAMP '2026-01-10 10:00:00' AS ts UNION ALL SELECT 2, TIMESTAMP '2026-01-10 10:00:00'")
     b = spark.sql("SELECT 1 AS k, TIMESTAMP '2026-01-10 09:00:00' AS ts UNION ALL SELECT 2, TIMESTAMP '2026-01-10 11:00:00'")
     assert [r.key for r in temporal.late_followers(a, b, "k", "1 day").collect()] == [1]
+
+
+def test_missing_followers_over_restarts_equal_the_batch(spark, tmp_path):
+    """The stream stops, goes on from its checkpoint with new files, and tells what the tables tell."""
+    day = lambda n: f"TIMESTAMP '2026-01-01 00:00:00' + INTERVAL {n} DAYS"
+    rows = lambda pairs: spark.sql(" UNION ALL ".join(f"SELECT CAST({k} AS INT) AS k, {day(n)} AS ts" for k, n in pairs))
+    parts = [([(1, 0), (2, 0), (3, 1), ("NULL", 1)], [(1, 5), (3, 20)]), ([(4, 30), (5, 31)], [(4, 29), (2, 31), ("NULL", 31)]), ([(6, 33), (-1, 400)], [(6, 43), (5, 42), (-1, 400)])]
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+    for a, b in parts:
+        rows(a).write.mode("append").parquet(str(tmp_path / "a"))
+        rows(b).write.mode("append").parquet(str(tmp_path / "b"))
+        read = lambda x: spark.readStream.schema("k int, ts timestamp").parquet(str(tmp_path / x))
+        temporal.write_available(temporal.missing_followers(read("a"), read("b"), "k", "10 DAYS", "5 DAYS"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    table = lambda x: spark.read.schema("k int, ts timestamp").parquet(str(tmp_path / x))
+    batch = temporal.missing_followers(table("a"), table("b"), "k", "10 DAYS")
+    key = lambda df: sorted((r.key, str(r.a)) for r in df.where("key > 0").collect())
+    told = key(spark.read.schema("key int, a timestamp").parquet(str(tmp_path / "out")))
+    assert told == key(batch) and [k for k, _ in told] == [2, 3, 4, 5]
+
+
+def test_files_are_taken_once(spark, tmp_path):
+    from rulefact.streaming import ingest
+
+    folder, into = tmp_path / "in", str(tmp_path / "into")
+    (folder / "sub").mkdir(parents=True)
+    (folder / "TC-1.txt").write_text("  first text\n")
+    (folder / "TC-2.txt").write_text("first text")
+    (folder / "TC-3.txt").write_text(" \n\t")
+    (folder / "TC-4.txt").write_bytes(b"bad \xff\xfe text")
+    (folder / "note.md").write_text("other")
+    see = lambda: tuple(sorted(tuple(r) for r in x.collect()) for x in (ingest.ingested(spark, into)[0].select("case_id", "content"), ingest.ingested(spark, into)[1].select("case_id", "kind")))
+    assert see() == ([], [])
+    ingest.ingest(spark, str(folder), into)
+    once = ([("TC-1", "first text")], [("TC-2", "duplicate"), ("TC-3", "blank"), ("TC-4", "not_utf8")])
+    assert see() == once
+    ingest.ingest(spark, str(folder), into)
+    assert see() == once
+    (folder / "sub" / "TC-1.txt").write_text("another text")
+    (folder / "sub" / "TC-5.txt").write_text("first text")
+    (folder / "sub" / "TC-6.txt").write_text("new")
+    texts, errors = ingest.ingest(spark, str(folder), into)
+    assert see() == (once[0] + [("TC-6", "new")], [("TC-1", "known_case")] + once[1] + [("TC-5", "duplicate")])
+    assert {r.source_id for r in texts.collect()} == {"TC-1-TEXT", "TC-6-TEXT"}
