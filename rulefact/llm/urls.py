@@ -3,9 +3,14 @@
 Everything is DataFrame functions: n-grams, hashing, training (gradient steps over the small labelled table) and scoring.
 The labelled table is bounded by TRAIN_ROWS (a parameter); the weights are one array of BUCKETS numbers, whatever the input.
 
+The labelled table is a paired design: unwanted and ordinary urls share ends, paths, subdomains and words without meaning, and
+differ by a topic word only, so that no end and no path decides. Training lowers the mean loss with a ridge by steps whose
+curvature is bounded from above for every weight (no step is too long, and no weight runs away), with momentum; a held-out fifth
+tells when to stop.
+
 Defined cases: a null url or one without `://` has an empty host and path, no rule, and the model's verdict on an empty url
 (its intercept); repeated rows are judged alike; very long urls are read whole, each gram counts once; other columns of the input
-are not read; an empty table gives an empty result; without labelled rows the model allows all.
+are not read; an empty table gives an empty result; without labelled rows, or with one class only, the model allows all.
 """
 
 from __future__ import annotations
@@ -15,43 +20,40 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, GRAM, TRAIN_ROWS, STEPS = 16_384, 4, 20_000, 14
+BUCKETS, GRAM, TRAIN_ROWS, STEPS = 16_384, 4, 20_000, 40
 
 #: host, path, verdict
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
-#: Words of unwanted and of ordinary sites, and syllables of hosts that mean nothing: the small labelled table is built from them.
-UNWANTED = "casino poker betting bets jackpot pills pharmacy viagra adult porn xxx sexcam spam linkfarm adserver tracker clickbait warez crack torrent payday replica".split()
-ORDINARY = "news library school garden museum recipes weather history science travel forum wiki journal music health city sports research kitchen letters books market teacher river".split()
+#: Topic words of unwanted and of ordinary sites, and syllables of words that mean nothing: the labelled table is built from them.
+UNWANTED = (
+    "casino casinos poker betting bets gamble gambling jackpot slots roulette lottery bingo pills pharmacy viagra cialis steroids porn porno xxx adult adults nude sex sexy sexcam escort escorts singles hookup "
+    "spam spammer ads adserver adclick tracker tracking track clickbait linkfarm popunder banners warez crack cracked keygen torrent torrents payday loans replica fakes phishing malware prizes winner freebies cheap cheapest free"
+).split()
+ORDINARY = (
+    "news library school garden museum recipes weather history science travel forum wiki journal music health city sports research kitchen letters books market teacher river college theatre bakery farm hotel church "
+    "hospital council airport railway bank energy software design photo camera nature forest mountain ocean animal family children football cycling painting poetry physics biology chemistry language dictionary maps town village station bridge"
+).split()
 SYLLABLES = "the er in on an re ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve al me ne ra co ma la".split()
-#: Ends of hosts and paths that both classes have, and those that only unwanted sites have.
-ENDS, ODD_ENDS = "com net org edu gov de fr info co.uk io".split(), "xyz top click icu bid loan win".split()
-PATHS = ["/", "/{n}", "/{n}.html", "/en/{n}", "/de/{n}/?id={n}", "/fr/{n}", "/about", "/news/{n}/", "", "/es/{n}.html", "/wiki/{n}"]
-ODD_PATHS = ["/go.php?to={n}", "/aff/{n}", "/click?id={n}", "/promo-{n}", "/win/{n}", "/redirect/{n}", "/free-{n}.exe"]
+#: Ends, subdomains and paths; every class has all of them alike.
+ENDS = "com net org info co.uk de fr io xyz top biz site online".split()
+SUBDOMAINS = ("", "www.", "blog.", "m.", "shop.")
+PATHS = ["/", "", "/{n}", "/{n}.html", "/en/{n}", "/de/{n}/?id={n}", "/fr/{n}", "/about", "/es/{n}.html", "/index.php?p={n}", "/go/{n}", "/{w}/{n}", "/item-{n}"]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: url, bad (1 or 0). Words without a meaning stand in both classes; what tells the classes apart are
-    unwanted words on any host, or odd ends, numbers and paths on hosts of any word."""
-    made = ["".join(p) for k, p in enumerate(product(SYLLABLES, SYLLABLES)) if k % 3 == 0] + ["".join(p) for k, p in enumerate(product(SYLLABLES[:14], SYLLABLES[:14], SYLLABLES)) if k % 17 == 0]
+    """The small labelled table: url, bad (1 or 0). For every shape of url (join, subdomain, end, path, meaningless word) there is an
+    unwanted and an ordinary one, and half as many without a topic, which are ordinary."""
+    made = ["".join(p) for k, p in enumerate(product(SYLLABLES, SYLLABLES)) if k % 3 == 0] + ["".join(p) for k, p in enumerate(product(SYLLABLES[:14], SYLLABLES[:14], SYLLABLES)) if k % 9 == 0]
+    joins = ("{t}-{w}", "{t}{w}", "{w}-{t}", "{w}{t}", "{t}.{w}", "{t}", "{w}-{t}-{x}")
     rows = []
-
-    def add(bad: int, host: str, end: str, path: str) -> None:
-        n = len(rows) * 7919 % 9973
-        rows.append((f"http{'s' * (len(rows) % 2)}://{host}.{end}{path.format(n=n)}", bad))
-
-    for k, word in enumerate(made):
-        n = k * 37 % 991
-        sub = ("", "www.", "blog.", "m.", "shop.")[k % 5]
-        other = made[(k * 31 + 7) % len(made)]
-        add(0, f"{sub}{word}", ENDS[k % len(ENDS)], PATHS[k % len(PATHS)])
-        add(0, f"{sub}{(word, f'{word}-{other}', f'{word}{other}')[k % 3]}.example", ENDS[k % 3], PATHS[(k * 3 + 1) % len(PATHS)])
-        add(1, (f"{word}-{n}", f"{n}{word}", f"{word}{n}-{other}", f"{other}-{word}-{n}")[k % 4], ODD_ENDS[k % len(ODD_ENDS)], ODD_PATHS[k % len(ODD_PATHS)])
-        topic, plain = UNWANTED[k % len(UNWANTED)], ORDINARY[k % len(ORDINARY)]
-        join = k // 24 % 5
-        add(1, (f"{topic}-{word}", f"{topic}{word}", f"www.{word}-{topic}", f"{word}{topic}", f"{topic}.{word}")[join], ENDS[k % len(ENDS)], PATHS[(k * 5 + 2) % len(PATHS)])
+    for k in range(7 * len(UNWANTED) * 9):
+        w, x = made[k * 31 % len(made)], made[(k * 17 + 5) % len(made)]
+        shape = f"http{'s' * (k % 2)}://{SUBDOMAINS[k * 3 % 5]}" + "{host}." + ENDS[k * 5 % len(ENDS)] + PATHS[(k * 7 + k // 13) % len(PATHS)].format(n=k * 7919 % 9973, w=x)
+        for bad, topics in ((1, UNWANTED), (0, ORDINARY)):
+            rows.append((shape.format(host=joins[k % 7].format(t=topics[k // 7 % len(topics)], w=w, x=x)), bad))
         if k % 2:
-            add(0, (f"{plain}-{word}", f"{plain}{word}", f"www.{word}-{plain}", f"{word}{plain}", f"{plain}.{word}")[join], ENDS[(k + 1) % len(ENDS)], PATHS[(k * 5 + 3) % len(PATHS)])
+            rows.append((shape.format(host=(w, f"{w}-{x}", f"{w}{x}")[k // 2 % 3]), 0))
     return spark.createDataFrame(rows, "url string, bad int")
 
 
@@ -73,35 +75,65 @@ def grams(host: Column, path: Column, n: int = GRAM, buckets: int = BUCKETS) ->
     """Hash buckets of the distinct character n-grams of `^host$` and of the path."""
 
     def of(text: Column, seed: int) -> Column:
-        last = F.greatest(F.length(text) - n + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.substring(text, i, n)), F.lit(buckets)).cast("int"))
+        characters = F.split(text, "")
+        found = characters
+        for k in range(2, n + 1):  # in step along the array, so that time is in proportion to the text
+            found = F.zip_with(found, F.slice(characters, F.lit(k), F.size(characters)), lambda a, b: F.concat(a, b))
+        found = F.when(F.length(text) < n, F.array(text)).otherwise(F.filter(found, lambda x: x.isNotNull()))
+        return F.transform(found, lambda x: F.pmod(F.xxhash64(F.lit(seed), x), F.lit(buckets)).cast("int"))
 
     return F.array_distinct(F.concat(of(F.concat(F.lit("^"), host, F.lit("$")), 1), of(path, 2)))
 
 
-def train(labelled: DataFrame, steps: int = STEPS, rate: float = 0.3, ridge: float = 0.3, rows: int = TRAIN_ROWS, buckets: int = BUCKETS, false_alarms: float = 0.01) -> list[float]:
-    """Weights of the buckets and, last, the intercept: logistic regression with a ridge, by Newton steps on the diagonal, each
-    one grouped sum over the table. Both classes weigh alike, whatever their numbers.
-
-    At most `rows` labelled rows are used, the first by hash; a fifth of them is held out and sets the intercept, so that at most a
-    share of `false_alarms` of its ordinary urls is called unwanted.
-    """
+def featured(labelled: DataFrame, rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> DataFrame:
+    """bad, held (whether held out), g (the grams, and `buckets` for the intercept) of at most `rows` labelled rows, the first by hash."""
     host, path = host_and_path(F.col("url"))
     x = labelled.where("bad is not null").orderBy(F.xxhash64("url"), "url", "bad").limit(rows)
-    x = x.select(F.col("bad").cast("double").alias("bad"), (F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(5)) == 0).alias("held"), F.concat(grams(host, path, buckets=buckets), F.array(F.lit(buckets))).alias("g")).coalesce(1).cache()
-    count = {r["bad"]: r["n"] for r in x.where("NOT held").groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weight = F.when(F.col("bad") == 1, 1 / count.get(1.0, 1)).otherwise(1 / count.get(0.0, 1)) * (sum(count.values()) / 2)
-    weights = [0.0] * (buckets + 1)
+    return x.select(F.col("bad").cast("double").alias("bad"), (F.pmod(F.xxhash64(F.lit(5), "url"), F.lit(5)) == 0).alias("held"), F.concat(grams(host, path, buckets=buckets), F.array(F.lit(buckets))).alias("g"))
+
+
+def train(labelled: DataFrame, steps: int = STEPS, ridge: float = 2e-5, rows: int = TRAIN_ROWS, buckets: int = BUCKETS, patience: int = 4, history: list | None = None) -> list[float]:
+    """Weights of the buckets and, last, the intercept: logistic regression with a ridge. Both classes weigh alike, whatever their
+    numbers. Each step is one grouped sum over the table.
+
+    A url's features have norm 1, each 1 / root of their number; so the loss bends along weight k by at most a quarter of the
+    share of urls that have it, if all weights move at once. Steps divide by that bound and therefore never overshoot; momentum
+    starts anew when the loss rises. It stops when the loss of the held-out fifth has not fallen for `patience` steps, and
+    returns the weights where that was least. `history` gets (loss with ridge, held-out loss) before each step.
+    """
+    x = featured(labelled, rows, buckets).coalesce(1).cache()
+    count = {(r["held"], r["bad"]): r["n"] for r in x.groupBy("held", "bad").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not count.get((False, 1.0)) or not count.get((False, 0.0)):
+        x.unpersist()
+        return [0.0] * (buckets + 1)
+    share = F.lit(0.0)
+    for (held, bad), n in count.items():  # each class half, in training and held-out rows alike
+        share = F.when((F.col("held") == held) & (F.col("bad") == bad), 0.5 / n).otherwise(share)
+    x = x.withColumn("w", share)
+    bend = [0.0] * (buckets + 1)
+    for k, n in x.where("NOT held").select(F.explode("g").alias("k"), "w").groupBy("k").agg(F.sum("w")).collect():  # at most buckets + 1 rows
+        bend[k] = 0.25 * n
+    now, ahead, turn = [0.0] * (buckets + 1), [0.0] * (buckets + 1), 1
+    best, least, since, last = now, float("inf"), 0, float("inf")
     for _ in range(steps):
-        p = x.where("NOT held").select("g", "bad", weight.alias("w"), (1 / (1 + F.exp(-_margin(F.col("g"), weights)))).alias("p"))
-        part = p.select(F.explode("g").alias("k"), (F.col("w") * (F.col("p") - F.col("bad")) / F.sqrt(F.size("g"))).alias("d"), (F.col("w") * F.col("p") * (1 - F.col("p")) / F.size("g")).alias("h"))
-        for k, d, h in part.groupBy("k").agg(F.sum("d"), F.sum("h")).collect():  # at most buckets + 1 rows
-            weights[k] -= rate * (d + ridge * 0.1 * weights[k]) / (h + ridge * 0.1)
-    # The intercept counts over the root of the number of grams, as every weight does: the held-out quantile is taken in its units.
-    shift = x.where("held AND bad = 0").agg(F.percentile(_margin(F.col("g"), weights) * F.sqrt(F.size("g")), F.lit(1 - false_alarms))).first()[0]
-    weights[buckets] -= max(shift or 0.0, 0.0)
+        m = x.select("g", "bad", "held", "w", _margin(F.col("g"), ahead).alias("m"))
+        p, loss = 1 / (1 + F.exp(-F.col("m"))), F.col("w") * (F.greatest("m", F.lit(0.0)) - F.col("m") * F.col("bad") + F.log1p(F.exp(-F.abs("m"))))
+        entry = lambda k, d: F.struct(k.alias("k"), d.alias("d"))
+        told = F.array(entry(F.when(F.col("held"), -1).otherwise(-2), loss))
+        part = F.when(F.col("held"), told).otherwise(F.concat(told, F.transform("g", lambda k: entry(k, F.col("w") * (p - F.col("bad")) / F.sqrt(F.size("g"))))))
+        d = {r["k"]: r["d"] for r in m.select(F.explode(part).alias("e")).groupBy("e.k").agg(F.sum("e.d").alias("d")).collect()}  # at most buckets + 3 rows
+        whole = d.pop(-2) + ridge / 2 * sum(v * v for v in ahead)
+        held = d.pop(-1, whole)
+        if history is not None:
+            history.append((whole, held))
+        best, least, since = (ahead, held, 0) if held < least else (best, least, since + 1)
+        if since >= patience:
+            break
+        turn, last = (1 if whole > last else turn + 1), whole
+        after = [v - (d.get(k, 0.0) + ridge * v) / (bend[k] + ridge) for k, v in enumerate(ahead)]
+        now, ahead = after, [v + (turn - 1) / (turn + 2) * (v - u) for u, v in zip(now, after)]
     x.unpersist()
-    return weights
+    return best
 
 
 def _margin(g: Column, weights: list[float]) -> Column:

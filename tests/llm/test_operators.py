@@ -1,6 +1,7 @@
 """Each corpus operator against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, quality, sharding, token_counts, urls
+from rulefact.llm import ann, chat, hpylm, mixing, neardup, packing, quality, queries, sharding, token_counts, urls
 from rulefact.llm.common import encode
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -292,6 +293,24 @@ def test_shards_are_balanced_at_the_slack_in_use(spark, shards):
     assert both.loc[both["shard"] != both["then"], "size"].sum() / both["size"].sum() < 2.2 / (shards + 1)
 
 
+def test_copies_of_a_row_part(spark):
+    """20,000 rows, 8,000 of them one row: near equal sizes, slots without gaps, every copy there."""
+    table = spark.range(20_000).selectExpr("IF(id < 8000, 5, id) AS doc_id", "IF(id < 8000, repeat('y', 500), repeat('x', CAST(20 + pmod(xxhash64(id), 400) AS INT))) AS text").repartition(5)
+    rows = sharding.shard(table, 8).select("doc_id", "size", "shard", "slot", "cell").toPandas()
+    loads = rows.groupby("shard")["size"].sum()
+    assert len(rows) == 20_000 and (rows["doc_id"] == 5).sum() == 8000 and loads.max() <= 1.01 * loads.mean() and loads.min() >= 0.98 * loads.mean()
+    assert all(sorted(x["slot"]) == list(range(len(x))) for _, x in rows.groupby("shard"))
+    assert rows.groupby("cell").size().max() < 50
+
+
+def test_a_key_above_a_shards_room(spark):
+    rows = [(0, "z" * 100_000)] + [(k, "a" * (k % 50)) for k in range(1, 2000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    large = got.loc[got["doc_id"] == 0, "shard"].iloc[0]
+    assert len(got) == 2000 and (loads.drop(large) < 40_000).all() and loads.drop(large).max() < 1.2 * loads.drop(large).mean()
+
+
 def test_ring_walk_equals_a_plain_one():
     r = np.random.default_rng(4)
     cells = np.sort(r.choice(1 << 16, 300, replace=False))
@@ -547,22 +566,66 @@ def test_url_host_path_and_rules(spark):
         assert verdict is None or r.verdict == verdict
 
 
-def test_url_model_judges_words_it_has_never_seen(spark):
-    """Hosts of words that the labelled table does not have: at least 0.9 of each class is right."""
-    words = "github university cooking government astronomy bakery orchestra cinema railway pottery climbing sailing beekeeping chess volcano glacier harbor lantern meadow compass".split()
+def numpy_regression(rows, buckets, ridge, steps):
+    """Mean logistic loss of both classes alike with a ridge, lowered in NumPy; rows: (bad, grams)."""
+    n = {c: sum(b == c for b, _ in rows) for c in (0.0, 1.0)}
+    size = np.array([len(g) for _, g in rows])
+    owner, k = np.repeat(np.arange(len(rows)), size), np.concatenate([g for _, g in rows])
+    y, x = np.array([b for b, _ in rows]), np.repeat(1 / np.sqrt(size), size)
+    w = np.array([0.5 / n[b] for b, _ in rows])
+    bend = 0.25 * np.bincount(k, w[owner], buckets + 1) + ridge
+    v, u, losses, turn = np.zeros(buckets + 1), np.zeros(buckets + 1), [], 1
+    for _ in range(steps):
+        m = np.bincount(owner, v[k] * x, len(rows))
+        losses.append(float((w * (np.logaddexp(0, m) - m * y)).sum() + ridge / 2 * (v * v).sum()))
+        turn = 1 if len(losses) > 1 and losses[-1] > losses[-2] else turn + 1
+        d = np.bincount(k, (w * (1 / (1 + np.exp(-m)) - y))[owner] * x, buckets + 1)
+        after = v - (d + ridge * v) / bend
+        v, u = after + (turn - 1) / (turn + 2) * (after - u), after
+    return v, losses
+
+
+def test_url_training_lowers_the_loss_as_numpy_does(spark):
+    """The loss falls with the steps, weights stay bounded, and after all steps it is near the least that NumPy finds."""
+    history, first = [], []
+    weights = urls.train(urls.labelled_urls(spark), history=history)
+    whole = [x for x, _ in history]
+    assert all(b < a for a, b in zip(whole[::5], whole[5::5])) and history[-1][1] < 0.5 * history[0][1]
+    assert 10 < math.sqrt(sum(x * x for x in weights)) < 200
+    rows = [(r.bad, np.array(r.g)) for r in urls.featured(urls.labelled_urls(spark)).where("NOT held").collect()]
+    least = min(numpy_regression(rows, urls.BUCKETS, 2e-5, 400)[1])
+    assert least <= whole[-1] < least + 0.02
+    few = urls.labelled_urls(spark).limit(300)
+    urls.train(few, steps=2, history=first)
+    rows = [(r.bad, np.array(r.g)) for r in urls.featured(few).where("NOT held").collect()]
+    assert [x for x, _ in first] == pytest.approx(numpy_regression(rows, urls.BUCKETS, 2e-5, 2)[1])
+
+
+def test_url_model_judges_hosts_ends_and_paths_it_has_never_seen(spark):
+    """Topics on hosts of words, ends and paths that the labelled table does not have: at least 0.9 of each class is right."""
+    words = "astro brick crumb dwarf flute glove hedge igloo jelly knack lemon mango nylon oxide prawn quilt rusty squid tulip umbra vinyl walrus yacht zebra".split()
+    ends, paths = ["example.com", "com.au", "cc", "ru", "edu", "nl"], ["/start?x=1", "/2020/04/{w}", "/{w}.aspx", "/a/b/c", "/~{w}", "/login"]
     table = urls.labelled_urls(spark)
     known = " ".join(r.url for r in table.select("url").collect())
-    assert not any(w in known for w in words)
-    good = [f"http://{s}{w}.{e}{p}" for k, w in enumerate(words) for s, e, p in [("", urls.ENDS[k % 5], ""), ("www.", urls.ENDS[(k + 1) % 5], f"/en/{k * 31}"), ("blog.", urls.ENDS[(k + 2) % 5], f"/{w}/{k}.html")]]
-    bad = [f"http://{h}.{urls.ODD_ENDS[k % 7]}{urls.ODD_PATHS[(k * 3) % 7].format(n=k * 13 + 5)}" for k, w in enumerate(words) for h in (f"{w}-{k * 17 + 3}", f"{k * 19 + 11}{w}", f"{w}{k + 70}-{words[k - 1]}")]
-    bad += [f"http://{w}{k}-{t}.com/" for k, (w, t) in enumerate(zip(words, urls.UNWANTED, strict=False))]
+    assert not any(x in known for x in (*words, *(f".{e}/" for e in ends), *(p.replace("{w}", "") for p in paths)))
+    shape = lambda k, host: f"http://{host}.{ends[k % 6]}{paths[k // 2 % 6].format(w=words[k % 24])}"
+    join = lambda k, t: (f"{t}-{words[k % 24]}", f"{words[k % 24]}-{t}", f"{t}{words[k % 24]}", f"www.{t}", f"{t}.{words[k % 24]}")[k % 5]
+    bad = [shape(k, join(k, t)) for k, t in enumerate(urls.UNWANTED * 3)]
+    good = [shape(k, join(k, t)) for k, t in enumerate(urls.ORDINARY * 3)] + [shape(k, f"{w}{words[k * 5 % 24]}") for k, w in enumerate(words)]
     weights = urls.train(table)
     for rows, verdict in ((good, "allow"), (bad, "block")):
         judged = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), [], weights)
-        right = judged.where(F.col("verdict") == verdict).count()
-        assert right / len(rows) >= 0.9, (verdict, right, len(rows))
-    empty = urls.train(table.limit(0), steps=2)
-    assert set(empty) == {0.0}
+        right, middle = judged.agg(F.avg((F.col("verdict") == verdict).cast("double")), F.avg(F.col("bad_probability").between(0.05, 0.95).cast("double"))).first()
+        assert right >= 0.9 and middle >= 0.1, (verdict, right, middle)
+    assert set(urls.train(table.limit(0), steps=2)) == set(urls.train(table.where("bad = 1"), steps=2)) == {0.0}
+    odd = spark.createDataFrame([(1, "http://" + "casino" * 20_000), (2, None), (None, "http://a.b/")], "page_id long, url string")
+    assert odd.count() == urls.judge(odd, urls.RULES, weights).where("verdict IN ('allow', 'block')").count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables absent")
+def test_url_query_gives_both_verdicts(spark):
+    free = queries.op2_url_filter(spark, "/root/testdata/sf0.001").where("rule IS NULL")
+    assert {r.verdict for r in free.select("verdict").distinct().collect()} == {"allow", "block"}
 
 
 def test_nearest_neighbours(spark):
