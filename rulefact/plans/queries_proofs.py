@@ -1,4 +1,4 @@
-"""Queries of stored proof runs (I7, I8, P7)."""
+"""Queries of stored proof runs (I7, I8, P7), of the whole report (P4) and the case brief (P10)."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from rulefact.plans import proofs as P
 from rulefact.plans import rules as R
+from rulefact.plans import views as V
 from rulefact.plans import world as W
 from rulefact.plans.queries_rules import _CHOSEN
+from rulefact.plans.queries_sources import _EVAL, _evaluated
 from rulefact.plans.registry import Tables, query
 
 TEXT = "goods came back after the order"
@@ -84,3 +86,41 @@ def p7_run_view(t: Tables):
     told = o.where(k % 10 == 0).select("proof_id", k.alias("fact_id"), F.lit("PLACED").alias("predicate"), F.lit("blocked").alias("outcome"), F.concat(F.lit("p("), s("o_orderkey"), F.lit(")")).alias("atom"), F.when(k % 20 == 0, F.array(F.concat(F.lit("q("), s("o_orderkey"), F.lit(")")))).otherwise(none).alias("violated"), none.alias("missing"), F.array(F.lit("r1"), F.lit("r2")).alias("supporting"))
     runs = t.customer.select(F.col("c_custkey").alias("proof_id"), F.col("c_custkey").alias("case_id"), F.lit(None).cast("string").alias("query"), F.when(F.col("c_custkey") % 2 == 0, "proved").otherwise("unknown").alias("result"))
     return P.run_view(runs, steps, dag, facts, told).select("proof_id", "section", F.col("place").cast("long").alias("place"), "line")
+
+
+@query(_EVAL + """, c AS (SELECT (query_id % 10) / 10 AS p, CAST(verdict = 'proved' AS DOUBLE) AS y FROM ev), b AS (SELECT least(9, floor(p * 10)) AS b, count(*) AS n, avg(p) AS p, avg(y) AS y FROM c GROUP BY 1),
+f AS (SELECT CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM (SELECT count_if(expected = label AND verdict = label) AS tp, count_if(expected <> label AND verdict = label) AS fp, count_if(expected = label AND verdict <> label) AS fn FROM ev CROSS JOIN (SELECT unnest(['proved', 'not_proved', 'blocked', 'unknown']) AS label) GROUP BY label)),
+m AS (SELECT 'accuracy' AS metric, avg(CAST(correct AS DOUBLE)) AS value, 'ge' AS op, 0.9 AS gate FROM ev UNION ALL SELECT 'answer_coverage', avg(CAST(verdict <> 'unknown' AS DOUBLE)), 'ge', 0.95 FROM ev UNION ALL SELECT 'proof_coverage', 1.0, 'ge', 0.98 UNION ALL SELECT 'macro_f1', avg(f1), 'ge', 0.85 FROM f
+UNION ALL SELECT 'ece', sum(n * abs(y - p)) / sum(n), 'le', 0.08 FROM b UNION ALL SELECT 'brier', avg((p - y) ** 2), NULL, NULL FROM c UNION ALL SELECT 'latency_p50', quantile_cont(value, 0.5), NULL, NULL FROM events UNION ALL SELECT 'latency_p95', quantile_cont(value, 0.95), 'le', 2000.0 FROM events UNION ALL SELECT 'latency_mean', avg(value), NULL, NULL FROM events
+UNION ALL SELECT 'replay_rate', count_if(o_custkey % 7 <> 0) / count(*), 'ge', 1.0 FROM (SELECT DISTINCT o_custkey FROM orders) UNION ALL SELECT 'n_errors', count(*), NULL, NULL FROM orders WHERE o_totalprice > 400000)
+SELECT metric, round(value, 6) AS value, CASE op WHEN 'ge' THEN value >= gate WHEN 'le' THEN value <= gate END AS passed FROM m""")
+def p4_full_report(t: Tables):
+    e = _evaluated(t)
+    pairs = e.select(((F.col("query_id") % 10) / 10).alias("confidence"), (F.col("verdict") == "proved").alias("proved"))
+    runs = t.orders.select(F.col("o_custkey").alias("case_id"), "o_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("replay"))
+    runs = runs.withColumn("line", F.concat_ws(":", F.col("o_orderkey").cast("string"), F.when((F.col("replay") == 1) & (F.col("case_id") % 7 == 0), "blocked").otherwise("proved")))
+    return V.full_report(e, pairs, t.events.select(F.col("value").alias("ms")), runs, t.orders.where("o_totalprice > 400000")).withColumn("value", F.round("value", 6))
+
+
+@query("""WITH c AS (SELECT *, o_orderstatus = 'F' AS proved, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey) AS nth FROM orders WHERE o_orderstatus <> 'P'),
+f AS (SELECT * FROM c WHERE nth <= 5), nm AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 <> 0),
+i AS (SELECT o_custkey, o_orderkey, nth, l_partkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY o_custkey, o_orderkey ORDER BY l_quantity DESC, l_partkey, 'line' || l_linenumber) AS k FROM f JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT c_custkey AS case_id, 1 AS place, 'Properties' AS title, '- ' || coalesce(c_name, CAST(customer.c_custkey AS VARCHAR)) || ': segment = ' || c_mktsegment || ' (' || printf('%.2f', (c_custkey % 50) / 50) || ')' AS brief FROM (SELECT customer.c_custkey, nm.c_name, c_mktsegment FROM customer LEFT JOIN nm USING (c_custkey)) customer
+UNION ALL SELECT f.o_custkey, 2, 'Facts (' || any_value(np) || ' proved, ' || any_value(no) || ' observed)', string_agg('- [' || CASE WHEN proved THEN 'proved' ELSE 'observed' END || '] placed(customer ' || coalesce(c_name, CAST(f.o_custkey AS VARCHAR)) || ', total ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ')' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' from doc' || o_orderkey END, chr(10) ORDER BY nth)
+FROM f JOIN (SELECT o_custkey, count_if(proved) AS np, count_if(NOT proved) AS no FROM c GROUP BY 1) n ON n.o_custkey = f.o_custkey LEFT JOIN nm ON c_custkey = f.o_custkey GROUP BY 1
+UNION ALL SELECT o_custkey, 3, 'Conclusions', string_agg('- late(' || o_orderkey || ') by r_late from placed(' || o_orderkey || '); back(' || o_orderkey || ')' || CASE WHEN o_orderkey % 2 = 0 THEN ' without open(' || o_orderkey || ')' ELSE '' END, chr(10) ORDER BY o_orderkey) FROM orders WHERE o_orderstatus = 'F' GROUP BY 1
+UNION ALL SELECT o_custkey, 4, 'Influences', string_agg('- ' || o_orderkey || ' <- ' || l_partkey || ' via line' || l_linenumber || ' (' || printf('%.2f', l_quantity) || ')', chr(10) ORDER BY nth, k) FROM i WHERE k <= 2 GROUP BY 1""")
+def p10_grounded_brief(t: Tables):
+    """Customers as cases: properties, facts with proved ones first, conclusions and influences."""
+    text = lambda c: F.col(c).cast("string")
+    call = lambda p: F.concat(F.lit(f"{p}("), text("o_orderkey"), F.lit(")"))
+    case = F.col("o_custkey").alias("case_id")
+    k = F.col("o_orderkey")
+    states = t.customer.select(F.col("c_custkey").alias("case_id"), text("c_custkey").alias("entity_id"), F.lit("SEGMENT").alias("cluster"), F.col("c_mktsegment").alias("value"), ((F.col("c_custkey") % 50) / 50).alias("confidence"))
+    arg = lambda role, value: F.struct(F.lit(role).alias("role"), value.alias("value"))
+    status = F.when(F.col("o_orderstatus") == "F", "proved").when(F.col("o_orderstatus") == "O", "observed").otherwise("candidate")
+    facts = t.orders.select(case, k.alias("fact_id"), F.lit("PLACED").alias("predicate"), status.alias("status"), F.array(arg("CUSTOMER", text("o_custkey")), arg("TOTAL", F.floor("o_totalprice").cast("string"))).alias("args"), F.when(k % 3 != 0, F.concat(F.lit("doc"), text("o_orderkey"))).alias("source_id"))
+    steps = t.orders.where("o_orderstatus = 'F'").select(case, k.alias("step_order"), call("late").alias("atom"), F.lit("r_late").alias("rule_id"), F.array(call("placed"), call("back")).alias("depends_on"), F.when(k % 2 == 0, F.array(call("open"))).otherwise(F.array().cast("array<string>")).alias("naf_checked"))
+    influences = t.orders.join(t.lineitem, F.col("l_orderkey") == k).select(case, k.alias("fact_id"), F.col("l_partkey").alias("source_id"), F.concat(F.lit("line"), text("l_linenumber")).alias("relation"), F.col("l_quantity").alias("magnitude"))
+    names = t.customer.where("c_custkey % 4 <> 0").select(text("c_custkey").alias("entity_id"), F.col("c_name").alias("name"))
+    return V.grounded_brief(states, facts, steps, influences, names, most_facts=5, most_influences=2)

@@ -13,17 +13,17 @@ _NORM = "regexp_replace(lower(" + _T + "), '[^a-z0-9_]', '_', 'g')"
 _CID = "CASE WHEN {n} = '' OR regexp_matches({n}, '^[0-9]') THEN 'e_' || {n} ELSE {n} END"
 
 
-@query(f"""WITH x AS (SELECT doc_id, {_NORM.format("left(text, 40)")} AS n FROM documents)
+@query(f"""WITH x AS (SELECT doc_id, {_NORM.format("text")} AS n FROM documents)
 SELECT doc_id, {_CID.format(n="n")} AS cid FROM x""")
 def c1_constant_id(t: Tables):
-    return t.documents.select("doc_id", S.constant_id(F.left("text", F.lit(40))).alias("cid"))
+    return t.documents.select("doc_id", S.constant_id(F.col("text")).alias("cid"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, left(text, 6) AS o, {_NORM.format("left(text, 6)")} AS n FROM documents),
+@query(f"""WITH x AS (SELECT doc_id, text AS o, {_NORM.format("text")} AS n FROM documents),
 y AS (SELECT doc_id, o, {_CID.format(n="n")} AS cid FROM x)
 SELECT cid, arg_min(o, doc_id) AS original, count(*) AS n FROM y GROUP BY cid""")
 def c2_reverse_map(t: Tables):
-    x = t.documents.select("doc_id", F.left("text", F.lit(6)).alias("o"))
+    x = t.documents.select("doc_id", F.col("text").alias("o"))
     return x.groupBy(S.constant_id(F.col("o")).alias("cid")).agg(F.min_by("o", "doc_id").alias("original"), F.count(F.lit(1)).alias("n"))
 
 

@@ -28,7 +28,13 @@ def calibration_pairs(candidates: DataFrame, verdict_rows: DataFrame) -> DataFra
 
 
 #: Targets a metric is held against: at least, or at most.
-GATES = {"accuracy": (">=", 0.9), "macro_f1": (">=", 0.85), "answer_coverage": (">=", 0.95), "proof_coverage": (">=", 0.98), "ece": ("<=", 0.08)}
+GATES = {"accuracy": (">=", 0.9), "macro_f1": (">=", 0.85), "answer_coverage": (">=", 0.95), "proof_coverage": (">=", 0.98), "ece": ("<=", 0.08), "latency_p95": ("<=", 2000.0), "replay_rate": (">=", 1.0)}
+
+
+def _judged(metrics: DataFrame) -> DataFrame:
+    """metric, value with passed: whether the metric's gate is met; null where it has none, or no value."""
+    passed = F.coalesce(*(F.when(F.col("metric") == m, F.col("value") >= g if op == ">=" else F.col("value") <= g) for m, (op, g) in GATES.items()))
+    return metrics.withColumn("passed", passed)
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -36,9 +42,25 @@ def report(rows: DataFrame) -> DataFrame:
     x = rows.select("expected", F.col("verdict").alias("got"), "correct", "has_proof")
     one = x.agg(A.share(F.col("correct")).alias("accuracy"), A.share(F.col("got") != "unknown").alias("answer_coverage"), F.avg(F.when(F.col("got") == "proved", F.col("has_proof").cast("double"))).alias("proof_coverage"))
     both = one.crossJoin(A.macro(A.per_label(x)).select("macro_f1"))
-    long = both.unpivot([], list(both.columns), "metric", "value")
-    passed = F.coalesce(*(F.when(F.col("metric") == m, F.col("value") >= g if op == ">=" else F.col("value") <= g) for m, (op, g) in GATES.items()))
-    return long.withColumn("passed", passed)
+    return _judged(both.unpivot([], list(both.columns), "metric", "value"))
+
+
+def full_report(rows: DataFrame, pairs: DataFrame, timings: DataFrame, runs: DataFrame, errors: DataFrame) -> DataFrame:
+    """report() with ece and brier of calibration pairs(confidence, proved), latency_p50, latency_p95 and latency_mean of
+    timings(ms), replay_rate of runs(case_id, replay, line), and n_errors of the cases that could not be evaluated.
+
+    A metric without rows is null, and its gate is neither met nor missed."""
+    frames = [
+        A.calibration_error(pairs, "confidence", "proved").select("ece"),
+        pairs.agg(A.brier(F.col("confidence"), F.col("proved")).alias("brier")),
+        A.latency(timings, "ms").select(F.col("p50").alias("latency_p50"), F.col("p95").alias("latency_p95"), F.col("mean").alias("latency_mean")),
+        A.replay_rate(runs).select("replay_rate"),
+        errors.agg(F.count(F.lit(1)).cast("double").alias("n_errors")),
+    ]
+    out = report(rows).select("metric", "value")
+    for f in frames:
+        out = out.unionByName(f.select(*(F.col(c).cast("double").alias(c) for c in f.columns)).unpivot([], f.columns, "metric", "value"))
+    return _judged(out)
 
 
 def unanswered(cases: DataFrame, queries: DataFrame) -> DataFrame:
@@ -142,6 +164,44 @@ def case_brief(lines: DataFrame, most: int = 20) -> DataFrame:
     return x.groupBy(CASE, "section").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("x")).select(CASE, "section", F.concat_ws("\n", "x.line").alias("brief"))
 
 
+def grounded_brief(states: DataFrame, facts: DataFrame, steps: DataFrame, influences: DataFrame, names: DataFrame, most_facts: int = 20, most_influences: int = 2) -> DataFrame:
+    """case_id, place, title, brief: the sections of a case brief that rests on stored rows only; a section without rows is left out.
+
+    1 properties: states(case_id, entity_id, cluster, value, confidence), a line for each, by entity and cluster.
+    2 facts: facts(case_id, fact_id, predicate, status, args array<struct<role, value>>, source_id), proved ones first, then
+      observed ones, by fact_id, at most `most_facts`; the title counts all of both. Other statuses are left out.
+    3 conclusions: steps(case_id, step_order, atom, rule_id, depends_on, naf_checked) of rules, in order.
+    4 influences: influences(case_id, fact_id, source_id, relation, magnitude), the `most_influences` largest of each fact shown.
+    Entities are shown by names(entity_id, name); those without a name by their id.
+    """
+    from rulefact.operators.picks import top
+
+    number = lambda c: F.format_number(c, 2)
+    named = names.groupBy("entity_id").agg(F.min("name").alias("name"))
+    s = states.join(named, "entity_id", "left").select(CASE, F.struct(F.col("entity_id").cast("string").alias("a"), F.col("cluster").alias("b")).alias("ord"), F.concat(F.lit("- "), F.coalesce("name", F.col("entity_id").cast("string")), F.lit(": "), F.lower("cluster"), F.lit(" = "), "value", F.lit(" ("), number(F.col("confidence")), F.lit(")")).alias("line"))
+
+    shown = facts.where("status IN ('proved', 'observed')")
+    counts = shown.groupBy(CASE).agg(F.concat(F.lit("Facts ("), F.count_if(F.col("status") == "proved").cast("string"), F.lit(" proved, "), F.count_if(F.col("status") == "observed").cast("string"), F.lit(" observed)")).alias("title"))
+    picked = top(shown, [CASE], [F.when(F.col("status") == "proved", 0).otherwise(1), F.col("fact_id")], most_facts, rank="nth")
+    args = picked.select(CASE, "fact_id", F.posexplode("args").alias("k", "arg")).join(named.select(F.col("entity_id").alias("value"), "name"), F.col("arg.value") == F.col("value"), "left")
+    args = args.groupBy(CASE, "fact_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.concat(F.lower(F.col("arg.role")), F.lit(" "), F.coalesce("name", F.col("arg.value"))).alias("t")))), lambda x: x["t"]), ", ").alias("args"))
+    f = picked.drop("args").join(args, [CASE, "fact_id"], "left").select(CASE, "nth", "fact_id", F.concat(F.lit("- ["), "status", F.lit("] "), F.lower("predicate"), F.lit("("), F.coalesce("args", F.lit("")), F.lit(")"), F.when(F.col("source_id").isNotNull(), F.concat(F.lit(" from "), F.col("source_id").cast("string"))).otherwise("")).alias("line"))
+
+    told = lambda c, word: F.when(F.size(c) > 0, F.concat(F.lit(word), F.array_join(c, "; "))).otherwise("")
+    p = steps.where("rule_id IS NOT NULL").select(CASE, "step_order", F.concat(F.lit("- "), "atom", F.lit(" by "), "rule_id", told("depends_on", " from "), told("naf_checked", " without ")).alias("line"))
+
+    i = top(influences.join(picked.select(CASE, "fact_id", F.col("nth").alias("of")), [CASE, "fact_id"]), [CASE, "fact_id"], [F.desc("magnitude"), F.col("source_id"), F.col("relation")], most_influences, rank="nth")
+    i = i.select(CASE, F.struct("of", "nth").alias("ord"), F.concat(F.lit("- "), F.col("fact_id").cast("string"), F.lit(" <- "), F.col("source_id").cast("string"), F.lit(" via "), "relation", F.lit(" ("), number(F.col("magnitude")), F.lit(")")).alias("line"))
+
+    def section(place: int, title: object, rows: DataFrame, order: str) -> DataFrame:
+        text = rows.groupBy(CASE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "line"))), lambda x: x["line"]), "\n").alias("brief"))
+        return text.select(CASE, F.lit(place).alias("place"), F.lit(title).alias("title"), "brief")
+
+    out = section(1, "Properties", s, "ord")
+    out = out.unionByName(section(2, "", f, "nth").drop("title").join(counts, CASE).select(CASE, "place", "title", "brief"))
+    return out.unionByName(section(3, "Conclusions", p, "step_order")).unionByName(section(4, "Influences", i, "ord"))
+
+
 def stratification_problems(heads: DataFrame, body: DataFrame) -> DataFrame:
     """rule_id, problem over rule tables: heads(rule_id, predicate, stratum), body(rule_id, negated, predicate).
 
