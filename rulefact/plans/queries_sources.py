@@ -101,12 +101,17 @@ def a13_row_counts(t: Tables):
     return S.row_counts({n: getattr(t, n) for n in ("orders", "lineitem", "customer", "events")})
 
 
-@query("SELECT user_id AS entity_id, count(DISTINCT event_type) AS n_slots, count(*) AS n_versions FROM events GROUP BY 1")
+@query("""WITH v AS (SELECT user_id, event_type, string_agg(event_id || '=' || CAST(floor(value * 100) AS BIGINT), ',' ORDER BY ts, event_id) AS versions, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id AS entity_id, string_agg(event_type || ':' || versions, '|' ORDER BY event_type) AS document, count(*) AS n_slots, sum(n)::BIGINT AS n_versions FROM v GROUP BY 1""")
 def a14_entity_documents(t: Tables):
+    """Each entity's memory as one document: slots by name, their versions in order of time; compared whole."""
     slots = t.events.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("versions"))
     docs = slots.groupBy(F.col("user_id").alias("entity_id")).agg(F.map_from_entries(F.collect_list(F.struct("event_type", "versions"))).alias("memory"))
     sizes = F.aggregate(F.transform(F.map_values("memory"), F.size), F.lit(0), lambda a, x: a + x)
-    return docs.select("entity_id", F.size("memory").cast("long").alias("n_slots"), sizes.cast("long").alias("n_versions"))
+    version = lambda v: F.concat(v["event_id"].cast("string"), F.lit("="), F.floor(v["value"] * 100).cast("string"))
+    slot = lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.transform(e["value"], version), ","))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("memory")), slot), "|")
+    return docs.select("entity_id", text.alias("document"), F.size("memory").cast("long").alias("n_slots"), sizes.cast("long").alias("n_versions"))
 
 
 # Group N
