@@ -8,6 +8,7 @@ from rulefact.plans import proofs as P
 from rulefact.plans import rules as R
 from rulefact.plans import views as V
 from rulefact.plans import world as W
+from rulefact.plans import queries_beliefs as K
 from rulefact.plans.queries_rules import _CHOSEN
 from rulefact.plans.queries_sources import _EVAL, _evaluated
 from rulefact.plans.registry import Tables, query
@@ -124,3 +125,23 @@ def p10_grounded_brief(t: Tables):
     influences = t.orders.join(t.lineitem, F.col("l_orderkey") == k).select(case, k.alias("fact_id"), F.col("l_partkey").alias("source_id"), F.concat(F.lit("line"), text("l_linenumber")).alias("relation"), F.col("l_quantity").alias("magnitude"))
     names = t.customer.where("c_custkey % 4 <> 0").select(text("c_custkey").alias("entity_id"), F.col("c_name").alias("name"))
     return V.grounded_brief(states, facts, steps, influences, names, most_facts=5, most_influences=2)
+
+
+def _drawn(t: Tables):
+    nodes, edges, _ = K._graph(t)
+    facts = K._facts(t).where("fact_id % 3 <> 0").select("case_id", "fact_id", F.lit("ORDER_PLACED").alias("predicate"), "status")
+    return V.labelled_network(nodes, facts, K._args(t), edges, K._schemas(t), K._states(t))
+
+
+@query(K._SQL + """, p AS (SELECT case_id, id, l, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM c)
+SELECT case_id, 'entity:' || id AS id, 'entity' AS kind, CAST(id AS VARCHAR) AS label FROM c
+UNION ALL SELECT case_id, 'fact:' || id, 'fact', CASE WHEN id % 3 = 0 THEN '- status=-' WHEN l[1] = 10.0 THEN 'ORDER_PLACED status=observed' ELSE 'ORDER_PLACED status=candidate' END FROM f
+UNION ALL SELECT case_id, 'c_tier:' || id, 'cluster', 'top=' || ['low', 'mid', 'high'][list_position(e, list_max(e))] || ' (' || printf('%.2f', list_max(e) / list_sum(e)) || ') clamped=' || CASE WHEN id % 9 = 0 THEN 'yes hard' ELSE 'no' END FROM p""")
+def p9_network_labels(t: Tables):
+    return _drawn(t)[0]
+
+
+@query(K._SQL + """SELECT case_id, 'entity:' || id AS src, 'c_tier:' || id AS dst, 'state' AS kind, 'state' AS label FROM c UNION ALL SELECT case_id, 'entity:' || cust, 'fact:' || id, 'role', 'CUSTOMER' FROM f
+UNION ALL SELECT case_id, 'fact:' || id, 'c_tier:' || cust, 'relation', 'supports:order_placed:CUSTOMER' FROM f""")
+def p9_network_edges(t: Tables):
+    return _drawn(t)[1]

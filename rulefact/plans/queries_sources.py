@@ -60,7 +60,7 @@ def a6_mixed_records(t: Tables):
     path = _folder(t, "mixed")
     frames = {"round": t.part.select("p_brand").distinct(), "fact": t.part.where("p_size % 2 = 0").select("p_partkey"), "other": t.region.select("r_name")}
     S.mixed_lines(frames).write.text(path)
-    got, bad = S.read_mixed(t.spark.read.text(path), {"round": "p_brand string", "fact": "p_partkey long"})
+    got, bad = S.read_mixed(t.spark.read.text(path), {"round": "p_brand string", "fact": "p_partkey long"}, needed=("round",))
     out = got["fact"].select(F.lit("fact").alias("kind"), F.col("p_partkey").cast("string").alias("id")).unionByName(got["round"].select(F.lit("round").alias("kind"), F.col("p_brand").alias("id")))
     return out.unionByName(bad.agg(F.lit("bad").alias("kind"), F.count(F.lit(1)).cast("string").alias("id")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulefact.functions.scalars import softmax
 from rulefact.operators import aggregates as A
 from rulefact.plans.rules import CASE, Model
 from rulefact.plans.verdict import proof_edges, verdicts
@@ -156,6 +157,34 @@ def case_network(nodes: DataFrame, args: DataFrame) -> tuple[DataFrame, DataFram
     return fact.unionByName(cluster.drop("node_id")).unionByName(entity), state.unionByName(role)
 
 
+def labelled_network(nodes: DataFrame, facts: DataFrame, args: DataFrame, edges: DataFrame, schemas: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: case_id, id, kind, label; edges: case_id, src, dst, kind, label) of a belief graph as it is drawn.
+
+    Facts show their predicate and status (`-` where no row of facts(case_id, fact_id, predicate, status) tells), clusters their
+    top value with its probability (the first of equal ones) and whether states(case_id, cluster, entity_id, is_clamped,
+    clamp_hard) clamp them. Edges: an entity to its cluster (state), to the facts that name it (role), and every edge of the graph
+    between nodes (relation).
+    """
+    plain = case_network(nodes, args)[0]
+    entity = plain.where("kind = 'entity'").select(CASE, "id", "kind", F.substring_index("id", ":", -1).alias("label"))
+    f = nodes.where("node_type = 'fact'").select(CASE, F.col("node_id").alias("fact_id")).join(facts.select(CASE, "fact_id", "predicate", "status"), [CASE, "fact_id"], "left")
+    fact = f.select(CASE, F.concat(F.lit("fact:"), F.col("fact_id").cast("string")).alias("id"), F.lit("fact").alias("kind"), F.concat(F.coalesce("predicate", F.lit("-")), F.lit(" status="), F.coalesce("status", F.lit("-"))).alias("label"))
+    c = nodes.where("node_type <> 'fact'").withColumn("cluster", F.regexp_replace("node_type", "^c_", "")).join(schemas.select("cluster", "domain"), "cluster", "left")
+    c = c.join(states.select(CASE, "cluster", F.col("entity_id").alias("node_id"), "is_clamped", "clamp_hard"), [CASE, "cluster", "node_id"], "left")
+    p = softmax(F.col("logits"))
+    at = F.array_position(p, F.array_max(p)).cast("int")
+    top = F.concat(F.coalesce(F.try_element_at("domain", at), (at - 1).cast("string")), F.lit(" ("), F.format_number(F.array_max(p), 2), F.lit(")"))
+    clamped = F.concat(F.when(F.col("is_clamped"), " clamped=yes").otherwise(" clamped=no"), F.when(F.col("clamp_hard"), " hard").otherwise(""))
+    key = lambda kind, node: F.when(F.col(kind) == "fact", F.concat(F.lit("fact:"), F.col(node).cast("string"))).otherwise(F.concat_ws(":", kind, F.col(node).cast("string")))
+    cluster = c.select(CASE, key("node_type", "node_id").alias("id"), F.lit("cluster").alias("kind"), F.concat(F.lit("top="), top, clamped).alias("label"))
+
+    named = lambda e: F.concat(F.lit("entity:"), F.col(e).cast("string"))
+    state = c.select(CASE, named("node_id").alias("src"), key("node_type", "node_id").alias("dst"), F.lit("state").alias("kind"), F.lit("state").alias("label"))
+    role = args.where("entity_id IS NOT NULL").select(CASE, named("entity_id").alias("src"), F.concat(F.lit("fact:"), F.col("fact_id").cast("string")).alias("dst"), F.lit("role").alias("kind"), F.col("role").alias("label"))
+    relation = edges.select(CASE, key("src_type", "src_id").alias("src"), key("dst_type", "dst_id").alias("dst"), F.lit("relation").alias("kind"), F.col("relation").alias("label"))
+    return entity.unionByName(fact).unionByName(cluster), state.unionByName(role).unionByName(relation)
+
+
 def case_brief(lines: DataFrame, most: int = 20) -> DataFrame:
     """case_id, section, brief: at most `most` rendered lines(case_id, section, ord, line) of each section, in order."""
     from rulefact.operators.picks import top

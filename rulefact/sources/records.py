@@ -73,9 +73,14 @@ def mixed_lines(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def read_mixed(lines: DataFrame, schemas: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(a frame per record type, lines of unknown types)."""
+def read_mixed(lines: DataFrame, schemas: dict[str, str], needed: tuple[str, ...] = ()) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(a frame per record type, lines of unknown types); blank lines are none. A file without a record of a `needed` type is an
+    error, as is one without its round."""
+    lines = lines.where(F.trim("value") != "")
     kind = F.get_json_object("value", "$.record_type")
+    there = {r[0] for r in lines.where(kind.isin(*needed)).select(kind).distinct().collect()} if needed else set()
+    if missing := [x for x in needed if x not in there]:
+        raise ValueError(f"no record of type {', '.join(missing)}")
     frames = {k: lines.where(kind == k).select(F.from_json("value", f"payload struct<{s}>").alias("x")).select("x.payload.*") for k, s in schemas.items()}
     return frames, lines.where(kind.isNull() | ~kind.isin(*schemas))
 

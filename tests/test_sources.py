@@ -21,6 +21,14 @@ def test_query_csv_needs_its_columns_and_bears_a_mark(spark, tmp_path):
         S.query_lines(spark, str(tmp_path / "a.csv"))
 
 
+def test_a_file_without_its_round_is_an_error(spark):
+    lines = spark.createDataFrame([('{"record_type": "fact", "payload": {"k": 1}}',), ("  ",), ('{"record_type": "odd"}',)], "value string")
+    got, bad = S.read_mixed(lines, {"fact": "k int", "round": "r string"})
+    assert [r.k for r in got["fact"].collect()] == [1] and bad.count() == 1 and got["round"].count() == 0
+    with pytest.raises(ValueError, match="round"):
+        S.read_mixed(lines, {"fact": "k int", "round": "r string"}, needed=("round",))
+
+
 def test_fenced_and_broken_replies(spark):
     rows = spark.createDataFrame([(1, '```json\n{"a": "x"}\n```'), (2, '{"a": '), (3, "[1]"), (4, None)], "k int, line string")
     ok, bad = S.decoded(rows, "line", "a string")
