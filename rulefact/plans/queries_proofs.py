@@ -118,9 +118,10 @@ def p10_grounded_brief(t: Tables):
     case = F.col("o_custkey").alias("case_id")
     k = F.col("o_orderkey")
     states = t.customer.select(F.col("c_custkey").alias("case_id"), text("c_custkey").alias("entity_id"), F.lit("SEGMENT").alias("cluster"), F.col("c_mktsegment").alias("value"), ((F.col("c_custkey") % 50) / 50).alias("confidence"))
-    arg = lambda role, value: F.struct(F.lit(role).alias("role"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    arg = lambda role, entity, value: F.struct(F.lit(role).alias("role"), entity.alias("entity_id"), value.alias("value"))
     status = F.when(F.col("o_orderstatus") == "F", "proved").when(F.col("o_orderstatus") == "O", "observed").otherwise("candidate")
-    facts = t.orders.select(case, k.alias("fact_id"), F.lit("PLACED").alias("predicate"), status.alias("status"), F.array(arg("CUSTOMER", text("o_custkey")), arg("TOTAL", F.floor("o_totalprice").cast("string"))).alias("args"), F.when(k % 3 != 0, F.concat(F.lit("doc"), text("o_orderkey"))).alias("source_id"))
+    facts = t.orders.select(case, k.alias("fact_id"), F.lit("PLACED").alias("predicate"), status.alias("status"), F.array(arg("CUSTOMER", text("o_custkey"), none), arg("TOTAL", none, F.floor("o_totalprice").cast("string"))).alias("args"), F.when(k % 3 != 0, F.concat(F.lit("doc"), text("o_orderkey"))).alias("source_id"))
     steps = t.orders.where("o_orderstatus = 'F'").select(case, k.alias("step_order"), call("late").alias("atom"), F.lit("r_late").alias("rule_id"), F.array(call("placed"), call("back")).alias("depends_on"), F.when(k % 2 == 0, F.array(call("open"))).otherwise(F.array().cast("array<string>")).alias("naf_checked"))
     influences = t.orders.join(t.lineitem, F.col("l_orderkey") == k).select(case, k.alias("fact_id"), F.col("l_partkey").alias("source_id"), F.concat(F.lit("line"), text("l_linenumber")).alias("relation"), F.col("l_quantity").alias("magnitude"))
     names = t.customer.where("c_custkey % 4 <> 0").select(text("c_custkey").alias("entity_id"), F.col("c_name").alias("name"))

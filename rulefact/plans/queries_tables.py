@@ -416,7 +416,7 @@ def h2_upsert(t: Tables):
     return C.upsert(*_snapshots(t), ["o_orderkey"])
 
 
-@query("SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT -c_custkey, c_custkey, 0.0 FROM customer WHERE c_custkey % 10 = 0")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT -1 - c_custkey, c_custkey, 0.0 FROM customer WHERE c_custkey % 10 = 0")
 def h2_stored_upsert(t: Tables):
     """A table stored in buckets of the customer: changed and new orders of a tenth of the customers, brought in twice."""
     from rulefact.plans.queries_sources import _folder
@@ -426,7 +426,7 @@ def h2_stored_upsert(t: Tables):
     o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     store.create(o, path, "o_custkey", 32)
     new = o.where("o_custkey % 10 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    new = new.unionByName(t.customer.where("c_custkey % 10 = 0").select((-F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit(0.0).alias("o_totalprice")))
+    new = new.unionByName(t.customer.where("c_custkey % 10 = 0").select((-1 - F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit(0.0).alias("o_totalprice")))
     upsert = lambda old, x: C.upsert(old, x, ["o_orderkey"])
     store.change(t.spark, path, schema, "o_custkey", new, upsert, 32)
     if again := store.change(t.spark, path, schema, "o_custkey", new, upsert, 32):

@@ -197,7 +197,7 @@ def grounded_brief(states: DataFrame, facts: DataFrame, steps: DataFrame, influe
     """case_id, place, title, brief: the sections of a case brief that rests on stored rows only; a section without rows is left out.
 
     1 properties: states(case_id, entity_id, cluster, value, confidence), a line for each, by entity and cluster.
-    2 facts: facts(case_id, fact_id, predicate, status, args array<struct<role, value>>, source_id), proved ones first, then
+    2 facts: facts(case_id, fact_id, predicate, status, args array<struct<role, entity_id, value>> (one of the two), source_id), proved ones first, then
       observed ones, by fact_id, at most `most_facts`; the title counts all of both. Other statuses are left out.
     3 conclusions: steps(case_id, step_order, atom, rule_id, depends_on, naf_checked) of rules, in order.
     4 influences: influences(case_id, fact_id, source_id, relation, magnitude), the `most_influences` largest of each fact shown.
@@ -212,8 +212,8 @@ def grounded_brief(states: DataFrame, facts: DataFrame, steps: DataFrame, influe
     shown = facts.where("status IN ('proved', 'observed')")
     counts = shown.groupBy(CASE).agg(F.concat(F.lit("Facts ("), F.count_if(F.col("status") == "proved").cast("string"), F.lit(" proved, "), F.count_if(F.col("status") == "observed").cast("string"), F.lit(" observed)")).alias("title"))
     picked = top(shown, [CASE], [F.when(F.col("status") == "proved", 0).otherwise(1), F.col("fact_id")], most_facts, rank="nth")
-    args = picked.select(CASE, "fact_id", F.posexplode("args").alias("k", "arg")).join(named.select(F.col("entity_id").alias("value"), "name"), F.col("arg.value") == F.col("value"), "left")
-    args = args.groupBy(CASE, "fact_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.concat(F.lower(F.col("arg.role")), F.lit(" "), F.coalesce("name", F.col("arg.value"))).alias("t")))), lambda x: x["t"]), ", ").alias("args"))
+    args = picked.select(CASE, "fact_id", F.posexplode("args").alias("k", "arg")).join(named, F.col("arg.entity_id") == F.col("entity_id"), "left")
+    args = args.groupBy(CASE, "fact_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.concat(F.lower(F.col("arg.role")), F.lit(" "), F.coalesce("name", F.col("arg.entity_id"), F.col("arg.value"), F.lit("-"))).alias("t")))), lambda x: x["t"]), ", ").alias("args"))
     f = picked.drop("args").join(args, [CASE, "fact_id"], "left").select(CASE, "nth", "fact_id", F.concat(F.lit("- ["), "status", F.lit("] "), F.lower("predicate"), F.lit("("), F.coalesce("args", F.lit("")), F.lit(")"), F.when(F.col("source_id").isNotNull(), F.concat(F.lit(" from "), F.col("source_id").cast("string"))).otherwise("")).alias("line"))
 
     told = lambda c, word: F.when(F.size(c) > 0, F.concat(F.lit(word), F.array_join(c, "; "))).otherwise("")
