@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rulefact.operators import extract as X
 from rulefact.operators import resolve as N
 from rulefact.operators import selftrain as O  # noqa: N812
+from rulefact.operators.nearest import nearest
 from rulefact.plans import rules as R
 from rulefact.plans import views as V
 from rulefact.plans import world as W
@@ -236,6 +237,13 @@ def n11_nearest_in_block(t: Tables):
     return N.nearest_in_block(e.where("id % 20 = 0"), e, 3).select("id", "other", F.round("cosine", 6).alias("cosine"))
 
 
+@query()
+def n11_nearest_entities(t: Tables):
+    """Approximate, so without SQL: held against all pairs in the tests."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return nearest(e.where("id % 20 = 0"), e, 10)[0].select("id", "other", F.round("cosine", 6).alias("cosine"), "place")
+
+
 @query("SELECT DISTINCT p_brand AS predicate FROM part WHERE p_size % 5 <> 0")
 def n12_preferred_predicates(t: Tables):
     return t.part.where("p_size % 5 <> 0").select(F.col("p_brand").alias("predicate")).distinct()
