@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rulefact.functions.scalars import softmax
 from rulefact.operators import beliefs as B
 from rulefact.operators import candidates as L
 from rulefact.operators import learning as M
+from rulefact.operators.training import train
 from rulefact.plans import rules as R
 from rulefact.plans import world as W
 from rulefact.plans.registry import Tables, query
@@ -280,6 +282,44 @@ def m8_learned_weights(t: Tables):
     return _learned(t).select("i", "j", F.round("weight", 6).alias("weight"))
 
 
+_ORDER_TIERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _trained(t: Tables):
+    """Priorities of orders from the segments of their customers; nations divisible by 5 are held out."""
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    nation = F.col("c_nationkey").alias("case_id")
+    at = lambda c, values: (F.array_position(F.array(*map(F.lit, values)), F.col(c)) - 1).cast("int")
+    segments = t.customer.select(nation, F.lit("c_segment").alias("node_type"), F.col("c_custkey").alias("node_id"), B.hard(F.lit(5), at("c_mktsegment", _SEGMENTS)).alias("logits"), F.lit(True).alias("frozen"))
+    orders = o.select(nation, F.lit("c_priority").alias("node_type"), F.col("o_orderkey").alias("node_id"), F.array(*[F.lit(0.0)] * 5).alias("logits"), F.lit(False).alias("frozen"))
+    edges = o.select(nation, F.lit("c_segment").alias("src_type"), F.col("o_custkey").alias("src_id"), F.lit("implies").alias("relation"), F.lit("c_priority").alias("dst_type"), F.col("o_orderkey").alias("dst_id"))
+    targets = o.select(nation, F.lit("c_priority").alias("node_type"), F.col("o_orderkey").alias("node_id"), F.lit("masked").alias("component"), at("o_orderpriority", _ORDER_TIERS).alias("target"), F.lit(1.0).alias("weight"))
+    start = t.spark.createDataFrame([("c_segment", "implies", "c_priority", i, j, 0.0) for i in range(5) for j in range(5)], "src_type string, relation string, dst_type string, i int, j int, weight double")
+    return train(segments.unionByName(orders), edges, start, targets, {"masked": 1.0}, F.col("case_id") % 5 == 0, epochs=8)
+
+
+@query(f"""WITH x AS (SELECT c_mktsegment AS i, o_orderpriority AS j, 1.0 / count(*) OVER (PARTITION BY c_nationkey) AS share FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 <> 0)
+SELECT i AS segment, j AS priority, round(sum(share) / sum(sum(share)) OVER (PARTITION BY i), 6) AS p, TRUE AS learned FROM x GROUP BY i, j""")
+def m8_trained_weights(t: Tables):
+    """The least training loss gives each segment the frequencies of its priorities (every nation counting alike): p, and whether
+    the trained weights say it to 0.01."""
+    w = _trained(t).last.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "weight"))).alias("w")).select(F.get(F.array(*map(F.lit, _SEGMENTS)), F.col("i")).alias("segment"), F.posexplode(softmax(F.transform("w", lambda x: x["weight"]))).alias("j", "says"))
+    w = w.select("segment", F.get(F.array(*map(F.lit, _ORDER_TIERS)), F.col("j")).alias("priority"), "says")
+    o = t.orders.join(t.customer.where("c_nationkey % 5 <> 0"), F.col("o_custkey") == F.col("c_custkey"))
+    share = o.groupBy("c_nationkey").agg((1 / F.count(F.lit(1))).alias("share"))
+    x = o.groupBy("c_nationkey", F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n")).join(share, "c_nationkey").groupBy("segment", "priority").agg(F.sum(F.col("n") * F.col("share")).alias("share"))
+    whole = x.groupBy("segment").agg(F.sum("share").alias("whole"))
+    p = F.col("share") / F.col("whole")
+    return x.join(whole, "segment").join(w, ["segment", "priority"], "left").select("segment", "priority", F.round(p, 6).alias("p"), F.coalesce(F.abs(p - F.col("says")) < 0.01, F.lit(False)).alias("learned"))
+
+
+@query()
+def m8_training_history(t: Tables):
+    """Training and held-out loss after each step of the same run; iterative, so without SQL: held against NumPy in the tests."""
+    return _trained(t).history.select("epoch", F.round("train", 6).alias("train"), F.round("held_out", 6).alias("held_out"))
+
+
 @query(_PAIRS + " SELECT 'priority(E,' || lower(j) || ')' AS head, 'segment(E,' || lower(i) || ')' AS body, round(w, 6) AS weight FROM w WHERE w >= 0.001 QUALIFY row_number() OVER (PARTITION BY i ORDER BY w DESC, j) <= 1")
 def m9_cluster_rules(t: Tables):
     segments = t.customer.select(F.lit("c_segment").alias("node_type"), F.col("c_mktsegment").alias("position"), F.col("c_mktsegment").alias("value")).distinct()
