@@ -313,7 +313,7 @@ def _merged(least: int):
                 low, to = 0, len(words)
                 while low < to:
                     mid = (low + to) // 2
-                    low, to = (mid + 1, to) if words[mid].tobytes() < before else (low, mid)
+                    low, to = (mid + 1, to) if words[mid].astype(">u8").tobytes() < before else (low, mid)  # joined arrays are in native byte order
             yield from out(at[1], words[:to], counts[:to])
             waiting = [(words[to:], counts[to:])] if to < len(words) else []
             size = len(words) - to

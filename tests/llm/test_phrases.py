@@ -83,6 +83,24 @@ def test_trie_counts_and_spills_in_order():
     assert got == want and trie.size == 0 and not trie.root
 
 
+def test_merge_of_many_overlapping_chunks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "CHUNK", 1)  # everything before a chunk leaves as soon as 64 phrases wait
+    r, want, chunks = random.Random(3), Counter(), []
+    ids = [r.randrange(1 << 64) for _ in range(40)]
+    for _ in range(30):
+        run = sorted({(r.choice(ids), r.choice(ids)) for _ in range(200)})
+        want.update(run)
+        for at in range(0, len(run), 7):
+            words = np.array(run[at : at + 7], np.uint64).astype(">u8")
+            chunks.append((0, "en", words[0].tobytes(), words.tobytes(), np.ones(len(words), np.int64).tobytes()))
+    chunks.sort(key=lambda x: x[2])
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*chunks)], names=["bucket", "lang", "first", "keys", "counts"])
+    out = [(tuple(w % (1 << 64) for w in row["words"]), row["n"]) for b in phrases._merged(1)(iter([batch])) for row in b.to_pylist()]
+    assert len(out) == len(want) and dict(out) == want
+
+
 def test_hot_prefixes_take_several_partitions():
     words = np.array([[7, k] for k in range(1000)] + [[k, 1] for k in range(8, 1008)], np.uint64)
     part = phrases.Parts(50, {7: 20}).of(words)
