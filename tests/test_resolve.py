@@ -2,6 +2,7 @@
 
 import random
 
+from rulefact.operators import matching as M
 from rulefact.operators import resolve as N
 
 SCHEMA = "entity_id string, type string, canonical_name string, aliases array<string>, blocking_keys array<string>"
@@ -24,6 +25,34 @@ def test_best_match_equals_all_pairs(spark):
     assert N.best_matches(new, known.limit(0)).count() == N.best_matches(new.limit(0), known).count() == 0
 
 
+def _expanded(links):
+    """(part, a, b) -> shared of rows (part, kind, id, class, shared)."""
+    rows = [tuple(r) for r in links.collect()]
+    kinds = sorted({r[1] for r in rows} - {"pair"}, key=lambda k: k in ("b", "known"))
+    of = {(part, kind, c): [r[2] for r in rows if (r[0], r[1], r[3]) == (part, kind, c)] for part, kind, _, c, _ in rows}
+    return {(part, x, y): n for part, kind, a, b, n in rows if kind == "pair" for x in of[part, kinds[0], a] for y in of[part, kinds[1], b]}
+
+
+def test_classes_say_what_all_pairs_say(spark):
+    new, known = entities(spark, "n", 60, 1), entities(spark, "e", 80, 2)
+    got = {}
+    for (_, x, y), score in _expanded(N.match_classes(new, known)).items():
+        got[x, y] = got.get((x, y), 0) + score
+    want = {(r.old_id, r.entity_id): r.score for r in N.match_scores(new, known).collect()}
+    shared_null = {k: v for k, v in want.items() if v is not None}
+    assert {k: got[k] for k in shared_null} == shared_null and set(got) == set(want)
+
+
+def test_overlap_classes_equal_pairs_and_stay_few(spark):
+    r = random.Random(4)
+    rows = lambda n: [(k, r.choice([["a", "b"], ["b", "a", "a"], ["b", None], ["c"], [], None])) for k in range(n)]
+    a, b = spark.createDataFrame(rows(400), "x long, keys array<string>"), spark.createDataFrame(rows(300), "y long, keys array<string>")
+    links = M.any_class_links(a, b, ["keys"], ("x", "y"))
+    want = {("keys", p.x, p.y): p.shared for p in M.overlapping(a, b, "keys").collect()}
+    assert _expanded(links) == want and len(want) > 20_000
+    assert links.count() < 400 + 300 + 10 and links.where("kind = 'pair'").count() == 5
+
+
 def _rows_made(df):
     """The largest number of rows that a join of the plan that ran has made."""
     df.collect()
