@@ -53,3 +53,11 @@ def ingest(spark: SparkSession, folder: str, into: str, pattern: str = "*.txt",
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).load(folder)
     stream.select("path", "content").writeStream.foreachBatch(take).option("checkpointLocation", f"{into}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return ingested(spark, into)
+
+
+def settled(texts: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, duplicates) as case_id, digest, path, as if all files had come at once: of equal texts the first by path counts,
+    in whichever batch it came. Blank, undecodable and known cases stay what they are."""
+    every = texts.select("case_id", "digest", "path").unionByName(errors.where("kind = 'duplicate'").select("case_id", "digest", "path"))
+    first = every.groupBy("digest").agg(F.min("path").alias("path"))
+    return every.join(first, ["digest", "path"], "left_semi"), every.join(first, ["digest", "path"], "left_anti")

@@ -62,3 +62,16 @@ def test_files_are_taken_once(spark, tmp_path):
     texts, errors = ingest.ingest(spark, str(folder), into)
     assert see() == (once[0] + [("TC-6", "new")], [("TC-1", "known_case")] + once[1] + [("TC-5", "duplicate")])
     assert {r.source_id for r in texts.collect()} == {"TC-1-TEXT", "TC-6-TEXT"}
+
+
+def test_first_of_equal_texts_counts_in_any_batch(spark, tmp_path):
+    from rulefact.streaming import ingest
+
+    folder, into = tmp_path / "texts", str(tmp_path / "into")
+    for name in ("doc=2", "doc=10", "doc=3"):  # the last by path comes first
+        (folder / name).mkdir(parents=True)
+        (folder / name / "x.txt").write_text("same")
+        texts, errors = ingest.ingest(spark, str(folder), into, case_of=r"doc=(\d+)/")
+    assert [r.case_id for r in texts.collect()] == ["2"]
+    first, again = ingest.settled(texts, errors)
+    assert [r.case_id for r in first.collect()] == ["10"] and sorted(r.case_id for r in again.collect()) == ["2", "3"]
