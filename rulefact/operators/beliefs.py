@@ -93,15 +93,16 @@ def edge_messages(nodes: DataFrame, edges: DataFrame, weights: DataFrame) -> Dat
     """case_id, src, relation, dst, j, delta: what each edge sends to each value of its destination.
 
     A relation's weights are one row that holds its matrix, so an edge meets one row for its source and one for its relation, and
-    the product of probabilities and matrix is computed in place.
+    the product of probabilities and matrix is computed in place. An edge with a column n counts n times.
     """
+    times = F.col("n") if "n" in edges.columns else F.lit(1)
     p = nodes.select("case_id", F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"), softmax(F.col("logits")).alias("p"))
     w = F.coalesce("w_pos", F.lit(0.0)) - F.coalesce(softplus(F.col("w_neg_raw")), F.lit(0.0))
     m = weights.groupBy("src_type", "relation", "dst_type").agg(F.sort_array(F.collect_list(F.struct("j", "i", w.alias("w")))).alias("cells"))
     x = edges.join(p, ["case_id", "src_type", "src_id"]).join(m, ["src_type", "relation", "dst_type"])
     x = x.withColumn("cells", F.filter("cells", lambda c: c["i"] < F.size("p")))
     total = lambda j: F.aggregate(F.filter("cells", lambda c: c["j"] == j), F.lit(0.0), lambda s, c: s + F.get("p", c["i"]) * c["w"])
-    sent = F.transform(F.array_distinct(F.transform("cells", lambda c: c["j"])), lambda j: F.struct(j.alias("j"), total(j).alias("delta")))
+    sent = F.transform(F.array_distinct(F.transform("cells", lambda c: c["j"])), lambda j: F.struct(j.alias("j"), (times * total(j)).alias("delta")))
     return x.select("case_id", "src_type", "src_id", "relation", "dst_type", "dst_id", F.inline(sent))
 
 
