@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from rulefact.sources.durable import durable
 
 #: Bits of a code at most; tables at most; queries whose exact neighbours are looked up to choose the probes.
 MOST_BITS, MOST_TABLES, ASKED = 30, 4, 64
+#: Rows and queries of one group that meet in a task.
+PIECE = 8192
 
 
 class Probes(NamedTuple):
@@ -76,12 +81,48 @@ def _uncertain(table: int, bits: int) -> Column:
     return F.transform(F.array_sort(far), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b["i"]))
 
 
-def _choose(queries: DataFrame, rows: DataFrame, k: int, bits: int, recall: float) -> Probes:
+def _matrix(vectors, width: int) -> np.ndarray:
+    """Vectors as rows of one width; shorter ones end in zeros (and of longer ones the rest would meet zeros only)."""
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        out[k, : len(v)] = v[:width]
+    return out
+
+
+def _best(query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query its k best others: positions of query and row, and cosines to 9 decimals. At most about `most` at once."""
+    order = np.argsort(ids, kind="stable")
+    ids, y, out, at = ids[order], y[order], [], max(1, most // max(1, len(ids)))
+    for a in range(0, len(x), at):
+        c = np.round(x[a : a + at] @ y.T, 9)
+        c[query_ids[a : a + at, None] == ids[None, :]] = -np.inf
+        if len(ids) > k:
+            edge = np.partition(c, len(ids) - k, axis=1)[:, len(ids) - k, None]
+            above, level = c > edge, c == edge
+            take = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))  # ties: the smaller ids
+        else:
+            take = np.ones(c.shape, bool)
+        q, r = np.nonzero(take & (c > -np.inf))
+        out.append((q + a, order[r], c[q, r]))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _choose(queries: DataFrame, rows: DataFrame, k: int, bits: int, width: int, recall: float) -> Probes:
     """The tables and differing bits of fewest codes that find `recall` of the exact neighbours of ASKED queries."""
     asked = queries.orderBy(F.xxhash64("id"), "id").limit(ASKED).select("id", "u", "s")
-    pairs = rows.select(F.col("id").alias("other"), F.col("u").alias("w"), _codes(MOST_TABLES, bits).alias("theirs")).join(F.broadcast(asked)).where("id <> other")
-    pairs = pairs.withColumn("cosine", F.round(_dot(F.col("u"), F.col("w")), 9)).drop("u", "w")
-    best = pairs.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("place") <= k)
+    held = asked.select("id", "u").collect()
+    ids, x = np.array([r.id for r in held]), _matrix([r.u for r in held], width)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            q, r, cosine = _best(ids, x, t["other"].to_numpy(), _matrix(t["w"].tolist(), width), k)
+            yield pd.DataFrame({"id": ids[q], "other": t["other"].to_numpy()[r], "theirs": t["theirs"].to_numpy()[r], "cosine": cosine})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    if not held:
+        return Probes(1, bits, 0, 1.0)
+    pairs = rows.select(F.col("id").alias("other"), F.col("u").alias("w"), _codes(MOST_TABLES, bits).alias("theirs")).mapInPandas(near, f"id {kind}, other {kind}, theirs array<long>, cosine double")
+    best = pairs.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("place") <= k).join(F.broadcast(asked.select("id", "s")), "id")
     ours = _codes(MOST_TABLES, bits)
     last = lambda l: F.aggregate(F.transform(_uncertain(l, bits), lambda w, i: F.when(F.get(ours, F.lit(l)).bitwiseXOR(F.get("theirs", F.lit(l))).bitwiseAND(w) != 0, i.cast("int") + 1).otherwise(0)), F.lit(0), lambda x, y: F.greatest(x, y))
     needed = best.select(F.array(*(last(l) for l in range(MOST_TABLES))).alias("needed")).groupBy("needed").count().collect()
@@ -95,8 +136,8 @@ def _choose(queries: DataFrame, rows: DataFrame, k: int, bits: int, recall: floa
 def nearest(queries: DataFrame, rows: DataFrame, k: int, recall: float = 0.95, leaf: int = 512, seed: int = 0) -> tuple[DataFrame, Probes]:
     """id, other, cosine (to 9 decimals), place: the k nearest rows found for each query, itself left out; and the probes chosen.
 
-    queries, rows: (id, v). A row is scored once for a query: what an earlier table has found, a later one leaves out. With all
-    bits of one table free to differ the search is exhaustive, so any `recall` up to 1 is met on the queries measured.
+    queries, rows: (id, v). Queries and rows of one code meet as matrices, and only a query's k best of each group leave it. With
+    all bits of one table free to differ the search is exhaustive, so any `recall` up to 1 is met on the queries measured.
     """
     spark = rows.sparkSession
     a, b = _units(queries), durable(_fewest_copies(_units(rows), k), "nearest-rows")
@@ -108,17 +149,31 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, recall: float = 0.95, l
     shift = [float(sum(d[i] * middle.get(i, 0.0) for i in range(width))) for d in drawn]
     directions = spark.createDataFrame([(drawn, shift)], "directions array<array<double>>, shift array<double>")
     side = lambda x: _sides(x, directions).withColumn("s", F.zip_with("s", "shift", lambda p, q: p - q)).drop("shift")
-    a, b = side(a), durable(side(b), "nearest-sides")
-    probes = _choose(a, b, k, bits, recall)
+    a, b = durable(side(a), "nearest-queries"), durable(side(b), "nearest-sides")
+    probes = _choose(a, b, k, bits, width, recall)
 
     codes, tables = _codes(probes.tables, bits), range(probes.tables)
     free = [F.slice(_uncertain(l, bits), 1, probes.differ) for l in tables]
     asks = lambda l: F.aggregate(free[l], F.array(F.get(codes, F.lit(l))), lambda found, w: F.concat(found, F.transform(found, lambda c: c.bitwiseXOR(w))))
-    ours = a.select("id", "u", codes.alias("ours"), F.array(*(F.aggregate(f, F.lit(0).cast("long"), lambda m, w: m + w) for f in free)).alias("free"), F.array(*map(asks, tables)).alias("asked"))
-    ours = ours.select("id", "u", "ours", "free", F.posexplode("asked").alias("table", "asked")).withColumn("code", F.explode("asked")).drop("asked")
-    theirs = b.select(F.col("id").alias("other"), F.col("u").alias("w"), codes.alias("theirs")).select("*", F.posexplode("theirs").alias("table", "code"))
-    before = F.exists(F.sequence(F.lit(0), F.lit(probes.tables - 1)), lambda l: (l < F.col("table")) & (F.get("ours", l).bitwiseXOR(F.get("theirs", l)).bitwiseAND(F.bitwise_not(F.get("free", l))) == 0))
-    met = ours.join(theirs, ["table", "code"]).where("id <> other").where(~before)
-    met = met.select("id", "other", F.round(_dot(F.col("u"), F.col("w")), 9).alias("cosine"))
+    ours = a.select("id", "u", F.array(*map(asks, tables)).alias("asked")).select("id", "u", F.posexplode("asked").alias("table", "asked")).select("id", "u", "table", F.explode("asked").alias("code"))
+    theirs = b.select(F.col("id").alias("other"), F.col("u").alias("w"), F.posexplode(codes).alias("table", "code"))
+    # Groups stay bounded: a code's rows lie in as many pieces as the fullest code needs, all queries in as many as there are.
+    fullest = theirs.groupBy("table", "code").count().agg(F.max("count")).first()[0] or 1
+    pieces, shares = -(-fullest // PIECE), max(1, -(-a.count() // PIECE))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ours = ours.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int")).withColumn("piece", spread(pieces))
+    theirs = theirs.withColumn("piece", F.pmod(F.xxhash64("other"), F.lit(pieces)).cast("int")).withColumn("share", spread(shares))
+    group = ["table", "code", "piece", "share"]
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "other": [], "cosine": []})
+        ids, others = x["id"].to_numpy(), y["other"].to_numpy()
+        q, r, cosine = _best(ids, _matrix(x["u"].tolist(), width), others, _matrix(y["w"].tolist(), width), k)
+        return pd.DataFrame({"id": ids[q], "other": others[r], "cosine": cosine})
+
+    kinds = [x.schema["id"].dataType.simpleString() for x in (a, b)]
+    met = ours.groupBy(*group).cogroup(theirs.groupBy(*group)).applyInPandas(meet, f"id {kinds[0]}, other {kinds[1]}, cosine double")
+    met = met.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))  # several tables may find a row
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k), probes

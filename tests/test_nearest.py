@@ -60,3 +60,22 @@ def test_defined_cases(spark):
     got, _ = N.nearest(rows, rows, 2)
     assert [(r.id, r.other, round(r.cosine, 4), r.place) for r in got.orderBy("id", "place").collect()] == [(1, 8, 1.0, 1), (1, 7, 0.7071, 2), (7, 1, 0.7071, 1), (7, 8, 0.7071, 2), (8, 1, 1.0, 1), (8, 7, 0.7071, 2)]
     assert N.nearest(rows.limit(0), rows, 2)[0].count() == N.nearest(rows, rows.limit(0), 2)[0].count() == 0
+
+
+def test_groups_in_pieces_change_nothing(spark, monkeypatch):
+    """Codes that hold more rows, and more queries, than may meet in one task: the same neighbours, and no row for every pair."""
+    x = np.random.default_rng(6).normal(size=(900, 8))
+    x[200:260] = x[200] * 3
+    rows = frame(spark, x)
+    queries = rows.where("id % 3 = 0")
+    monkeypatch.setattr(N, "PIECE", 100)
+    got, _ = N.nearest(queries, rows, 5, leaf=1000)
+    assert found(got) == exact(x, np.arange(0, 900, 3), 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_best_of_a_block_ties_to_smaller_ids():
+    x, y = np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 0.0]])
+    q, r, c = N._best(np.array([7, 8]), x, np.array([9, 8, 3, 7]), y, 2)
+    assert sorted(zip(q.tolist(), r.tolist(), c.tolist())) == [(0, 0, 1.0), (0, 2, 1.0), (1, 2, 0.0), (1, 3, 0.0)]
