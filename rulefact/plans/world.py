@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from rulefact.plans.registry import Tables
 from rulefact.plans.rules import Rule, lit, naf
+from rulefact.sources.durable import in_parts
+
+#: Lines that one task sorts and joins; tables of more are dealt to more partitions.
+LINES_EACH = 500_000
 
 
 def frames(t: Tables) -> dict[str, DataFrame]:
     orders = t.orders
-    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag", F.to_date("l_shipdate").alias("DATE"))
+    n = t.lineitem.count()
+    lines = in_parts(t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag", F.to_date("l_shipdate").alias("DATE")), n, LINES_EACH, "l_orderkey")
     owned = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("case_id"), F.col("l_orderkey").alias("ORDER"), F.col("l_partkey").alias("PART"), "DATE", "l_returnflag")
     order = orders.select(F.col("o_custkey").alias("case_id"), F.col("o_custkey").alias("CUSTOMER"), F.col("o_orderkey").alias("ORDER"), F.to_date("o_orderdate").alias("DATE"), "o_orderstatus", "o_totalprice")
-    return {
+    found = {
         "order_placed": order.select("case_id", "CUSTOMER", "ORDER", "DATE"),
         "line_shipped": owned.select("case_id", "ORDER", "PART", "DATE").distinct(),
         "line_returned": owned.where("l_returnflag = 'R'").select("case_id", "ORDER", "PART", "DATE").distinct(),
         "order_open": order.where("o_orderstatus = 'O'").select("case_id", "ORDER"),
         "order_done": order.where("o_orderstatus = 'F'").select("case_id", "ORDER"),
     }
+    return {p: in_parts(f, n, LINES_EACH, "case_id", "ORDER") for p, f in found.items()}
 
 
 LATE = Rule("r_late", lit("late_return", CUSTOMER="C", ORDER="O"), (lit("order_placed", CUSTOMER="C", ORDER="O", DATE="D1"), lit("line_returned", ORDER="O", PART="P", DATE="D2"), lit("before", FROM="D1", TO="D2"), naf("order_open", ORDER="O")), stratum=1)
