@@ -44,10 +44,11 @@ def is_decided(logits: Column, clamped: Column, lead: float = 1.0) -> Column:
 
 
 def complete_facts(args: DataFrame, roles: DataFrame) -> DataFrame:
-    """fact_id, predicate, filled: facts of known predicates whose every role has an argument."""
+    """fact_id, predicate, filled: facts of known predicates whose every role has an argument. Roles are few, as an ontology names
+    them: they are broadcast, so that arguments are not dealt by so few keys."""
     arity = roles.groupBy("predicate").agg(F.count(F.lit(1)).alias("arity"))
-    found = args.join(roles, ["predicate", "role"]).groupBy("fact_id", "predicate").agg(F.countDistinct("role").alias("filled"))
-    return found.join(arity, "predicate").where("filled = arity")
+    found = args.join(F.broadcast(roles), ["predicate", "role"]).groupBy("fact_id", "predicate").agg(F.countDistinct("role").alias("filled"))
+    return found.join(F.broadcast(arity), "predicate").where("filled = arity")
 
 
 def is_visible(predicate: Column) -> Column:

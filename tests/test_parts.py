@@ -10,6 +10,17 @@ from rulefact.sources.durable import in_parts
 from tests.test_oracle import SF
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_complete_facts_are_not_dealt_by_role(spark):
+    args = spark.createDataFrame([(1, "p", "A"), (1, "p", "B"), (2, "p", "A")], "fact_id long, predicate string, role string")
+    found = filters.complete_facts(args, spark.createDataFrame([("p", "A"), ("p", "B")], "predicate string, role string"))
+    assert "BroadcastHashJoin [predicate" in plan(found)
+    assert [tuple(r) for r in found.select("fact_id", "filled").collect()] == [(1, 2)]
+
+
 def test_partitions_grow_with_the_rows(spark, monkeypatch):
     df = spark.range(10).toDF("k")
     assert in_parts(df, 10, 3, "k").rdd.getNumPartitions() == 4 and in_parts(df, 10, 10, "k") is df
