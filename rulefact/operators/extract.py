@@ -1,4 +1,7 @@
-"""Extraction payloads as tables: entities, facts with arguments, and states that the text clamps."""
+"""Extraction payloads as tables: entities, facts with arguments, and states that the text clamps.
+
+Clusters and roles are few, as an ontology names them: they are broadcast, so that rows are not dealt by so few keys.
+"""
 
 from __future__ import annotations
 
@@ -37,7 +40,7 @@ def extracted_states(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     clusters with a value of the domain, hard clamped; the first of an entity and cluster stays. schemas(cluster, entity_type, domain)."""
     x = rows.select(CASE, F.posexplode("reply.cluster_states").alias("ord", "s"))
     x = x.select(CASE, "ord", _filled(F.col("s.entity_id")).alias("entity_id"), F.trim("s.cluster_name").alias("cluster"), F.upper(_filled(F.col("s.value"))).alias("value"), _filled(F.col("s.span_text")).alias("span_text"))
-    x = x.where("entity_id IS NOT NULL").join(schemas, "cluster").where(F.array_contains("domain", F.col("value")))
+    x = x.where("entity_id IS NOT NULL").join(F.broadcast(schemas), "cluster").where(F.array_contains("domain", F.col("value")))
     first = x.groupBy(CASE, "entity_id", "cluster").agg(F.min_by(F.struct("ord", "entity_type", "domain", "value", "span_text"), "ord").alias("x"))
     logits = F.transform("x.domain", lambda d: F.when(d == F.col("x.value"), CLAMP).otherwise(-CLAMP))
     return first.select(CASE, "x.ord", "entity_id", "cluster", "x.entity_type", logits.alias("logits"), F.lit(True).alias("is_clamped"), F.lit(True).alias("clamp_hard"), F.lit("text").alias("clamp_source"), "x.span_text")
@@ -48,7 +51,7 @@ def extracted_entities(rows: DataFrame, facts: DataFrame, states: DataFrame, rol
     role_types(role, entity_type)) or states name; the first mention of an id counts."""
     implicit = rows.select(CASE, F.inline(F.array(*(F.struct(F.lit(i).alias("entity_id"), F.lit(t).alias("type"), F.lit(n).alias("canonical_name"), F.lit(k).alias("ord")) for k, (i, t, n) in enumerate(IMPLICIT))))).withColumn("stage", F.lit(0))
     own = rows.select(CASE, F.posexplode("reply.entities").alias("ord", "e")).select(CASE, _filled(F.col("e.entity_id")).alias("entity_id"), F.upper(_filled(F.col("e.type"))).alias("type"), F.coalesce(_filled(F.col("e.canonical_name")), F.trim("e.entity_id")).alias("canonical_name"), "ord", F.lit(1).alias("stage"))
-    args = facts.select(CASE, "ord", F.explode("args").alias("a")).select(CASE, "ord", "a.entity_id", "a.role").join(role_types, "role")
+    args = facts.select(CASE, "ord", F.explode("args").alias("a")).select(CASE, "ord", "a.entity_id", "a.role").join(F.broadcast(role_types), "role")
     args = args.select(CASE, "entity_id", F.col("entity_type").alias("type"), F.col("entity_id").alias("canonical_name"), "ord", F.lit(2).alias("stage"))
     named = states.select(CASE, "entity_id", F.col("entity_type").alias("type"), F.col("entity_id").alias("canonical_name"), "ord", F.lit(3).alias("stage"))
     every = implicit.unionByName(own).unionByName(args).unionByName(named).where("entity_id IS NOT NULL AND type IS NOT NULL")

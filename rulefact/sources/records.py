@@ -47,9 +47,10 @@ def normal_queries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def decoded(lines: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Model replies as structs `reply`, and the rows that are no JSON object; code fences are stripped."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(column), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
-    ok = text.rlike(r"^\{") & F.try_parse_json(text).isNotNull()
+    """Model replies as structs `reply`, and the rows that are no JSON object; code fences are stripped, where there are any."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(column), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+    text = F.when(F.contains(F.col(column), F.lit("```")), bare).otherwise(F.trim(column))
+    ok = F.startswith(text, F.lit("{")) & F.try_parse_json(text).isNotNull()
     return lines.where(ok).withColumn("reply", F.from_json(text, schema)), lines.where(~F.coalesce(ok, F.lit(False)))
 
 

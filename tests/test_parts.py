@@ -14,6 +14,16 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_extraction_is_not_dealt_by_cluster_or_role(spark):
+    reply = '{"entities": [], "facts": [{"predicate": "p", "args": [{"role": "order", "entity_id": "o1"}]}], "cluster_states": [{"entity_id": "c1", "cluster_name": "tier", "value": "f"}]}'
+    rows = spark.createDataFrame([(1, reply)], "case_id long, x string").select("case_id", F.from_json("x", extract.PAYLOAD).alias("reply"))
+    schemas = spark.createDataFrame([("tier", "CUSTOMER", ["F", "O"])], "cluster string, entity_type string, domain array<string>")
+    facts, states = extract.extracted_facts(rows), extract.extracted_states(rows, schemas)
+    entities = extract.extracted_entities(rows, facts, states, spark.createDataFrame([("ORDER", "ORDER")], "role string, entity_type string"))
+    assert "hashpartitioning(cluster" not in plan(states) and "hashpartitioning(role" not in plan(entities)
+    assert [r["entity_id"] for r in entities.orderBy("entity_id").collect()] == ["CUST1", "STORE1", "c1", "o1"]
+
+
 def test_complete_facts_are_not_dealt_by_role(spark):
     args = spark.createDataFrame([(1, "p", "A"), (1, "p", "B"), (2, "p", "A")], "fact_id long, predicate string, role string")
     found = filters.complete_facts(args, spark.createDataFrame([("p", "A"), ("p", "B")], "predicate string, role string"))
