@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rulefact.operators import beliefs, extract, filters
 from rulefact.plans import rules as R
-from rulefact.plans import verdict, views, world
+from rulefact.plans import catalogue, verdict, views, world
 from rulefact.plans.registry import Tables
 from rulefact.sources.durable import in_parts
 from tests.test_oracle import SF
@@ -38,3 +38,10 @@ def test_partitions_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(world, "LINES_EACH", 1000)
     n = -(-t.lineitem.count() // 1000)
     assert n > 4 and {p: f.rdd.getNumPartitions() for p, f in world.frames(t).items()} == dict.fromkeys(world.frames(t), n)
+
+
+def test_rule_support_needs_its_heads_only(spark, monkeypatch):
+    asked, whole = [], R.Model.atoms
+    monkeypatch.setattr(R.Model, "atoms", lambda self, only=None: asked.append(only) or whole(self, only))
+    catalogue.queries()["m12_rule_support"](spark, SF)
+    assert asked == [{"late_return"}]
