@@ -3,6 +3,7 @@
 Nodes: (case_id, node_type, node_id, logits, frozen). Edges: (case_id, src_type, src_id, relation, dst_type, dst_id).
 Weights: (src_type, relation, dst_type, i, j, w_pos, w_neg_raw). A step joins edges with the softmax of their sources, multiplies
 by the weights and sums per destination; Spark does the sums, no vector passes through Python.
+Schemas, rules, relations and gates are few, as types of nodes are: they are broadcast, so that edges are not dealt by so few keys.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ def clamped(logits: Column, mode: Column) -> Column:
 def cluster_nodes(entities: DataFrame, states: DataFrame, schemas: DataFrame) -> DataFrame:
     """A node for each entity of a cluster's type and for each state; a state gives the logits, else zeros."""
     s = schemas.select("cluster", "entity_type", F.size("domain").alias("dim"))
-    by_type = entities.join(s, "entity_type").select("case_id", "cluster", "entity_id")
+    by_type = entities.join(F.broadcast(s), "entity_type").select("case_id", "cluster", "entity_id")
     ids = by_type.unionByName(states.select("case_id", "cluster", "entity_id")).distinct()
-    x = ids.join(states, ["case_id", "cluster", "entity_id"], "left").join(s.select("cluster", "dim"), "cluster")
+    x = ids.join(states, ["case_id", "cluster", "entity_id"], "left").join(F.broadcast(s.select("cluster", "dim")), "cluster")
     is_hard = F.coalesce(F.col("clamp_hard"), F.lit(False))
     logits = fitted(F.col("logits"), F.col("dim"))
     return x.select("case_id", F.concat(F.lit("c_"), "cluster").alias("node_type"), F.col("entity_id").alias("node_id"), F.when(is_hard, clamped(logits, F.lit("hard"))).otherwise(logits).alias("logits"), is_hard.alias("frozen"))
@@ -69,7 +70,7 @@ def implication_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def support_edges(rules: DataFrame, args: DataFrame) -> DataFrame:
     """fact -> cluster node under supports:<pred>:<ROLE>: rules(predicate, role, cluster), args(case_id, fact_id, predicate, role, entity_id)."""
-    x = args.join(rules, ["predicate", "role"])
+    x = args.join(F.broadcast(rules), ["predicate", "role"])
     relation = F.concat(F.lit("supports:"), F.lower("predicate"), F.lit(":"), F.upper("role"))
     return x.select("case_id", F.lit("fact").alias("src_type"), F.col("fact_id").alias("src_id"), relation.alias("relation"), F.concat(F.lit("c_"), "cluster").alias("dst_type"), F.col("entity_id").alias("dst_id")).distinct()
 
@@ -99,7 +100,7 @@ def edge_messages(nodes: DataFrame, edges: DataFrame, weights: DataFrame) -> Dat
     p = nodes.select("case_id", F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"), softmax(F.col("logits")).alias("p"))
     w = F.coalesce("w_pos", F.lit(0.0)) - F.coalesce(softplus(F.col("w_neg_raw")), F.lit(0.0))
     m = weights.groupBy("src_type", "relation", "dst_type").agg(F.sort_array(F.collect_list(F.struct("j", "i", w.alias("w")))).alias("cells"))
-    x = edges.join(p, ["case_id", "src_type", "src_id"]).join(m, ["src_type", "relation", "dst_type"])
+    x = edges.join(p, ["case_id", "src_type", "src_id"]).join(F.broadcast(m), ["src_type", "relation", "dst_type"])
     x = x.withColumn("cells", F.filter("cells", lambda c: c["i"] < F.size("p")))
     total = lambda j: F.aggregate(F.filter("cells", lambda c: c["j"] == j), F.lit(0.0), lambda s, c: s + F.get("p", c["i"]) * c["w"])
     sent = F.transform(F.array_distinct(F.transform("cells", lambda c: c["j"])), lambda j: F.struct(j.alias("j"), (times * total(j)).alias("delta")))
@@ -112,7 +113,7 @@ def gate_factors(nodes: DataFrame, gates: DataFrame, edges: DataFrame) -> DataFr
     A destination takes the mean over the exception nodes it has a role edge to, else those of its own entity, else all of its case.
     """
     p = nodes.select("case_id", F.col("node_type").alias("exc_type"), F.col("node_id").alias("exc_id"), F.posexplode(softmax(F.col("logits"))).alias("i", "p"))
-    score = p.join(gates, ["exc_type", "i"]).groupBy("case_id", "exc_type", "exc_id", "dst_type").agg(sigmoid(F.sum(F.col("p") * F.col("u"))).alias("s"))
+    score = p.join(F.broadcast(gates), ["exc_type", "i"]).groupBy("case_id", "exc_type", "exc_id", "dst_type").agg(sigmoid(F.sum(F.col("p") * F.col("u"))).alias("s"))
     dst = nodes.select("case_id", F.col("node_type").alias("dst_type"), F.col("node_id").alias("dst_id"))
     by_role = edges.where("relation = 'role_of'").select("case_id", F.col("src_type").alias("dst_type"), F.col("src_id").alias("dst_id"), F.col("dst_type").alias("exc_type"), F.col("dst_id").alias("exc_id")).join(score, ["case_id", "exc_type", "exc_id", "dst_type"]).groupBy("case_id", "dst_type", "dst_id").agg(F.avg("s").alias("by_role"))
     own = score.select("case_id", "dst_type", F.col("exc_id").alias("dst_id"), "s").groupBy("case_id", "dst_type", "dst_id").agg(F.avg("s").alias("own"))
@@ -149,10 +150,11 @@ def influences(messages: DataFrame, number: int) -> DataFrame:
 def propagate(nodes: DataFrame, edges: DataFrame, weights: DataFrame, steps: int = 5, bias: DataFrame | None = None, gate_weights: DataFrame | None = None, top_k: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Nodes after `steps` updates and, if top_k is given, the top_k influences on each fact over all steps.
 
-    Each step's nodes are written to the shared folder, so lineage stays short and a lost executor costs one step. Influences
-    are measured after a step's update.
+    Edges, where several steps read them, and each step's nodes are written to the shared folder, so lineage stays short and a lost
+    executor costs one step. Influences are measured after a step's update.
     """
     trace = None
+    edges = durable(edges, "edges") if steps > 1 else edges
     for k in range(steps):
         gates = gate_factors(nodes, gate_weights, edges) if gate_weights is not None else None
         nodes = durable(step(nodes, edge_messages(nodes, edges, weights), bias, gates), "beliefs")

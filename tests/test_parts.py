@@ -31,6 +31,16 @@ def test_complete_facts_are_not_dealt_by_role(spark):
     assert [tuple(r) for r in found.select("fact_id", "filled").collect()] == [(1, 2)]
 
 
+def test_messages_are_not_dealt_by_relation(spark):
+    nodes = spark.createDataFrame([(1, "fact", 1, [0.0, 0.0], False), (1, "c_t", 2, [0.0, 0.0], False)], "case_id long, node_type string, node_id long, logits array<double>, frozen boolean")
+    args = spark.createDataFrame([(1, 1, "p", "A", 2)], "case_id long, fact_id long, predicate string, role string, entity_id long")
+    edges = beliefs.support_edges(spark.createDataFrame([("p", "A", "t")], "predicate string, role string, cluster string"), args)
+    weights = spark.createDataFrame([("fact", "supports:p:A", "c_t", 0, 0, 0.5, None)], "src_type string, relation string, dst_type string, i int, j int, w_pos double, w_neg_raw double")
+    sent = beliefs.edge_messages(nodes, edges, weights)
+    assert plan(sent).count("BroadcastHashJoin") >= 2
+    assert [r["delta"] for r in sent.collect()] == [0.25]
+
+
 def test_partitions_grow_with_the_rows(spark, monkeypatch):
     df = spark.range(10).toDF("k")
     assert in_parts(df, 10, 3, "k").rdd.getNumPartitions() == 4 and in_parts(df, 10, 10, "k") is df
