@@ -41,6 +41,17 @@ def test_messages_are_not_dealt_by_relation(spark):
     assert [r["delta"] for r in sent.collect()] == [0.25]
 
 
+def broken(spark):
+    return spark.range(1).select(F.lit(1).cast("long").alias("case_id"), F.raise_error(F.lit("not asked for")).cast("string").alias("X"))
+
+
+def test_statuses_need_asked_predicates_only(spark):
+    p = spark.createDataFrame([(1, "a")], "case_id long, X string")
+    facts = spark.createDataFrame([(1, 7, "p(X=a)", "candidate"), (1, 8, "p(X=b)", "candidate"), (1, 9, None, "candidate")], "case_id long, fact_id long, atom string, status string")
+    out = verdict.updated_statuses(R.Model([], {"p": p, "q": broken(spark)}), facts)
+    assert {r["fact_id"]: r["status"] for r in out.collect()} == {7: "proved", 8: "candidate", 9: "candidate"}
+
+
 def test_partitions_grow_with_the_rows(spark, monkeypatch):
     df = spark.range(10).toDF("k")
     assert in_parts(df, 10, 3, "k").rdd.getNumPartitions() == 4 and in_parts(df, 10, 10, "k") is df
