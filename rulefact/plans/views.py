@@ -143,7 +143,8 @@ def proof_graph(model: Model) -> tuple[DataFrame, DataFrame]:
     edges = proof_edges(model)
     nodes = atoms.select(CASE, "atom", F.when(F.col("proof").isNull(), "base").otherwise("derived").alias("kind"))
     named = edges.select(CASE, F.col("depends_on").alias("atom")).distinct()
-    return nodes.unionByName(named.join(nodes.select(CASE, "atom"), [CASE, "atom"], "left_anti").withColumn("kind", F.lit("external"))), edges
+    known = model.atoms({x.predicate for r in model.rules for x in r.body})  # no other predicate's atoms are named
+    return nodes.unionByName(named.join(known.select(CASE, "atom"), [CASE, "atom"], "left_anti").withColumn("kind", F.lit("external"))), edges
 
 
 def case_network(nodes: DataFrame, args: DataFrame) -> tuple[DataFrame, DataFrame]:

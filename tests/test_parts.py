@@ -52,6 +52,16 @@ def test_statuses_need_asked_predicates_only(spark):
     assert {r["fact_id"]: r["status"] for r in out.collect()} == {7: "proved", 8: "candidate", 9: "candidate"}
 
 
+def test_external_atoms_are_sought_among_predicates_of_bodies(spark):
+    rule = R.Rule("r", R.lit("h", X="A"), (R.lit("p", X="A"), R.naf("n", X="A")))
+    model = R.evaluate({"p": spark.createDataFrame([(1, "a")], "case_id long, X string")}, [rule])
+    asked, whole = [], model.atoms
+    model.atoms = lambda only=None: asked.append(only) or whole(only)
+    nodes, _ = views.proof_graph(model)
+    assert {"p", "n"} in asked
+    assert sorted((r["atom"], r["kind"]) for r in nodes.collect()) == [("h(X=a)", "derived"), ("n(X=a)", "external"), ("p(X=a)", "base")]
+
+
 def test_partitions_grow_with_the_rows(spark, monkeypatch):
     df = spark.range(10).toDF("k")
     assert in_parts(df, 10, 3, "k").rdd.getNumPartitions() == 4 and in_parts(df, 10, 10, "k") is df
