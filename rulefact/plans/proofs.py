@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulefact.functions.scalars import name_uuid
 from rulefact.operators.paths import reached
-from rulefact.plans.rules import CASE, Model
+from rulefact.plans.rules import CASE, PROOF, Model
+from rulefact.plans.verdict import asked_predicates
 from rulefact.sources.durable import durable
 
+#: Types of which equal values have equal texts.
+PLAIN = ("tinyint", "smallint", "int", "bigint", "date", "boolean", "string")
 
-def fact_index(facts: DataFrame) -> DataFrame:
-    """case_id, atom, fact_id: the fact that states an atom (the first by id) of facts(case_id, fact_id, atom)."""
-    return facts.where("atom IS NOT NULL").groupBy(CASE, "atom").agg(F.min("fact_id").alias("fact_id"))
 
+def fact_index(facts: DataFrame) -> DataFrame:
+    """case_id, atom, fact_id, source_id, span: the fact that states an atom (the first by id) of facts(case_id, fact_id, atom, source_id,
+    spans), with its source and first span."""
+    first = F.min(F.struct("fact_id", "source_id", F.try_element_at("spans", F.lit(1)).alias("span")))
+    return facts.where("atom IS NOT NULL AND fact_id IS NOT NULL").groupBy(CASE, "atom").agg(first.alias("fact")).select(CASE, "atom", "fact.*")
 
-def span_texts(facts: DataFrame, sources: DataFrame) -> DataFrame:
-    """fact_id, text: the piece of its source that a fact's first span marks; null without source or span, or where the span has
-    no bounds. Bounds count characters from 0, the end is not part of the text; beyond the source there is nothing.
 
-    facts(fact_id, source_id, spans array<struct<start, end>>), sources(source_id, content).
+def span_texts(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows(source_id, span, ..) with text: the piece of its source that a span marks; rows without source or span, or whose source
+    is not known, are left out, and without bounds it is null. Bounds count characters from 0, the end is not part of the text;
+    beyond the source there is nothing. sources(source_id, content).
     """
-    first = facts.select("fact_id", "source_id", F.try_element_at("spans", F.lit(1)).alias("span"))
-    x = first.join(sources.select("source_id", "content"), "source_id", "left")
+    x = rows.where("source_id IS NOT NULL AND span IS NOT NULL").join(sources.select("source_id", "content"), "source_id")
     length = F.greatest(F.col("span.end") - F.col("span.start"), F.lit(0))
-    return x.select("fact_id", F.substring(F.col("content"), F.col("span.start") + 1, length).alias("text"))
+    return x.withColumn("text", F.substring(F.col("content"), F.col("span.start") + 1, length)).drop("content")
 
 
 def original_values(rows: DataFrame, key: list[str], originals: DataFrame) -> DataFrame:
@@ -38,6 +44,60 @@ def original_values(rows: DataFrame, key: list[str], originals: DataFrame) -> Da
     return parts.groupBy(*key).agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(text)), lambda x: x["t"])).alias("substitution"))
 
 
+def _whole(model: Model) -> bool:
+    """Whether what proofs rest on is in the model by construction, text by text: positive literals give every role of their predicate
+    a variable, and a variable has one type throughout a body, whose text tells the value."""
+    frames = model.frames()
+    for r in model.rules:
+        kinds: dict[str, str] = {}
+        for x in r.positives:
+            if x.predicate not in frames or {role for role, _ in x.args} != set(frames[x.predicate].columns) - {CASE}:
+                return False
+            for role, term in x.args:
+                kind = frames[x.predicate].schema[role].dataType.simpleString()
+                if not isinstance(term, str) or term == "_" or kind not in PLAIN or kinds.setdefault(term, kind) != kind:
+                    return False
+    return True
+
+
+def _deepest(model: Model, asked: DataFrame) -> DataFrame:
+    """case_id, atom, proof, d: the asked atoms of the model and all that their proofs rest on; d is the longest way down.
+
+    Rules that do not recurse from the asked predicates are followed level by level, each with the predicates that it can have:
+    base atoms that a level names are not looked up again where they must be there. Recursion goes in strides.
+    """
+    heads: dict[str, set[str]] = {}
+    for r in model.rules:
+        heads.setdefault(r.head.predicate, set()).update(x.predicate for x in r.positives)
+    levels = [asked_predicates(asked)]
+    while (below := set().union(*(heads.get(p, set()) for p in levels[-1]))) and len(levels) <= len(heads):
+        levels.append(below)
+    if below:
+        nodes = durable(model.atoms(set().union(levels[0], heads, *heads.values())), "proof-nodes")
+        edges = nodes.where("proof IS NOT NULL").select(CASE, F.col("atom").alias("s_atom"), F.explode("proof.pos_atoms").alias("t_atom"))
+        start = asked.join(nodes.where(F.col("predicate").isin(*levels[0])).select(CASE, "atom"), [CASE, "atom"], "left_semi").withColumn("d", F.lit(0))
+        return reached(start, edges, [CASE], ["atom"], longest=True).join(nodes.select(CASE, "atom", "proof"), [CASE, "atom"])
+    whole, found = _whole(model), []
+    for d, here in enumerate(levels):
+        ruled = here & heads.keys()
+        if d == 0:
+            rows = asked.join(model.atoms(here).select(CASE, "atom", "proof"), [CASE, "atom"])
+        else:
+            rows = rows.where("proof IS NOT NULL").select(CASE, F.explode("proof.pos_atoms").alias("atom")).distinct()
+            if not whole:
+                rows = rows.join(model.atoms(here).select(CASE, "atom", "proof"), [CASE, "atom"])
+            elif ruled:
+                rows = rows.join(Model(model.rules, {}, model.derived).atoms(ruled).select(CASE, "atom", "proof"), [CASE, "atom"], "left")
+            else:
+                rows = rows.withColumn("proof", F.lit(None).cast(PROOF))
+        rows = durable(rows, "proof-level") if ruled else rows
+        found.append(rows.select(CASE, "atom", "proof", F.lit(d).alias("d")))
+    out = reduce(lambda a, b: a.unionByName(b), found)
+    if len(set().union(*levels)) == sum(map(len, levels)):
+        return out  # no predicate is on two levels
+    return out.groupBy(CASE, "atom").agg(F.max("proof").alias("proof"), F.max("d").alias("d"))
+
+
 def proof_store(model: Model, queries: DataFrame, facts: DataFrame, sources: DataFrame, rule_texts: DataFrame, originals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(runs, steps) of one proof run per case of queries(case_id, atom).
 
@@ -50,25 +110,23 @@ def proof_store(model: Model, queries: DataFrame, facts: DataFrame, sources: Dat
     originals(normalized, original). An atom that several asked ones rest on is one step: its place is that of its longest way
     down from any of them, then by its text.
     """
-    nodes = durable(model.atoms(), "proof-nodes")
     asked = queries.select(CASE, "atom").distinct()
-    edges = nodes.where("proof IS NOT NULL").select(CASE, F.col("atom").alias("s_atom"), F.explode("proof.pos_atoms").alias("t_atom"))
-    start = asked.join(nodes.select(CASE, "atom"), [CASE, "atom"], "left_semi").withColumn("d", F.lit(0))
-    deepest = reached(start, edges, [CASE], ["atom"], longest=True)
     order = F.row_number().over(Window.partitionBy(CASE).orderBy(F.desc("d"), "atom")) - 1
-    steps = durable(deepest.join(nodes, [CASE, "atom"]).select(CASE, "atom", "proof", order.alias("step_order")), "proof-steps")
+    steps = durable(_deepest(model, asked).select(CASE, "atom", "proof", order.alias("step_order")), "proof-steps")
 
-    index = fact_index(facts)
-    used = steps.select(CASE, "step_order", F.posexplode("proof.pos_atoms").alias("k", "atom")).join(index, [CASE, "atom"], "left")
-    used = used.groupBy(CASE, "step_order").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("fact_id", F.lit("")).alias("f")))), lambda x: x["f"]).alias("used_fact_ids"))
+    base = F.col("proof").isNull()
+    named = steps.select(CASE, "step_order", base.alias("base"), F.posexplode(F.when(base, F.array("atom")).otherwise(F.col("proof.pos_atoms"))).alias("k", "atom"))
+    named = durable(named.join(fact_index(facts), [CASE, "atom"], "left").drop("atom"), "proof-facts")
+    used = named.where("NOT base").groupBy(CASE, "step_order").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("fact_id", F.lit("")).alias("f")))), lambda x: x["f"]).alias("used_fact_ids"))
     bound = original_values(steps.where("proof IS NOT NULL").select(CASE, "step_order", "proof.substitution"), [CASE, "step_order"], originals)
-    told = steps.where("proof IS NULL").select(CASE, "step_order", "atom").join(index, [CASE, "atom"]).join(span_texts(facts, sources), "fact_id").select(CASE, "step_order", F.col("text").alias("fact_text"))
+    told = span_texts(named.where("base"), sources).select(CASE, "step_order", F.col("text").alias("fact_text"))
 
     none = F.array().cast("array<string>")
     proof_id = name_uuid(F.concat_ws("/", F.lit("proof"), F.col(CASE).cast("string")))
     out = steps.withColumn("rule_id", F.col("proof.rule_id"))
-    for other, on in ((used, [CASE, "step_order"]), (bound, [CASE, "step_order"]), (told, [CASE, "step_order"]), (rule_texts.select("rule_id", "source_span_text"), ["rule_id"])):
-        out = out.join(other, on, "left")
+    for other in (used, bound, told):
+        out = out.join(other, [CASE, "step_order"], "left")
+    out = out.join(F.broadcast(rule_texts.select("rule_id", "source_span_text")), "rule_id", "left")  # as many as there are rules
     out = out.select(
         CASE, proof_id.alias("proof_id"), "step_order", "atom", F.when(F.col("proof").isNull(), "base").otherwise("derived").alias("status"), "rule_id", "substitution", F.coalesce("used_fact_ids", none).alias("used_fact_ids"),
         F.coalesce("proof.pos_atoms", none).alias("depends_on"), F.coalesce("proof.naf_atoms", none).alias("naf_checked"), F.coalesce("source_span_text", "fact_text").alias("source_span_text"),

@@ -12,7 +12,7 @@ from rulefact.plans.rules import CASE, Model, violations
 from rulefact.sources.durable import durable
 
 
-def _asked(rows: DataFrame) -> set[str]:
+def asked_predicates(rows: DataFrame) -> set[str]:
     """The predicates of rows(atom): as many as an ontology names."""
     return {r[0] for r in rows.where("atom IS NOT NULL").select(F.substring_index("atom", "(", 1)).distinct().collect()}
 
@@ -23,7 +23,7 @@ def verdicts(model: Model, queries: DataFrame) -> DataFrame:
     proved: the atom is in the model; blocked: a rule's positive body holds but a negated literal does too; not_proved: some rule
     has the predicate as its head; unknown: none has.
     """
-    atoms = model.atoms(_asked(queries)).select(CASE, "atom", F.lit(True).alias("holds"), F.col("proof.rule_id").alias("proved_by"))
+    atoms = model.atoms(asked_predicates(queries)).select(CASE, "atom", F.lit(True).alias("holds"), F.col("proof.rule_id").alias("proved_by"))
     heads = sorted({r.head.predicate for r in model.rules})
     out = queries.join(atoms, [CASE, "atom"], "left")
     broken = violations(model)
@@ -47,7 +47,7 @@ def feedback(model: Model, candidates: DataFrame) -> DataFrame:
 
 def updated_statuses(model: Model, facts: DataFrame) -> DataFrame:
     """facts(case_id, fact_id, atom, status): candidates in the model become proved, with a proof id if a rule derived them."""
-    atoms = model.atoms(_asked(facts)).select(CASE, "atom", F.lit(True).alias("holds"), F.col("proof").isNotNull().alias("by_rule"))
+    atoms = model.atoms(asked_predicates(facts)).select(CASE, "atom", F.lit(True).alias("holds"), F.col("proof").isNotNull().alias("by_rule"))
     now = F.col("holds") & (F.col("status") == "candidate")
     out = facts.join(atoms, [CASE, "atom"], "left")
     proof_id = F.when(now & F.col("by_rule"), name_uuid(F.concat_ws("/", F.col(CASE).cast("string"), "atom")))

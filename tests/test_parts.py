@@ -76,3 +76,10 @@ def test_rule_support_needs_its_heads_only(spark, monkeypatch):
     monkeypatch.setattr(R.Model, "atoms", lambda self, only=None: asked.append(only) or whole(self, only))
     catalogue.queries()["m12_rule_support"](spark, SF)
     assert asked == [{"late_return"}]
+
+
+def test_lines_are_dealt_once_by_case_and_order(spark, monkeypatch):
+    monkeypatch.setattr(world, "LINES_EACH", 1000)
+    lines = world.frames(Tables(spark, SF))["line_shipped"]
+    assert lines._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(case_id") == 1
+    assert lines.count() == lines.distinct().count()

@@ -1,5 +1,7 @@
 """Proof runs with fact ids, original values and span texts; pairing of repeated steps."""
 
+from pyspark.sql import functions as F
+
 from rulefact.plans import proofs as P
 from rulefact.plans import rules as R
 
@@ -27,3 +29,34 @@ def test_repeated_steps_take_atoms_in_turn(spark):
     dag = spark.createDataFrame([("p", 5, "x", "r", "A=1,B=2", "derived", None), ("p", 4, "y", "r", "A=1,B=2", "derived", "t"), ("p", 1, "z", None, "", "base", None), ("p", 9, "w", "r", "A=1", "derived", None)], "proof_id string, ord int, atom string, rule_id string, substitution string, status string, source_span_text string")
     got = {(r.proof_id, r.step_order): (r.atom, r.source_span_text) for r in P.paired_steps(steps, dag).collect()}
     assert got == {("p", 0): ("y", "t"), ("p", 1): ("x", None), ("p", 2): ("z", None), ("p", 3): (None, None), ("q", 0): (None, None)}
+
+
+def stored(spark, base, rules, asked):
+    facts = spark.createDataFrame([], "case_id long, fact_id string, atom string, source_id string, spans array<struct<start:int,end:int>>")
+    none = spark.createDataFrame([], "source_id string, content string"), spark.createDataFrame([], "rule_id string, source_span_text string"), spark.createDataFrame([], "normalized string, original string")
+    _, steps = P.proof_store(R.evaluate(base, rules), spark.createDataFrame([(1, a) for a in asked], "case_id long, atom string"), facts, *none)
+    return [(r.atom, r.status) for r in steps.orderBy("step_order").collect()]
+
+
+def test_a_run_takes_the_atoms_of_asked_predicates_only(spark, monkeypatch):
+    frame = lambda rows, roles: spark.createDataFrame([(1, *r) for r in rows], "case_id long, " + roles)
+    broken = spark.range(1).select(F.lit(1).cast("long").alias("case_id"), F.raise_error(F.lit("not asked for")).cast("string").alias("X"))
+    rules = [R.Rule("r", R.lit("h", X="A"), (R.lit("p", X="A"), R.naf("n", X="A")))]
+    taken, whole = [], R.Model.atoms
+    monkeypatch.setattr(R.Model, "atoms", lambda self, only=None: taken.append(only) or whole(self, only))
+    got = stored(spark, {"p": frame([("a",), ("b",)], "X string"), "q": broken}, rules, ["h(X=a)", "h(X=z)"])
+    assert got == [("p(X=a)", "base"), ("h(X=a)", "derived")] and taken == [{"h"}]
+
+
+def test_a_run_leaves_out_atoms_that_stand_for_several(spark):
+    p = spark.createDataFrame([(1, "a", "b")], "case_id long, X string, Y string")
+    rules = [R.Rule("r", R.lit("h", X="A"), (R.lit("p", X="A", Y="_"),)), R.Rule("s", R.lit("g", X="A"), (R.lit("h", X="A"), R.lit("p", X="A", Y="B")))]
+    assert stored(spark, {"p": p}, rules, ["g(X=a)"]) == [("h(X=a)", "derived"), ("p(X=a,Y=b)", "base"), ("g(X=a)", "derived")]
+
+
+def test_a_run_follows_recursion(spark):
+    e = spark.createDataFrame([(1, k, k + 1) for k in range(5)], "case_id long, F long, T long")
+    rules = [R.Rule("r", R.lit("way", F="X", T="Y"), (R.lit("e", F="X", T="Y"),)), R.Rule("s", R.lit("way", F="X", T="Z"), (R.lit("way", F="X", T="Y"), R.lit("e", F="Y", T="Z")))]
+    got = stored(spark, {"e": e}, rules, ["way(F=0,T=5)"])
+    assert got[-1] == ("way(F=0,T=5)", "derived") and sorted(a for a, _ in got) == sorted([f"e(F={k},T={k + 1})" for k in range(5)] + [f"way(F=0,T={k})" for k in range(1, 6)])
+    assert [a for a, s in got if s == "derived"] == [f"way(F=0,T={k})" for k in range(1, 6)]
