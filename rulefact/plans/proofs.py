@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulefact.functions.scalars import name_uuid
@@ -98,6 +98,22 @@ def _deepest(model: Model, asked: DataFrame) -> DataFrame:
     return out.groupBy(CASE, "atom").agg(F.max("proof").alias("proof"), F.max("d").alias("d"))
 
 
+def _proof_id() -> Column:
+    return name_uuid(F.concat_ws("/", F.lit("proof"), F.col(CASE).cast("string")))
+
+
+def _runs(asked: DataFrame, steps: DataFrame) -> DataFrame:
+    sizes = steps.groupBy(CASE).agg(F.count(F.lit(1)).alias("n_steps"))
+    runs = asked.groupBy(CASE).agg(F.count(F.lit(1)).alias("n_queries")).join(sizes, CASE, "left")
+    return runs.select(CASE, _proof_id().alias("proof_id"), F.when(F.col("n_steps").isNull(), "not_proved").otherwise("proved").alias("result"), "n_queries", F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
+
+
+def proof_runs(model: Model, queries: DataFrame) -> DataFrame:
+    """The runs of proof_store alone: steps are counted, neither put in order nor written."""
+    asked = queries.select(CASE, "atom").distinct()
+    return _runs(asked, _deepest(model, asked).select(CASE))
+
+
 def proof_store(model: Model, queries: DataFrame, facts: DataFrame, sources: DataFrame, rule_texts: DataFrame, originals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(runs, steps) of one proof run per case of queries(case_id, atom).
 
@@ -122,18 +138,15 @@ def proof_store(model: Model, queries: DataFrame, facts: DataFrame, sources: Dat
     told = span_texts(named.where("base"), sources).select(CASE, "step_order", F.col("text").alias("fact_text"))
 
     none = F.array().cast("array<string>")
-    proof_id = name_uuid(F.concat_ws("/", F.lit("proof"), F.col(CASE).cast("string")))
     out = steps.withColumn("rule_id", F.col("proof.rule_id"))
     for other in (used, bound, told):
         out = out.join(other, [CASE, "step_order"], "left")
     out = out.join(F.broadcast(rule_texts.select("rule_id", "source_span_text")), "rule_id", "left")  # as many as there are rules
     out = out.select(
-        CASE, proof_id.alias("proof_id"), "step_order", "atom", F.when(F.col("proof").isNull(), "base").otherwise("derived").alias("status"), "rule_id", "substitution", F.coalesce("used_fact_ids", none).alias("used_fact_ids"),
+        CASE, _proof_id().alias("proof_id"), "step_order", "atom", F.when(F.col("proof").isNull(), "base").otherwise("derived").alias("status"), "rule_id", "substitution", F.coalesce("used_fact_ids", none).alias("used_fact_ids"),
         F.coalesce("proof.pos_atoms", none).alias("depends_on"), F.coalesce("proof.naf_atoms", none).alias("naf_checked"), F.coalesce("source_span_text", "fact_text").alias("source_span_text"),
     )
-    sizes = steps.groupBy(CASE).agg(F.count(F.lit(1)).alias("n_steps"))
-    runs = asked.groupBy(CASE).agg(F.count(F.lit(1)).alias("n_queries")).join(sizes, CASE, "left")
-    return runs.select(CASE, proof_id.alias("proof_id"), F.when(F.col("n_steps").isNull(), "not_proved").otherwise("proved").alias("result"), "n_queries", F.coalesce("n_steps", F.lit(0)).alias("n_steps")), out
+    return _runs(asked, steps), out
 
 
 def paired_steps(steps: DataFrame, dag: DataFrame) -> DataFrame:

@@ -60,3 +60,13 @@ def test_a_run_follows_recursion(spark):
     got = stored(spark, {"e": e}, rules, ["way(F=0,T=5)"])
     assert got[-1] == ("way(F=0,T=5)", "derived") and sorted(a for a, _ in got) == sorted([f"e(F={k},T={k + 1})" for k in range(5)] + [f"way(F=0,T={k})" for k in range(1, 6)])
     assert [a for a, s in got if s == "derived"] == [f"way(F=0,T={k})" for k in range(1, 6)]
+
+
+def test_runs_alone_are_those_of_the_store(spark, monkeypatch):
+    p = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "case_id long, X string")
+    model = R.evaluate({"p": p}, [R.Rule("r", R.lit("h", X="A"), (R.lit("p", X="A"),))])
+    asked = spark.createDataFrame([(1, "h(X=a)"), (1, "h(X=b)"), (1, "h(X=b)"), (2, "h(X=z)"), (3, "p(X=a)")], "case_id long, atom string")
+    written, durable = [], P.durable
+    monkeypatch.setattr(P, "durable", lambda df, label: written.append(label) or durable(df, label))
+    got = sorted((r.case_id, r.result, r.n_queries, r.n_steps) for r in P.proof_runs(model, asked).collect())
+    assert got == [(1, "proved", 2, 4), (2, "not_proved", 1, 0), (3, "not_proved", 1, 0)] and written == ["proof-level"]
