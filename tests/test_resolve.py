@@ -1,5 +1,6 @@
 """Best matches and nearest entities against all pairs, with keys that half of all entities have."""
 
+import math
 import random
 
 from rulefact.operators import matching as M
@@ -78,3 +79,34 @@ def test_a_key_of_half_the_table_makes_few_rows(spark):
     assert 0 < _rows_made(best) < 5 * n
     got = {r.old_id: (r.entity_id, r.score) for r in best.collect()}
     assert len(got) == n and got["n1"] == ("e3", 110) and got["n1401"] == ("e1401", 30) and got["n2999"] == ("e1", 10)
+
+
+def test_nearest_in_block_meets_in_bounded_groups(spark, monkeypatch):
+    g = random.Random(5)
+    near = lambda: [round(g.gauss(0, 1), 1) for _ in range(2)]
+    rows = [(k % 3, k, near()) for k in range(60)]
+    rows += [(0, 100, [0.0, 0.0]), (0, 101, None), (0, 102, [1.0, None]), (1, 103, [float("inf"), 1.0]), (2, 104, [1.0, 0.0, 0.0]), (9, 105, [1.0, 0.0]), (9, 106, None), (9, 107, [2.0, 0.0]), (None, 108, [1.0, 0.0])]
+    b = spark.createDataFrame(rows, "block int, id long, v array<double>")
+
+    def cosine(u, w):
+        if u is None or w is None or None in u or None in w:
+            return None
+        p, q = (math.sqrt(sum(x * x for x in z)) for z in (u, w))
+        if not all(0 < n < math.inf for n in (p, q)):
+            return math.nan
+        return sum(x / p * (y / q) for x, y in zip(u, w)) if len(u) == len(w) else None
+
+    first = lambda c: (2, 0) if c is None else (0, 0) if math.isnan(c) else (1, -round(c, 9))
+    want = {}
+    for block, k, v in rows:
+        if block is not None and (k % 2 == 0 or k > 99):
+            found = sorted((first(cosine(v, w)), other) for at, other, w in rows if at == block and other != k)[:4]
+            want[k] = [other for _, other in found]
+    for piece in (8192, 3):
+        monkeypatch.setattr(N, "PIECE", piece)
+        out = N.nearest_in_block(b.where("id % 2 = 0 OR id > 99"), b, 4)
+        got = {}
+        for r in out.orderBy("id", "place").collect():
+            got.setdefault(r.id, []).append(r.other)
+        assert got == want
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().toString()
