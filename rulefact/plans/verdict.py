@@ -29,11 +29,11 @@ def verdicts(model: Model, queries: DataFrame) -> DataFrame:
     broken = violations(model)
     if broken is not None:
         broken = broken.join(queries.select(CASE, "atom").distinct(), [CASE, "atom"], "left_semi")
-        broken = broken.groupBy(CASE, "atom").agg(F.array_sort(F.collect_set("violated")).alias("violated"), F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
+        broken = broken.groupBy(CASE, "atom").agg(F.array_sort(F.collect_set("violated")).alias("violated"), F.array_sort(F.collect_set("rule_id")).alias("rule_ids"), F.max(F.lit(True)).alias("broken"))  # who needs verdicts only, collects no sets
         out = out.join(broken, [CASE, "atom"], "left")
     else:
-        out = out.withColumns({"violated": F.lit(None).cast("array<string>"), "rule_ids": F.lit(None).cast("array<string>")})
-    blocked = F.col("holds").isNull() & F.col("violated").isNotNull()
+        out = out.withColumns({"violated": F.lit(None).cast("array<string>"), "rule_ids": F.lit(None).cast("array<string>"), "broken": F.lit(None).cast("boolean")})
+    blocked = F.col("holds").isNull() & F.col("broken").isNotNull()
     verdict = F.when(F.col("holds"), "proved").when(blocked, "blocked").when(F.col("predicate").isin(heads), "not_proved").otherwise("unknown")
     return out.select(CASE, "query_id", "predicate", "atom", verdict.alias("verdict"), F.when(blocked, F.col("violated")).alias("violated"), F.when(blocked, F.col("rule_ids")).alias("rule_ids"), "proved_by")
 

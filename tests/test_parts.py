@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rulefact.operators import beliefs, extract, filters
 from rulefact.plans import rules as R
-from rulefact.plans import catalogue, verdict, views, world
+from rulefact.plans import catalogue, queries_proofs, verdict, views, world
 from rulefact.plans.registry import Tables
 from rulefact.sources.durable import in_parts
 from tests.test_oracle import SF
@@ -83,3 +83,16 @@ def test_lines_are_dealt_once_by_case_and_order(spark, monkeypatch):
     lines = world.frames(Tables(spark, SF))["line_shipped"]
     assert lines._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(case_id") == 1
     assert lines.count() == lines.distinct().count()
+
+
+def test_evaluation_collects_no_sets_and_is_written_once(spark, monkeypatch):
+    p = spark.createDataFrame([(1, "a"), (1, "b")], "case_id long, X string")
+    model = R.evaluate({"p": p, "n": p.where("X = 'b'")}, [R.Rule("r", R.lit("h", X="A"), (R.lit("p", X="A"), R.naf("n", X="A")))])
+    asked = spark.createDataFrame([(1, k, "h", f"h(X={x})", "proved") for k, x in enumerate("abc")], "case_id long, query_id long, predicate string, atom string, expected string")
+    out = views.evaluated(model, asked)
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["verdict"] for r in out.orderBy("query_id").collect()] == ["proved", "blocked", "not_proved"]
+    written, durable = [], queries_proofs.durable
+    monkeypatch.setattr(queries_proofs, "durable", lambda df, label: written.append(label) or durable(df, label))
+    catalogue.queries()["p4_full_report"](spark, SF)
+    assert written == ["evaluated"]
