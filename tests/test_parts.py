@@ -1,5 +1,8 @@
 """Tasks keep a bounded share of the rows: nothing is dealt by the few keys of an ontology, partitions grow with the tables."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from rulefact.operators import beliefs, extract, filters
@@ -85,6 +88,16 @@ def test_lines_are_dealt_once_by_case_and_order(spark, monkeypatch):
     assert lines.count() == lines.distinct().count()
 
 
+@pytest.mark.parametrize("name", ["j1_order_constraint", "j2_same_period", "j4_before", "j6_within_days_after", "j12_violation_report"])
+def test_temporal_queries_deal_lines_to_their_own_partitions_only(spark, monkeypatch, name):
+    monkeypatch.setattr(world, "LINES_EACH", 1000)
+    n = -(-Tables(spark, SF).lineitem.count() // 1000)
+    planned = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((.*), (\d+)\)", planned)
+    by_line = {int(k) for keys, k in dealt if re.search("orderkey|ORDER|key#", keys)}
+    assert by_line == {n}, dealt
+
+
 def test_evaluation_collects_no_sets_and_is_written_once(spark, monkeypatch):
     p = spark.createDataFrame([(1, "a"), (1, "b")], "case_id long, X string")
     model = R.evaluate({"p": p, "n": p.where("X = 'b'")}, [R.Rule("r", R.lit("h", X="A"), (R.lit("p", X="A"), R.naf("n", X="A")))])
