@@ -88,7 +88,7 @@ def test_lines_are_dealt_once_by_case_and_order(spark, monkeypatch):
     assert lines.count() == lines.distinct().count()
 
 
-@pytest.mark.parametrize("name", ["j1_order_constraint", "j2_same_period", "j4_before", "j6_within_days_after", "j12_violation_report"])
+@pytest.mark.parametrize("name", ["j1_order_constraint", "j2_same_period", "j4_before", "j6_within_days_after", "j7_same_month", "j12_violation_report"])
 def test_temporal_queries_deal_lines_to_their_own_partitions_only(spark, monkeypatch, name):
     monkeypatch.setattr(world, "LINES_EACH", 1000)
     n = -(-Tables(spark, SF).lineitem.count() // 1000)
