@@ -92,7 +92,12 @@ def test_lines_are_dealt_once_by_case_and_order(spark, monkeypatch):
 def test_temporal_queries_deal_lines_to_their_own_partitions_only(spark, monkeypatch, name):
     monkeypatch.setattr(world, "LINES_EACH", 1000)
     n = -(-Tables(spark, SF).lineitem.count() // 1000)
-    planned = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        planned = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     dealt = re.findall(r"hashpartitioning\((.*), (\d+)\)", planned)
     by_line = {int(k) for keys, k in dealt if re.search("orderkey|ORDER|key#", keys)}
     assert by_line == {n}, dealt
