@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,21 @@ def ingested(spark: SparkSession, into: str) -> tuple[DataFrame, DataFrame]:
     return _read(spark, f"{into}/texts", TEXTS), _read(spark, f"{into}/errors", ERRORS)
 
 
+@contextmanager
+def _small_files(spark: SparkSession) -> Iterator[None]:
+    """Settings for many small files: a few tasks for each core list them (Spark's default is a task for each path, up to 10,000),
+    and a task reads up to about 2,000 instead of 32."""
+    listing, cost = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes"
+    before = {name: spark.conf.get(name) for name in (listing, cost)}
+    spark.conf.set(listing, str(min(int(before[listing]), 4 * spark.sparkContext.defaultParallelism)))
+    spark.conf.set(cost, "64KB")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def ingest(spark: SparkSession, folder: str, into: str, pattern: str = "*.txt", case_of: str = r"([^/]*?)(?:\.[^./]*)?$", files: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Takes in the files of a folder (and its folders) that are new since the last call; returns (texts, errors) of all calls.
 
@@ -37,21 +55,22 @@ def ingest(spark: SparkSession, folder: str, into: str, pattern: str = "*.txt",
         x = batch.select(F.regexp_extract("path", case_of, 1).alias("case_id"), F.is_valid_utf8(raw).alias("valid"), F.when(F.is_valid_utf8(raw), text).alias("content"), "path")
         x = x.withColumns({"digest": F.sha2("content", 256), "source_id": F.concat("case_id", F.lit("-TEXT"))})
         x = durable(x, "ingest")
+        # What becomes of each file is decided without its text; only texts taken in move, once.
+        named = x.select("case_id", "valid", (F.col("content") == "").alias("blank"), "digest", "path")
         before = ingested(spark, into)[0].where(F.col("batch") != number)
-        good = x.where("valid AND content <> ''")
-        known = good.join(before.select("digest").distinct(), "digest", "left_semi").select("path")
-        first = good.join(known, "path", "left_anti").groupBy("digest").agg(F.min("path").alias("path"))
-        fresh = good.join(first, ["digest", "path"], "left_semi")
-        taken = fresh.join(before.select("case_id").distinct(), "case_id", "left_anti")
-        one = taken.groupBy("case_id").agg(F.min("path").alias("path"))
-        texts = durable(taken.join(one, ["case_id", "path"], "left_semi"), "ingest-texts")
-        kind = F.when(~F.col("valid"), "not_utf8").when(F.col("content") == "", "blank").when(F.col("fresh"), "known_case").otherwise("duplicate")
-        errors = x.join(texts.select("path"), "path", "left_anti").join(fresh.select("path", F.lit(True).alias("fresh")), "path", "left").select("case_id", kind.alias("kind"), "digest", "path")
+        good = named.where("valid AND NOT blank")
+        new = good.join(before.select("digest").distinct(), "digest", "left_anti")
+        fresh = new.groupBy("digest").agg(F.min(F.struct("path", "case_id")).alias("f")).select("f.*")
+        taken = fresh.join(before.select("case_id").distinct(), "case_id", "left_anti").groupBy("case_id").agg(F.min("path").alias("path"))
+        texts = durable(x.join(taken.select("path"), "path", "left_semi"), "ingest-texts")
+        kind = F.when(~F.col("valid"), "not_utf8").when(F.col("blank"), "blank").when(F.col("fresh"), "known_case").otherwise("duplicate")
+        errors = named.join(texts.select("path"), "path", "left_anti").join(fresh.select("path", F.lit(True).alias("fresh")), "path", "left").select("case_id", kind.alias("kind"), "digest", "path")
         for name, rows, schema in (("texts", texts, TEXTS), ("errors", errors, ERRORS)):
             rows.select(*(c.split()[0] for c in schema.split(", "))).write.mode("overwrite").parquet(f"{into}/{name}/batch={number}")
 
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).load(folder)
-    stream.select("path", "content").writeStream.foreachBatch(take).option("checkpointLocation", f"{into}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with _small_files(spark):
+        stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).load(folder)
+        stream.select("path", "content").writeStream.foreachBatch(take).option("checkpointLocation", f"{into}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return ingested(spark, into)
 
 

@@ -75,3 +75,45 @@ def test_first_of_equal_texts_counts_in_any_batch(spark, tmp_path):
     assert [r.case_id for r in texts.collect()] == ["2"]
     first, again = ingest.settled(texts, errors)
     assert [r.case_id for r in first.collect()] == ["10"] and sorted(r.case_id for r in again.collect()) == ["2", "3"]
+
+
+def test_many_small_files_are_written_listed_and_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """One file for each text, in few folders whose paths sort as names do; where Arrow does not reach, Spark's writer makes them."""
+    import os
+
+    from types import SimpleNamespace
+
+    from rulefact.sources import records
+    from rulefact.streaming import ingest
+
+    sc, case_of = spark.sparkContext, r"(\d+)(?:\.txt|/part-[^/]*)$"
+    text = lambda k: f" text {k % 100} \n" if k % 50 else ""
+    texts = spark.createDataFrame([(k, text(k)) for k in range(8, 208)], "name long, text string")
+
+    def last_stage():
+        sc.setJobGroup(mark := f"mark-{os.urandom(4).hex()}", "")
+        spark.range(1).rdd.count()
+        return max(s for j in sc.statusTracker().getJobIdsForGroup(mark) for s in sc.statusTracker().getJobInfo(j).stageIds)
+
+    def unreached(uri):
+        raise OSError(uri)
+
+    kinds = {}
+    for way in ("arrow", "spark"):
+        folder = tmp_path / way
+        if way == "spark":
+            monkeypatch.setattr(records, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=unreached)))
+        records.write_texts(texts, f"file://{folder}", 60)
+        files = sorted(p.relative_to(folder) for p in folder.rglob("*.txt"))
+        assert len(files) == 200
+        if way == "arrow":
+            assert [p.stem for p in files] == sorted(str(k) for k in range(8, 208)) and files[1].parts == ("100", "100.txt")
+            assert (folder / "9" / "9.txt").read_bytes() == b" text 9 \n\n"
+        first = last_stage()
+        taken, errors = ingest.ingest(spark, f"file://{folder}", str(tmp_path / f"into-{way}"), case_of=case_of)
+        sizes = [i.numTasks for s in range(first + 1, last_stage()) if (i := sc.statusTracker().getStageInfo(s))]
+        assert sizes and max(sizes) <= 4 * sc.defaultParallelism
+        kinds[way] = sorted(tuple(r) for r in taken.selectExpr("case_id", "'text'", "content").union(errors.selectExpr("case_id", "kind", "null")).collect())
+        assert [r[0] for r in kinds[way]] == sorted(str(k) for k in range(8, 208))
+    assert kinds["arrow"] == kinds["spark"]
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
