@@ -110,3 +110,21 @@ def test_nearest_in_block_meets_in_bounded_groups(spark, monkeypatch):
             got.setdefault(r.id, []).append(r.other)
         assert got == want
     assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().toString()
+
+
+def test_all_pairs_are_made_once_without_moving_them(spark, monkeypatch):
+    """Every pair a row, as all pairs say, from blocks smaller than the classes; no exchange has as many rows as there are pairs."""
+    r = random.Random(7)
+    rows = lambda n, p: [(k, r.choice([["a", "b"], ["b", "a", "a"], ["b", None], ["c"], [], None]), r.choice([[f"n{k % 40}"], [None], None])) for k in range(n)]
+    left, right = rows(300, "x"), rows(200, "y")
+    a, b = spark.createDataFrame(left, "x long, keys array<string>, names array<string>"), spark.createDataFrame(right, "y long, keys array<string>, names array<string>")
+    common = lambda u, w: len((set(u or []) & set(w or [])) - {None})
+    monkeypatch.setattr(M, "BLOCK", 16)
+    monkeypatch.setattr(M, "PAIRS", 5000)
+    out = M.overlapping(a.drop("names"), b.drop("names"), "keys")
+    want = sorted((x, y, n) for x, k, _ in left for y, m, _ in right if (n := common(k, m)))
+    assert sorted(tuple(p) for p in out.select("x", "y", "shared").collect()) == want and len(want) > 10_000
+    assert out.rdd.getNumPartitions() == -(-sum(common(k, m) for _, k, _ in left for _, m, _ in right) // 5000) > 4
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    either = sorted((x, y) for x, k, u in left for y, m, w in right if common(k, m) or common(u, w))
+    assert sorted(map(tuple, M.any_match(a, b, ["keys", "names"]).collect())) == either == sorted(map(tuple, M.any_match(a, b, ["names", "keys"]).collect()))
